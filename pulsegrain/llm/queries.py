@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, simhash, token_counts
+from . import exact_dedup, language_id, packing, simhash, token_counts, topk_search
 from .common import small_batches, table
 
 
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,10 +48,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_topk_search": op3_topk_search,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.SQL, "op4_exact_dedup": exact_dedup.SQL}
