@@ -25,6 +25,8 @@ from .word_cache import WordCache
 
 TOKENS, SEGMENTS = 2048, 128
 CLOSING_ID = 1
+#: Marks that the tokenizer parts from letters before them and keeps together.
+MARKS = ".,;:!?%*#&$|)"
 #: Examples that wait in a task at once, and the sequences they would fill.
 POOL, WAITING = 4096, 64
 
@@ -46,7 +48,7 @@ class WordTokenizer:
         plain = json.loads(self.full.to_str())
         plain["normalizer"] = None
         self.plain = Tokenizer.from_str(json.dumps(plain))
-        self.words = WordCache(self._word)
+        self.words = WordCache(self._word, size=600_000)
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -54,7 +56,11 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         if max(word) < "Ā":  # Latin-1 is composed already and has simple lower case
-            return self._bytes(self.plain.encode(word.lower(), add_special_tokens=False).ids)
+            word = word.lower()
+            letters = word.rstrip(MARKS)
+            if letters != word and letters.isalpha():  # two pieces that never merge
+                return self.words[letters] + self.words[word[len(letters) :]]
+            return self._bytes(self.plain.encode(word, add_special_tokens=False).ids)
         return self._bytes(self.full.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
