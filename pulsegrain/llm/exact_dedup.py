@@ -83,16 +83,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns of docs come back. Repeated ids with different texts are told apart by the text.
     """
-    kept = exact_groups(docs, id_col, text_col, block_bytes).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    named = name_documents(docs, id_col, text_col, block_bytes)
+    groups = named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"))
+    kept = named.join(groups, ["n_blocks", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    kept = kept.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ASCII_SPACE, " ")
     keyed = docs.withColumn("__sha", F.sha2(norm.cast("binary"), 256)).withColumn("__id", F.col(id_col).cast("long"))
     same = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__sha"] == kept["__sha"])
     stays = keyed.join(kept, same, "left_semi")
-    once = stays.groupBy("__id", "__sha").count().filter("count > 1")
-    # ids are nearly always unique; only then is nothing left to do
-    if once.isEmpty():
-        return stays.drop("__id", "__sha")
-    return stays.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    if not named.filter("times > 1").isEmpty():
+        stays = stays.dropDuplicates(["__id", "__sha"])
+    return stays.drop("__id", "__sha")
 
 
 SQL = r"""

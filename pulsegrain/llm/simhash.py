@@ -173,6 +173,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keep = near_groups(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     stays = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__id"]), "left_semi")
-    if stays.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return stays
-    return stays.dropDuplicates([id_col])
+    repeated = docs.groupBy(id_col).count().filter("count > 1")
+    return stays if repeated.isEmpty() else stays.dropDuplicates([id_col])
