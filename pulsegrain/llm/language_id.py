@@ -25,7 +25,7 @@ from .word_cache import WordCache
 SAMPLE_PER_LANGUAGE = 3000
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
-ROUNDS = 12
+FIRST_ROUNDS, ROUNDS, SETTLED = 3, 12, 0.999
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -79,35 +79,50 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
+def _rounds(p: np.ndarray, starts: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    """Expectation-maximisation: word responsibilities, then their mean as the new shares."""
+    doc = np.repeat(np.arange(len(n)), n)
+    for _ in range(rounds):
+        r = p * pi[doc]
+        r /= r.sum(axis=1, keepdims=True)
+        pi = np.add.reduceat(r, starts, axis=0) / n[:, None].astype(np.float32)
+    return pi
+
+
 def shares(words_ll: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(best language, its share) for each document; words of document i begin at starts[i].
 
-    Every document has a word at least.
+    Every document has a word at least. A document that the first rounds settle on one language
+    (a share of SETTLED) has that set; the others go on and choose their set by likelihood.
     """
     languages = words_ll.shape[1]
     n = np.diff(np.append(starts, len(words_ll)))
+    top = words_ll.max(axis=1)
+    p = np.exp(words_ll - top[:, None])
+    pi = _rounds(p, starts, n, np.full((len(n), languages), 1 / languages, dtype=np.float32), FIRST_ROUNDS)
+    best, share = pi.argmax(axis=1), np.ones(len(n))
+    open_docs = np.flatnonzero(pi.max(axis=1) < SETTLED)
+    if not len(open_docs):
+        return best, share
+    mine = np.isin(np.repeat(np.arange(len(n)), n), open_docs)
+    p, top, n, pi = p[mine], top[mine], n[open_docs], pi[open_docs]
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    pi = _rounds(p, starts, n, pi, max(0, rounds - FIRST_ROUNDS))
     doc = np.repeat(np.arange(len(n)), n)
-    top = words_ll.max(axis=1, keepdims=True)
-    p = np.exp(words_ll - top)
-    pi = np.full((len(n), languages), 1 / languages, dtype=np.float32)
-    for _ in range(rounds):
-        r = p * pi[doc]
-        r /= r.sum(axis=1, keepdims=True)
-        pi = np.add.reduceat(r, starts, axis=0) / n[:, None]
     order = np.argsort(-pi, axis=1, kind="stable")
-    best, choice = np.full(len(n), -np.inf), np.ones(len(n), dtype=int)
-    base = np.add.reduceat(top[:, 0].astype(float), starts)
+    fit_best, choice = np.full(len(n), -np.inf), np.ones(len(n), dtype=int)
     for k in range(1, languages + 1):
         chosen = np.zeros_like(pi)
         np.put_along_axis(chosen, order[:, :k], np.take_along_axis(pi, order[:, :k], axis=1), axis=1)
         chosen /= chosen.sum(axis=1, keepdims=True)
-        fit_k = base + np.add.reduceat(np.log(np.maximum((p * chosen[doc]).sum(axis=1), 1e-30)).astype(float), starts)
+        fit_k = np.add.reduceat(np.log(np.maximum((p * chosen[doc]).sum(axis=1), 1e-30)).astype(float), starts)
         fit_k -= 0.5 * (k - 1) * np.log(n + 1)
-        better = fit_k > best
-        best[better], choice[better] = fit_k[better], k
-    rank = np.arange(languages)[None, :] < choice[:, None]
-    weight = (np.take_along_axis(pi, order, axis=1) * rank).sum(axis=1)
-    return order[:, 0], np.clip(np.take_along_axis(pi, order[:, :1], axis=1)[:, 0] / weight, 0, 1)
+        better = fit_k > fit_best
+        fit_best[better], choice[better] = fit_k[better], k
+    weight = (np.take_along_axis(pi, order, axis=1) * (np.arange(languages)[None, :] < choice[:, None])).sum(axis=1)
+    best[open_docs] = order[:, 0]
+    share[open_docs] = np.clip(np.take_along_axis(pi, order[:, :1], axis=1)[:, 0] / weight, 0, 1)
+    return best, share
 
 
 _WORDS: tuple[int, WordCache] | None = None
@@ -128,7 +143,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
         global _WORDS  # a worker that is used again keeps its words
         known = shared.value
         if _WORDS is None or _WORDS[0] != version:
-            _WORDS = (version, WordCache(known.word))
+            _WORDS = (version, WordCache(known.word, size=600_000))
         look = _WORDS[1].__getitem__
         for batch, texts in text_batches(batches, "__text"):
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
