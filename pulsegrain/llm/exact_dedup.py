@@ -24,6 +24,24 @@ def _named(df: DataFrame, *content: str) -> DataFrame:
     return df.join(names, list(content))
 
 
+def _named_blocks(blocks: DataFrame) -> DataFrame:
+    """As _named, for the blocks themselves, whose contents are shuffled once only.
+
+    Blocks are sorted by (hash, content) and named. A hash under which that sort found one content
+    stands for it, so its name goes back by the hash; where it found several, by the content.
+    """
+    blocks = blocks.withColumn("hash", F.xxhash64("block"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("pos").cast("long").alias("pos"))
+    names = blocks.groupBy("hash", "block").agg(F.min(place).alias("name"))
+    by_hash = cut_lineage(names.groupBy("hash").agg(F.min("name").alias("name"), F.count("*").alias("contents")))
+    named = blocks.drop("block").join(by_hash.filter("contents = 1").drop("contents"), "hash")
+    clashes = by_hash.filter("contents > 1").select("hash")
+    if clashes.isEmpty():
+        return named
+    several = blocks.join(clashes, "hash").join(names.join(clashes, "hash"), ["hash", "block"])
+    return named.unionByName(several.select(*named.columns))
+
+
 def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per distinct (id, text): id, sha, n_blocks, name, times.
 
@@ -38,7 +56,7 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     base = base.select("id", F.sha2("bytes", 256).alias("sha"), n.alias("n_blocks"), "bytes")
     pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)))
     blocks = base.select("id", "sha", "n_blocks", F.posexplode(pieces).alias("pos", "block"))
-    level = _named(blocks, "block").select("id", "sha", "n_blocks", "pos", "name")
+    level = _named_blocks(blocks).select("id", "sha", "n_blocks", "pos", "name")
     # repeated rows collapse here, once their number is known
     level = cut_lineage(level.groupBy("id", "sha", "n_blocks", "pos", "name").agg(F.count("*").alias("times")))
 
@@ -66,7 +84,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are equal to each other. An empty table gives an empty result; other columns are ignored.
     """
     named = name_documents(docs, id_col, text_col, block_bytes)
-    groups = named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size"))
+    # read back from disk, both sides of the join are plain shuffles, whose hot keys Spark splits
+    groups = cut_lineage(named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size")))
     out = named.join(groups, ["n_blocks", "name"])
     out = out.select("id", "sha", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
     return out.select(
@@ -84,7 +103,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All columns of docs come back. Repeated ids with different texts are told apart by the text.
     """
     named = name_documents(docs, id_col, text_col, block_bytes)
-    groups = named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"))
+    groups = cut_lineage(named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id")))
     kept = named.join(groups, ["n_blocks", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id")))
     kept = kept.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ASCII_SPACE, " ")
