@@ -1,14 +1,15 @@
 """Exact deduplication by deterministic block naming.
 
-A text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name (the
-place of their first occurrence), found by sorting the blocks; then the names of adjacent pairs
-are named in the same way, level after level, until one name is left for each document. A name
-stands for one content only, so equal names are equal texts: no hash can collide.
+A text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name: their
+64-bit hash, and their place in the sorted list of the contents that share this hash (0 where it
+has one content, which is checked over all blocks). Then adjacent pairs of names are named in the
+same way, level after level, until one name is left for each document. A name stands for one
+content only, so equal names are equal texts: colliding hashes are told apart by their contents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, cut_lineage
@@ -17,29 +18,18 @@ from .common import ASCII_SPACE, cut_lineage
 BLOCK_BYTES = 16384
 
 
-def _named(df: DataFrame, *content: str) -> DataFrame:
-    """Adds `name`: the smallest (doc, pos) at which this content occurs."""
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("pos").cast("long").alias("pos"))
-    names = df.groupBy(*content).agg(F.min(place).alias("name"))
-    return df.join(names, list(content))
-
-
-def _named_blocks(blocks: DataFrame) -> DataFrame:
-    """As _named, for the blocks themselves, whose contents are shuffled once only.
-
-    Blocks are sorted by (hash, content) and named. A hash under which that sort found one content
-    stands for it, so its name goes back by the hash; where it found several, by the content.
-    """
-    blocks = blocks.withColumn("hash", F.xxhash64("block"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("pos").cast("long").alias("pos"))
-    names = blocks.groupBy("hash", "block").agg(F.min(place).alias("name"))
-    by_hash = cut_lineage(names.groupBy("hash").agg(F.min("name").alias("name"), F.count("*").alias("contents")))
-    named = blocks.drop("block").join(by_hash.filter("contents = 1").drop("contents"), "hash")
-    clashes = by_hash.filter("contents > 1").select("hash")
-    if clashes.isEmpty():
-        return named
-    several = blocks.join(clashes, "hash").join(names.join(clashes, "hash"), ["hash", "block"])
-    return named.unionByName(several.select(*named.columns))
+def _named(rows: DataFrame, *content: str) -> DataFrame:
+    """rows with `name` in place of the content columns."""
+    rows = rows.withColumn("hash", F.xxhash64(*content))
+    known = rows.select("hash", *content).distinct()
+    shared = cut_lineage(known.groupBy("hash").count().filter("count > 1").select("hash"))
+    one = F.struct("hash", F.lit(0).alias("nth")).alias("name")
+    others = [c for c in rows.columns if c not in ("hash", *content)]
+    if shared.isEmpty():
+        return rows.select(*others, one)
+    places = known.join(shared, "hash").withColumn("nth", F.row_number().over(Window.partitionBy("hash").orderBy(*content)))
+    told = rows.join(shared, "hash", "left_semi").join(places, ["hash", *content]).select(*others, F.struct("hash", "nth").alias("name"))
+    return rows.join(shared, "hash", "left_anti").select(*others, one).unionByName(told)
 
 
 def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -56,14 +46,14 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     base = base.select("id", F.sha2("bytes", 256).alias("sha"), n.alias("n_blocks"), "bytes")
     pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)))
     blocks = base.select("id", "sha", "n_blocks", F.posexplode(pieces).alias("pos", "block"))
-    level = _named_blocks(blocks).select("id", "sha", "n_blocks", "pos", "name")
+    level = _named(blocks, "block").select("id", "sha", "n_blocks", "pos", "name")
     # repeated rows collapse here, once their number is known
     level = cut_lineage(level.groupBy("id", "sha", "n_blocks", "pos", "name").agg(F.count("*").alias("times")))
 
     done = level.filter("n_blocks = 1").select("id", "sha", "n_blocks", "name", "times")
     width = level.agg(F.max("n_blocks")).first()[0] or 1
     level = level.filter("n_blocks > 1").withColumn("left", F.col("n_blocks"))
-    nobody = F.struct(F.lit(True).alias("no_id"), F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("pos"))
+    nobody = F.struct(F.lit(0).cast("long").alias("hash"), F.lit(-1).alias("nth"))
     while width > 1:
         width = (width + 1) // 2
         first, second = F.when(F.col("pos") % 2 == 0, F.col("name")), F.when(F.col("pos") % 2 == 1, F.col("name"))

@@ -71,7 +71,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                     np.add.at(totals[lang], grams(word), 1)
         for lang, seen in totals.items():
             at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": seen[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["lang", "bucket", "n"])
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(languages)), 0.5)

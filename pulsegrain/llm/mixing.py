@@ -160,7 +160,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Its columns: doc_id, tokens (words), a posterior p_<domain> for each domain, rate and copies.
     Domains without a target keep nothing; targets are scaled to a sum of 1 over the domains that
     the labels have. Without labels every rate is 1. Null and empty texts have 0 tokens, the prior
-    as posterior and thus the rate of a mean document. Repeated rows each come back; null ids too.
+    as posterior and thus the rate of a mean document. Targets that no rates meet are approached
+    in least squares. Repeated rows each come back; null ids too.
     """
     classifier = fit_classifier(docs, labels, id_col, text_col, labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
