@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def generic_name(name: Column) -> Column:
@@ -39,7 +40,7 @@ def _nested(name: str) -> str:
     return "::".join(parts) if parts and rest.startswith("E") else name
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def demangled(names: pd.Series) -> pd.Series:
     """Nested C++ names; other encodings stay as they are."""
     return names.map(_nested, na_action="ignore")
