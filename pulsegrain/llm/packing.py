@@ -30,6 +30,9 @@ MARKS = ".,;:!?%*#&$|)"
 #: Examples that wait in a task at once, and the sequences they would fill.
 POOL, WAITING = 4096, 64
 
+#: Byte-level vocabularies write the bytes that are no visible characters as letters from U+0100 on.
+BYTE_LETTERS = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -48,6 +51,7 @@ class WordTokenizer:
         plain = json.loads(self.full.to_str())
         plain["normalizer"] = None
         self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.model = self.plain.model
         self.words = WordCache(self._word, size=600_000)
 
     @staticmethod
@@ -60,6 +64,9 @@ class WordTokenizer:
             letters = word.rstrip(MARKS)
             if letters != word and letters.isalpha():  # two pieces that never merge
                 return self.words[letters] + self.words[word[len(letters) :]]
+            if word.isalpha():  # one piece, which the model takes as it is, each byte as a letter
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                return self._bytes([t.id for t in self.model.tokenize(piece)])
             return self._bytes(self.plain.encode(word, add_special_tokens=False).ids)
         return self._bytes(self.full.encode(word, add_special_tokens=False).ids)
 
