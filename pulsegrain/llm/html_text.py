@@ -37,6 +37,10 @@ _MARKED = set(
     "newsletter subscribe popup modal overlay comment comments reply replies disqus discussion nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead toolbar share sharing social related recommended widget pagination pager login signup search alert complementary contentinfo".split()
 )
+#: Beginnings of such words, as sites write them together (commentlist, advertbox).
+_MARKED_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "navbar", "sponsor", "disqus")
+#: Marks of parts that may hold elements named article which are none.
+_NO_ARTICLE = ("comment", "repl", "related", "recommend", "promo", "disqus")
 _HEADERS = {"header", "topbar", "banner"}
 _MAIN = {"article", "main"}
 
@@ -49,8 +53,8 @@ class Lines:
         self.main: list[bool] = []
         self.dropped: list[bool] = []
         self._words: list[str] = []
-        #: Open elements: name, inside an article, dropped.
-        self._open: list[tuple[str, bool, bool]] = []
+        #: Open elements: name, inside an article, dropped, and whether no article begins inside.
+        self._open: list[tuple[str, bool, bool, bool]] = []
         at, end = 0, len(source)
         while at < end:
             m = _MARKUP.search(source, at)
@@ -83,7 +87,7 @@ class Lines:
         line = " ".join("".join(self._words).split())
         self._words = []
         if line:
-            _, main, dropped = self._open[-1] if self._open else ("", False, False)
+            _, main, dropped, _ = self._open[-1] if self._open else ("", False, False, False)
             self.text.append(line)
             self.main.append(main)
             self.dropped.append(dropped)
@@ -97,20 +101,26 @@ class Lines:
             return
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and self._open and self._open[-1][0] == name:
             self._open.pop()
-        _, main, dropped = self._open[-1] if self._open else ("", False, False)
+        _, main, dropped, closed = self._open[-1] if self._open else ("", False, False, False)
         marks: set[str] = set()
+        inside = main
+        if name in _MAIN and not inside and not closed:
+            dropped = False  # an element before the article was not ended
         if "=" in attributes or "hidden" in attributes:
             given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-            marks = set(re.split(r"[\s_-]+", " ".join(given.get(k, "") for k in ("class", "id", "role")).lower()))
+            marks = set(re.split(r"[\s_-]+", " ".join(given.get(k, "") for k in ("class", "id", "role")).lower())) - {""}
             dropped |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        inside = main
         main |= name in _MAIN or "main" in marks and name in ("div", "section") and "role" in attributes
-        dropped |= name in _DROPPED or (name not in ("body", "html") and name not in _MAIN and bool(marks & _MARKED)) or (name == "article" and bool(marks & {"comment", "reply", "related", "promo", "ad"}))
+        apart = any(m.startswith(_NO_ARTICLE) for m in marks)
+        if name in _MAIN:
+            dropped |= apart or "ad" in marks
+        elif name not in ("body", "html"):
+            dropped |= name in _DROPPED or bool(marks & _MARKED) or any(m.startswith(_MARKED_STARTS) for m in marks)
         dropped |= not inside and (name == "header" or bool(marks & _HEADERS))
         if name in _BLOCKS or dropped:  # inline elements leave no trace unless they are dropped
             if dropped and name not in _BLOCKS:
                 self._flush()
-            self._open.append((name, main, dropped))
+            self._open.append((name, main, dropped, closed or apart or name == "aside"))
 
     def _close(self, name: str) -> None:
         if name in _BLOCKS:

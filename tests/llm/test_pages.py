@@ -13,6 +13,15 @@ def test_article_of_a_marked_page():
     assert lines.chosen(set(range(99))) == ["Head é", "One two three four", "Five", "six <x>", "a", "b"]
 
 
+def test_broken_markup_and_parts_that_are_no_article():
+    text = lambda source: html_text.Lines(source).chosen(set())
+    assert text("<div class='ad'>Buy<article><p>Kept<p>too") == ["Kept", "too"]
+    assert text("<article><p>Story</p><div class='commentlist'><article><p>first!</p></article></div></article>") == ["Story"]
+    assert text("<main><header><h1>Title</h1></header><p>a<div id='cookie-notice'>ok?</div><p>b</main><p>after") == ["Title", "a", "b"]
+    assert text("plain &amp; simple") == ["plain & simple"] and text("<p>a < b</p>") == ["a < b"] and text("<p title='x>y'>z") == ["z"]
+    assert text("<nav>menu</nav><p>one<aside>no</aside>") == ["one"] and text("<script>never ends <p>x") == []
+
+
 def lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
