@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import diff, gc, rank, temporal, threads
+from ..operators import classify, diff, gc, rank, temporal, threads
 from ..sources import tables
 from .events import contentions
 from .registry import CON, EV, query
@@ -180,3 +180,74 @@ def gc_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = F.count_if(F.col("kind") == "signup").over(Window.partitionBy("tid").orderBy("seq"))
     rows = ev.select(F.col("tid").cast("string").alias("capture"), "seq", "rel_ms", kind.alias("kind"), opened.alias("gc_id"), (F.col("k") % 3).cast("int").alias("generation"), F.lit(1).alias("reason"), F.lit(0).alias("type"), F.floor(F.col("value") * 100).alias("value"))
     return gc.correlate(rows)
+
+
+@query("J15_sample_kinds", "WITH rg AS (SELECT p_partkey * 100 AS s, p_partkey * 100 + p_size * 4 AS e FROM part WHERE p_partkey % 5 <> 0), lf AS (SELECT l_partkey * 100 + CAST(l_quantity AS BIGINT) * 3 AS address FROM lineitem), m AS (SELECT DISTINCT address FROM lf WHERE EXISTS (SELECT 1 FROM rg WHERE address >= s AND address < e)) SELECT CASE WHEN m.address IS NULL THEN 'External' ELSE 'Managed' END AS kind, count(*) AS n FROM lf LEFT JOIN m ON lf.address = m.address GROUP BY 1")
+def sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.read(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
+    ranges = part.select((F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 4).alias("end"))
+    leaves = tables.read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint") * 3).alias("address")).agg(F.count("*").alias("n"))
+    # each distinct leaf is looked up once
+    managed = temporal.range_join(leaves.select("address"), ranges, "address", "start", "end", 256).select("address").distinct().withColumn("kind", F.lit("Managed"))
+    return leaves.join(managed, "address", "left").groupBy(F.coalesce("kind", F.lit("External")).alias("kind")).agg(F.sum("n").alias("n"))
+
+
+@query("P11_io_leaves", "SELECT p_partkey, (p_name LIKE 'a%' OR p_name LIKE 'b%' OR p_type = 'PROMO') AS io FROM part")
+def io_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.read(spark, sf_dir, "part")
+    return part.select("p_partkey", (classify.any_prefix(F.col("p_name"), ("a", "b")) | (F.col("p_type") == "PROMO")).alias("io"))
+
+
+@query("P12_frame_markers", "SELECT s_suppkey, (n_name LIKE 'A%' OR r_name LIKE 'A%' OR r_name LIKE 'EU%') AS marked FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def frame_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n, r = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    place = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey))
+    named = s.join(place, s.s_nationkey == F.col("n_nationkey"))
+    return named.select("s_suppkey", F.exists(F.array("n_name", "r_name"), lambda f: classify.any_prefix(f, ("A", "EU"))).alias("marked"))
+
+
+@query("P15_method_names", "SELECT p_partkey, concat('Shop.', replace(p_brand, '#', '_')) AS name FROM part")
+def method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.read(spark, sf_dir, "part")
+    raw = F.concat(F.lit("[shop] void Shop::"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")), F.lit("(int32,string)[Tier1]"))
+    return part.select("p_partkey", names.perf_map_name(raw).alias("name"))
+
+
+@query("G6_expand_node", "SELECT concat('P', l_partkey) AS node, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 1)) GROUP BY 1")
+def expand_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customer 1 reaches in two steps: the expansion of one node in a viewer."""
+    from .structure import _heap_graph
+
+    _, edges = _heap_graph(spark, sf_dir)
+    first = edges.filter("src = 'C1'").select(F.col("dst").alias("via"))
+    return edges.join(first, edges.src == first.via).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+
+
+@query("S7_thread_table", "WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'error')) SELECT user_id AS tid, CAST(event_id AS BIGINT) AS defined_by FROM e WHERE n = 1 AND event_type = 'signup'")
+def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads whose last definition (signup) no removal (error) follows."""
+    ev = tables.trace_events(spark, sf_dir).filter(F.col("kind").isin("signup", "error"))
+    last = ev.groupBy("tid").agg(F.max(F.struct("seq", "kind")).alias("x"))
+    return last.filter("x.kind = 'signup'").select("tid", F.col("x.seq").alias("defined_by"))
+
+
+@query("S8_label_overrides", f"WITH {EV} SELECT seq, coalesce(CASE WHEN k % 3 = 0 THEN k END, c_nationkey) AS level FROM ev LEFT JOIN customer ON tid = c_custkey")
+def label_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label of the event goes before its metadata."""
+    ev = tables.trace_events(spark, sf_dir)
+    meta = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tid"), F.col("c_nationkey").cast("bigint").alias("meta"))
+    return ev.join(meta, "tid", "left").select("seq", F.coalesce(F.when(F.col("k") % 3 == 0, F.col("k")), "meta").alias("level"))
+
+
+@query("S11_dynamic_fields", "SELECT event_id AS seq, json_extract_string(props, '$.k') AS k, length(props) AS size FROM events")
+def dynamic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self-describing fields stay a VARIANT until a query names one."""
+    raw = tables.read(spark, sf_dir, "events")
+    return raw.select(F.col("event_id").alias("seq"), F.variant_get(F.parse_json("props"), "$.k", "string").alias("k"), F.length("props").cast("bigint").alias("size"))
+
+
+@query("S14_distinct_roots", "SELECT category, target, count(*) OVER (PARTITION BY category) AS fan_out FROM (SELECT DISTINCT c_mktsegment AS category, c_nationkey AS target FROM customer)")
+def distinct_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = tables.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("target")).distinct()
+    sizes = roots.groupBy("category").agg(F.count("*").alias("fan_out"))
+    return roots.join(F.broadcast(sizes), "category")

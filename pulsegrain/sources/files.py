@@ -46,3 +46,11 @@ def census_report(census: DataFrame, rows: int = 200) -> DataFrame:
     """Lines of a text report, the largest types first."""
     top = census.orderBy(F.desc("retained"), "type").limit(rows)
     return top.select(F.format_string("%12d %12d %8d  %s", "retained", "exclusive", "n", "type").alias("line"))
+
+
+LIVE = "pid long, seq long, kind string, gc_id long, value double, ts timestamp"
+
+
+def stream_live(spark: SparkSession, path: str) -> DataFrame:
+    """Events that a listener drops as JSON lines, as a stream in the form of streaming.live."""
+    return spark.readStream.schema(LIVE).json(path)
