@@ -19,19 +19,26 @@ def pair_start_stop(events: DataFrame, keys: list[str], order: str, is_start: Co
     return paired.filter(~F.col("__start") & F.col("__after_start")).select(*keys, *before, *[F.col(c).alias(f"stop_{c}") for c in carry])
 
 
+def _in_cells(spans: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Intervals cut at the borders of time cells and merged within each, all cells in parallel."""
+    first, last = F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)
+    cut = spans.withColumn("__cell", F.explode(F.sequence(first, last)))
+    cut = cut.withColumns({"start": F.greatest(F.col("start"), F.col("__cell") * cell), "end": F.least(F.col("end"), (F.col("__cell") + 1) * cell)})
+    return _merge(cut.filter("end > start"), [*keys, "__cell"]).drop("__cell")
+
+
+def _spans(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    return spans.filter(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
+
+
 def merge_intervals(spans: DataFrame, keys: list[str], start: str, end: str, cell: float | None = None) -> DataFrame:
     """Merged intervals of each key (start, end); empty ones are dropped, touching ones joined.
 
-    With `cell` the time axis is first cut into cells in which intervals are merged in parallel,
-    so a single key spreads over many tasks and only what is left in each cell is ordered again.
+    With `cell` intervals are merged in cells of time first, and only what is left of them is
+    ordered by key.
     """
-    spans = spans.filter(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
-    if cell is not None:
-        first, last = F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)
-        cut = spans.withColumn("__cell", F.explode(F.sequence(first, last)))
-        cut = cut.withColumns({"start": F.greatest(F.col("start"), F.col("__cell") * cell), "end": F.least(F.col("end"), (F.col("__cell") + 1) * cell)})
-        spans = _merge(cut.filter("end > start"), [*keys, "__cell"]).drop("__cell")
-    return _merge(spans, keys)
+    found = _spans(spans, keys, start, end)
+    return _merge(found if cell is None else _in_cells(found, keys, cell), keys)
 
 
 def _merge(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,11 +50,23 @@ def _merge(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def union_length(spans: DataFrame, keys: list[str], start: str, end: str, cell: float | None = None) -> DataFrame:
-    """Length of the union of the intervals of each key."""
-    merged = merge_intervals(spans, keys, start, end, cell)
+    """Length of the union of the intervals of each key.
+
+    With `cell` the lengths of cells of time are summed, so a single key spreads over many tasks.
+    """
+    found = _spans(spans, keys, start, end)
+    merged = _merge(found, keys) if cell is None else _in_cells(found, keys, cell)
     return merged.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
+def within_windows(samples: DataFrame, marks: DataFrame, time: str, mark_time: str, width: float) -> DataFrame:
+    """Samples in [t - width, t] of some mark, each once: a semi-join on bins as wide as the window."""
+    near = marks.select(F.col(mark_time).alias("__at"), F.explode(F.array(F.floor(F.col(mark_time) / width), F.floor(F.col(mark_time) / width) - 1)).alias("__near"))
+    binned = samples.withColumn("__bin", F.floor(F.col(time) / width))
+    inside = (F.col("__bin") == F.col("__near")) & (F.col(time) >= F.col("__at") - width) & (F.col(time) <= F.col("__at"))
+    return binned.join(near, inside, "left_semi").drop("__bin")
+
+
 def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tolerance: float, by: list[str], left_key: str, right_order: str, columns: list[str]) -> DataFrame:
     """For each left row and each key of `by` on the right, the nearest row not after it.
 

@@ -362,11 +362,8 @@ def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J10_stall_window_samples", f"WITH {EV}, t AS (SELECT rel_ms AS at_ms FROM ev WHERE kind = 'error' AND k < 30) SELECT seq, tid FROM ev WHERE kind = 'view' AND EXISTS (SELECT 1 FROM t WHERE ev.rel_ms >= at_ms - 600000 AND ev.rel_ms <= at_ms)")
 def stall_window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tables.trace_events(spark, sf_dir)
-    wide = 600_000.0
-    stalls = ev.filter("kind = 'error' AND k < 30").select(F.explode(F.array(F.floor(F.col("rel_ms") / wide), F.floor(F.col("rel_ms") / wide) - 1)).alias("bin"), F.col("rel_ms").alias("at"))
-    samples = ev.filter("kind = 'view'").withColumn("bin", F.floor(F.col("rel_ms") / wide))
-    inside = (samples.bin == stalls.bin) & (samples.rel_ms >= stalls["at"] - wide) & (samples.rel_ms <= stalls["at"])
-    return samples.join(stalls, inside, "left_semi").select("seq", "tid")
+    stalls = ev.filter("kind = 'error' AND k < 30").select(F.col("rel_ms").alias("at_ms"))
+    return temporal.within_windows(ev.filter("kind = 'view'"), stalls, "rel_ms", "at_ms", 600_000.0).select("seq", "tid")
 
 
 @query("J14_thread_process", f"WITH {EV} SELECT c_nationkey AS pid, count(*) AS n FROM ev JOIN customer ON tid = c_custkey GROUP BY 1")

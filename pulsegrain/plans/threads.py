@@ -64,13 +64,9 @@ def adjustment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A21_stall_leaves", f"WITH {EV}, t AS (SELECT rel_ms AS at_ms FROM ev WHERE kind = 'error' AND k < 60), s AS (SELECT k FROM ev WHERE kind = 'view' AND k % 9 <> 0 AND EXISTS (SELECT 1 FROM t WHERE ev.rel_ms >= at_ms - 600000 AND ev.rel_ms <= at_ms)), g AS (SELECT k % 2 = 0 AS benign, k AS leaf, count(*) AS n FROM s GROUP BY ALL) SELECT benign, leaf, n FROM g QUALIFY row_number() OVER (PARTITION BY benign ORDER BY n DESC, leaf) <= 40")
 def stall_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, wide = tables.trace_events(spark, sf_dir), 600_000.0
-    stalls = ev.filter("kind = 'error' AND k < 60").select(F.col("rel_ms").alias("end_ms"), (F.col("rel_ms") - wide).alias("start_ms"), F.lit(1).alias("one"))
-    # merged windows count a sample once, however many stalls are near
-    merged = temporal.merge_intervals(stalls, ["one"], "start_ms", "end_ms", cell=86_400_000.0)
-    bins = merged.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor(F.col("end") / wide))))
-    samples = ev.filter("kind = 'view' AND k % 9 <> 0").withColumn("bin", F.floor(F.col("rel_ms") / wide))
-    inside = samples.join(bins, (samples.bin == bins.bin) & (samples.rel_ms >= bins.start) & (samples.rel_ms <= bins.end), "left_semi")
+    ev = tables.trace_events(spark, sf_dir)
+    stalls = ev.filter("kind = 'error' AND k < 60").select(F.col("rel_ms").alias("at_ms"))
+    inside = temporal.within_windows(ev.filter("kind = 'view' AND k % 9 <> 0"), stalls, "rel_ms", "at_ms", 600_000.0)
     leaves = inside.groupBy((F.col("k") % 2 == 0).alias("benign"), F.col("k").alias("leaf")).agg(F.count("*").alias("n"))
     return rank.per_group(leaves, ["benign"], [F.desc("n"), F.col("leaf")], 40).drop("rank")
 
