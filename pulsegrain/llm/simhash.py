@@ -11,7 +11,7 @@ among the first two; the whole chain is checked before the full Hamming distance
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ MAX_BITS = 4
 SEGMENTS, WIDTH = 16, 4
 #: Which two of the four bytes behind the exact 12 bits are shared.
 BYTE_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))
+#: Shingles whose hashes are held at once.
+PART = 65536
 #: Members of a key that one task compares at once; larger keys are split into blocks.
 BLOCK = 4096
 
@@ -39,10 +41,13 @@ def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
         return 0
     k = min(words_in_shingle, len(words))
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(bits), bitorder="little").view(np.uint64)[0])
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
+    set_bits, n = np.zeros(64, dtype=np.int64), 0
+    while len(part := np.fromiter(islice(hashes, PART), dtype=np.uint64)):  # long texts go part by part
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
