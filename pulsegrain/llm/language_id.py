@@ -28,7 +28,11 @@ GRAMS = (1, 2, 3)
 FIRST_ROUNDS, ROUNDS, SETTLED = 3, 12, 0.999
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def grams(word: str) -> list[int]:
@@ -147,7 +151,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
         look = _WORDS[1].__getitem__
         for batch, texts in text_batches(batches, "__text"):
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            at = [i for i, t in enumerate(texts) if known.languages and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if known.languages and has_letter(t)]
             for some in _by_size(at, texts):
                 words = [texts[i].split() for i in some]
                 lengths = np.array([len(w) for w in words])

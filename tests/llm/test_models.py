@@ -41,7 +41,7 @@ def test_patterns_discover_what_no_base_pattern_knows(spark):
 
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    extra = spark.createDataFrame([(10**9, None, "en"), (10**9 + 1, "12 345 !!", None), (None, "", "de"), (10**9 + 2, "x" * 50_000, None)], "doc_id long, text string, lang string")
+    extra = spark.createDataFrame([(10**9, None, "en"), (10**9 + 1, "12 345² Ⅷ !!", None), (None, "", "de"), (10**9 + 2, "x" * 50_000, None)], "doc_id long, text string, lang string")
     got = language_id.identify(docs.unionByName(extra)).join(docs, "doc_id", "left").collect()
     held = [r for r in got if r.held_out and r.lang]
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
