@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, text_batches
@@ -50,15 +50,24 @@ def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row of docs, from its whole text; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha: bool = False) -> DataFrame:
+    """(id, fp) for each row of docs, from its whole text; fp is the fingerprint as a signed long.
+
+    With sha, also column sha: the hash that tells texts of one id apart.
+    """
+    more = ["sha"] if sha else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
             fps = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), *map(batch.column, more)], names=["id", "fp", *more])
+
+    kept = [_sha(text_col).alias(c) for c in more]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *kept).mapInArrow(run, ", ".join(["id long, fp long", *(f"{c} string" for c in more)]))
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+def _sha(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
 
 def _keys(distinct: DataFrame) -> DataFrame:
@@ -163,20 +172,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Repeated rows each come back; an empty table gives an empty result.
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("least_id")))
-    labels = components(fingerprint_links(distinct))
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = _named(fps, F.col("id"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _named(fps: DataFrame, row: Column) -> DataFrame:
+    """(fp, least, component) for each different fingerprint; least is its smallest value of row."""
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min(row).alias("least")))
+    labels = components(fingerprint_links(distinct))
+    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one whose id is the component_id.
+    """docs with one row of each component: the one with the smallest id, of these the smallest hash of the text.
 
-    All columns of docs come back. Rows that share that id (repeated rows) are reduced to one.
+    All columns of docs come back. Null ids come last. Rows with null or equal ids are told apart
+    by their texts; repeated rows (same id, same text) are reduced to one.
     """
-    keep = near_groups(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    stays = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__id"]), "left_semi")
-    repeated = docs.groupBy(id_col).count().filter("count > 1")
-    return stays if repeated.isEmpty() else stays.dropDuplicates([id_col])
+    fps = cut_lineage(fingerprints(docs, id_col, text_col, sha=True))
+    named = _named(fps, F.struct(F.col("id").isNull().alias("no_id"), "id", "sha"))
+    keep = named.groupBy("component").agg(F.min("least").alias("least"))
+    keep = cut_lineage(keep.select(F.col("least.id").alias("kept_id"), F.col("least.sha").alias("kept_sha")))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": _sha(text_col)})
+    same = keyed["__id"].eqNullSafe(keep["kept_id"]) & (keyed["__sha"] == keep["kept_sha"])
+    stays = keyed.join(keep, same, "left_semi")
+    if not fps.groupBy("id", "sha").count().filter("count > 1").isEmpty():
+        stays = stays.dropDuplicates(["__id", "__sha"])
+    return stays.drop("__id", "__sha")

@@ -119,3 +119,14 @@ def test_drop_near_copies_keeps_one_of_each(spark):
     kept = simhash.drop_near_copies(frame(spark, near_texts()))
     groups = simhash.near_groups(frame(spark, near_texts())).select("component_id").distinct().count()
     assert kept.count() == groups
+
+
+def test_drop_near_copies_tells_null_and_equal_ids_apart(spark):
+    rng = random.Random(9)
+    text = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(200)) for _ in range(6)]
+    rows = [(1, text[0]), (2, text[1])]
+    rows += [(None, text[0]), (None, text[2]), (None, text[3]), (None, text[3] + " "), (None, text[4]), (None, text[4])]  # a copy of 1, and three texts
+    rows += [(7, text[1]), (7, text[5])]  # a copy of 2, and a text of its own
+    for order in (rows, rows[::-1]):
+        kept = sorted(((r.doc_id, r.text.strip()) for r in simhash.drop_near_copies(frame(spark, order)).collect()), key=str)
+        assert kept == sorted([(1, text[0]), (2, text[1]), (None, text[2]), (None, text[3]), (None, text[4]), (7, text[5])], key=str)
