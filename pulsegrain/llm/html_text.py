@@ -132,10 +132,15 @@ class Lines:
                 return
 
     def chosen(self, shared: set[int]) -> list[str]:
-        """The lines of the article; shared has the places of lines that the paired page has too."""
+        """The lines of the article; shared has the places of lines that the paired page has too.
+
+        Where the paired page has every line, none of them can be told from the template: all stay.
+        """
         if any(m and not d for m, d in zip(self.main, self.dropped, strict=True)):
             return [t for t, m, d in zip(self.text, self.main, self.dropped, strict=True) if m and not d]
-        return [t for k, (t, d) in enumerate(zip(self.text, self.dropped, strict=True)) if not d and k not in shared]
+        whole = [k for k, d in enumerate(self.dropped) if not d]
+        own = [k for k in whole if k not in shared]
+        return [self.text[k] for k in own or whole]
 
 
 def common_places(a: list[int], b: list[int]) -> list[int]:
@@ -214,12 +219,14 @@ def _near(a: str, b: str) -> int:
     return n
 
 
-def _shared(own: tuple, before: tuple | None, after: tuple | None) -> list[int]:
-    """Shared places of a page (host, path, lines) with the nearer of its neighbours."""
-    same = [p for p in (before, after) if p is not None and p[0] == own[0]]
-    if not same:
-        return []
-    return common_places(own[2], max(same, key=lambda p: _near(own[1], p[1]))[2])
+def _nearer(path: str, before: tuple | None, after: tuple | None) -> tuple | None:
+    """The one of two pages (path, ...) whose path is nearer."""
+    return max((p for p in (before, after) if p is not None), key=lambda p: _near(path, p[0]), default=None)
+
+
+def _sides(lines: list[int], before: tuple | None, after: tuple | None) -> list[tuple | None]:
+    """(path, shared places) for each of two neighbours (host, path, lines) of a run."""
+    return [p and (p[1], common_places(lines, p[2])) for p in (before, after)]
 
 
 def _page_keys(pages: DataFrame) -> DataFrame:
@@ -239,75 +246,106 @@ def _page_keys(pages: DataFrame) -> DataFrame:
 
 
 _SORTED = ("host", "path", "page_id", "url", "sig")
-_EDGES = "page_id long, url string, sig long, has_main boolean, shared array<int>, pid int, nth long, host string, path string, lines array<long>, in_path string, in_lines array<long>"
+_PAIRED = "page_id long, url string, sig long, has_main boolean, path string, shared array<int>, pid int, nth int, only boolean, host string, last_path string, lines array<long>, in_path string, in_lines array<long>"
+_EDGES = "pid int, nth int, before_path string, before_shared array<int>, after_path string, after_shared array<int>"
+_SHARED = "page_id long, url string, sig long, has_main boolean, shared array<int>"
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
     """(page_id, url, sig, has_main, shared): places of the lines that the nearest page has too.
 
+    The nearest page is the nearest one of the host with other lines: pages with equal lines that
+    follow each other are one run, and the pages beside the run are the neighbours of them all.
     Pages are range-partitioned by host and path, so a large host spreads over many tasks. The
-    first and last page of a task wait for the neighbouring task's; those are two rows for each
-    task, whatever the size of the input.
+    first and last run of a task wait for the neighbouring task's; each of them is one row with
+    its lines, so that is two rows for each task, whatever the size of the input.
     """
     keys = cut_lineage(_page_keys(pages))
     ranged = keys.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED)
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, nth = TaskContext.get().partitionId(), 0
-        before, row = None, None
-
-        def out(r, left, right, edge):
-            own = (r.host, r.path, list(r.lines))
-            inner = left or right
-            same = inner is not None and inner[0] == own[0]
-            return {
-                "page_id": r.page_id, "url": r.url, "sig": r.sig, "has_main": r.has_main, "shared": None if edge else _shared(own, left, right),
-                "pid": pid, "nth": nth, "host": r.host, "path": r.path, "lines": own[2] if edge else None,
-                "in_path": inner[1] if edge and same else None, "in_lines": inner[2] if edge and same else None,
-            }
+        pid = TaskContext.get().partitionId()
+        before, run, rows, closed = None, None, [], 0  # run is (host, first path, lines)
+
+        def close(after: tuple | None, last: bool) -> list[dict]:
+            left, right = (p if p and p[0] == run[0] else None for p in (before, after))
+            edge = last or not closed
+            nth = -1 if not edge else 0 if not closed else 1
+            blank = {"page_id": None, "url": None, "sig": 0, "has_main": False, "path": run[1], "shared": None, "pid": pid, "nth": nth, "only": last and not closed, "host": None, "last_path": None, "lines": None, "in_path": None, "in_lines": None}
+            sides = None if edge else _sides(run[2], left, right)
+            made = []
+            for r in rows:
+                near = None if edge else _nearer(r["path"], *sides)
+                made.append(blank | r | {"shared": None if edge else near[1] if near else []})
+            if edge:
+                inner = left or right
+                made.append(blank | {"host": run[0], "last_path": rows[-1]["path"], "lines": run[2], "in_path": inner and inner[1], "in_lines": inner and inner[2]})
+            return made
 
         for frame in frames:
             made = []
             for new in frame.itertuples(index=False):
-                after = (new.host, new.path, list(new.lines))
-                if row is not None:
-                    made.append(out(row, before, after, nth == 0))
-                    nth += 1
-                    before = (row.host, row.path, list(row.lines))
-                row = new
+                lines = list(map(int, new.lines))
+                if run is None or (new.host, lines) != (run[0], run[2]):
+                    if run is not None:
+                        made += close((new.host, new.path, lines), False)
+                        closed += 1
+                        before = (run[0], rows[-1]["path"], run[2])
+                    run, rows = (new.host, new.path, lines), []
+                rows.append({"page_id": new.page_id, "url": new.url, "sig": new.sig, "has_main": new.has_main, "path": new.path})
             if made:
                 yield pd.DataFrame(made).astype({"page_id": "Int64"})
-        if row is not None:
-            yield pd.DataFrame([out(row, before, None, True)]).astype({"page_id": "Int64"})
+        if run is not None:
+            yield pd.DataFrame(close(None, True)).astype({"page_id": "Int64"})
 
-    paired = cut_lineage(ranged.mapInPandas(pair, _EDGES))
+    paired = cut_lineage(ranged.mapInPandas(pair, _PAIRED))
 
     def join_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = [r for f in frames for r in f.itertuples(index=False)]
+        lines = [list(map(int, r.lines)) for r in every]
+        inner = [None if r.in_lines is None else (r.host, r.in_path, list(map(int, r.in_lines))) for r in every]
+        before: list[tuple | None] = [None] * len(every)
+        after: list[tuple | None] = [None] * len(every)
+
+        def beyond(k: int, j: int, found: list[tuple | None], path: str) -> tuple | None:
+            """The neighbour of run k on the side where run j of another task is."""
+            if not 0 <= j < len(every) or every[j].host != every[k].host:
+                return None
+            return found[j] if lines[j] == lines[k] else (every[j].host, getattr(every[j], path), lines[j])
+
+        for k, r in enumerate(every):
+            before[k] = inner[k] if r.nth == 1 else beyond(k, k - 1, before, "last_path")
+        for k, r in reversed(list(enumerate(every))):
+            after[k] = inner[k] if r.nth == 0 and not r.only else beyond(k, k + 1, after, "path")
         made = []
         for k, r in enumerate(every):
-            own = (r.host, r.path, list(r.lines))
-            inner = None if r.in_lines is None else (r.host, r.in_path, list(r.in_lines))
-            around = [every[j] for j in (k - 1, k + 1) if 0 <= j < len(every) and every[j].pid != r.pid]
-            outer = [(x.host, x.path, list(x.lines)) for x in around]
-            options = [p for p in [*outer[:1], inner, *outer[1:]] if p is not None and p[0] == own[0]]
-            best = max(options, key=lambda p: _near(own[1], p[1]), default=None)
-            made.append({"page_id": r.page_id, "url": r.url, "sig": r.sig, "has_main": r.has_main, "shared": common_places(own[2], best[2]) if best else []})
+            (x, shared_x), (y, shared_y) = (p or (None, None) for p in _sides(lines[k], before[k], after[k]))
+            made.append({"pid": r.pid, "nth": r.nth, "before_path": x, "before_shared": shared_x, "after_path": y, "after_shared": shared_y})
         if made:
-            yield pd.DataFrame(made).astype({"page_id": "Int64"})
+            yield pd.DataFrame(made)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for r in frame.itertuples(index=False):
+                sides = (None if p is None else (p, s) for p, s in ((r.before_path, r.before_shared), (r.after_path, r.after_shared)))
+                near = _nearer(r.path, *sides)
+                made.append({"page_id": r.page_id, "url": r.url, "sig": r.sig, "has_main": r.has_main, "shared": near[1] if near else []})
+            if made:
+                yield pd.DataFrame(made).astype({"page_id": "Int64"})
 
-    columns = ("page_id", "url", "sig", "has_main", "shared")
-    edges = paired.filter("shared IS NULL").coalesce(1).sortWithinPartitions("pid", "nth")
-    edges = edges.mapInPandas(join_edges, "page_id long, url string, sig long, has_main boolean, shared array<int>")
-    return paired.filter("shared IS NOT NULL").select(*columns).unionByName(edges)
+    edges = paired.filter("lines IS NOT NULL").coalesce(1).sortWithinPartitions("pid", "nth").mapInPandas(join_edges, _EDGES)
+    rows = paired.filter("lines IS NULL").select("page_id", "url", "sig", "has_main", "path", "shared", "pid", "nth")
+    waiting = rows.filter("nth >= 0").join(F.broadcast(edges), ["pid", "nth"]).drop("pid", "nth", "shared")
+    return rows.filter("nth < 0").select("page_id", "url", "sig", "has_main", "shared").unionByName(waiting.mapInPandas(choose, _SHARED))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for each row of pages.
 
     Null and empty pages give an empty text. Pages with null or equal ids and urls are told apart
-    by their source; repeated rows each come back with the same text. A page that is alone on its
-    host shares no line. An empty table gives an empty result; other columns are ignored.
+    by their source; repeated rows each come back with the same text. Copies of a page are never its
+    partner. A page that is alone on its host, but for copies, shares no line. An empty table gives an empty result; other columns are ignored.
     """
     source = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), source.alias("html"), F.xxhash64(source).alias("sig"))

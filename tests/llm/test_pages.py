@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from pulsegrain.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -59,3 +61,42 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert by_id[100] == "Menu\nStory 7 begins\nIt ends 7\nAll rights"  # alone on its host
     assert by_id[101] == "" and by_id[None] == "" and by_id[102].startswith("Head é\n")
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_partners(spark):
+    def page(k, end="All rights"):
+        return f"<body><p>Menu</p><p>Story {k} begins</p><p>It ends {k}</p><p>{end}</p></body>"
+
+    # copies beside their page, under another query string, in many tasks, and alone on their host
+    rows = [(k, f"https://a.example/x/{k:03d}", page(k)) for k in range(20)] + [(k, "https://a.example/x/004?again", page(4)) for k in range(100, 103)]
+    rows += [(200 + k, f"https://a.example/x/007/{k:03d}", page(7)) for k in range(300)] + [(4, "https://a.example/x/004", page(4))] * 2
+    rows += [(600 + k, "https://b.example/", page(1)) for k in range(3)] + [(700, "https://c.example/1", page(1)), (701, "https://c.example/2", page(1).replace("</body>", "<p>More</p></body>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = html_text.extract_text(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if "//a.example" in r.url:
+            k = int(r.url[20:23])
+            assert r.text == f"Story {k} begins\nIt ends {k}", r
+        else:
+            assert r.text == ("More" if r.page_id == 701 else "Menu\nStory 1 begins\nIt ends 1\nAll rights"), r
+
+
+def test_runs_meet_the_nearest_page_with_other_lines(spark):
+    rng = random.Random(3)
+    kinds = [f"<p>Menu</p><p>only {k}</p><p>{'odd' if k % 2 else 'even'}</p><p>tail {k % 3}</p>" for k in range(5)]
+    rows = [(k, f"https://{rng.choice('ab')}.example/{''.join(rng.choice('xy') for _ in range(rng.randint(0, 5)))}", kinds[min(4, int(rng.expovariate(0.8)))]) for k in range(120)]
+    rows += [(1000 + k, f"https://h.example/{k:04d}", kinds[2 if 3 <= k < 500 else k % 2]) for k in range(510)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = [(i, u[8], u.split(".example")[1], html_text.Lines(h).text) for i, u, h in rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many tasks
+    try:
+        got = html_text.shared_lines(df.withColumn("sig", F.xxhash64("html"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {r.page_id: r.shared for r in got}
+    assert len(got) == len(rows)
+    for i, host, path, lines in pages:
+        others = [(html_text._near(path, p), t) for _, h, p, t in pages if h == host and t != lines]
+        best = max(n for n, _ in others)
+        assert found[i] in [html_text.common_places(lines, t) for n, t in others if n == best]
