@@ -2,8 +2,8 @@
 
 Words are hashed to embeddings; filters of several widths run over them and the largest response
 of each filter in the text goes to a logistic layer. The score is mapped so that 0.3 is the cut
-with the best F1 on the calibration part of the labelled rows; cuts by language are calibrated
-there as well.
+with the best F1 on all labelled rows that the classifier was not trained on, counted by the sizes
+of the classes; cuts by language are calibrated there as well.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, text_batches
+from .common import cut_lineage, remainder_of_id, text_batches
 from .word_cache import WordCache
 
 #: Labelled rows of each class that the model is fitted on, at most (in expectation).
@@ -32,6 +32,8 @@ STEMS = (0, 4, 6)
 #: Words of a text that are looked at together.
 PART = 65536
 CUT = 0.3
+#: Bins of the log-odds of scores, to one unit.
+BINS = 64
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -96,28 +98,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def calibrated(p: float | np.ndarray, cut: float) -> np.ndarray:
+def calibrated(p: Column, cut: float) -> Column:
     """Maps [0, cut] to [0, CUT] and [cut, 1] to [CUT, 1], so order stays."""
-    return np.where(p >= cut, CUT + (p - cut) / max(1e-9, 1 - cut) * (1 - CUT), np.minimum(p / max(1e-9, cut) * CUT, np.nextafter(CUT, 0)))
+    below = F.least(p / max(1e-9, cut) * CUT, F.lit(float(np.nextafter(CUT, 0))))
+    return F.when(p >= cut, CUT + (p - cut) / max(1e-9, 1 - cut) * (1 - CUT)).otherwise(below)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, label_col: str, per_class: int) -> pd.DataFrame:
-    known = labels.filter(learn & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
+def _known(labels: DataFrame, learn: Column, id_col: str, label_col: str) -> DataFrame:
+    return labels.filter(learn & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+
+
+def _sig(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int) -> pd.DataFrame:
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
     picked = F.broadcast(known.filter(draw < share))  # some 2 * per_class rows
-    rows = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(picked, id_col)
+    rows = docs.select(id_col, F.col(text_col).alias("text"), _sig(text_col).alias("sig")).join(picked, id_col)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
             ids = pa.array([word_ids(t).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, batch.column("label"), batch.column("lang")], names=["id", "ids", "label", "lang"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, batch.column("label"), batch.column("sig")], names=["id", "ids", "label", "sig"])
 
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), "text", F.col("label").cast("int"), "lang")
-    found = rows.mapInArrow(numbered, "id string, ids binary, label int, lang string").toPandas()
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), "text", "label", "sig")
+    found = rows.mapInArrow(numbered, "id string, ids binary, label int, sig long").toPandas()
     return found.sort_values("id", kind="stable").drop_duplicates(["ids", "label"]).reset_index(drop=True)
 
 
@@ -194,53 +204,75 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: in
     return Model(taps, params["bias"], params["weights"], float(params["offset"][0]))
 
 
-def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, midway between the scores beside it; 0.5 if a class is missing."""
-    if not len(y) or y.min() == y.max():
+def best_cut(bins: pd.DataFrame) -> float:
+    """The cut with the best F1, midway between the scores beside it; 0.5 if a class is missing.
+
+    bins has label, bin, n (rows in the bin that were not trained on), low and high (their scores),
+    and size (all rows of the label): rows stand for those of their label that were trained on.
+    """
+    weight = bins["n"] * bins["size"] / bins.groupby("label")["n"].transform("sum").clip(lower=1)
+    by_bin = bins.assign(flagged=weight, hits=weight * bins["label"])[bins["n"] > 0].groupby("bin").agg({"flagged": "sum", "hits": "sum", "low": "min", "high": "max"}).sort_index(ascending=False)
+    flagged, hits = by_bin["flagged"].cumsum().to_numpy(), by_bin["hits"].cumsum().to_numpy()
+    if set(bins["label"][bins["n"] > 0]) != {0, 1}:
         return 0.5
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[order][:-1] == p[order][1:]] = -1  # no cut between equal scores
-    k = int(np.argmax(f1))
-    after = p[order][k + 1] if k + 1 < len(y) else 0.0
-    return float(np.clip((p[order][k] + after) / 2, 0.01, 0.99))
+    k = int(np.argmax(2 * hits / (flagged + hits[-1])))
+    after = by_bin["high"].iloc[k + 1] if k + 1 < len(by_bin) else 0.0
+    return float(np.clip((by_bin["low"].iloc[k] + after) / 2, 0.01, 0.99))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Trains on three quarters of a bounded sample of labelled rows and calibrates on the rest.
+def calibrate(model: Model, scored: DataFrame, trained: list[int]) -> None:
+    """Sets the cuts of model from scored: p, lang, label and sig (hash of the text) of all labelled rows.
 
-    Labels other than 0 and 1 are ignored; of repeated labels of an id the largest counts. Without
-    labels of both classes every score is below the cut.
+    A text counts once for each label. Only counts by label, language and bin of the score go to
+    the driver. trained has the hashes of the texts that the model knows.
     """
-    rows = _sample(docs, labels, learn, id_col, text_col, lang_col, label_col, per_class)
+    seen = F.broadcast(scored.sparkSession.createDataFrame([(x,) for x in trained], "sig long").distinct().withColumn("seen", F.lit(True)))
+    texts = scored.groupBy("sig", "label").agg(F.max("p").alias("p"), F.max("lang").alias("lang")).join(seen, "sig", "left")
+    odds = F.floor(F.log(F.col("p") / (1 - F.col("p"))) * BINS)
+    free = F.col("seen").isNull()
+    counts = texts.groupBy("label", "lang", odds.alias("bin")).agg(
+        F.count("*").alias("all"), F.count_if(free).alias("n"), F.min(F.when(free, F.col("p"))).alias("low"), F.max(F.when(free, F.col("p"))).alias("high")
+    )
+    bins = counts.toPandas()
+    sized = lambda part: best_cut(part.assign(size=part.groupby("label")["all"].transform("sum")))
+    model.cut = sized(bins)
+    model.by_language = {str(lang): sized(part) for lang, part in bins[bins["lang"].notna()].groupby("lang")}
+
+
+def _fit_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int) -> tuple[Model, list[int]]:
+    """A model trained on three quarters of a bounded sample, and the hashes of these texts."""
+    rows = _sample(docs, known, id_col, text_col, per_class)
     ids, y = [np.frombuffer(b, dtype=np.int32).reshape(-1, len(STEMS)) for b in rows["ids"]], rows["label"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         none = np.zeros((BUCKETS, sum(WIDTHS), FILTERS), np.float32)
-        return Model(none, np.zeros((len(WIDTHS), FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS), -5.0)
+        return Model(none, np.zeros((len(WIDTHS), FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS), -5.0), []
     held = np.array([zlib.crc32(f"{i}".encode()) % 16 >= 12 for i in rows["id"]])
     if held.all() or not held.any():
         held = np.arange(len(y)) % 4 == 3
-    model = train([x for x, h in zip(ids, held, strict=True) if not h], y[~held])
-    p = np.array([model.raw_ids(x) for x, h in zip(ids, held, strict=True) if h])
-    model.cut = best_cut(p, y[held])
-    langs = rows["lang"][held].to_numpy()
-    model.by_language = {lang: best_cut(p[langs == lang], y[held][langs == lang]) for lang in sorted({x for x in langs if x is not None})}
+    return train([x for x, h in zip(ids, held, strict=True) if not h], y[~held]), rows["sig"][~held].tolist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """Trains on three quarters of a bounded sample of labelled rows and calibrates on all others.
+
+    Labels other than 0 and 1 are ignored; of repeated labels of an id the largest counts. Without
+    labels of both classes every score is below the cut.
+    """
+    known = _known(labels, learn, id_col, label_col)
+    model, trained = _fit_sample(docs, known, id_col, text_col, per_class)
+    if trained:
+        keep = (F.col("label"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig"))
+        calibrate(model, _raw_scores(docs.join(known, id_col), model, text_col, keep), trained)
     return model
 
 
 _TAPS: tuple[int, WordCache] | None = None
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Columns `keep`, score, and predicted (score >= 0.3) for each row of docs.
-
-    With lang_col, also toxic_by_language: the cut calibrated for the row's language. Whole texts
-    are scored; null and empty ones too.
-    """
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    kept = docs.select(*keep, lang.alias("__lang"), F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if not f.name.startswith("__")]
+def _raw_scores(docs: DataFrame, model: Model, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
+    """Columns `keep` and p, the score before calibration, for each row of docs."""
+    kept = docs.select(*keep, F.col(text_col).alias("__text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times filters floats
 
     version = zlib.crc32(model.taps.tobytes())
@@ -252,13 +284,30 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
             _TAPS = (version, WordCache(known.word, size=150_000))
         for batch, texts in text_batches(batches, "__text"):
             raw = np.array([known.raw(t, _TAPS[1]) for t in texts])
-            final = calibrated(raw, known.cut)
-            cuts = np.array([known.by_language.get(x, known.cut) for x in batch.column("__lang").to_pylist()])
-            columns = [batch.column(k) for k in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(final), pa.array((final >= CUT).astype(np.int32)), pa.array((raw >= cuts).astype(np.int32))], names=[*batch.schema.names[:-2], "score", "predicted", "toxic_by_language"])
+            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(raw)], names=[*batch.schema.names[:-1], "p"])
+
+    return kept.mapInArrow(run, ", ".join([*fields, "p double"]))
+
+
+def _final(model: Model) -> tuple[Column, Column]:
+    final = calibrated(F.col("p"), model.cut)
+    return final.alias("score"), (final >= CUT).cast("int").alias("predicted")
 
-    out = kept.mapInArrow(run, ", ".join([*fields, "score double, predicted int, toxic_by_language int"]))
-    return out if lang_col else out.drop("toxic_by_language")
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Columns `keep`, score, and predicted (score >= 0.3) for each row of docs.
+
+    With lang_col, also toxic_by_language: the cut calibrated for the row's language. Whole texts
+    are scored; null and empty ones too.
+    """
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    raw = _raw_scores(docs, model, text_col, (*keep, lang.alias("__lang")))
+    cut = F.lit(model.cut)
+    for name, own in model.by_language.items():
+        cut = F.when(F.col("__lang") == name, own).otherwise(cut)
+    by_language = [(F.col("p") >= cut).cast("int").alias("toxic_by_language")] if lang_col else []
+    return raw.select(*[c for c in raw.columns if c not in ("__lang", "p")], *_final(model), *by_language)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -268,5 +317,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     there; repeated rows each come back; an empty table gives an empty result.
     """
     rest = remainder_of_id(F.col(id_col))
-    model = fit(docs, labels, rest != 2, id_col, text_col, lang_col)
-    return score(docs, model, text_col, None, (F.col(id_col).cast("long").alias("doc_id"), (rest == 2).alias("held_out")))
+    known = _known(labels, rest != 2, id_col, "toxic").withColumnRenamed(id_col, "known_id")
+    model, trained = _fit_sample(docs, known.withColumnRenamed("known_id", id_col), id_col, text_col, SAMPLE_PER_CLASS)
+    # scored once; the cut is chosen from the scores of the labelled rows
+    keep = (F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig"))
+    raw = cut_lineage(_raw_scores(docs, model, text_col, keep))
+    if trained:
+        calibrate(model, raw.join(known, raw["id"] == known["known_id"]), trained)
+    return raw.select(F.col("id").cast("long").alias("doc_id"), (remainder_of_id(F.col("id")) == 2).alias("held_out"), *_final(model))

@@ -90,6 +90,27 @@ def test_toxic_documents_are_found(spark):
     assert by_id[5002].predicted == 1 and by_id[5001].predicted == 0
 
 
+def test_the_cut_counts_classes_by_their_sizes(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    docs, labels = [], []
+    for k in range(3000):
+        toxic = k % 10 == 0
+        text = [rng.choice(words) for _ in range(20)]
+        # half of the toxic rows have a word of their own, the others one that a fifth of the clean rows have
+        text[rng.randrange(20)] = ("vile" if k % 20 else "mild") if toxic else "mild" if rng.random() < 0.2 else "word"
+        docs.append((k, " ".join(text), "en"))
+        labels.append((k, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for per_class in (150, 5000):  # a sample of equal classes, and all rows
+        model = toxicity.fit(df, lab, F.lit(True), per_class=per_class)
+        got = toxicity.score(df, model, "text", "lang", (F.col("doc_id"),)).collect()
+        for name in ("predicted", "toxic_by_language"):
+            assert sum(r[name] for r in got if r.doc_id % 10) < 0.05 * 2700, (per_class, name)
+            assert sum(r[name] for r in got if r.doc_id % 10 == 0) > 0.4 * 300, (per_class, name)
+
+
 def test_without_labels_nothing_is_toxic(spark):
     df = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
     assert toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).first().predicted == 0
