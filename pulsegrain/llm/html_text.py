@@ -1,10 +1,13 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are paired with the page whose URL path is nearest in sorted order. The text lines
-of the pair are aligned by their longest common subsequence, and lines that both have are template
-text. The lines' place in the markup decides with it: inside an article or main element shared
-lines stay, since two pages may carry the same sentence, and marked menus, adverts and the like go,
-since they may differ from page to page. Where a page marks no article, differencing decides.
+Pages of a host are paired with the page whose URL path is nearest in sorted order and whose lines
+are others. The text lines of the pair are aligned by their longest common subsequence, and lines
+that both have are template text. Lines of a block that looks like a menu, an advert or the like
+are aligned by the block's place in the markup, since the words of such blocks change from page to
+page. Markup only proposes these places; differencing disposes: over all pairs of a host it counts
+how often a place recurs in the nearest page, and a place that does not recur is text of the page
+after all. Lines of an article or main element that no place claims stay, since two pages may carry
+the same sentence.
 """
 
 from __future__ import annotations
@@ -12,12 +15,13 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, text_batches
@@ -30,31 +34,72 @@ _BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-_DROPPED = set("head nav footer aside form button select svg canvas audio video object dialog menu".split())
-#: Words of class, id and role that mark what is not the article.
-_MARKED = set(
+#: Elements that never hold text of an article.
+_NEVER = set("head form button select svg canvas audio video object dialog".split())
+#: Elements that propose a place of the template.
+_PROPOSED = set("nav footer aside menu".split())
+#: Words of class, id and role that propose one.
+_MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar cookie cookies notice consent gdpr "
-    "newsletter subscribe popup modal overlay comment comments reply replies disqus discussion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer masthead toolbar share sharing social related recommended widget pagination pager login signup search alert complementary contentinfo".split()
+    "newsletter subscribe popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar share sharing social related "
+    "recommended widget pagination pager login signup search alert complementary contentinfo".split()
 )
-#: Beginnings of such words, as sites write them together (commentlist, advertbox).
-_MARKED_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "navbar", "sponsor", "disqus")
+#: Words that may stand beside them in a compound name: ad-box is a mark, share-price is none.
+_BESIDE = set("area bar block bottom box button buttons column container content group inner item items left link links list main outer panel right row section site slot top wrap wrapper unit".split())
+#: Beginnings of such words, as sites write them together (advertbox).
+_MARK_STARTS = ("advert", "sidebar", "cookie", "newsletter", "breadcrumb", "navbar", "sponsor")
+#: Reader comments; two pages never share them, so differencing cannot find them.
+_COMMENTS = re.compile(r"comments?(?!ar)|repl(?:y|ies)|disqus|discussion")
 #: Marks of parts that may hold elements named article which are none.
 _NO_ARTICLE = ("comment", "repl", "related", "recommend", "promo", "disqus")
 _HEADERS = {"header", "topbar", "banner"}
 _MAIN = {"article", "main"}
+_LIST_PARTS = {"li", "dt", "dd", "tr", "td", "th", "option"}
+#: Elements whose place is that of the element around them.
+_LINES = _LIST_PARTS | set("p h1 h2 h3 h4 h5 h6 br hr blockquote pre figcaption caption summary legend address tbody thead tfoot center ul ol dl".split())
+
+#: Weight of the proposal against sightings, and the share of recurrences below which it falls.
+PROPOSAL, RECURS = 8.0, 0.25
+#: Numbers of a small table that a join may broadcast; above it both sides are shuffled.
+BROADCAST_NUMBERS = 500_000
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _is_mark(token: str) -> bool:
+    parts = [p for p in re.split(r"[_-]+|\d+", token) if p]
+    return any(p in _MARKS for p in parts) and all(p in _MARKS or p in _BESIDE for p in parts) or token.startswith(_MARK_STARTS)
+
+
+class _Open:
+    """An open element: its place, and what holds for the lines inside."""
+
+    __slots__ = ("name", "main", "dropped", "proposed", "closed", "place")
+
+    def __init__(self, name: str = "", main: bool = False, dropped: bool = False, proposed: str | None = None, closed: bool = False, place: str = ""):
+        self.name, self.main, self.dropped, self.proposed, self.closed, self.place = name, main, dropped, proposed, closed, place
+
+
+_ROOT = _Open()
 
 
 class Lines:
-    """Text lines of a page: `text`, whether each stands in an article, and whether it is dropped."""
+    """Lines of a page that may be text: what stands in forms, comments and hidden parts is left out.
+
+    For each line: `text`; `main`, whether an article holds it and no place claims it; `place`, the
+    place of the template that the markup proposes for it, or None. On a page with an article,
+    every place outside of it is proposed.
+    """
 
     def __init__(self, source: str):
         self.text: list[str] = []
         self.main: list[bool] = []
-        self.dropped: list[bool] = []
+        self.place: list[str | None] = []
+        self._around: list[str] = []
         self._words: list[str] = []
-        #: Open elements: name, inside an article, dropped, and whether no article begins inside.
-        self._open: list[tuple[str, bool, bool, bool]] = []
+        self._open: list[_Open] = []
         at, end = 0, len(source)
         while at < end:
             m = _MARKUP.search(source, at)
@@ -78,76 +123,93 @@ class Lines:
                 continue
             self._start(name, m[3])
         self._flush()
+        if any(self.main):
+            self.place = [None if m else p or f"beside {a}" for m, p, a in zip(self.main, self.place, self._around, strict=True)]
+
+    def _top(self) -> _Open:
+        return self._open[-1] if self._open else _ROOT
 
     def _add(self, text: str) -> None:
-        if text:
+        if text and not self._top().dropped:
             self._words.append(html.unescape(text) if "&" in text else text)
 
     def _flush(self) -> None:
         line = " ".join("".join(self._words).split())
         self._words = []
         if line:
-            _, main, dropped, _ = self._open[-1] if self._open else ("", False, False, False)
+            top = self._top()
             self.text.append(line)
-            self.main.append(main)
-            self.dropped.append(dropped)
+            self.main.append(top.main and top.proposed is None)
+            self.place.append(top.proposed)
+            self._around.append(top.place)
 
     def _start(self, name: str, attributes: str) -> None:
         if name in _BLOCKS:
             self._flush()
-            if name != "br" and self._open and self._open[-1][0] == "p":
+            if name != "br" and self._open and self._open[-1].name == "p":
                 self._open.pop()
         if name in _VOID:
             return
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and self._open and self._open[-1][0] == name:
+        if name in _LIST_PARTS and self._open and self._open[-1].name == name:
             self._open.pop()
-        _, main, dropped, closed = self._open[-1] if self._open else ("", False, False, False)
-        marks: set[str] = set()
-        inside = main
-        if name in _MAIN and not inside and not closed:
-            dropped = False  # an element before the article was not ended
+        top = self._top()
+        main, dropped, proposed = top.main, top.dropped, top.proposed
+        tokens: list[str] = []
+        given: dict[str, str] = {}
         if "=" in attributes or "hidden" in attributes:
             given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-            marks = set(re.split(r"[\s_-]+", " ".join(given.get(k, "") for k in ("class", "id", "role")).lower())) - {""}
+            tokens = " ".join(given.get(k, "") for k in ("class", "id", "role")).lower().split()
             dropped |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        main |= name in _MAIN or "main" in marks and name in ("div", "section") and "role" in attributes
-        apart = any(m.startswith(_NO_ARTICLE) for m in marks)
-        if name in _MAIN:
-            dropped |= apart or "ad" in marks
-        elif name not in ("body", "html"):
-            dropped |= name in _DROPPED or bool(marks & _MARKED) or any(m.startswith(_MARKED_STARTS) for m in marks)
-        dropped |= not inside and (name == "header" or bool(marks & _HEADERS))
-        if name in _BLOCKS or dropped:  # inline elements leave no trace unless they are dropped
-            if dropped and name not in _BLOCKS:
-                self._flush()
-            self._open.append((name, main, dropped, closed or apart or name == "aside"))
+        if name not in _BLOCKS and name not in _NEVER:
+            if dropped and not top.dropped:  # a hidden part of a line
+                self._open.append(_Open(name, main, True, proposed, top.closed, top.place))
+            return
+        words = {w for t in tokens for w in re.split(r"[_-]+", t)}
+        apart = any(w.startswith(_NO_ARTICLE) for w in words)
+        if name in _MAIN and not main and not top.closed:
+            dropped, proposed = False, None  # an element before the article was not ended
+        inside = main
+        main |= name in _MAIN or ("main" in words and "role" in given and name in ("div", "section"))
+        place = top.place if name in _LINES and not tokens else f"{top.place}>{name}{''.join('.' + re.sub(r'[0-9]+', '0', t) for t in sorted(set(tokens)))}"
+        if name not in ("body", "html"):
+            dropped |= name in _NEVER or any(_COMMENTS.match(w) for w in words)
+            claims = name in _PROPOSED or any(map(_is_mark, tokens)) if name not in _MAIN else apart or "ad" in words
+            if proposed is None and (claims or not inside and (name == "header" or words & _HEADERS)):
+                proposed = place
+        self._open.append(_Open(name, main, dropped, proposed, top.closed or apart or name == "aside", place))
 
     def _close(self, name: str) -> None:
         if name in _BLOCKS:
             self._flush()
         for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == name:
-                self._flush()
+            if self._open[k].name == name:
+                if name in _BLOCKS:
+                    self._flush()
                 del self._open[k:]
                 return
 
-    def chosen(self, shared: set[int]) -> list[str]:
-        """The lines of the article; shared has the places of lines that the paired page has too.
+    def keys(self) -> list[int]:
+        """What lines are aligned by: the place where one is proposed, else the text."""
+        return [_number(t if p is None else f"\0{p}") for t, p in zip(self.text, self.place, strict=True)]
 
-        Where the paired page has every line, none of them can be told from the template: all stay.
+    def chosen(self, shared: set[int], kept: frozenset[int] | set[int] = frozenset()) -> list[str]:
+        """The text: lines without those that the nearest page shares and those of template places.
+
+        shared has the places of lines (neither main nor proposed) that the paired page has too,
+        kept the numbers of proposed places that differencing refuted. Where the paired page has
+        every such line and nothing else is left, they cannot be told from the template: all stay.
         """
-        if any(m and not d for m, d in zip(self.main, self.dropped, strict=True)):
-            return [t for t, m, d in zip(self.text, self.main, self.dropped, strict=True) if m and not d]
-        whole = [k for k, d in enumerate(self.dropped) if not d]
-        own = [k for k in whole if k not in shared]
-        return [self.text[k] for k in own or whole]
+        left = [main or (k not in shared if place is None else _number(f"\0{place}") in kept) for k, (main, place) in enumerate(zip(self.main, self.place, strict=True))]
+        if not any(left):
+            left = [place is None for place in self.place]
+        return [t for t, stays in zip(self.text, left, strict=True) if stays]
 
 
 def common_places(a: list[int], b: list[int]) -> list[int]:
     """Places of a that belong to a longest common subsequence of a and b.
 
-    Rows of the recurrence are bit vectors in whole numbers. Large pairs are halved at the place
-    where the two halves together are longest, so memory stays small.
+    Rows of the recurrence are bit vectors in whole numbers. Only some rows are kept and those
+    between are made again on the way back, so memory grows with the root of the length.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -159,23 +221,38 @@ def common_places(a: list[int], b: list[int]) -> list[int]:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if not x or not y:
         return ends
-    if len(x) > 1 and len(x) * len(y) > 50_000_000:
-        half = len(x) // 2
-        left = _prefix_lengths(x[:half], y)
-        right = _prefix_lengths(x[half:][::-1], y[::-1])[::-1]
-        cut = max(range(len(y) + 1), key=lambda k: left[k] + right[k])
-        inner = common_places(x[:half], y[:cut]) + [half + k for k in common_places(x[half:], y[cut:])]
-    else:
-        rows, inner, j = _rows(x, y), [], len(y)
-        for i in range(len(x), 0, -1):
+    at: dict[int, int] = {}
+    for k, v in enumerate(y):
+        at[v] = at.get(v, 0) | 1 << k
+    full = (1 << len(y)) - 1
+
+    def rows(row: int, part: list[int]) -> list[int]:
+        """The row before `part` and those after each of its lines."""
+        found = [row]
+        for v in part:
+            both = row & at.get(v, 0)
+            row = (row + both | row - both) & full
+            found.append(row)
+        return found
+
+    step = isqrt(len(x)) + 1
+    starts = [full]
+    for k in range(0, len(x), step):
+        starts.append(rows(starts[-1], x[k : k + step])[-1])
+    inner, j = [], len(y)
+    for part in range((len(x) - 1) // step, -1, -1):
+        made = rows(starts[part], x[part * step : (part + 1) * step])
+        for i in range(len(made) - 1, 0, -1):
             # a cleared bit k marks that the length grows at place k of y
-            while j and (rows[i] >> (j - 1)) & 1:
+            while j and (made[i] >> (j - 1)) & 1:
                 j -= 1
             if not j:
                 break
-            if (rows[i - 1] >> (j - 1)) & 1 or _length(rows[i - 1], j) < _length(rows[i], j):
-                inner.append(i - 1)
+            if (made[i - 1] >> (j - 1)) & 1 or _length(made[i - 1], j) < _length(made[i], j):
+                inner.append(part * step + i - 1)
                 j -= 1
+        if not j:
+            break
     return sorted({*ends, *(head + k for k in inner)})
 
 
@@ -183,33 +260,6 @@ def _length(row: int, places: int) -> int:
     return places - (row & ((1 << places) - 1)).bit_count()
 
 
-def _rows(x: list[int], y: list[int]) -> list[int]:
-    at: dict[int, int] = {}
-    for k, v in enumerate(y):
-        at[v] = at.get(v, 0) | 1 << k
-    full = (1 << len(y)) - 1
-    rows = [full]
-    for v in x:
-        row = rows[-1]
-        both = row & at.get(v, 0)
-        rows.append((row + both | row - both) & full)
-    return rows
-
-
-def _prefix_lengths(x: list[int], y: list[int]) -> list[int]:
-    at: dict[int, int] = {}
-    for k, v in enumerate(y):
-        at[v] = at.get(v, 0) | 1 << k
-    full = row = (1 << len(y)) - 1
-    for v in x:
-        both = row & at.get(v, 0)
-        row = (row + both | row - both) & full
-    lengths = [0]
-    for k in range(len(y)):
-        lengths.append(lengths[-1] + (not (row >> k) & 1))
-    return lengths
-
-
 def _near(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -230,35 +280,42 @@ def _sides(lines: list[int], before: tuple | None, after: tuple | None) -> list[
 
 
 def _page_keys(pages: DataFrame) -> DataFrame:
-    """A row for each page: its key columns, host, path, hashes of its lines, and has_main."""
+    """A row for each page: its key columns, host, path, the keys of its lines, and their kinds.
+
+    kinds has for each line 0 if it is main, 1 if a place is proposed, 2 if neither.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sources in text_batches(batches, "html"):
-            pages = [Lines(s) for s in sources]
-            hashes = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in p.text] for p in pages]
-            main = [any(m and not d for m, d in zip(p.main, p.dropped, strict=True)) for p in pages]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("sig"), pa.array(hashes, pa.list_(pa.int64())), pa.array(main)], names=["page_id", "url", "sig", "lines", "has_main"])
+            found = [Lines(s) for s in sources]
+            kinds = [bytes(0 if m else 1 if p is not None else 2 for m, p in zip(f.main, f.place, strict=True)) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), batch.column("sig"), pa.array([f.keys() for f in found], pa.list_(pa.int64())), pa.array(kinds, pa.binary())], names=["page_id", "url", "sig", "lines", "kinds"]
+            )
 
-    keys = pages.mapInArrow(run, "page_id long, url string, sig long, lines array<long>, has_main boolean")
+    keys = pages.mapInArrow(run, "page_id long, url string, sig long, lines array<long>, kinds binary")
     place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return keys.select("page_id", "url", "sig", "lines", "has_main", F.lower(place).alias("host"), path.alias("path"))
+    return keys.select("page_id", "url", "sig", "lines", "kinds", F.lower(place).alias("host"), path.alias("path"))
 
 
 _SORTED = ("host", "path", "page_id", "url", "sig")
-_PAIRED = "page_id long, url string, sig long, has_main boolean, path string, shared array<int>, pid int, nth int, only boolean, host string, last_path string, lines array<long>, in_path string, in_lines array<long>"
-_EDGES = "pid int, nth int, before_path string, before_shared array<int>, after_path string, after_shared array<int>"
-_SHARED = "page_id long, url string, sig long, has_main boolean, shared array<int>"
+_PAGE = "page_id long, url string, sig long, host string"
+_PAIRED = f"{_PAGE}, path string, kinds binary, shared array<int>, places array<long>, seen array<long>, compared boolean, pid int, nth int, only boolean, last_path string, lines array<long>, in_path string, in_lines array<long>"
+_COMPARED = f"{_PAGE}, kinds binary, shared array<int>, places array<long>, seen array<long>, compared boolean"
+_EDGES = "pid int, nth int, lines array<long>, before_path string, before_shared array<int>, after_path string, after_shared array<int>"
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, sig, has_main, shared): places of the lines that the nearest page has too.
-
-    The nearest page is the nearest one of the host with other lines: pages with equal lines that
-    follow each other are one run, and the pages beside the run are the neighbours of them all.
-    Pages are range-partitioned by host and path, so a large host spreads over many tasks. The
-    first and last run of a task wait for the neighbouring task's; each of them is one row with
-    its lines, so that is two rows for each task, whatever the size of the input.
+    """(page_id, url, sig, host, kinds, shared, places, seen, compared) for each page.
+
+    shared has the places of lines that the nearest page has too, places the numbers of the page's
+    proposed places and seen those of them that recur there; compared is false for a page
+    without a partner. The nearest page is the nearest one of the host with other lines: pages with
+    equal lines that follow each other are one run, and the pages beside the run are the neighbours
+    of them all. Pages are range-partitioned by host and path, so a large host spreads over many
+    tasks. The first and last run of a task wait for the neighbouring tasks': these are two rows
+    for each task, which windows over (task, run) put beside each other.
     """
     keys = cut_lineage(_page_keys(pages))
     ranged = keys.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED)
@@ -271,15 +328,14 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             left, right = (p if p and p[0] == run[0] else None for p in (before, after))
             edge = last or not closed
             nth = -1 if not edge else 0 if not closed else 1
-            blank = {"page_id": None, "url": None, "sig": 0, "has_main": False, "path": run[1], "shared": None, "pid": pid, "nth": nth, "only": last and not closed, "host": None, "last_path": None, "lines": None, "in_path": None, "in_lines": None}
+            blank = {"page_id": None, "url": None, "sig": 0, "host": run[0], "path": run[1], "kinds": None, "shared": None, "places": None, "seen": None, "compared": False, "pid": pid, "nth": nth, "only": last and not closed, "last_path": None, "lines": None, "in_path": None, "in_lines": None}
             sides = None if edge else _sides(run[2], left, right)
             made = []
             for r in rows:
-                near = None if edge else _nearer(r["path"], *sides)
-                made.append(blank | r | {"shared": None if edge else near[1] if near else []})
+                made.append(blank | r | ({} if edge else _compared(run[2], r["kinds"], _nearer(r["path"], *sides))))
             if edge:
-                inner = left or right
-                made.append(blank | {"host": run[0], "last_path": rows[-1]["path"], "lines": run[2], "in_path": inner and inner[1], "in_lines": inner and inner[2]})
+                inner = right if not last else left
+                made.append(blank | {"last_path": rows[-1]["path"], "lines": run[2], "in_path": inner and inner[1], "in_lines": inner and inner[2]})
             return made
 
         for frame in frames:
@@ -292,7 +348,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                         closed += 1
                         before = (run[0], rows[-1]["path"], run[2])
                     run, rows = (new.host, new.path, lines), []
-                rows.append({"page_id": new.page_id, "url": new.url, "sig": new.sig, "has_main": new.has_main, "path": new.path})
+                rows.append({"page_id": new.page_id, "url": new.url, "sig": new.sig, "path": new.path, "kinds": new.kinds})
             if made:
                 yield pd.DataFrame(made).astype({"page_id": "Int64"})
         if run is not None:
@@ -300,64 +356,113 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
     paired = cut_lineage(ranged.mapInPandas(pair, _PAIRED))
 
-    def join_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = [r for f in frames for r in f.itertuples(index=False)]
-        lines = [list(map(int, r.lines)) for r in every]
-        inner = [None if r.in_lines is None else (r.host, r.in_path, list(map(int, r.in_lines))) for r in every]
-        before: list[tuple | None] = [None] * len(every)
-        after: list[tuple | None] = [None] * len(every)
-
-        def beyond(k: int, j: int, found: list[tuple | None], path: str) -> tuple | None:
-            """The neighbour of run k on the side where run j of another task is."""
-            if not 0 <= j < len(every) or every[j].host != every[k].host:
-                return None
-            return found[j] if lines[j] == lines[k] else (every[j].host, getattr(every[j], path), lines[j])
-
-        for k, r in enumerate(every):
-            before[k] = inner[k] if r.nth == 1 else beyond(k, k - 1, before, "last_path")
-        for k, r in reversed(list(enumerate(every))):
-            after[k] = inner[k] if r.nth == 0 and not r.only else beyond(k, k + 1, after, "path")
-        made = []
-        for k, r in enumerate(every):
-            (x, shared_x), (y, shared_y) = (p or (None, None) for p in _sides(lines[k], before[k], after[k]))
-            made.append({"pid": r.pid, "nth": r.nth, "before_path": x, "before_shared": shared_x, "after_path": y, "after_shared": shared_y})
-        if made:
-            yield pd.DataFrame(made)
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for r in frame.itertuples(index=False):
+                lines = list(map(int, r.lines))
+                sides = [None if b is None else (None, p, list(map(int, b))) for p, b in ((r.before_path, r.before_lines), (r.after_path, r.after_lines))]
+                (x, shared_x), (y, shared_y) = (p or (None, None) for p in _sides(lines, *sides))
+                made.append({"pid": r.pid, "nth": r.nth, "lines": lines, "before_path": x, "before_shared": shared_x, "after_path": y, "after_shared": shared_y})
+            if made:
+                yield pd.DataFrame(made)
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made = []
             for r in frame.itertuples(index=False):
                 sides = (None if p is None else (p, s) for p, s in ((r.before_path, r.before_shared), (r.after_path, r.after_shared)))
-                near = _nearer(r.path, *sides)
-                made.append({"page_id": r.page_id, "url": r.url, "sig": r.sig, "has_main": r.has_main, "shared": near[1] if near else []})
+                made.append({"page_id": r.page_id, "url": r.url, "sig": r.sig, "host": r.host, "kinds": r.kinds} | _compared(list(map(int, r.lines)), r.kinds, _nearer(r.path, *sides)))
             if made:
                 yield pd.DataFrame(made).astype({"page_id": "Int64"})
 
-    edges = paired.filter("lines IS NOT NULL").coalesce(1).sortWithinPartitions("pid", "nth").mapInPandas(join_edges, _EDGES)
-    rows = paired.filter("lines IS NULL").select("page_id", "url", "sig", "has_main", "path", "shared", "pid", "nth")
-    waiting = rows.filter("nth >= 0").join(F.broadcast(edges), ["pid", "nth"]).drop("pid", "nth", "shared")
-    return rows.filter("nth < 0").select("page_id", "url", "sig", "has_main", "shared").unionByName(waiting.mapInPandas(choose, _SHARED))
+    waits = paired.filter("lines IS NOT NULL").select("host", "pid", "nth", "only", "path", "last_path", "lines", "in_path", "in_lines")
+    edges = _beside(waits).repartition("pid").mapInPandas(align, _EDGES)
+    rows = paired.filter("lines IS NULL")
+    page = ["page_id", "url", "sig", "host", "kinds", "shared", "places", "seen", "compared"]
+    waiting = rows.filter("nth >= 0").select(*page[:5], "path", "pid", "nth").join(edges, ["pid", "nth"])
+    return rows.filter("nth < 0").select(*page).unionByName(waiting.mapInPandas(choose, _COMPARED))
+
+
+def _compared(lines: list[int], kinds: bytes, near: tuple | None) -> dict:
+    """What the nearest page (path, shared places) says of a page."""
+    shared = near[1] if near else []
+    places = {v for v, k in zip(lines, kinds, strict=True) if k == 1}
+    return {"shared": shared, "places": sorted(places), "seen": sorted(places & {lines[k] for k in shared}), "compared": near is not None}
+
+
+def _beside(waits: DataFrame) -> DataFrame:
+    """pid, nth, lines, and path and lines before and after each task's outer runs.
+
+    A run that goes on in the next task is followed to where other lines begin.
+    """
+    order = Window.partitionBy("host").orderBy("pid", "nth")
+    back = Window.partitionBy("host").orderBy(F.desc("pid"), F.desc("nth"))
+    none = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<bigint>").alias("lines"))
+    inner = F.when(F.col("in_path").isNotNull(), F.struct(F.col("in_path").alias("path"), F.col("in_lines").alias("lines"))).otherwise(none)
+
+    def neighbour(w, path: str):
+        same = F.lag("lines").over(w) == F.col("lines")
+        return F.when(F.lag("pid").over(w).isNull(), none).when(~same, F.struct(F.lag(path).over(w).alias("path"), F.lag("lines").over(w).alias("lines")))
+
+    # null where the run goes on: the value of the run's row before counts
+    seen = waits.withColumns({"b": F.when(F.col("nth") == 1, inner).otherwise(neighbour(order, "last_path")), "a": F.when((F.col("nth") == 0) & ~F.col("only"), inner).otherwise(neighbour(back, "path"))})
+    found = seen.select("pid", "nth", "lines", F.last("b", ignorenulls=True).over(order).alias("b"), F.last("a", ignorenulls=True).over(back).alias("a"))
+    return found.select("pid", "nth", "lines", *[F.col(f"{s}.{c}").alias(f"{side}_{c}") for s, side in (("b", "before"), ("a", "after")) for c in ("path", "lines")])
+
+
+def refuted_places(rows: DataFrame, proposal: float = PROPOSAL, recurs: float = RECURS) -> DataFrame:
+    """(host, place): proposed places that do not recur in the nearest pages of the host.
+
+    The share of recurrences of a place on all hosts, with the proposal as so many recurrences, is
+    what a host's own sightings are added to; so a host with few pairs goes by the others.
+    """
+    each = rows.filter("compared").select("host", "seen", F.explode("places").alias("place"))
+    tally = cut_lineage(each.groupBy("host", "place").agg(F.count("*").alias("n"), F.count_if(F.array_contains("seen", F.col("place"))).alias("same")))
+    every = tally.groupBy("place").agg(((F.sum("same") + proposal) / (F.sum("n") + proposal)).alias("usual"))
+    share = (F.col("same") + proposal * F.col("usual")) / (F.col("n") + proposal)
+    return tally.join(every, "place").filter(share < recurs).select("host", "place")
+
+
+def page_decisions(pages: DataFrame) -> DataFrame:
+    """(page_id, url, sig, shared, kept) for each different page that differencing takes lines from or gives some back to.
+
+    shared has the places of lines without a place of their own that the nearest page shares, kept
+    the numbers of proposed places that do not recur.
+    """
+    rows = cut_lineage(shared_lines(pages))
+    key = ["page_id", "url", "sig"]
+    plain = F.filter("shared", lambda i: F.substring(F.col("kinds"), i + 1, F.lit(1)) == F.lit(bytes([2])))
+    taken = rows.select(*key, plain.alias("shared")).filter(F.size("shared") > 0).groupBy(*key).agg(F.first("shared").alias("shared"))
+    refuted = cut_lineage(refuted_places(rows))
+    refuted = F.broadcast(refuted) if refuted.count() <= BROADCAST_NUMBERS // 16 else refuted
+    given = rows.select(*key, "host", F.explode("places").alias("place")).join(refuted, ["host", "place"]).groupBy(*key).agg(F.collect_set("place").alias("kept"))
+    # null ids and urls take part in grouping, but not in joins by name
+    both = taken.withColumn("kept", F.lit(None).cast("array<bigint>")).unionByName(given.withColumn("shared", F.lit(None).cast("array<int>")))
+    return both.groupBy(*key).agg(F.first("shared", ignorenulls=True).alias("shared"), F.first("kept", ignorenulls=True).alias("kept"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for each row of pages.
 
     Null and empty pages give an empty text. Pages with null or equal ids and urls are told apart
-    by their source; repeated rows each come back with the same text. Copies of a page are never its
-    partner. A page that is alone on its host, but for copies, shares no line. An empty table gives an empty result; other columns are ignored.
+    by their source; repeated rows each come back with the same text. Copies of a page are never
+    its partner, and a page whose lines are all shared keeps them. A page that is alone on its
+    host, but for copies, shares no line. A br ends a line, as a browser shows it. An empty table
+    gives an empty result; other columns are ignored.
     """
     source = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), source.alias("html"), F.xxhash64(source).alias("sig"))
-    # a page with a marked article keeps its shared lines, so only the others need the places
-    shared = shared_lines(rows).filter("NOT has_main AND size(shared) > 0").groupBy("page_id", "url", "sig").agg(F.first("shared").alias("shared"))
-    shared = shared.withColumnsRenamed({c: f"s_{c}" for c in ("page_id", "url", "sig")})
-    same = rows["page_id"].eqNullSafe(shared["s_page_id"]) & rows["url"].eqNullSafe(shared["s_url"]) & (rows["sig"] == shared["s_sig"])
-    both = rows.join(shared, same, "left").select("page_id", "url", "html", "shared")
+    decided = cut_lineage(page_decisions(rows)).withColumnsRenamed({c: f"s_{c}" for c in ("page_id", "url", "sig")})
+    numbers = decided.agg(F.sum(F.lit(8) + F.length(F.coalesce("s_url", F.lit(""))) / 8 + F.coalesce(F.size("shared"), F.lit(0)) + F.coalesce(F.size("kept"), F.lit(0)))).first()[0] or 0
+    side = F.broadcast(decided) if numbers <= BROADCAST_NUMBERS else decided
+    same = rows["page_id"].eqNullSafe(side["s_page_id"]) & rows["url"].eqNullSafe(side["s_url"]) & (rows["sig"] == side["s_sig"])
+    both = rows.join(side, same, "left").select("page_id", "url", "html", "shared", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sources in text_batches(batches, "html"):
-            texts = ["\n".join(Lines(s).chosen(set(p or ()))) for s, p in zip(sources, batch.column("shared").to_pylist(), strict=True)]
+            places = zip(batch.column("shared").to_pylist(), batch.column("kept").to_pylist(), strict=True)
+            texts = ["\n".join(Lines(s).chosen(set(p or ()), set(k or ()))) for s, (p, k) in zip(sources, places, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -41,10 +41,12 @@ def test_common_places_are_a_longest_common_subsequence():
         assert len(places) == lcs(a, b) and all(a[i] in rest for i in places)
 
 
-def test_halving_gives_the_same_length():
+def test_long_pairs_keep_few_rows():
     rng = random.Random(1)
-    a, b = ([rng.randint(0, 400) for _ in range(7500)] for _ in range(2))
-    assert len(html_text.common_places(a, b)) == html_text._prefix_lengths(a, b)[-1]
+    a, b = ([rng.randint(0, 40) for _ in range(900)] for _ in range(2))
+    places = html_text.common_places(a, b)
+    rest = iter(b)
+    assert len(places) == lcs(a, b) and all(a[i] in rest for i in places)
 
 
 def test_shared_lines_go_where_no_article_is_marked(spark):
@@ -100,3 +102,88 @@ def test_runs_meet_the_nearest_page_with_other_lines(spark):
         others = [(html_text._near(path, p), t) for _, h, p, t in pages if h == host and t != lines]
         best = max(n for n, _ in others)
         assert found[i] in [html_text.common_places(lines, t) for n, t in others if n == best]
+
+
+def generated_pages(n=60):
+    rng = random.Random(11)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op".split()) + str(rng.randrange(400))
+    some = lambda k: " ".join(word() for _ in range(k))
+    rows = []
+    for k in range(n):
+        host = rng.choice(["a", "b", "c"])
+        body = f"<article><h1>{some(3)}</h1>" + "".join(f"<p>{some(6)}" for _ in range(rng.randint(1, 4))) + "</article>" if k % 3 else f"<p>{some(5)}</p><div class='box'>{some(4)}</div><p>{some(5)}</p>"
+        menu = "".join(f"<li>{some(1)}" for _ in range(rng.randint(3, 6)))
+        once = f"<div class='notice'>{some(4)}</div>" if rng.random() < 0.5 else ""
+        extra = f"<section id='x{rng.randrange(10**6)}' class='related'>{some(4)}</section>" if k % 5 == 0 else ""
+        rows.append((k, f"https://{host}.example/{rng.choice('xyz')}/{rng.randrange(40)}", f"<body><nav>{menu}</nav><p>Same on all</p>{once}{body}<div class='ad-box'>{some(5)}</div>{extra}<footer>{host} {some(2)}</footer></body>"))
+    return rows + [(7, rows[7][1], rows[7][2]), (200, rows[8][1] + "?q", rows[8][2]), (201, "https://d.example/", rows[9][2]), (202, None, None), (None, rows[10][1], "")]
+
+
+def brute_texts(rows):
+    """Texts by host and path order, a plain LCS and counts in dicts."""
+    pages = []
+    for i, url, source in rows:
+        host, path = (url[8:].split("?")[0].split("/", 1) if url else ("", ""))
+        pages.append((host, "/" + path if url else "", str(i) if i is not None else "", url or "", i, html_text.Lines(source or "")))
+    pages.sort(key=lambda p: (p[0], p[1], p[4] is not None, p[4] or 0, p[3]))
+    found, tally = [], {}
+    for at, page in enumerate(pages):
+        keys = page[5].keys()
+        near = []
+        for step in (-1, 1):
+            j = at + step
+            while 0 <= j < len(pages) and pages[j][0] == page[0] and pages[j][5].keys() == keys:
+                j += step
+            if 0 <= j < len(pages) and pages[j][0] == page[0]:
+                near.append(pages[j])
+        best = max(near, key=lambda p: html_text._near(page[1], p[1]), default=None)
+        shared = set(html_text.common_places(keys, best[5].keys())) if best else set()
+        places = {k for k, p in zip(keys, page[5].place, strict=True) if p is not None}
+        found.append((page, shared, places))
+        if best:
+            for p in places:
+                n = tally.setdefault((page[0], p), [0, 0])
+                n[0] += 1
+                n[1] += p in {keys[k] for k in shared}
+    refuted = set()
+    for (host, p), (n, same) in tally.items():
+        all_n, all_same = (sum(x[c] for (_, q), x in tally.items() if q == p) for c in (0, 1))
+        usual = (all_same + html_text.PROPOSAL) / (all_n + html_text.PROPOSAL)
+        if (same + html_text.PROPOSAL * usual) / (n + html_text.PROPOSAL) < html_text.RECURS:
+            refuted.add((host, p))
+    out = []
+    for (host, *_, i, lines), shared, places in found:
+        plain = {k for k in shared if not lines.main[k] and lines.place[k] is None}
+        out.append((i, "\n".join(lines.chosen(plain, {p for p in places if (host, p) in refuted}))))
+    return sorted(out, key=str), len(refuted)
+
+
+def test_whole_query_equals_a_plain_version(spark, monkeypatch):
+    rows = generated_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for recurs in (html_text.RECURS, 0.9):  # the larger bound refutes some places
+        monkeypatch.setattr(html_text, "RECURS", recurs)
+        monkeypatch.setattr(html_text.refuted_places, "__defaults__", (html_text.PROPOSAL, recurs))
+        want, refuted = brute_texts(rows)
+        assert refuted > 0 or recurs < 0.9
+        for most in (html_text.BROADCAST_NUMBERS, 0):
+            monkeypatch.setattr(html_text, "BROADCAST_NUMBERS", most)
+            assert sorted(((r.page_id, r.text) for r in html_text.extract_text(df).collect()), key=str) == want
+
+
+def test_compound_names_and_inline_parts_are_no_marks():
+    text = lambda source: html_text.Lines(source).chosen(set())
+    assert text("<article><p>I <a class='social'>like</a> it<div class='share-price'>9</div><div class='notice-board'>b</div><div class='share-buttons'>S</div><span hidden>no</span></article>") == ["I like it", "9", "b"]
+    assert text("<article><p>a</p><section class='commentary'>said</section><section class='comments-list'>first!</section></article>") == ["a", "said"]
+
+
+def test_texts_rest_on_what_recurs(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    usual = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        article = html_text.Lines(r.html or "")
+        assert usual[r.page_id] == "\n".join(t for t, m in zip(article.text, article.main, strict=True) if m)
+    compared = html_text._compared
+    monkeypatch.setattr(html_text, "_compared", lambda *a: compared(*a) | {"shared": [], "seen": []})
+    emptied = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert sum(emptied[k] != usual[k] for k in usual) > 200
