@@ -1,8 +1,8 @@
 """Language identification as a mixture of languages.
 
 Each language has hashed character n-gram likelihoods, learned from labelled documents. For a
-document, expectation-maximisation estimates the share of each language among its words; then the
-set of languages is chosen whose log-likelihood, less half the logarithm of the number of words for
+document, expectation-maximisation estimates the share of each language among its words (equal
+words of a document are one, with a weight); then the set of languages is chosen whose log-likelihood, less half the logarithm of the number of words for
 each further language, is largest. The prediction is the language with the largest share.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .word_cache import WordCache
 SAMPLE_PER_LANGUAGE = 3000
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
-FIRST_ROUNDS, ROUNDS, SETTLED = 3, 12, 0.999
+ROUNDS = 12
 UNDETERMINED = "und"
 
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")
@@ -83,60 +85,73 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def _rounds(p: np.ndarray, starts: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
-    """Expectation-maximisation: word responsibilities, then their mean as the new shares."""
-    doc = np.repeat(np.arange(len(n)), n)
+def _shares_after(p: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
+    """Expectation-maximisation: (languages, documents) shares of the words of each document.
+
+    p is (languages, words). A round multiplies each share by the mean, over the words, of the
+    language's likelihood as a part of the mixture's, which is the mean responsibility.
+    """
+    total = np.add.reduceat(weight, starts)
+    pi = np.full((len(p), len(starts)), 1 / len(p), dtype=np.float32)
     for _ in range(rounds):
-        r = p * pi[doc]
-        r /= r.sum(axis=1, keepdims=True)
-        pi = np.add.reduceat(r, starts, axis=0) / n[:, None].astype(np.float32)
+        mixed = np.repeat(pi[0], sizes) * p[0]
+        for k in range(1, len(p)):
+            mixed += np.repeat(pi[k], sizes) * p[k]
+        part = weight / mixed
+        for k in range(len(p)):
+            pi[k] *= np.add.reduceat(p[k] * part, starts) / total
+        pi /= pi.sum(axis=0)
     return pi
 
 
-def shares(words_ll: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(best language, its share) for each document; words of document i begin at starts[i].
+def language_sets(words_ll: np.ndarray, weight: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(languages by share, their shares, size of the chosen set) for each document.
 
-    Every document has a word at least. A document that the first rounds settle on one language
-    (a share of SETTLED) has that set; the others go on and choose their set by likelihood.
+    words_ll has a row for each different word of a document, weight how often it occurs; words of
+    document i begin at starts[i], and every document has one at least. Of the sets of the k
+    largest shares the one counts with the largest log-likelihood, less half the logarithm of the
+    number of words for each further language. All documents take the same number of rounds.
     """
-    languages = words_ll.shape[1]
-    n = np.diff(np.append(starts, len(words_ll)))
-    top = words_ll.max(axis=1)
-    p = np.exp(words_ll - top[:, None])
-    pi = _rounds(p, starts, n, np.full((len(n), languages), 1 / languages, dtype=np.float32), FIRST_ROUNDS)
-    best, share = pi.argmax(axis=1), np.ones(len(n))
-    open_docs = np.flatnonzero(pi.max(axis=1) < SETTLED)
-    if not len(open_docs):
-        return best, share
-    mine = np.isin(np.repeat(np.arange(len(n)), n), open_docs)
-    p, top, n, pi = p[mine], top[mine], n[open_docs], pi[open_docs]
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    pi = _rounds(p, starts, n, pi, max(0, rounds - FIRST_ROUNDS))
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.argsort(-pi, axis=1, kind="stable")
-    fit_best, choice = np.full(len(n), -np.inf), np.ones(len(n), dtype=int)
+    words_ll = np.ascontiguousarray(words_ll.T)
+    languages, sizes = len(words_ll), np.diff(np.append(starts, words_ll.shape[1]))
+    top = words_ll.max(axis=0)
+    # likelihoods are relative to the word's best language; what is too small for a float counts as that
+    p = np.exp(np.maximum(words_ll - top, -60))
+    weight = weight.astype(np.float32)
+    n = np.add.reduceat(weight, starts)
+    pi = _shares_after(p, weight, starts, sizes, rounds)
+    order = np.argsort(-pi, axis=0, kind="stable")
+    best, size = np.full(len(starts), -np.inf), np.ones(len(starts), dtype=int)
     for k in range(1, languages + 1):
-        chosen = np.zeros_like(pi)
-        np.put_along_axis(chosen, order[:, :k], np.take_along_axis(pi, order[:, :k], axis=1), axis=1)
-        chosen /= chosen.sum(axis=1, keepdims=True)
-        fit_k = np.add.reduceat(np.log(np.maximum((p * chosen[doc]).sum(axis=1), 1e-30)).astype(float), starts)
-        fit_k -= 0.5 * (k - 1) * np.log(n + 1)
-        better = fit_k > fit_best
-        fit_best[better], choice[better] = fit_k[better], k
-    weight = (np.take_along_axis(pi, order, axis=1) * (np.arange(languages)[None, :] < choice[:, None])).sum(axis=1)
-    best[open_docs] = order[:, 0]
-    share[open_docs] = np.clip(np.take_along_axis(pi, order[:, :1], axis=1)[:, 0] / weight, 0, 1)
-    return best, share
+        chosen = np.where(np.argsort(order, axis=0) < k, pi, 0)
+        chosen /= chosen.sum(axis=0)
+        mixed = np.repeat(chosen[0], sizes) * p[0]
+        for j in range(1, languages):
+            mixed += np.repeat(chosen[j], sizes) * p[j]
+        fit_k = np.add.reduceat((np.log(np.maximum(mixed, 1e-38)) * weight).astype(float), starts) - 0.5 * (k - 1) * np.log(n + 1)
+        better = fit_k > best
+        best[better], size[better] = fit_k[better], k
+    ranked = np.take_along_axis(pi, order, axis=0)
+    ranked = np.where(np.arange(languages)[:, None] < size, ranked, 0)
+    return order, ranked / ranked.sum(axis=0), size
+
+
+def shares(words_ll: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(best language, its share of the chosen set) for each document, from a row for each word."""
+    order, ranked, _ = language_sets(words_ll, np.ones(len(words_ll)), starts, rounds)
+    return order[0], ranked[0]
 
 
 _WORDS: tuple[int, WordCache] | None = None
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Columns `keep`, lang_pred and score (the share of that language) for each row of docs.
+    """Columns `keep`, lang_pred, score, languages and shares for each row of docs.
 
-    A text that is null, empty or without a letter is `und` with score 0; so is every text if the
-    model knows no language. Texts are read whole. Other columns are ignored.
+    languages is the chosen set, the largest share first, shares their shares; lang_pred and score
+    are the first of each. A text that is null, empty or without a letter is `und` with score 0 and
+    an empty set; so is every text if the model knows no language. Equal shares go to the language
+    that sorts first. Texts are read whole. Other columns are ignored.
     """
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
@@ -150,19 +165,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
             _WORDS = (version, WordCache(known.word, size=600_000))
         look = _WORDS[1].__getitem__
         for batch, texts in text_batches(batches, "__text"):
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            score = np.zeros(len(texts))
+            found: list[tuple[list[str], list[float]]] = [([], [])] * len(texts)
             at = [i for i, t in enumerate(texts) if known.languages and has_letter(t)]
             for some in _by_size(at, texts):
-                words = [texts[i].split() for i in some]
-                lengths = np.array([len(w) for w in words])
-                ll = np.frombuffer(b"".join(b"".join(map(look, w)) for w in words), dtype=np.float32).reshape(-1, len(known.languages))
-                best, share = shares(ll, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                for i, b, s in zip(some, best, share, strict=True):
-                    lang[i], score[i] = known.languages[b], s
+                counts = [Counter(texts[i].split()) for i in some]
+                ll = np.frombuffer(b"".join(b"".join(map(look, c)) for c in counts), dtype=np.float32).reshape(-1, len(known.languages))
+                weight = np.fromiter(chain.from_iterable(c.values() for c in counts), dtype=np.float32, count=len(ll))
+                order, ranked, size = language_sets(ll, weight, np.cumsum([0, *map(len, counts[:-1])]))
+                for n, i in enumerate(some):
+                    found[i] = ([known.languages[k] for k in order[: size[n], n]], ranked[: size[n], n].tolist())
+                    score[i] = min(1.0, float(ranked[0, n]))
+            lang = [f[0][0] if f[0] else UNDETERMINED for f in found]
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            sets = [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), *sets], names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "shares"])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, languages array<string>, shares array<double>"]))
 
 
 def _by_size(at: list[int], texts: list[str], limit: int = 2_000_000) -> Iterator[list[int]]:
@@ -180,7 +199,7 @@ def _by_size(at: list[int], texts: list[str], limit: int = 2_000_000) -> Iterato
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row of docs.
+    """doc_id, held_out, lang_pred, score, languages and shares for each row of docs.
 
     The model learns from rows with a known language whose id's crc32 mod 4 is not 2. Null ids
     count as empty text there; repeated rows each come back; an empty table gives an empty result.

@@ -157,3 +157,53 @@ def test_projection_keeps_rates_above_zero(spark):
     steps, error = mixing.fit_rates(soft, [1.0, 0.0])
     rates = [r[0] for r in soft.select(mixing.rate_after(steps, F.col("p"))).collect()]
     assert min(rates) >= 0 and rates[0] > rates[2] >= rates[1] and re.match("[0-9.e-]+", str(error))
+
+
+def plain_em(words, rounds=language_id.ROUNDS):
+    """Shares, and the set by penalised likelihood, of one document; a row of likelihoods for each word."""
+    top = [max(w) for w in words]
+    p = [[np.exp(max(x - t, -60)) for x in w] for w, t in zip(words, top, strict=True)]
+    pi = [1 / len(words[0])] * len(words[0])
+    for _ in range(rounds):
+        r = [[a * b for a, b in zip(pi, w, strict=True)] for w in p]
+        pi = [sum(x[k] / sum(x) for x in r) / len(r) for k in range(len(pi))]
+    order = sorted(range(len(pi)), key=lambda k: -pi[k])
+    fits = []
+    for k in range(1, len(pi) + 1):
+        total = sum(pi[j] for j in order[:k])
+        fits.append(sum(np.log(max(sum(w[j] * pi[j] for j in order[:k]) / total, 1e-38)) for w in p) - 0.5 * (k - 1) * np.log(len(p) + 1))
+    size = int(np.argmax(fits)) + 1
+    total = sum(pi[j] for j in order[:size])
+    return order[:size], [pi[j] / total for j in order[:size]]
+
+
+def test_sets_equal_a_plain_mixture():
+    rng = np.random.default_rng(2)
+    docs = []
+    for k in range(40):
+        main = rng.integers(3, size=rng.integers(1, 60))
+        words = rng.normal(-5, 2, size=(len(main), 3))
+        words[np.arange(len(main)), main if k % 2 else main[0]] += rng.uniform(0, 6)
+        docs.append([words[i].tolist() for i in rng.integers(len(main), size=2 * len(main))])
+    docs.append([[0.0, -12.0, -30.0]] * 2000 + [[-12.0, 0.0, -30.0]] * 7)  # a minor language of a long text
+    different = [sorted({tuple(w) for w in d}) for d in docs]
+    weight = np.array([d.count(list(w)) for d, ws in zip(docs, different, strict=True) for w in ws])
+    rows = np.array([w for ws in different for w in ws], dtype=np.float32)
+    order, ranked, size = language_id.language_sets(rows, weight, np.cumsum([0, *map(len, different[:-1])]))
+    for n, d in enumerate(docs):
+        want, parts = plain_em(d)
+        assert order[: size[n], n].tolist() == want
+        assert np.allclose(ranked[: size[n], n], parts, atol=2e-3)
+    assert size[-1] == 2
+
+
+def test_a_document_in_two_languages_has_both(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    one = {r.lang: r.text for r in docs.filter("lang IS NOT NULL AND length(text) BETWEEN 400 AND 4000").collect()}
+    a, b = sorted(one)[:2]
+    both = spark.createDataFrame([(10**9, one[a] + " " + one[b], None), (None, "", None)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in language_id.identify(docs.unionByName(both)).filter("doc_id IS NULL OR doc_id = 1000000000").collect()}
+    assert set(rows[10**9].languages) == {a, b} and abs(sum(rows[10**9].shares) - 1) < 1e-6 and rows[10**9].shares[0] == rows[10**9].score
+    assert rows[None].languages == [] and rows[None].lang_pred == "und"
+    empty = docs.limit(0).withColumns({"languages": F.lit("x"), "score": F.lit(1)})
+    assert language_id.identify(empty).count() == 0 and language_id.keep_identified(empty).columns == empty.columns
