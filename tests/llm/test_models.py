@@ -207,3 +207,56 @@ def test_a_document_in_two_languages_has_both(spark, sf):
     assert rows[None].languages == [] and rows[None].lang_pred == "und"
     empty = docs.limit(0).withColumns({"languages": F.lit("x"), "score": F.lit(1)})
     assert language_id.identify(empty).count() == 0 and language_id.keep_identified(empty).columns == empty.columns
+
+
+def plain_scores(seen, rounds, support):
+    """Scores of patterns in dicts; seen has (pattern, core, kind)."""
+    edges = {}
+    for pattern, core, kind in seen:
+        edges[pattern, core] = max(kind or "", edges.get((pattern, core), ""))
+    cores = {}
+    for pattern, core in edges:
+        cores.setdefault(pattern, set()).add(core)
+    known = {(core, kind) for (_, core), kind in edges.items() if kind}
+    belief = dict.fromkeys(known, 1.0)
+    scores = {}
+    for _ in range(rounds):
+        scores = {}
+        for pattern, met in cores.items():
+            for kind in {k for _, k in belief}:
+                believed = [belief[c, kind] for c in met if (c, kind) in belief]
+                if len(believed) >= support and (kind != "secret" or re.search("^LL .*[=:]$", pattern)):
+                    scores[pattern, kind] = sum(believed) / (len(met) + 1)
+        belief = dict.fromkeys(known, 1.0)
+        for (pattern, kind), score in scores.items():
+            for c in cores[pattern]:
+                if (c, kind) not in known:
+                    belief[c, kind] = max(score, belief.get((c, kind), 0.0))
+    return scores
+
+
+def test_pattern_scores_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(900):
+        kind = rng.choice(["email", "phone", "secret", None, None])
+        core = f"{kind or rng.choice('xy')}{rng.randrange(30)}"
+        rows.append((rng.choice(["L a", "L b", "R c", "LL key =", "LL no key", f"LR {rng.randrange(40)}"]), core, kind))
+    want = plain_scores(rows, 3, 4)
+    got = pii.score_patterns(spark.createDataFrame(rows, "pattern string, core string, kind string"), 3, 4).collect()
+    assert len(got) == len(want) > 5
+    for r in got:
+        assert abs(r.score - want[r.pattern, r.kind]) < 1e-9
+
+
+def test_spaced_seeds_keys_and_long_lists(spark):
+    rows = [(k, f"Please call us at +1 ({200 + k}) 555-{1000 + k} now.") for k in range(30)] + [(100, "Please call us at 555 0199 now."), (101, "He was 555 0199 once")]
+    rows += [(200 + k, f'x{k} api token = "{k:032x}" y') for k in range(30)] + [(300, 'And api token = "AB12-zz9" y'), (301, 'The build "AB12-zz9" y'), (302, f"commit {7:040x} was it")]
+    rows += [(400, " ".join(f"{k}@a.b" for k in range(30_000))), (401, "é" * 9 + ' api token = "Q1"'), (None, 'api token = "Q2"')]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, row string, s int")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert len(got) == len(rows)
+    assert got[100].spans == "phone:18:26" and got[100].n_phone == 0 and got[100].n_spans == 1
+    assert got[0].n_phone == got[0].n_spans == 1 and got[0].spans.startswith("phone:18:")
+    assert got[300].spans == "secret:17:25" and got[400].n_email == 30_000 and got[401].spans == "secret:23:25" and got[None].spans == "secret:13:15"
+    assert got[229].spans.startswith("secret:") and got[302].spans == ""
