@@ -49,21 +49,23 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
 
     A node's path is the longest common prefix of the paths of its predecessors, and itself. The
     prefix that many arrays share is that of the smallest and the largest one, so a round is an
-    aggregation with map-side combining however many predecessors a node has. Rounds go on until
-    nothing changes; paths are as long as the dominator tree is deep.
+    aggregation with map-side combining however many predecessors a node has. A round only looks
+    at nodes with a predecessor whose path changed; rounds go on until nothing changes, and paths
+    are as long as the dominator tree is deep.
     """
     spark = edges.sparkSession
-    start = spark.createDataFrame([(root, [root])], "node string, path array<string>")
+    known = spark.createDataFrame([(root, [root])], "node string, path array<string>")
     steps = _kept(edges.filter(F.col("dst") != root).select("src", "dst").distinct())
-    known = start
+    changed = known
     while True:
-        met = steps.join(known, steps.src == known.node).groupBy("dst").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-        shared = met.withColumn("shared", common_prefix(F.col("lo"), F.col("hi")))
-        new = _kept(shared.select(F.col("dst").alias("node"), F.concat("shared", F.array("dst")).alias("path")).unionByName(start))
-        changed = new.join(known.withColumnRenamed("path", "old"), "node", "left").filter(~F.col("path").eqNullSafe(F.col("old")))
+        affected = steps.join(changed.select(F.col("node").alias("src")), "src").select("dst").distinct()
+        met = steps.join(affected, "dst").join(known, steps.src == known.node).groupBy("dst").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+        found = met.select(F.col("dst").alias("node"), F.concat(common_prefix(F.col("lo"), F.col("hi")), F.array("dst")).alias("path"))
+        old = known.withColumnRenamed("path", "old")
+        changed = _kept(found.join(old, "node", "left").filter(~F.col("path").eqNullSafe(F.col("old"))).select("node", "path"))
         if changed.isEmpty():
-            return new
-        known = new
+            return known
+        known = _kept(known.join(changed.select("node"), "node", "left_anti").unionByName(changed))
 
 
 def retained_sizes(nodes: DataFrame, dominated: DataFrame) -> DataFrame:

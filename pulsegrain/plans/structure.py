@@ -32,36 +32,41 @@ def distinct_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacks.distinct_stacks(events, "frames").select(F.array_join("frames", "|").alias("path"), "nth")
 
 
-@query("T1_caller_tree", f"WITH {STACKS}, {NODES} SELECT path, CAST(depth AS INTEGER) AS depth, weight, stacks FROM nd WHERE depth <= 3")
+@query("T1_caller_tree", f"WITH {STACKS}, {NODES} SELECT path, CAST(depth AS INTEGER) AS depth, weight, stacks FROM nd")
 def caller_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _path(_nodes(spark, sf_dir)).filter("depth <= 3").select("path", "depth", "weight", "stacks")
+    return _path(_nodes(spark, sf_dir)).select("path", "depth", "weight", "stacks")
 
 
-@query("T2_scoped_trees", f"WITH {STACKS}, sc AS (SELECT 'all' AS scope, * FROM st UNION ALL SELECT 'asia', * FROM st WHERE frames[4] = 'ASIA') SELECT scope, array_to_string(frames[1:2], '|') AS path, sum(weight) AS weight, count(*) AS stacks FROM sc GROUP BY ALL")
+@query("T2_scoped_trees", f"WITH {STACKS}, sc AS (SELECT 'all' AS scope, * FROM st UNION ALL SELECT 'asia', * FROM st WHERE frames[4] = 'ASIA') SELECT scope, array_to_string(frames[1:d], '|') AS path, sum(weight) AS weight, count(*) AS stacks FROM sc, range(1, 5) r(d) GROUP BY ALL")
 def scoped_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = tables.stacks_of_sales(spark, sf_dir)
     scopes = F.when(F.col("frames")[3] == "ASIA", F.array(F.lit("all"), F.lit("asia"))).otherwise(F.array(F.lit("all")))
     tree = stacks.fold(sales.withColumn("scope", F.explode(scopes)), "frames", ["weight"], ["scope"])
-    return _path(tree).filter("depth = 2").select("scope", "path", "weight", "stacks")
+    return _path(tree).select("scope", "path", "weight", "stacks")
 
 
-@query("T3_flame_tree", f"WITH {STACKS}, {FLAME} SELECT path, CAST(depth AS INTEGER) AS depth, weight, CASE WHEN depth = 4 THEN stacks ELSE 0 END AS ending_stacks FROM nd WHERE depth <= 3 OR weight > 40")
+@query("T3_flame_tree", f"WITH {STACKS}, {FLAME} SELECT path, CAST(depth AS INTEGER) AS depth, weight, CASE WHEN depth = 4 THEN stacks ELSE 0 END AS ending_stacks FROM nd")
 def flame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _path(_nodes(spark, sf_dir, flame=True)).filter("depth <= 3 OR weight > 40")
+    nodes = _path(_nodes(spark, sf_dir, flame=True))
     return nodes.select("path", "depth", "weight", F.when(F.col("depth") == 4, F.col("stacks")).otherwise(F.lit(0)).alias("ending_stacks"))
 
 
-@query("T4_leaf_trees", f"WITH {STACKS} SELECT frames[1] AS leaf, array_to_string(frames[2:3], '|') AS path, sum(weight) AS weight FROM st WHERE frames[1] LIKE 'PROMO%' GROUP BY ALL")
+@query("T4_leaf_trees", f"WITH {STACKS} SELECT frames[1] AS leaf, array_to_string(frames[2:d], '|') AS path, sum(weight) AS weight FROM st, range(2, 5) r(d) WHERE frames[1] LIKE 'PROMO%' GROUP BY ALL")
 def leaf_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = tables.stacks_of_sales(spark, sf_dir).withColumns({"leaf": F.col("frames")[0], "callers": F.slice("frames", 2, 100)}).filter(F.col("leaf").startswith("PROMO"))
-    return _path(stacks.fold(hot, "callers", ["weight"], ["leaf"])).filter("depth = 2").select("leaf", "path", "weight")
+    return _path(stacks.fold(hot, "callers", ["weight"], ["leaf"])).select("leaf", "path", "weight")
 
 
-@query("T5_site_trees", f"WITH {STACKS}, s AS (SELECT frames[2:4] AS f, weight FROM st WHERE frames[1] LIKE 'SMALL%') SELECT f[1] AS site, array_to_string(f[2:3], '|') AS path, sum(weight) AS weight, count(*) AS stacks FROM (SELECT f, sum(weight) AS weight FROM s GROUP BY 1) GROUP BY ALL")
+@query("T5_site_trees", f"WITH {STACKS}, s AS (SELECT 'wait' AS tree, frames[2:4] AS f, weight FROM st WHERE frames[1] LIKE 'SMALL%' UNION ALL SELECT 'exception', frames[1:4], ticks FROM st WHERE frames[1] LIKE 'LARGE%'), g AS (SELECT tree, f, sum(weight) AS weight FROM s GROUP BY ALL) SELECT tree, f[1] AS site, array_to_string(f[2:d], '|') AS path, sum(weight) AS weight, count(*) AS stacks FROM g, range(2, 5) r(d) WHERE d <= len(f) GROUP BY ALL")
 def site_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waits = tables.stacks_of_sales(spark, sf_dir).filter(F.col("frames")[0].startswith("SMALL")).select(F.slice("frames", 2, 3).alias("f"), "weight")
-    waits = waits.groupBy("f").agg(F.sum("weight").alias("weight")).select(F.col("f")[0].alias("site"), F.slice("f", 2, 3).alias("callers"), "weight")
-    return _path(stacks.fold(waits, "callers", ["weight"], ["site"])).filter("depth = 2").select("site", "path", "weight", "stacks")
+    """Callers of waiting sites by time, and of thrown types by number."""
+    sales = tables.stacks_of_sales(spark, sf_dir)
+    leaf = F.col("frames")[0]
+    waits = sales.filter(leaf.startswith("SMALL")).select(F.lit("wait").alias("tree"), F.slice("frames", 2, 3).alias("f"), "weight")
+    thrown = sales.filter(leaf.startswith("LARGE")).select(F.lit("exception").alias("tree"), F.col("frames").alias("f"), F.col("ticks").cast("double").alias("weight"))
+    sites = waits.unionByName(thrown).groupBy("tree", "f").agg(F.sum("weight").alias("weight"))
+    sites = sites.select("tree", F.col("f")[0].alias("site"), F.slice("f", 2, 100).alias("callers"), "weight")
+    return _path(stacks.fold(sites, "callers", ["weight"], ["tree", "site"])).select("tree", "site", "path", "weight", "stacks")
 
 
 @query("T6_best_first_budget", f"WITH {STACKS}, {FLAME}, {RANKED}, {UP}, ok AS (SELECT rk.*, row_number() OVER (PARTITION BY depth = 1 ORDER BY weight DESC, depth, f) AS n FROM rk JOIN up USING (path) WHERE worst <= 4) SELECT path, CAST(depth AS INTEGER) AS depth, weight FROM ok WHERE depth = 1 OR n <= 60")
@@ -74,9 +79,9 @@ def depth_first_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _path(stacks.depth_first(_nodes(spark, sf_dir, flame=True), "weight", 3, 80)).select("path", "visit")
 
 
-@query("T8_flame_layout", f"WITH {STACKS}, {FLAME}, {RANKED}, {UP} SELECT path, x, weight FROM rk JOIN up USING (path) WHERE depth <= 3")
+@query("T8_flame_layout", f"WITH {STACKS}, {FLAME}, {RANKED}, {UP} SELECT path, x, weight FROM rk JOIN up USING (path)")
 def flame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _path(stacks.flame_layout(_nodes(spark, sf_dir, flame=True), "weight")).filter("depth <= 3").select("path", "x", "weight")
+    return _path(stacks.flame_layout(_nodes(spark, sf_dir, flame=True), "weight")).select("path", "x", "weight")
 
 
 @query("A12_self_total", f"WITH {STACKS}, e AS (SELECT frames[1] AS leaf, unnest(list_distinct(frames)) AS frame, weight FROM st) SELECT frame, sum(CASE WHEN frame = leaf THEN weight ELSE 0 END) AS self, sum(weight) AS total FROM e GROUP BY 1 ORDER BY self DESC, frame LIMIT 200")
@@ -95,11 +100,11 @@ def strided_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top(part.groupBy(F.col("p_brand").alias("module")).agg((F.count("*") * 4).alias("frames")), [F.desc("frames"), F.col("module")], 12)
 
 
-RANGES = "rg AS (SELECT p_partkey * 100 AS s, p_partkey * 100 + p_size * 4 AS e, p_retailprice AS ld, p_retailprice + p_size * 20 AS ul, concat('m', p_partkey) AS name FROM part WHERE p_partkey % 5 <> 0), lk AS (SELECT DISTINCT l_partkey * 100 + CAST(l_quantity AS BIGINT) * 3 AS address, floor(l_extendedprice / 30) AS t FROM lineitem)"
+RANGES = "rg AS (SELECT p_partkey * 100 AS s, p_partkey * 100 + p_size * 4 AS e, p_retailprice AS ld, p_retailprice + p_size * 20 AS ul, concat('m', p_partkey) AS name FROM part), lk AS (SELECT DISTINCT l_partkey * 100 + CAST(l_quantity AS BIGINT) * 3 AS address, floor(l_extendedprice / 30) AS t FROM lineitem)"
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = tables.read(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
+    part = tables.read(spark, sf_dir, "part")
     ranges = part.select((F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 4).alias("end"), F.col("p_retailprice").alias("load"), (F.col("p_retailprice") + F.col("p_size") * 20).alias("unload"), F.concat(F.lit("m"), "p_partkey").alias("name"))
     line = tables.read(spark, sf_dir, "lineitem")
     lookups = line.select((F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint") * 3).alias("address"), F.floor(F.col("l_extendedprice") / 30).cast("double").alias("t"))
@@ -136,20 +141,22 @@ def modules_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J5_adjacent_overlaps", f"WITH {RANGES} SELECT count(*) AS n FROM (SELECT s, lag(e) OVER (ORDER BY s) AS pe FROM rg) WHERE s < pe")
 def adjacent_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ranges = _ranges(spark, sf_dir)
-    # cells of the address space are ordered in parallel; the row before a cell's first comes with it
+    # cells of the address space are ordered in parallel; a cell's last row goes to the next one that has rows
     wide = 1_000_000
+    rows = ranges.select(F.floor(F.col("start") / wide).alias("cell"), "start", "end", F.lit(True).alias("own"))
+    cells = rows.groupBy("cell").agg(F.max(F.struct("start", "end")).alias("x"))
+    last = cells.select(F.lead("cell").over(Window.partitionBy().orderBy("cell")).alias("cell"), "x.*", F.lit(False).alias("own")).filter("cell IS NOT NULL")
     w = Window.partitionBy("cell").orderBy("start", "end")
-    last = ranges.groupBy((F.floor(F.col("start") / wide) + 1).alias("cell")).agg(F.max(F.struct("start", "end")).alias("x")).select("cell", "x.*", F.lit(False).alias("own"))
-    rows = ranges.select(F.floor(F.col("start") / wide).alias("cell"), "start", "end", F.lit(True).alias("own")).unionByName(last)
-    return rows.withColumn("prior", F.lag("end").over(w)).agg(F.count_if(F.col("own") & (F.col("start") < F.col("prior"))).alias("n"))
+    return rows.unionByName(last).withColumn("prior", F.lag("end").over(w)).agg(F.count_if(F.col("own") & (F.col("start") < F.col("prior"))).alias("n"))
 
 
-@query("J13_undefined_targets", "SELECT coalesce(CAST(p_partkey AS VARCHAR), 'UNDEFINED') AS node, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) ON l_partkey = p_partkey GROUP BY 1")
+@query("J13_undefined_targets", "SELECT coalesce(CAST(s_suppkey AS VARCHAR), 'UNDEFINED') AS node, count(*) AS n FROM lineitem LEFT JOIN supplier ON l_partkey = s_suppkey GROUP BY 1")
 def undefined_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers as targets among supplier numbers; most of them are no node."""
     counts = tables.read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    known = tables.read(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select("p_partkey")
-    node = F.coalesce(F.col("p_partkey").cast("string"), F.lit("UNDEFINED"))
-    return counts.join(known, counts.l_partkey == known.p_partkey, "left").groupBy(node.alias("node")).agg(F.sum("n").alias("n"))
+    known = tables.read(spark, sf_dir, "supplier").select("s_suppkey")
+    node = F.coalesce(F.col("s_suppkey").cast("string"), F.lit("UNDEFINED"))
+    return counts.join(known, counts.l_partkey == known.s_suppkey, "left").groupBy(node.alias("node")).agg(F.sum("n").alias("n"))
 
 
 @query("S13_positional_edges", """WITH b AS (SELECT o_orderkey, count(l_orderkey) AS c FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1), o AS (SELECT *, coalesce(sum(c) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM b),
@@ -229,30 +236,43 @@ def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 TREE = "tr AS (SELECT r_regionkey AS r, n_nationkey AS n, c_custkey AS c, o_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query("G1_breadth_first", f"WITH {TREE} SELECT concat('P', p) AS node, concat('O', arg_min(o, (r, n, c, o))) AS parent, 5 AS depth FROM tr GROUP BY p")
+ABOVE = "SELECT 'root' AS node, NULL AS above, 0 AS depth UNION ALL SELECT concat('R', r_regionkey), 'root', 1 FROM region UNION ALL SELECT concat('N', n_nationkey), concat('R', n_regionkey), 2 FROM nation UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey), 3 FROM customer UNION ALL SELECT concat('O', o_orderkey), concat('C', o_custkey), 4 FROM orders"
+
+
+@query("G1_breadth_first", f"WITH {TREE} SELECT node, above AS parent, depth FROM ({ABOVE}) UNION ALL SELECT concat('P', p), concat('O', arg_min(o, (r, n, c, o))), 5 FROM tr GROUP BY p")
 def breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = _heap_graph(spark, sf_dir)
-    return graph.breadth_first(edges, "root").filter(F.col("node").startswith("P")).select("node", "parent", "depth")
+    return graph.breadth_first(edges, "root").select("node", "parent", "depth")
+
 
+PARTS = "pd AS (SELECT p, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS c, CASE WHEN count(DISTINCT n) = 1 THEN min(n) END AS n, CASE WHEN count(DISTINCT r) = 1 THEN min(r) END AS r FROM tr GROUP BY p)"
 
-@query("G3_dominators", f"WITH {TREE} SELECT concat('P', p) AS node, CASE WHEN count(DISTINCT o) = 1 THEN concat('O', min(o)) WHEN count(DISTINCT c) = 1 THEN concat('C', min(c)) WHEN count(DISTINCT n) = 1 THEN concat('N', min(n)) WHEN count(DISTINCT r) = 1 THEN concat('R', min(r)) ELSE 'root' END AS dominator FROM tr GROUP BY p")
+
+@query("G3_dominators", f"WITH {TREE}, {PARTS} SELECT node, above AS dominator FROM ({ABOVE}) UNION ALL SELECT concat('P', p), CASE WHEN o IS NOT NULL THEN concat('O', o) WHEN c IS NOT NULL THEN concat('C', c) WHEN n IS NOT NULL THEN concat('N', n) WHEN r IS NOT NULL THEN concat('R', r) ELSE 'root' END FROM pd")
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = _heap_graph(spark, sf_dir)
-    return graph.dominators(edges, "root").filter(F.col("node").startswith("P")).select("node", F.element_at("path", -2).alias("dominator"))
+    return graph.dominators(edges, "root").select("node", F.try_element_at("path", F.lit(-2)).alias("dominator"))
+
+
+#: Every node with its dominators of each level and its bytes, and what each node keeps alive.
+KEPT = """sz AS (SELECT 'root' AS node, 'root' AS type, NULL AS r, NULL AS n, NULL AS c, NULL AS o, NULL AS p, CAST(0 AS BIGINT) AS b UNION ALL SELECT concat('R', r_regionkey), 'region', r_regionkey, NULL, NULL, NULL, NULL, 1 FROM region
+UNION ALL SELECT concat('N', n_nationkey), 'nation', n_regionkey, n_nationkey, NULL, NULL, NULL, 2 FROM nation UNION ALL SELECT concat('C', c_custkey), 'customer', n_regionkey, n_nationkey, c_custkey, NULL, NULL, CAST(floor(abs(c_acctbal)) AS BIGINT) FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('O', o_orderkey), 'order', n_regionkey, n_nationkey, c_custkey, o_orderkey, NULL, CAST(floor(o_totalprice) AS BIGINT) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('P', p), 'part', r, n, c, o, p, CAST(floor(p_retailprice) AS BIGINT) FROM pd JOIN part ON p = p_partkey),
+kp AS (SELECT 'root' AS node, sum(b) AS retained FROM sz UNION ALL SELECT concat('R', r), sum(b) FROM sz WHERE r IS NOT NULL GROUP BY r UNION ALL SELECT concat('N', n), sum(b) FROM sz WHERE n IS NOT NULL GROUP BY n UNION ALL SELECT concat('C', c), sum(b) FROM sz WHERE c IS NOT NULL GROUP BY c
+UNION ALL SELECT concat('O', o), sum(b) FROM sz WHERE o IS NOT NULL GROUP BY o UNION ALL SELECT concat('P', p), sum(b) FROM sz WHERE p IS NOT NULL GROUP BY p)"""
 
 
-@query("G4_retained_nations", f"""WITH {TREE}, pd AS (SELECT p, CASE WHEN count(DISTINCT n) = 1 THEN min(n) END AS n FROM tr GROUP BY p), s AS (SELECT n_nationkey AS n, CAST(2 AS BIGINT) AS b FROM nation UNION ALL SELECT c_nationkey, CAST(floor(abs(c_acctbal)) AS BIGINT) FROM customer
-UNION ALL SELECT c_nationkey, CAST(floor(o_totalprice) AS BIGINT) FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT pd.n, CAST(floor(p_retailprice) AS BIGINT) FROM pd JOIN part ON p = p_partkey WHERE pd.n IS NOT NULL) SELECT concat('N', n) AS node, CAST(sum(b) AS BIGINT) AS retained FROM s GROUP BY n""")
-def retained_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("G4_retained_sizes", f"WITH {TREE}, {PARTS}, {KEPT} SELECT node, CAST(retained AS BIGINT) AS retained FROM kp")
+def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
-    return graph.retained_sizes(nodes, graph.dominators(edges, "root")).filter(F.col("node").startswith("N"))
+    return graph.retained_sizes(nodes, graph.dominators(edges, "root"))
 
 
-@query("A34_type_census", """WITH s AS (SELECT 'region' AS type, CAST(1 AS BIGINT) AS b FROM region UNION ALL SELECT 'nation', 2 FROM nation UNION ALL SELECT 'customer', CAST(floor(abs(c_acctbal)) AS BIGINT) FROM customer UNION ALL SELECT 'order', CAST(floor(o_totalprice) AS BIGINT) FROM orders UNION ALL SELECT 'part', CAST(floor(p_retailprice) AS BIGINT) FROM part UNION ALL SELECT 'root', 0)
-SELECT type, count(*) AS n, CAST(sum(b) AS BIGINT) AS exclusive, CASE WHEN type = 'part' THEN (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) ELSE 0 END AS unreachable FROM s GROUP BY 1""")
+@query("A34_type_census", f"WITH {TREE}, {PARTS}, {KEPT}, m AS (SELECT count(*) AS n, CAST(coalesce(sum(floor(p_retailprice)), 0) AS BIGINT) AS b FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) SELECT type, count(*) + CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS n, CAST(sum(b) + CASE WHEN type = 'part' THEN (SELECT b FROM m) ELSE 0 END AS BIGINT) AS exclusive, CAST(sum(retained) AS BIGINT) AS retained, CAST(max(retained) AS BIGINT) AS max_retained, CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS unreachable FROM sz JOIN kp USING (node) GROUP BY type")
 def type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
-    return graph.census(nodes, graph.dominators(edges, "root")).select("type", "n", "exclusive", "unreachable")
+    return graph.census(nodes, graph.dominators(edges, "root")).select("type", "n", "exclusive", "retained", "max_retained", "unreachable")
 
 
 @query("A36_type_edges", "SELECT 'order' AS from_type, 'part' AS to_type, count(*) AS n, CAST(sum(floor(p_retailprice)) AS BIGINT) AS bytes FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey UNION ALL SELECT 'customer', 'order', count(*), CAST(sum(floor(o_totalprice)) AS BIGINT) FROM orders UNION ALL SELECT 'nation', 'customer', count(*), CAST(sum(floor(abs(c_acctbal))) AS BIGINT) FROM customer UNION ALL SELECT 'region', 'nation', count(*), CAST(count(*) * 2 AS BIGINT) FROM nation UNION ALL SELECT 'root', 'region', count(*), count(*) FROM region")
@@ -260,11 +280,11 @@ def type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_edges(*_heap_graph(spark, sf_dir))
 
 
-@query("G5_root_paths", "SELECT 'order' AS type, 'order<customer<nation<region<root' AS path, count(*) AS n, CAST(sum(floor(o_totalprice)) AS BIGINT) AS bytes FROM orders UNION ALL SELECT 'part', 'part<order<customer<nation<region<root', count(*), CAST(sum(floor(p_retailprice)) AS BIGINT) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+@query("G5_root_paths", "SELECT 'root' AS type, 'root' AS path, 1 AS n, 0 AS bytes UNION ALL SELECT 'region', 'region<root', count(*), count(*) FROM region UNION ALL SELECT 'nation', 'nation<region<root', count(*), count(*) * 2 FROM nation UNION ALL SELECT 'customer', 'customer<nation<region<root', count(*), CAST(sum(floor(abs(c_acctbal))) AS BIGINT) FROM customer UNION ALL SELECT 'order', 'order<customer<nation<region<root', count(*), CAST(sum(floor(o_totalprice)) AS BIGINT) FROM orders UNION ALL SELECT 'part', 'part<order<customer<nation<region<root', count(*), CAST(sum(floor(p_retailprice)) AS BIGINT) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def root_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
     paths = graph.root_paths(nodes, graph.breadth_first(edges, "root").select("node", "parent"))
-    return paths.filter(F.col("type").isin("order", "part")).withColumn("path", F.array_join("path", "<"))
+    return paths.withColumn("path", F.array_join("path", "<"))
 
 
 @query("G7_reference_totals", "SELECT s_name AS type, count(*) AS n, CAST(sum(c) AS BIGINT) AS refs FROM (SELECT s_name, p_brand, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, p_brand QUALIFY row_number() OVER (PARTITION BY s_name ORDER BY count(*) DESC, p_brand) <= 8) GROUP BY 1")
