@@ -1,4 +1,4 @@
-"""Rule tables: ordered first-match categories of frames, severities and thread roles."""
+"""First-match rules: severities, tidy names and the frame that a wait is named after."""
 
 from __future__ import annotations
 
@@ -7,11 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Frame names by which waiting, locking and I/O are recognised.
-IDLE_PREFIXES = ("System.Threading.Monitor.Wait", "System.Threading.WaitHandle.Wait", "System.Threading.Thread.Sleep", "System.Threading.SemaphoreSlim.Wait", "System.Threading.ManualResetEventSlim.Wait", "System.Threading.LowLevelLifoSemaphore.Wait")
-LOCK_PREFIXES = ("System.Threading.Monitor.", "System.Threading.Lock.", "System.Threading.SpinLock.")
-IO_PREFIXES = ("System.IO.", "System.Net.Sockets.", "System.Net.Security.")
-
+from .frame_rules import LOCK_PREFIXES as LOCK_PREFIXES
 
 def any_prefix(name: Column, prefixes: tuple[str, ...]) -> Column:
     return reduce(lambda a, p: a | name.startswith(p), prefixes, F.lit(False))
@@ -26,11 +22,6 @@ def by_prefix(name: Column, rules: list[tuple[str, str]], otherwise: str) -> Col
     return first_match([(name.startswith(p), label) for p, label in rules], otherwise)
 
 
-def is_idle(leaf: Column, prefixes: tuple[str, ...] = IDLE_PREFIXES, exact: tuple[str, ...] = (), contains: tuple[str, ...] = ("PollGCWorker",)) -> Column:
-    found = any_prefix(leaf, prefixes) | leaf.isin(*exact) if exact else any_prefix(leaf, prefixes)
-    return F.coalesce(reduce(lambda a, c: a | leaf.contains(c), contains, found), F.lit(False))
-
-
 def first_other_frame(frames: Column, is_primitive, empty: str = "<no stack captured>", leaf_fallback: bool = True) -> Column:
     """The first frame, from the leaf on, that is no lock primitive; else the leaf."""
     other = F.get(F.filter(frames, lambda f: ~is_primitive(f)), 0)
@@ -51,21 +42,3 @@ def tidy_name(name: Column) -> Column:
     """Empty names are <unknown>; all unresolved addresses are one."""
     named = F.coalesce(F.nullif(name, F.lit("")), F.lit("<unknown>"))
     return F.when(named.startswith("<unresolved"), F.lit("<unresolved>")).otherwise(named)
-
-
-def thread_role(samples: Column, cpu: Column, parked: Column, worker: Column, waits_ms: Column, owned: Column) -> Column:
-    """A role by the first rule that holds; cpu, parked and worker are shares of the samples."""
-    return first_match(
-        [
-            ((samples == 0) & (owned > 0), "lock_owner"),
-            (samples == 0, "unsampled"),
-            ((worker >= 0.5) & (waits_ms >= 1000), "blocked_worker"),
-            ((worker >= 0.5) & (parked >= 0.95), "idle_worker"),
-            (worker >= 0.5, "worker"),
-            (parked >= 0.95, "parked"),
-            (waits_ms >= 1000, "blocked"),
-            (cpu >= 0.75, "busy"),
-            (cpu <= 0.05, "quiet"),
-        ],
-        "mixed",
-    )

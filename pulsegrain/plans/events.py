@@ -50,37 +50,6 @@ def sample_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(named.alias("sample_type")).agg(F.count("*").alias("n"))
 
 
-@query("P7_display_name", f"WITH {EV} SELECT seq, coalesce(CASE WHEN k % 2 = 0 THEN kind END, CASE kind WHEN 'click' THEN 'Contention/Start' WHEN 'purchase' THEN 'GC/AllocationTick' END, concat('EventID ', seq % 100)) AS name FROM ev")
-def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = tables.trace_events(spark, sf_dir)
-    known = spark.createDataFrame([("click", "Contention/Start"), ("purchase", "GC/AllocationTick")], "kind string, known string")
-    own = F.when(F.col("k") % 2 == 0, F.col("kind"))
-    return ev.join(F.broadcast(known), "kind", "left").select("seq", F.coalesce(own, "known", F.concat(F.lit("EventID "), F.col("seq") % 100)).alias("name"))
-
-
-RULES = [("PROMO", "marketing"), ("STANDARD POLISHED", "polish"), ("STANDARD", "standard"), ("ECONOMY", "economy"), ("MEDIUM", "medium")]
-
-
-@query("P8_category_rules", "SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'marketing' WHEN p_type LIKE 'STANDARD POLISHED%' THEN 'polish' WHEN p_type LIKE 'STANDARD%' THEN 'standard' WHEN p_type LIKE 'ECONOMY%' THEN 'economy' WHEN p_type LIKE 'MEDIUM%' THEN 'medium' ELSE 'uncategorized' END AS category FROM part")
-def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.read(spark, sf_dir, "part")
-    # rules run once for each distinct name
-    names = part.select("p_type").distinct().withColumn("category", classify.by_prefix(F.col("p_type"), RULES, "uncategorized"))
-    return part.join(names, "p_type").select("p_partkey", "category")
-
-
-@query("P9_symbol_source", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'rundown' WHEN s_name LIKE '%1' THEN 'local' ELSE 'server' END AS source FROM supplier")
-def symbol_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tables.read(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", classify.first_match([(F.col("s_acctbal") < 0, "missing"), (F.col("s_suppkey") % 3 == 0, "rundown"), (F.col("s_name").endswith("1"), "local")], "server").alias("source"))
-
-
-@query("P10_idle_leaf", "SELECT p_partkey, (p_type LIKE 'SMALL%' OR p_type LIKE 'LARGE%' OR p_type = 'MEDIUM BRUSHED TIN' OR p_type LIKE '%COPPER%') AS idle FROM part")
-def idle_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.read(spark, sf_dir, "part")
-    return part.select("p_partkey", classify.is_idle(F.col("p_type"), ("SMALL", "LARGE"), ("MEDIUM BRUSHED TIN",), ("COPPER",)).alias("idle"))
-
-
 @query("P13_first_other_frame", "SELECT s_suppkey, coalesce(list_filter(f, lambda x: x NOT LIKE 'A%')[1], f[1], '<no stack captured>') AS site FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN [] ELSE [n_name, r_name] END AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
 def first_other_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))

@@ -89,11 +89,6 @@ def self_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top(stacks.self_and_total(tables.stacks_of_sales(spark, sf_dir), "frames", "weight"), [F.desc("self"), F.col("frame")], 200)
 
 
-@query("A14_categories", f"WITH {STACKS}, c AS (SELECT list_transform(frames, lambda x: left(x, 1)) AS c, weight FROM st), e AS (SELECT c[1] AS leaf, unnest(list_distinct(c)) AS category, weight FROM c) SELECT category, sum(CASE WHEN category = leaf THEN weight ELSE 0 END) AS self, sum(weight) AS on_stack FROM e GROUP BY 1")
-def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stacks.by_category(tables.stacks_of_sales(spark, sf_dir), "frames", "weight", lambda f: F.left(f, F.lit(1)))
-
-
 @query("A40_strided_modules", "SELECT p_brand AS module, count(*) * 4 AS frames FROM part WHERE p_partkey % 4 = 0 GROUP BY 1 ORDER BY frames DESC, module LIMIT 12")
 def strided_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tables.read(spark, sf_dir, "part").filter("p_partkey % 4 = 0")

@@ -6,52 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import classify, diff, gc, rank, temporal, threads
+from ..operators import diff, gc, rank, temporal, threads
 from ..sources import tables
-from .events import contentions
-from .registry import CON, EV, query
-
-ROLE = """CASE WHEN samples = 0 AND owned > 0 THEN 'lock_owner' WHEN samples = 0 THEN 'unsampled' WHEN worker >= 0.5 AND wait_ms >= 1000 THEN 'blocked_worker' WHEN worker >= 0.5 AND parked >= 0.95 THEN 'idle_worker' WHEN worker >= 0.5 THEN 'worker'
-WHEN parked >= 0.95 THEN 'parked' WHEN wait_ms >= 1000 THEN 'blocked' WHEN cpu >= 0.75 THEN 'busy' WHEN cpu <= 0.05 THEN 'quiet' ELSE 'mixed' END"""
-PROFILE = f"""{CON}, sa AS (SELECT tid, count(*) AS samples, avg(CAST(k % 3 = 0 AS INTEGER)) AS cpu, avg(CAST(k % 5 = 0 AS INTEGER)) AS parked, avg(CAST(tid % 3 = 0 AS INTEGER)) AS worker, min(rel_ms) AS first_ms, max(rel_ms) AS last_ms FROM ev WHERE kind = 'view' GROUP BY 1),
-wa AS (SELECT tid, sum(duration_ms) AS wait_ms FROM co GROUP BY 1), ow AS (SELECT owner AS tid, count(*) AS owned FROM co WHERE owner <> 0 GROUP BY 1),
-pf AS (SELECT coalesce(sa.tid, wa.tid, ow.tid) AS tid, coalesce(samples, 0) AS samples, coalesce(cpu, 0) AS cpu, coalesce(parked, 0) AS parked, coalesce(worker, 0) AS worker, coalesce(wait_ms, 0) AS wait_ms, coalesce(owned, 0) AS owned, first_ms, last_ms FROM sa FULL JOIN wa ON sa.tid = wa.tid FULL JOIN ow ON ow.tid = coalesce(sa.tid, wa.tid)),
-pr2 AS (SELECT *, {ROLE} AS role FROM pf)"""
-
-
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = tables.trace_events(spark, sf_dir).filter("kind = 'view'")
-    samples = ev.select("tid", "rel_ms", (F.col("k") % 3 == 0).alias("cpu"), (F.col("k") % 5 == 0).alias("parked"), (F.col("tid") % 3 == 0).alias("worker"))
-    con = contentions(spark, sf_dir)
-    return threads.profiles(samples, con.select("tid", "duration_ms"), con.filter("owner <> 0").select(F.col("owner").alias("tid")))
-
-
-@query("A15_thread_profiles", f"WITH {PROFILE} SELECT tid, samples, round(cpu, 6) AS cpu, round(wait_ms, 3) AS wait_ms, owned, first_ms, last_ms FROM pr2")
-def thread_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(spark, sf_dir).select("tid", "samples", F.round("cpu", 6).alias("cpu"), F.round("wait_ms", 3).alias("wait_ms"), "owned", "first_ms", "last_ms")
-
+from .registry import EV, query
 
 @query("A15_top_stacks", f"WITH {EV}, c AS (SELECT tid, k AS stack_index, count(*) AS n FROM ev WHERE kind = 'view' GROUP BY ALL) SELECT tid, stack_index, n, CAST(row_number() OVER (PARTITION BY tid ORDER BY n DESC, stack_index) AS INTEGER) AS place FROM c QUALIFY place <= 3")
 def top_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.top_stacks(tables.trace_events(spark, sf_dir).filter("kind = 'view'").select("tid", F.col("k").alias("stack_index")))
 
 
-@query("A16_thread_roles", f"WITH {PROFILE} SELECT tid, role FROM pr2")
-def thread_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(spark, sf_dir).select("tid", "role")
-
-
-@query("A17_role_totals", f"WITH {PROFILE} SELECT role, count(*) AS n, CAST(sum(samples) AS BIGINT) AS samples FROM pr2 GROUP BY 1")
-def role_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.sum("samples").alias("samples"))
-
-
-@query("W11_thread_rank", f"WITH {PROFILE} SELECT tid, CAST(row_number() OVER (ORDER BY role, wait_ms DESC, samples DESC, tid) AS INTEGER) AS place FROM pr2 ORDER BY place LIMIT 40")
-def thread_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _profiles(spark, sf_dir).orderBy("role", F.desc("wait_ms"), F.desc("samples"), "tid").limit(40)
-    return first.select("tid", F.row_number().over(Window.partitionBy().orderBy("role", F.desc("wait_ms"), F.desc("samples"), "tid")).alias("place"))
-
-
 @query("A20_adjustment_groups", f"""WITH {EV}, ad AS (SELECT seq AS adj, rel_ms AS at_ms FROM ev WHERE kind = 'signup'), m AS (SELECT adj, tid, arg_min(k % 6, [at_ms - rel_ms, CAST(seq AS DOUBLE)]) AS stack, min(at_ms - rel_ms) AS age FROM ad JOIN ev ON kind = 'view' AND at_ms - rel_ms >= 0 AND at_ms - rel_ms <= 3600000 GROUP BY ALL)
 SELECT adj, stack, count(*) AS n, list(tid ORDER BY tid)[1] AS first_tid, round(max(age), 3) AS oldest_ms FROM m GROUP BY ALL""")
 def adjustment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,20 +151,6 @@ def sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.join(managed, "address", "left").groupBy(F.coalesce("kind", F.lit("External")).alias("kind")).agg(F.sum("n").alias("n"))
 
 
-@query("P11_io_leaves", "SELECT p_partkey, (p_name LIKE 'a%' OR p_name LIKE 'b%' OR p_type = 'PROMO') AS io FROM part")
-def io_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.read(spark, sf_dir, "part")
-    return part.select("p_partkey", (classify.any_prefix(F.col("p_name"), ("a", "b")) | (F.col("p_type") == "PROMO")).alias("io"))
-
-
-@query("P12_frame_markers", "SELECT s_suppkey, (n_name LIKE 'A%' OR r_name LIKE 'A%' OR r_name LIKE 'EU%') AS marked FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def frame_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n, r = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    place = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey))
-    named = s.join(place, s.s_nationkey == F.col("n_nationkey"))
-    return named.select("s_suppkey", F.exists(F.array("n_name", "r_name"), lambda f: classify.any_prefix(f, ("A", "EU"))).alias("marked"))
-
-
 @query("P15_method_names", "SELECT p_partkey, concat('Shop.', replace(p_brand, '#', '_')) AS name FROM part")
 def method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tables.read(spark, sf_dir, "part")
