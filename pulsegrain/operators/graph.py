@@ -12,10 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def kept(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there.
+
+    The folder is the one the session names in spark.checkpoint.dir. Only a local session, as in
+    tests, may leave it unset and has one made: executors on other machines would not see that.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pulsegrain-graph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrain-"))
     return df.checkpoint(eager=True)
 
 
@@ -31,10 +40,10 @@ def breadth_first(edges: DataFrame, root: str) -> DataFrame:
         depth += 1
         met = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.concat("trail", F.array("ordinal")).alias("trail"))
         first = met.groupBy("node").agg(F.min(F.struct("trail", "parent")).alias("m")).select("node", "m.parent", F.lit(depth).alias("depth"), "m.trail")
-        frontier = _kept(first.join(seen.select("node"), "node", "left_anti"))
+        frontier = kept(first.join(seen.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _kept(seen.unionByName(frontier))
+        seen = kept(seen.unionByName(frontier))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -55,17 +64,17 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
     """
     spark = edges.sparkSession
     known = spark.createDataFrame([(root, [root])], "node string, path array<string>")
-    steps = _kept(edges.filter(F.col("dst") != root).select("src", "dst").distinct())
+    steps = kept(edges.filter(F.col("dst") != root).select("src", "dst").distinct())
     changed = known
     while True:
         affected = steps.join(changed.select(F.col("node").alias("src")), "src").select("dst").distinct()
         met = steps.join(affected, "dst").join(known, steps.src == known.node).groupBy("dst").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
         found = met.select(F.col("dst").alias("node"), F.concat(common_prefix(F.col("lo"), F.col("hi")), F.array("dst")).alias("path"))
         old = known.withColumnRenamed("path", "old")
-        changed = _kept(found.join(old, "node", "left").filter(~F.col("path").eqNullSafe(F.col("old"))).select("node", "path"))
+        changed = kept(found.join(old, "node", "left").filter(~F.col("path").eqNullSafe(F.col("old"))).select("node", "path"))
         if changed.isEmpty():
             return known
-        known = _kept(known.join(changed.select("node"), "node", "left_anti").unionByName(changed))
+        known = kept(known.join(changed.select("node"), "node", "left_anti").unionByName(changed))
 
 
 def retained_sizes(nodes: DataFrame, dominated: DataFrame) -> DataFrame:
@@ -107,6 +116,6 @@ def root_paths(nodes: DataFrame, parents: DataFrame, deepest: int = 24) -> DataF
         if walk.isEmpty():
             break
         step = typed.select(F.col("node").alias("up"), F.col("parent").alias("next"), F.col("type").alias("up_type"))
-        walk = _kept(walk.join(step, "up").select("node", "type", "size", F.col("next").alias("up"), F.concat("path", F.array("up_type")).alias("path")))
+        walk = kept(walk.join(step, "up").select("node", "type", "size", F.col("next").alias("up"), F.concat("path", F.array("up_type")).alias("path")))
     done = done.unionByName(walk)
     return done.groupBy("type", "path").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -165,9 +165,98 @@ def test_collections_pair_by_id_and_order_by_it(spark):
 
 
 def test_a_slow_background_collection_beside_a_fast_one(spark):
-    events = [(0.0, "suspend", 0, 0, 6, 0, 0), (1.0, "start", 5, 2, 1, 1, 0), (2.0, "restart", 0, 0, 0, 0, 0), (10.0, "suspend", 0, 0, 1, 0, 0), (11.0, "start", 6, 0, 1, 0, 0), (12.0, "heap_history", 0, 0, 0, 0, 0), (12.0, "heap_history", 0, 0, 0, 0, 1), (12.5, "heap_history", 0, 0, 0, 0, 1), (13.0, "end", 6, 0, 0, 0, 0), (14.0, "restart", 0, 0, 0, 0, 0), (50.0, "end", 5, 2, 0, 0, 0)]
+    events = [
+        (0.0, "suspend", 0, 0, 6, 0, 0), (0.5, "suspend_end", 0, 0, 0, 0, 0), (1.0, "start", 1, 2, 1, 1, 0), (2.0, "restart", 0, 0, 0, 0, 0), (10.0, "suspend", 0, 0, 1, 0, 0), (11.0, "start", 3, 0, 1, 0, 0),
+        (11.5, "global_history", 0, 0, 5, 0, 0), (12.0, "heap_history", 0, 0, 0, 0, 0), (12.0, "heap_history", 0, 0, 0, 0, 1), (12.5, "heap_history", 0, 0, 0, 0, 1), (13.0, "end", 3, 0, 0, 0, 0), (13.5, "heap_stats", 0, 0, 0, 0, 300), (14.0, "restart", 0, 0, 0, 0, 0),
+        (20.0, "suspend", 0, 0, 6, 0, 0), (23.0, "restart", 0, 0, 0, 0, 0), (40.0, "global_history", 0, 2, 9, 0, 0), (41.0, "heap_history", 0, 0, 0, 0, 7), (42.0, "heap_stats", 0, 0, 0, 0, 100), (50.0, "end", 1, 2, 0, 0, 0),
+    ]
     got = walk(spark, events)
-    assert list(got) == [5, 6] and got[6].pause_ms == 4.0 and got[6].heaps == 2 and got[5].pause_ms == 3.0
+    assert sorted(got) == [1, 3]
+    assert (got[3].pause_ms, got[3].heaps, got[3].heap_size, got[3].reason) == (4.0, 2, 300, 5)
+    assert (got[1].pause_ms, got[1].heaps, got[1].heap_size, got[1].reason) == (5.0, 1, 100, 9)
+
+
+def plain_walk(rows):
+    """Collections of one capture by a walk through its events; see gc.correlate for the rules."""
+    gcs, queues = {}, {}
+    batch = ended = started = background = None
+    pending = pending_end = susp = None
+    restarted, firm = set(), set()
+    for t, kind, i, generation, reason, how, value in rows:
+        if kind == "start":
+            begin = t if pending is None else pending
+            gcs[i] = {"id": i, "generation": generation, "reason": reason, "type": how, "start_ms": t, "begin": begin, "pause_ms": 0.0, "end_ms": None, "heap_size": None, "heaps": set()}
+            pending, started = None, i
+            if how == gc.BACKGROUND:
+                background = i
+                if pending_end is not None:
+                    gcs[i]["pause_ms"] = pending_end - begin
+                    firm.add(i)
+            queues.setdefault(generation, []).append(i)
+        elif kind == "end":
+            if i in gcs:
+                gcs[i]["end_ms"] = t
+                if i not in firm:
+                    gcs[i]["pause_ms"] = t - gcs[i]["start_ms"]
+            ended = i
+            background = None if background == i else background
+        elif kind == "heap_stats":
+            for g in (batch, ended):
+                if g in gcs and gcs[g]["heap_size"] is None:
+                    gcs[g]["heap_size"] = value
+                    break
+        elif kind == "heap_history" and batch in gcs:
+            gcs[batch]["heaps"].add(value)
+        elif kind == "global_history":
+            queue = queues.get(generation)
+            batch = queue.pop(0) if queue else None
+            if batch is not None:
+                gcs[batch]["reason"] = reason
+        elif kind == "suspend" and reason in (gc.FOR_GC, gc.FOR_PREPARATION):
+            pending, susp = t, (t, reason)
+        elif kind == "suspend_end":
+            pending_end = t
+        elif kind == "restart":
+            if started is not None and started not in restarted:
+                restarted.add(started)
+                firm.add(started)
+                gcs[started]["pause_ms"] = t - gcs[started]["begin"]
+            elif background is not None and susp and susp[1] == gc.FOR_PREPARATION:
+                gcs[background]["pause_ms"] += t - susp[0]
+                firm.add(background)
+            susp = None
+    return {g["id"]: (g["generation"], g["reason"], g["type"], g["start_ms"], g["end_ms"], round(g["pause_ms"], 6), g["heap_size"], len(g["heaps"])) for g in gcs.values() if g["end_ms"] is not None}
+
+
+def test_correlation_of_the_query_equals_a_plain_walk(spark):
+    from pulsegrain.plans import threads
+
+    events = threads.gc_events(spark, "/root/testdata/sf0.001")
+    rng = random.Random(4)
+    made = []
+    for c in range(25):
+        opened, open_ids = 0, []
+        for k in range(80):
+            kind = rng.choice(["start", "end", "suspend", "suspend_end", "restart", "restart", "heap_stats", "heap_history", "global_history", "global_history"])
+            i = 0
+            if kind == "start":
+                opened += 1
+                i = opened
+                open_ids.append(i)
+            elif kind == "end":
+                if not open_ids:
+                    continue
+                i = open_ids.pop(rng.randrange(len(open_ids)))
+            made.append((f"m{c}", k, float(k), kind, i, rng.randrange(3), rng.choice([1, 6, 6, 2]), int(rng.random() < 0.4), rng.randrange(5) if kind == "heap_history" else rng.randrange(1000)))
+    fuzz = spark.createDataFrame(made, GC)
+    for df in (fuzz, events):
+        rows = {}
+        for r in df.orderBy("rel_ms", "seq").collect():
+            rows.setdefault(r.capture, []).append((r.rel_ms, r.kind, r.gc_id, r.generation, r.reason, r.type, r.value))
+        want = {(c, i): v for c, x in rows.items() for i, v in plain_walk(x).items()}
+        got = {(r.capture, r.id): (r.generation, r.reason, r.type, r.start_ms, r.end_ms, round(r.pause_ms, 6), r.heap_size, r.heaps) for r in gc.correlate(df).collect()}
+        assert set(got) == set(want) and len(got) > 20
+        assert got == want
 
 
 def test_diff_keeps_both_sides_and_finite_rates(spark):
