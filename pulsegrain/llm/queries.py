@@ -20,7 +20,7 @@ def tokenizer_file(name: str) -> str:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), byte_fallback=True)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,21 @@ def test_cache_stays_bounded():
     cache = WordCache(len, size=10)
     assert [cache[str(k)] for k in range(100)] == [len(str(k)) for k in range(100)]
     assert len(cache) <= 10 and len(cache.older) <= 10
+
+
+def test_unknown_characters_fall_back_to_bytes(spark):
+    pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("▁a", -1.5), ("b", -2.0)]
+    counter = token_counts.CountOnlyViterbi(tuple(pieces), byte_fallback=True)
+    in_bytes = [(f"<0x{b:02X}>", -100.0) for b in range(256)]
+    unigram = Tokenizer(models.Unigram(pieces + in_bytes, unk_id=0, byte_fallback=True))
+    unigram.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace()])
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("aab☃é😀x ") for _ in range(12))
+        assert counter(text)[0] == len(unigram.encode(text).ids), text
+    path = tokenizer_file("piece_bpe_32k.model")
+    df, rows = frame(spark)
+    plain = {(r.doc_id, r.n_chars): r.n_tokens for r in token_counts.token_counts(df, path).collect()}
+    for r in token_counts.token_counts(df, path, byte_fallback=True).collect():
+        assert r.n_tokens >= plain[r.doc_id, r.n_chars]
+    assert token_counts.token_counts(df.limit(0), path, byte_fallback=True).count() == 0
