@@ -1,14 +1,16 @@
 """Exact top-k inner-product search by the threshold algorithm.
 
 The candidates are dealt into blocks; each block keeps, for every dimension, its vectors sorted by
-that component. For a query the lists are read from their good ends in parallel; each newly met
+that component, made once; queries stream past it. For a query the lists are read from their good ends in parallel; each newly met
 vector gets its full score, and reading stops when the bound, the score of a vector made of the
-last components read, is below the k-th best score. Queries come in blocks too, so no side is ever
-held whole. The best k of all blocks are then ranked for each query.
+last components read, is below the k-th best score. A task holds one block of candidates and a batch
+of queries, so no side is ever held whole. The best k of all blocks are then ranked for each query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +20,8 @@ from .common import cut_lineage
 
 K = 20
 SCALE = 64
-#: Vectors of a block of candidates, and queries of a block of queries (in expectation).
-CANDIDATES, QUERIES = 16384, 1024
+#: Vectors of a block of candidates (in expectation).
+CANDIDATES = 8192
 FIRST_DEPTH = 64
 
 
@@ -44,7 +46,7 @@ def threshold_search(matrix: np.ndarray, ids: np.ndarray, order: np.ndarray, que
     seen = ids == own
     left = n - int(seen.sum())
     best = np.empty(0, dtype=np.int64)
-    scores = np.empty(0)
+    scores = np.empty(0, dtype=query.dtype)
     at, depth = 0, FIRST_DEPTH
     while left:
         to = min(n, at + depth)
@@ -74,39 +76,69 @@ def threshold_search(matrix: np.ndarray, ids: np.ndarray, order: np.ndarray, que
     return best[rank], scores[rank]
 
 
-def _search_block(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    for size, own in candidates.groupby(candidates["v"].map(len)) if len(candidates) else ():
-        ask = queries[queries["v"].map(len) == size]
-        matrix, ids = np.stack(own["v"].to_numpy()).astype(float).reshape(len(own), -1), own["id"].to_numpy()
-        # a null id equals no other, and pandas makes it NaN
-        order = np.argsort(matrix, axis=0, kind="stable").T.copy()
-        for query_id, v in zip(ask["id"].to_numpy(), ask["v"], strict=True):
-            at, scores = threshold_search(matrix, ids, order, np.asarray(v, dtype=float), query_id, k)
-            out["query_id"].append(np.full(len(at), query_id))
-            out["vec_id"].append(ids[at])
-            out["score"].append(scores.astype(np.int64))
-    return pd.DataFrame({c: np.concatenate(x) if x else np.empty(0, dtype=np.int64) for c, x in out.items()})
-
-
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+class Block:
+    """Candidates of one length with their sorted lists."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
+        self.ids = ids
+        self.whole = np.stack(vectors).astype(np.int64).reshape(len(vectors), -1)
+        self.largest = int(np.abs(self.whole.astype(object)).max()) if self.whole.size else 0
+        self.matrix = self.whole.astype(float)
+        self.order = np.argsort(self.whole, axis=0, kind="stable").T.copy()
+
+    def search(self, query_id: int, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        # doubles hold whole numbers below 2**53; larger scores are summed as 64-bit whole numbers
+        bound = len(v) * self.largest * max(map(abs, map(int, v)), default=0)
+        if bound >= 1 << 63:
+            raise OverflowError(f"scores of query {query_id} may not fit into 64 bits")
+        exact = bound >= 1 << 53
+        at, scores = threshold_search(self.whole if exact else self.matrix, self.ids, self.order, np.asarray(v, dtype=np.int64 if exact else float), query_id, k)
+        return self.ids[at], scores.astype(np.int64)
+
+
+def _search(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Rows come by block, candidates before queries."""
+    at, waiting, blocks = None, [], None
+    for frame in frames:
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        for (block, asks), part in frame.groupby(["block", "asks"], sort=True):
+            if block != at:
+                at, waiting, blocks = block, [], None
+            if not asks:
+                waiting += zip(part["id"].tolist(), part["v"], strict=True)
+                continue
+            if blocks is None:
+                by_length: dict[int, list] = {}
+                for i, v in waiting:
+                    by_length.setdefault(len(v), []).append((i, v))
+                blocks = {n: Block(np.array([i for i, _ in rows], dtype=np.int64), [v for _, v in rows]) for n, rows in by_length.items()}
+                waiting = []
+            for query_id, v in zip(part["id"].tolist(), part["v"], strict=True):
+                if len(v) in blocks:
+                    ids, scores = blocks[len(v)].search(query_id, v, k)
+                    out["query_id"].append(np.full(len(ids), query_id))
+                    out["vec_id"].append(ids)
+                    out["score"].append(scores)
+        yield pd.DataFrame({c: np.concatenate(x) if x else np.empty(0, dtype=np.int64) for c, x in out.items()})
+
+
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query.
 
     Queries are the rows whose id fulfils is_query (a condition on the column "id"); candidates
-    are all rows but the query's own id. Scores are inner products of quantized vectors, exact as
-    long as they are below 2**53; ties go to the smaller id. Rows with a null id or an unusable
-    vector take no part; a vector of another length is no candidate. Repeated rows count as often
-    as they occur. Fewer candidates than k are all returned; an empty table gives none.
+    are all rows but the query's own id. Scores are inner products of quantized vectors, exact
+    within 64 bits; one that may lie beyond is an error. Ties go to the smaller id. Rows with a null id or an unusable
+    vector take no part; a vector of another length is no candidate. A repeated candidate counts as
+    often as it occurs; a repeated query asks once, with each of its different vectors its results
+    are ranked together. Fewer candidates than k are all returned; an empty table gives none.
     """
     usable = cut_lineage(quantized(vectors, id_col, vector_col, scale).filter(F.col("id").isNotNull()))
-    asked = usable.filter(is_query)
-    blocks, parts = max(1, -(-usable.count() // candidates)), max(1, -(-asked.count() // queries))
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = usable.select("id", "v", deal(blocks).alias("block"), every(parts).alias("part"))
-    right = asked.select("id", "v", deal(parts).alias("part"), every(blocks).alias("block"))
-    search = lambda key, c, q: _search_block(key, c, q, k)
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    asked = usable.filter(is_query).distinct()
+    blocks = max(1, -(-usable.count() // candidates))
+    own = usable.select("id", "v", F.pmod(F.xxhash64("id", F.lit(blocks)), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"))
+    every = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
+    dealt = own.unionByName(every).repartition("block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInPandas(lambda frames: _search(frames, k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -123,7 +123,7 @@ def test_top_k_equals_brute_force(spark):
     vectors[300] = 0
     rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6), (904, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk_search.top_k(df, F.col("id") % 20 == 0, k=7, candidates=60, queries=9).collect()
+    got = topk_search.top_k(df, F.col("id") % 20 == 0, k=7, candidates=60).collect()
     q = np.floor(vectors * 64).astype(int)
     want = []
     for k in range(0, 400, 20):
@@ -260,3 +260,16 @@ def test_spaced_seeds_keys_and_long_lists(spark):
     assert got[0].n_phone == got[0].n_spans == 1 and got[0].spans.startswith("phone:18:")
     assert got[300].spans == "secret:17:25" and got[400].n_email == 30_000 and got[401].spans == "secret:23:25" and got[None].spans == "secret:13:15"
     assert got[229].spans.startswith("secret:") and got[302].spans == ""
+
+
+def test_large_scores_are_exact_and_repeated_rows_count(spark):
+    big = float(1 << 22)
+    rows = [(20, [big, 1.0, 0.5]), (1, [big, 1.0, 0.5]), (2, [big, 1.0, 0.5 + 1 / 64]), (3, [big, 1.0, 0.5]), (3, [big, 1.0, 0.5]), (20, [big, 1.0, 0.5]), (4, [-big, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, block int, v int")
+    got = topk_search.top_k(df, F.col("id") % 20 == 0, candidates=3).collect()
+    whole = lambda v: [int(np.floor(64 * x)) for x in v]
+    q = whole(rows[0][1])
+    want = sorted(((-sum(a * b for a, b in zip(q, whole(v), strict=True)), i) for i, v in rows if i != 20))
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    assert got[0].score > 1 << 53
+    assert topk_search.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
