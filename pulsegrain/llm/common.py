@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,19 +25,35 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all machines share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (local tests) a folder is made.
+    Only a local session, as in tests, may leave it unset and has one made.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="pulsegrain-checkpoint-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there."""
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrain-checkpoint-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet below the shared checkpoint folder and reads it from there."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -33,6 +33,8 @@ BYTE_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))
 PART = 65536
 #: Members of a key that one task compares at once; larger keys are split into blocks.
 BLOCK = 4096
+#: Fingerprints whose keys one task makes.
+PER_TASK = 16384
 
 
 def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -152,7 +154,8 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the fingerprints of column fp as the links at MAX_BITS do."""
-    keys = _keys(distinct)
+    # a fingerprint becomes 80 keys, so they are dealt into parts of a fixed number first
+    keys = _keys(distinct.repartition(max(1, -(-distinct.count() // PER_TASK)), "fp"))
     counts = keys.groupBy("key").count().filter("count > 1")
     shared = keys.join(counts, "key")
     blocks = F.ceil(F.col("count") / block).cast("int")
@@ -173,7 +176,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col))
     named = _named(fps, F.col("id"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # read back from disk, both sides of the join are plain shuffles, whose hot keys Spark splits
+    named = cut_lineage(named)
+    least = cut_lineage(named.groupBy("component").agg(F.min("least").alias("component_id")))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
