@@ -3,7 +3,8 @@
 Words are hashed to embeddings; filters of several widths run over them and the largest response
 of each filter in the text goes to a logistic layer. The score is mapped so that 0.3 is the cut
 with the best F1 on all labelled rows that the classifier was not trained on, counted by the sizes
-of the classes; cuts by language are calibrated there as well.
+of the classes. Cuts by language are calibrated there as well; a text's language is the one whose
+words it has, as learned from the training rows, so that decisions by language need no label.
 """
 
 from __future__ import annotations
@@ -68,19 +69,32 @@ class Model:
     offset: float
     cut: float = 0.5
     by_language: dict[str, float] = field(default_factory=dict)
+    languages: list[str] = field(default_factory=list)
+    speech: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), dtype=np.float32))  # log-likelihoods of buckets
 
     def word(self, word: str) -> bytes:
-        return self.taps[np.frombuffer(buckets(word), dtype=np.int32)].sum(axis=0).tobytes()
+        """Taps of the embeddings of a word, and its log-likelihood in each language."""
+        ids = np.frombuffer(buckets(word), dtype=np.int32)
+        return np.concatenate([self.taps[ids].sum(axis=0).ravel(), self.speech[ids].sum(axis=0)]).astype(np.float32).tobytes()
 
     def raw_ids(self, ids: np.ndarray) -> float:
         """The score of a text by its word_ids."""
         return self._raw(self.taps[ids[at : at + PART + max(WIDTHS)]].sum(axis=1) for at in range(0, len(ids), PART))
 
-    def raw(self, text: str, look: WordCache) -> float:
-        """The score of a text; look remembers self.word."""
-        words, end = text.split(), self.taps[0].tobytes() * max(WIDTHS)
-        parts = (b"".join(map(look.__getitem__, words[at : at + PART + max(WIDTHS)])) + end for at in range(0, len(words) + 1, PART))
-        return self._raw(np.frombuffer(p, dtype=np.float32).reshape(-1, sum(WIDTHS), FILTERS) for p in parts)
+    def raw(self, text: str, look: WordCache) -> tuple[float, str | None]:
+        """The score and the language of a text; look remembers self.word."""
+        words, size = text.split(), sum(WIDTHS) * FILTERS
+        end = np.concatenate([self.taps[0].ravel(), np.zeros(len(self.languages))]).astype(np.float32).tobytes() * max(WIDTHS)
+        spoken = np.zeros(len(self.languages))
+
+        def parts() -> Iterator[np.ndarray]:
+            for at in range(0, len(words) + 1, PART):
+                rows = np.frombuffer(b"".join(map(look.__getitem__, words[at : at + PART + max(WIDTHS)])) + end, dtype=np.float32).reshape(-1, size + len(spoken))
+                spoken[:] += rows[:PART, size:].sum(axis=0)
+                yield rows[:, :size].reshape(-1, sum(WIDTHS), FILTERS)
+
+        score = self._raw(parts())
+        return score, self.languages[int(spoken.argmax())] if words and self.languages else None
 
     def _raw(self, parts: Iterator[np.ndarray]) -> float:
         tops = [np.full(FILTERS, -np.inf, dtype=np.float32) for _ in WIDTHS]
@@ -112,22 +126,22 @@ def _sig(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int) -> pd.DataFrame:
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> pd.DataFrame:
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
     picked = F.broadcast(known.filter(draw < share))  # some 2 * per_class rows
-    rows = docs.select(id_col, F.col(text_col).alias("text"), _sig(text_col).alias("sig")).join(picked, id_col)
+    rows = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig")).join(picked, id_col)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
             ids = pa.array([word_ids(t).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, batch.column("label"), batch.column("sig")], names=["id", "ids", "label", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, batch.column("label"), batch.column("lang"), batch.column("sig")], names=["id", "ids", "label", "lang", "sig"])
 
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), "text", "label", "sig")
-    found = rows.mapInArrow(numbered, "id string, ids binary, label int, sig long").toPandas()
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), "text", "label", "lang", "sig")
+    found = rows.mapInArrow(numbered, "id string, ids binary, label int, lang string, sig long").toPandas()
     return found.sort_values("id", kind="stable").drop_duplicates(["ids", "label"]).reset_index(drop=True)
 
 
@@ -204,6 +218,18 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: in
     return Model(taps, params["bias"], params["weights"], float(params["offset"][0]))
 
 
+def _speech(rows: list[np.ndarray], langs: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Languages and, for each, log-likelihoods of the buckets of words; a word counts once in a text."""
+    languages = sorted({x for x in langs if x})
+    counts = np.full((BUCKETS, len(languages)), 0.5)
+    for ids, lang in zip(rows, langs, strict=True):
+        if lang:
+            counts[np.unique(ids), languages.index(lang)] += 1
+    found = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    found[0] = 0
+    return languages, found
+
+
 def best_cut(bins: pd.DataFrame) -> float:
     """The cut with the best F1, midway between the scores beside it; 0.5 if a class is missing.
 
@@ -239,9 +265,9 @@ def calibrate(model: Model, scored: DataFrame, trained: list[int]) -> None:
     model.by_language = {str(lang): sized(part) for lang, part in bins[bins["lang"].notna()].groupby("lang")}
 
 
-def _fit_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int) -> tuple[Model, list[int]]:
+def _fit_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> tuple[Model, list[int]]:
     """A model trained on three quarters of a bounded sample, and the hashes of these texts."""
-    rows = _sample(docs, known, id_col, text_col, per_class)
+    rows = _sample(docs, known, id_col, text_col, lang_col, per_class)
     ids, y = [np.frombuffer(b, dtype=np.int32).reshape(-1, len(STEMS)) for b in rows["ids"]], rows["label"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         none = np.zeros((BUCKETS, sum(WIDTHS), FILTERS), np.float32)
@@ -249,7 +275,9 @@ def _fit_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, p
     held = np.array([zlib.crc32(f"{i}".encode()) % 16 >= 12 for i in rows["id"]])
     if held.all() or not held.any():
         held = np.arange(len(y)) % 4 == 3
-    return train([x for x, h in zip(ids, held, strict=True) if not h], y[~held]), rows["sig"][~held].tolist()
+    model = train([x for x, h in zip(ids, held, strict=True) if not h], y[~held])
+    model.languages, model.speech = _speech(ids, [x if isinstance(x, str) else None for x in rows["lang"]])
+    return model, rows["sig"][~held].tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -259,9 +287,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     labels of both classes every score is below the cut.
     """
     known = _known(labels, learn, id_col, label_col)
-    model, trained = _fit_sample(docs, known, id_col, text_col, per_class)
+    model, trained = _fit_sample(docs, known, id_col, text_col, lang_col, per_class)
     if trained:
-        keep = (F.col("label"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig"))
+        keep = (F.col("label"), _sig(text_col).alias("sig"))
         calibrate(model, _raw_scores(docs.join(known, id_col), model, text_col, keep), trained)
     return model
 
@@ -270,7 +298,7 @@ _TAPS: tuple[int, WordCache] | None = None
 
 
 def _raw_scores(docs: DataFrame, model: Model, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
-    """Columns `keep` and p, the score before calibration, for each row of docs."""
+    """Columns `keep`, p, the score before calibration, and lang, the text's language, for each row of docs."""
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times filters floats
@@ -283,44 +311,41 @@ def _raw_scores(docs: DataFrame, model: Model, text_col: str, keep: tuple[Column
         if _TAPS is None or _TAPS[0] != version:
             _TAPS = (version, WordCache(known.word, size=150_000))
         for batch, texts in text_batches(batches, "__text"):
-            raw = np.array([known.raw(t, _TAPS[1]) for t in texts])
+            raw = [known.raw(t, _TAPS[1]) for t in texts]
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(raw)], names=[*batch.schema.names[:-1], "p"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p for p, _ in raw], pa.float64()), pa.array([x for _, x in raw], pa.string())], names=[*batch.schema.names[:-1], "p", "lang"])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "p double"]))
+    return kept.mapInArrow(run, ", ".join([*fields, "p double, lang string"]))
 
 
-def _final(model: Model) -> tuple[Column, Column]:
-    final = calibrated(F.col("p"), model.cut)
-    return final.alias("score"), (final >= CUT).cast("int").alias("predicted")
+def _final(model: Model) -> tuple[Column, ...]:
+    final, cut = calibrated(F.col("p"), model.cut), F.lit(model.cut)
+    for name, own in model.by_language.items():
+        cut = F.when(F.col("lang") == name, own).otherwise(cut)
+    return final.alias("score"), (final >= CUT).cast("int").alias("predicted"), F.col("lang").alias("text_lang"), (F.col("p") >= cut).cast("int").alias("toxic_by_language")
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Columns `keep`, score, and predicted (score >= 0.3) for each row of docs.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Columns `keep`, score, predicted (score >= 0.3), text_lang and toxic_by_language for each row of docs.
 
-    With lang_col, also toxic_by_language: the cut calibrated for the row's language. Whole texts
-    are scored; null and empty ones too.
+    text_lang is the language that the words of the text are likeliest in, null if there are none,
+    and toxic_by_language the decision by its own cut. Whole texts are scored; null and empty ones too.
     """
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    raw = _raw_scores(docs, model, text_col, (*keep, lang.alias("__lang")))
-    cut = F.lit(model.cut)
-    for name, own in model.by_language.items():
-        cut = F.when(F.col("__lang") == name, own).otherwise(cut)
-    by_language = [(F.col("p") >= cut).cast("int").alias("toxic_by_language")] if lang_col else []
-    return raw.select(*[c for c in raw.columns if c not in ("__lang", "p")], *_final(model), *by_language)
+    raw = _raw_scores(docs, model, text_col, keep)
+    return raw.select(*[c for c in raw.columns if c not in ("p", "lang")], *_final(model))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs.
+    """doc_id, held_out, score, predicted, text_lang and toxic_by_language for each row of docs.
 
     Labels of ids whose crc32 mod 4 is 2 are never learned from. Null ids count as empty text
     there; repeated rows each come back; an empty table gives an empty result.
     """
     rest = remainder_of_id(F.col(id_col))
     known = _known(labels, rest != 2, id_col, "toxic").withColumnRenamed(id_col, "known_id")
-    model, trained = _fit_sample(docs, known.withColumnRenamed("known_id", id_col), id_col, text_col, SAMPLE_PER_CLASS)
+    model, trained = _fit_sample(docs, known.withColumnRenamed("known_id", id_col), id_col, text_col, lang_col, SAMPLE_PER_CLASS)
     # scored once; the cut is chosen from the scores of the labelled rows
-    keep = (F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig"))
+    keep = (F.col(id_col).alias("id"), _sig(text_col).alias("sig"))
     raw = cut_lineage(_raw_scores(docs, model, text_col, keep))
     if trained:
         calibrate(model, raw.join(known, raw["id"] == known["known_id"]), trained)

@@ -105,7 +105,7 @@ def test_the_cut_counts_classes_by_their_sizes(spark):
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     for per_class in (150, 5000):  # a sample of equal classes, and all rows
         model = toxicity.fit(df, lab, F.lit(True), per_class=per_class)
-        got = toxicity.score(df, model, "text", "lang", (F.col("doc_id"),)).collect()
+        got = toxicity.score(df, model, "text", (F.col("doc_id"),)).collect()
         for name in ("predicted", "toxic_by_language"):
             assert sum(r[name] for r in got if r.doc_id % 10) < 0.05 * 2700, (per_class, name)
             assert sum(r[name] for r in got if r.doc_id % 10 == 0) > 0.4 * 300, (per_class, name)
@@ -273,3 +273,24 @@ def test_large_scores_are_exact_and_repeated_rows_count(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
     assert got[0].score > 1 << 53
     assert topk_search.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_decisions_by_language_go_by_the_text(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for k in range(1200):
+        lang = "xy"[k % 2]
+        text = [lang + "".join(rng.choice("aeiou") for _ in range(4)) for _ in range(30)]
+        toxic = k % 6 < 2 and rng.random() < 0.9
+        text[rng.randrange(30)] = "vile" if toxic else text[0]
+        docs.append((k, " ".join(text), lang if k % 3 else None, 0.0))
+        labels.append((k, int(toxic)))
+    df = spark.createDataFrame([*docs, (5000, "", "x", 0.0), (None, None, None, 0.0)], "doc_id long, text string, lang string, p double")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
+    assert all(got[k].text_lang == "xy"[k % 2] for k in range(1200)) and got[5000].text_lang is None
+    truth = dict(labels)
+    assert sum(got[k].toxic_by_language == truth[k] for k in truth) > 0.97 * len(truth)
+    assert toxicity.toxicity(df.limit(0), lab).count() == 0
+    same = toxicity.toxicity(df.withColumn("lang", F.lit("y")), lab)
+    assert all(r.score == got[r.doc_id].score for r in same.collect())  # lang is no input of a score
