@@ -4,6 +4,8 @@ A labelled table names the domain of some documents. A naive Bayes classifier ov
 word ends learns from them and gives each document the posterior of each domain. Then a projected
 gradient least-squares fit finds a rate for each document, never negative, such that the expected
 tokens of each domain (tokens * rate * posterior, summed over all documents) match the targets.
+Copies are whole numbers: a document's draw is held against its rate, moved by one shift for each
+domain, chosen so that the drawn tokens of the domain's documents are as many as the rates say.
 Everything runs in DataFrame expressions; the driver only sees sums for each domain.
 """
 
@@ -24,6 +26,9 @@ WORD_BUCKETS, END_BUCKETS = 4096, 1024
 #: A posterior counts at most so many words as independent evidence.
 EVIDENCE = 40.0
 
+#: Steps of a shift of the draws, to one unit.
+SHIFTS = 4096
+
 #: Domains of the labels table, and the shares of tokens they are mixed to.
 LABELLED = {"toxic": "toxic = 1", "good": "coalesce(toxic, 0) <> 1 AND quality = 1", "low": "coalesce(toxic, 0) <> 1 AND quality = 0"}
 TARGETS = {"good": 0.88, "low": 0.09, "toxic": 0.03}
@@ -148,38 +153,93 @@ def fit_rates(soft: DataFrame, targets: list[float], rounds: int = 25, tolerance
     return steps, error
 
 
-def copies(rate: Column, id_col: str) -> Column:
-    """A whole number of copies whose mean over ids is the rate; the same in every run."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number from 0 to 1, the same in every run; texts of one id or of none have their own."""
+    return F.pmod(F.xxhash64(doc_id, F.xxhash64(text), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", labelled: dict[str, str] | None = None) -> tuple[Classifier, list[list[float]], DataFrame]:
-    """(classifier, steps, rates); rates has a row per row of docs.
+def _domain(posterior: Column) -> Column:
+    """The place of the likeliest domain, from 1; of equal ones the first."""
+    return F.array_position(posterior, F.array_max(posterior)).cast("int")
 
-    Its columns: doc_id, tokens (words), a posterior p_<domain> for each domain, rate and copies.
-    Domains without a target keep nothing; targets are scaled to a sum of 1 over the domains that
-    the labels have. Without labels every rate is 1. Null and empty texts have 0 tokens, the prior
-    as posterior and thus the rate of a mean document. Targets that no rates meet are approached
-    in least squares. Repeated rows each come back; null ids too.
+
+def fit_shifts(soft: DataFrame, steps: list[list[float]], domains: int) -> list[float]:
+    """The shift of each domain with which its drawn tokens come closest to what the rates say.
+
+    soft has tokens, p and draw. An extra copy is drawn where draw less the rate's fraction lies
+    below the shift; without a shift that holds in the mean only, and a few long documents part
+    the drawn tokens from the mean. Two numbers for each step go to the driver.
     """
+    rate = rate_after(steps, F.col("p"))
+    rows = soft.select("tokens", "draw", _domain(F.col("p")).alias("domain"), (rate - F.floor(rate)).alias("part")).filter("part > 0")
+    bins = rows.groupBy("domain", F.floor((F.col("draw") - F.col("part")) * SHIFTS).alias("bin")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("part")).alias("due"))
+    found = bins.toPandas().sort_values("bin")
+    shifts = [0.0] * domains
+    for domain, own in found.groupby("domain"):
+        drawn = np.concatenate([[0], own["tokens"].cumsum().to_numpy(dtype=float)])
+        k = int(np.argmin(np.abs(drawn - float(own["due"].sum()))))
+        shifts[int(domain) - 1] = float(own["bin"].iloc[k - 1] + 1) / SHIFTS if k else -1.0
+    return shifts
+
+
+def copies(rate: Column, posterior: Column, drawn: Column, shifts: list[float]) -> Column:
+    """A whole number of copies; a rate that is a whole number is kept."""
+    part = rate - F.floor(rate)
+    shift = F.element_at(F.array(*map(F.lit, shifts)), _domain(posterior)) if shifts else F.lit(0.0)
+    return (F.floor(rate) + F.when((part > 0) & (F.floor((drawn - part) * SHIFTS) < shift * SHIFTS), 1).otherwise(0)).cast("int")
+
+
+@dataclass
+class Mix:
+    """What the fit found: the classifier, the gradient steps, the error that is left, and shifts of the draws."""
+
+    classifier: Classifier
+    steps: list[list[float]]
+    error: float
+    shifts: list[float]
+
+
+def fit_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", labelled: dict[str, str] | None = None, tokens_col: str | None = None) -> tuple[Mix, DataFrame]:
+    """The fit, and doc_id, tokens, p and draw of each row of docs."""
     classifier = fit_classifier(docs, labels, id_col, text_col, labelled)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    soft = classifier.add_posteriors(texts, "text").select("doc_id", F.col("__n").cast("long").alias("tokens"), F.col("__p").alias("p"))
+    given = F.col(tokens_col).cast("long") if tokens_col else F.lit(None).cast("long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), given.alias("given"))
+    soft = classifier.add_posteriors(texts, "text")
+    soft = soft.select("doc_id", F.coalesce("given", F.col("__n")).cast("long").alias("tokens"), F.col("__p").alias("p"), draw(F.col("doc_id"), F.col("text")).alias("draw"))
     soft = cut_lineage(soft)
     aims = [max(0.0, (targets or TARGETS).get(d, 0.0)) for d in classifier.domains]
     aims = [a / (sum(aims) or 1) for a in aims]
-    steps = fit_rates(soft, aims)[0] if classifier.domains else []
-    rate = rate_after(steps, F.col("p"))
-    rates = soft.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(classifier.domains)], rate.alias("rate"))
-    return classifier, steps, rates.withColumn("copies", copies(F.col("rate"), "doc_id"))
+    steps, error = fit_rates(soft, aims) if classifier.domains else ([], 0.0)
+    shifts = fit_shifts(soft, steps, len(classifier.domains)) if steps else []
+    return Mix(classifier, steps, error, shifts), soft
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as its rate says; all columns of docs come back."""
-    classifier, steps, _ = mix(docs, labels, targets, id_col, text_col)
-    if not steps:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", labelled: dict[str, str] | None = None, tokens_col: str | None = None) -> tuple[Classifier, list[list[float]], DataFrame]:
+    """(classifier, steps, rates); rates has a row per row of docs.
+
+    Its columns: doc_id, tokens (of tokens_col, else words), a posterior p_<domain> for each domain,
+    rate, copies and fit_error, the largest difference from the targets that the rates leave.
+    Domains without a target keep nothing; targets are scaled to a sum of 1 over the domains that
+    the labels have. Without labels every rate is 1. Null and empty texts have 0 tokens, the prior
+    as posterior and thus the rate of a mean document. Targets that no rates meet are approached
+    in least squares. Repeated rows each come back; null ids too. An empty table gives none.
+    """
+    found, soft = fit_mix(docs, labels, targets, id_col, text_col, labelled, tokens_col)
+    rate = rate_after(found.steps, F.col("p"))
+    rates = soft.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(found.classifier.domains)], rate.alias("rate"), copies(rate, F.col("p"), F.col("draw"), found.shifts).alias("copies"))
+    return found.classifier, found.steps, rates.withColumn("fit_error", F.lit(found.error))
+
+
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """docs with each row as often as its copies say; all columns of docs come back.
+
+    Rows with null or equal ids are told apart by their texts. An empty table stays empty.
+    """
+    found, _ = fit_mix(docs, labels, targets, id_col, text_col, None, tokens_col)
+    if not found.steps:
         return docs
-    soft = classifier.add_posteriors(docs, text_col).withColumn("__rate", rate_after(steps, F.col("__p")))
-    often = soft.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), id_col))))
-    return often.drop("__n", "__p", "__rate", "__copy")
+    # what the operator needs goes by names of its own; the columns of docs come along as they are
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    soft = found.classifier.add_posteriors(kept, "__text").withColumn("__rate", rate_after(found.steps, F.col("__p")))
+    often = soft.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col("__p"), draw(F.col("__id"), F.col("__text")), found.shifts))))
+    return often.select("__row.*")

@@ -294,3 +294,34 @@ def test_decisions_by_language_go_by_the_text(spark):
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
     same = toxicity.toxicity(df.withColumn("lang", F.lit("y")), lab)
     assert all(r.score == got[r.doc_id].score for r in same.collect())  # lang is no input of a score
+
+
+def shares_drawn(rows, domains):
+    total = sum(r.tokens * r.copies for r in rows)
+    return {d: sum(r.tokens * r.copies * r[f"p_{d}"] for r in rows) / total for d in domains}
+
+
+def test_drawn_copies_meet_near_and_far_targets(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for aims in (mixing.TARGETS, {"good": 0.5, "low": 0.4, "toxic": 0.1}, {"good": 1.0, "low": 0.0, "toxic": 0.0}):
+        _, steps, rates = mixing.mix(docs, labels, aims)
+        rows = rates.collect()
+        assert steps and min(r.rate for r in rows) >= 0 and all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+        total = sum(r.tokens for r in rows)
+        got = {d: sum(r.tokens * r.rate * r[f"p_{d}"] for r in rows) / total for d in aims}
+        assert max(abs(got[d] - aims[d]) for d in aims) <= rows[0].fit_error + 1e-9
+        drawn = shares_drawn(rows, aims)
+        assert all(abs(drawn[d] - got[d] / sum(got.values())) < 0.012 for d in aims), (drawn, got)
+    assert any(r.rate == 0 for r in rows)  # the far target cuts rates off at 0
+
+
+def test_mixing_takes_clashing_columns_and_token_counts(spark):
+    rows = [(1, "good fine words", 10, 1.0), (1, "bad other words", 20, 2.0), (None, "good", 5, 3.0), (None, "bad bad", 5, 4.0), (2, None, 0, 5.0), (3, "good fine", 7, 6.0), (3, "good fine", 7, 6.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __n int, __p double")
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    aims = {"good": 0.5, "low": 0.5}
+    rates = mixing.mix(df, lab, aims, tokens_col="__n")[2].collect()
+    assert sorted(r.tokens for r in rates) == sorted(r[2] for r in rows)
+    mixed = mixing.apply_mix(df, lab, aims, tokens_col="__n")
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in rates)
+    assert mixing.apply_mix(df.limit(0), lab).count() == 0 and mixing.mix(df.limit(0), lab)[2].count() == 0
