@@ -54,6 +54,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one column __row, whatever its columns are named, beside the given ones."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[x.alias(name) for name, x in more.items()])
+
+
 def remainder_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

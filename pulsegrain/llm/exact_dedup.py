@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut_lineage
+from .common import ASCII_SPACE, cut_lineage, whole_rows
 
 #: Bytes of a block. Longer blocks need fewer levels, shorter ones smaller sort rows.
 BLOCK_BYTES = 16384
@@ -97,12 +97,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = named.join(groups, ["n_blocks", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id")))
     kept = kept.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ASCII_SPACE, " ")
-    keyed = docs.withColumn("__sha", F.sha2(norm.cast("binary"), 256)).withColumn("__id", F.col(id_col).cast("long"))
+    keyed = whole_rows(docs, __id=F.col(id_col).cast("long"), __sha=F.sha2(norm.cast("binary"), 256))
     same = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__sha"] == kept["__sha"])
     stays = keyed.join(kept, same, "left_semi")
     if not named.filter("times > 1").isEmpty():
         stays = stays.dropDuplicates(["__id", "__sha"])
-    return stays.drop("__id", "__sha")
+    return stays.select("__row.*")
 
 
 SQL = r"""

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, whole_rows
 
 #: Labelled documents of each domain that the classifier is fitted on, at most (in expectation).
 SAMPLE_PER_DOMAIN = 3000
@@ -239,7 +239,7 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     if not found.steps:
         return docs
     # what the operator needs goes by names of its own; the columns of docs come along as they are
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    kept = whole_rows(docs, __id=F.col(id_col).cast("long"), __text=F.col(text_col))
     soft = found.classifier.add_posteriors(kept, "__text").withColumn("__rate", rate_after(found.steps, F.col("__p")))
     often = soft.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col("__p"), draw(F.col("__id"), F.col("__text")), found.shifts))))
     return often.select("__row.*")

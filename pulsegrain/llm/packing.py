@@ -252,4 +252,19 @@ def pack(
     return rows.mapInArrow(run, PIECES)
 
 
+def pack_conversations(conversations: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", answers: str = "assistant", tokens: int = TOKENS, segments: int = 16, loss: int = 1024) -> DataFrame:
+    """Packs each answer of a conversation with the turn before it as prompt; one row per piece, doc_id is the conversation.
+
+    Tokens, segments and loss-bearing tokens, which are those of answers, are limited at once. An
+    answer without a turn before it has an empty prompt; turns of other roles only serve as
+    prompts; null texts are empty. Of turns with one number the one with the smallest text is the
+    prompt, and answers come back each on its own. Conversations with a null id have no prompts.
+    """
+    rows = conversations.select(F.col(conv_col).cast("long").alias("doc_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    # a join on (conversation, turn), so that a long conversation is no single group
+    before = rows.groupBy("doc_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    asked = rows.filter(F.col("role") == answers).join(before, ["doc_id", "turn"], "left")
+    return pack(asked, tokenizer_path, "doc_id", "text", "prompt", tokens, segments, loss)
+
+
 _TOKENIZER: tuple[str, WordTokenizer] | None = None

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_batches
+from .common import cut_lineage, text_batches, whole_rows
 from .components import components
 
 SEED = 42
@@ -200,9 +200,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = _named(fps, F.struct(F.col("id").isNull().alias("no_id"), "id", "sha"))
     keep = named.groupBy("component").agg(F.min("least").alias("least"))
     keep = cut_lineage(keep.select(F.col("least.id").alias("kept_id"), F.col("least.sha").alias("kept_sha")))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": _sha(text_col)})
+    keyed = whole_rows(docs, __id=F.col(id_col).cast("long"), __sha=_sha(text_col))
     same = keyed["__id"].eqNullSafe(keep["kept_id"]) & (keyed["__sha"] == keep["kept_sha"])
     stays = keyed.join(keep, same, "left_semi")
     if not fps.groupBy("id", "sha").count().filter("count > 1").isEmpty():
         stays = stays.dropDuplicates(["__id", "__sha"])
-    return stays.drop("__id", "__sha")
+    return stays.select("__row.*")
