@@ -1,8 +1,11 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. A stage's result is meant to be written as Parquet and read again as the next one's
-docs; run() composes them lazily where that is not needed.
+of documents. A stage's result is written as Parquet and read again as the next one's docs.
+
+Null and empty texts have no language and go in the first stage. Rows with null or equal ids are
+told apart by their texts in every stage, repeated rows are reduced to one by the second. Empty
+tables give empty results, and other columns come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrain.llm import exact_dedup, language_id, mixing, packing, simhash
-from pulsegrain.llm.common import small_batches, table
+from pulsegrain.llm.common import small_batches, stored, table
 from pulsegrain.llm.queries import tokenizer_file
 
 
@@ -55,8 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, one after the other."""
+    """Applies STAGES to documents, one after the other; each result but the last is stored."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
