@@ -45,6 +45,9 @@ def best_first(nodes: DataFrame, weight: str, cap: int, budget: int, keys: list[
     marked = ranked_siblings(nodes, weight, keys)
     worst = _up_the_path(marked, ["sibling"], keys).groupBy(*keys, "path").agg(F.max("up_sibling").alias("worst"))
     allowed = marked.join(worst.filter(F.col("worst") <= cap).drop("worst"), [*keys, "path"])
+    if not keys:  # a top list, of which each task only keeps its best
+        inner = allowed.filter(F.col("depth") > 1).orderBy(F.desc(weight), "depth", "path").limit(budget)
+        return allowed.filter(F.col("depth") == 1).unionByName(inner).drop("before")
     order = Window.partitionBy(*keys, "__top").orderBy(F.desc(weight), "depth", "path")
     placed = allowed.withColumn("__top", F.col("depth") == 1).withColumn("__n", F.row_number().over(order))
     return placed.filter(F.col("__top") | (F.col("__n") <= budget)).drop("__top", "__n", "before")
