@@ -37,10 +37,14 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
+#: Buckets of the n-grams met so far; words share most of them.
+_BUCKETS = WordCache(lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS, size=100_000)
+
+
 def grams(word: str) -> list[int]:
     """Hash buckets of the n-grams of a word with its ends marked."""
     marked = f"<{word.lower()}>"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+    return [_BUCKETS[marked[i : i + n]] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
 @dataclass
@@ -50,7 +54,7 @@ class Model:
 
     def word(self, word: str) -> bytes:
         """Log-likelihood of a word under each language, per n-gram order."""
-        return (self.log_p[grams(word)].sum(axis=0) / len(GRAMS)).astype(np.float32).tobytes()
+        return (self.log_p.take(grams(word), axis=0).sum(axis=0) / len(GRAMS)).astype(np.float32).tobytes()
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
