@@ -2,16 +2,16 @@
 
 Each language has hashed character n-gram likelihoods, learned from labelled documents. For a
 document, expectation-maximisation estimates the share of each language among its words (equal
-words of a document are one, with a weight); then the set of languages is chosen whose log-likelihood, less half the logarithm of the number of words for
-each further language, is largest. The prediction is the language with the largest share.
+words of a document are one, with a weight); then the set of languages is chosen whose
+log-likelihood, less half the logarithm of the number of words for each further language, is
+largest. The prediction is the language with the largest share.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder_of_id, text_batches
-from .word_cache import WordCache
 
 #: Labelled documents of each language that the model is fitted on, at most (in expectation).
 SAMPLE_PER_LANGUAGE = 3000
@@ -37,24 +36,43 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
-#: Buckets of the n-grams met so far; words share most of them.
-_BUCKETS = WordCache(lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS, size=100_000)
+def word_grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: where those of each word begin, and the hash buckets of all.
+
+    The ends of a word are marked, so that none is too short for an n-gram.
+    """
+    marked = [f"<{w.lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from here to the word's end
+    gram = np.zeros(len(codes), dtype=np.uint64)
+    for n in GRAMS:
+        gram = (gram << np.uint64(21)) | np.append(codes[n - 1 :], np.zeros(n - 1, dtype=np.uint64))
+        mixed = (gram ^ (gram >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        buckets = ((mixed ^ (mixed >> np.uint64(33))) % np.uint64(BUCKETS)).astype(np.int64)
+        yield ends - sizes - (n - 1) * np.arange(len(words)), buckets[left >= n]
 
 
-def grams(word: str) -> list[int]:
-    """Hash buckets of the n-grams of a word with its ends marked."""
-    marked = f"<{word.lower()}>"
-    return [_BUCKETS[marked[i : i + n]] for n in GRAMS for i in range(len(marked) - n + 1)]
+def _blocks(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of words that are looked at together, each with the place of its first word."""
+    for some in _by_size(range(len(words)), words, 200_000):
+        yield some[0], words[some[0] : some[-1] + 1]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    log_p: np.ndarray  # (buckets, languages)
+    log_p: np.ndarray  # (languages, buckets)
 
-    def word(self, word: str) -> bytes:
-        """Log-likelihood of a word under each language, per n-gram order."""
-        return (self.log_p.take(grams(word), axis=0).sum(axis=0) / len(GRAMS)).astype(np.float32).tobytes()
+    def words(self, words: list[str]) -> np.ndarray:
+        """(languages, words) log-likelihoods, each summed over a word's n-grams and divided by the number of lengths."""
+        found = np.zeros((len(self.languages), len(words)), dtype=np.float32)
+        for at, some in _blocks(words):
+            for starts, buckets in word_grams(some):
+                for k, log_p in enumerate(self.log_p):
+                    found[k, at : at + len(some)] += np.add.reduceat(log_p[buckets], starts)
+        return found / len(GRAMS)
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -67,7 +85,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32))
+        return Model([], np.zeros((0, BUCKETS), dtype=np.float32))
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))]), F.col(lang_col))
     draw = F.pmod(F.xxhash64(order if order is not None else F.col(text_col)), F.lit(1_000_003)) / 1_000_003.0
     sample = known.filter(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -77,8 +95,9 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         for batch, texts in text_batches(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
                 # a word counts once in a document, so that repeated lines weigh little
-                for word in set(text.split()):
-                    np.add.at(totals[lang], grams(word), 1)
+                for _, some in _blocks(list(set(text.split()))):
+                    for _, buckets in word_grams(some):
+                        totals[lang] += np.bincount(buckets, minlength=BUCKETS)
         for lang, seen in totals.items():
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -86,7 +105,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(languages)), 0.5)
     table[counts["bucket"], counts["lang"].map({k: i for i, k in enumerate(languages)})] += counts["n"]
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return Model(languages, np.ascontiguousarray(np.log(table / table.sum(axis=0)).astype(np.float32).T))
 
 
 def _shares_after(p: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
@@ -146,9 +165,6 @@ def shares(words_ll: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tu
     return order[0], ranked[0]
 
 
-_WORDS: tuple[int, WordCache] | None = None
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Columns `keep`, lang_pred, score, languages and shares for each row of docs.
 
@@ -159,24 +175,22 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
     """
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    version = zlib.crc32(model.log_p.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        global _WORDS  # a worker that is used again keeps its words
         known = shared.value
-        if _WORDS is None or _WORDS[0] != version:
-            _WORDS = (version, WordCache(known.word, size=600_000))
-        look = _WORDS[1].__getitem__
         for batch, texts in text_batches(batches, "__text"):
             score = np.zeros(len(texts))
             found: list[tuple[list[str], list[float]]] = [([], [])] * len(texts)
             at = [i for i, t in enumerate(texts) if known.languages and has_letter(t)]
             for some in _by_size(at, texts):
                 counts = [Counter(texts[i].split()) for i in some]
-                ll = np.frombuffer(b"".join(b"".join(map(look, c)) for c in counts), dtype=np.float32).reshape(-1, len(known.languages))
-                weight = np.fromiter(chain.from_iterable(c.values() for c in counts), dtype=np.float32, count=len(ll))
-                order, ranked, size = language_sets(ll, weight, np.cumsum([0, *map(len, counts[:-1])]))
+                number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(counts)))}
+                ends = np.cumsum([len(c) for c in counts])
+                at_word = np.fromiter(map(number.__getitem__, chain.from_iterable(counts)), dtype=np.int64, count=ends[-1])
+                weight = np.fromiter(chain.from_iterable(c.values() for c in counts), dtype=np.float32, count=ends[-1])
+                ll = known.words(list(number))[:, at_word].T
+                order, ranked, size = language_sets(ll, weight, np.append(0, ends[:-1]))
                 for n, i in enumerate(some):
                     found[i] = ([known.languages[k] for k in order[: size[n], n]], ranked[: size[n], n].tolist())
                     score[i] = min(1.0, float(ranked[0, n]))
@@ -188,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
     return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, languages array<string>, shares array<double>"]))
 
 
-def _by_size(at: list[int], texts: list[str], limit: int = 2_000_000) -> Iterator[list[int]]:
+def _by_size(at: Iterable[int], texts: list[str], limit: int = 2_000_000) -> Iterator[list[int]]:
     """Runs of documents with up to `limit` characters together, or one longer document."""
     some: list[int] = []
     size = 0
