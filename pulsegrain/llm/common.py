@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +68,17 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tup
     """Each Arrow batch with one of its columns as Python strings, null as ''."""
     for batch in batches:
         yield batch, [t or "" for t in batch.column(column).to_pylist()]
+
+
+def by_size(at: Iterable[int], texts: list[str], limit: int = 2_000_000) -> Iterator[list[int]]:
+    """Runs of documents with up to `limit` characters together, or one longer document."""
+    some: list[int] = []
+    size = 0
+    for i in at:
+        if some and size + len(texts[i]) > limit:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(texts[i])
+    if some:
+        yield some

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, text_batches
+from .common import by_size, remainder_of_id, text_batches
 
 #: Labelled documents of each language that the model is fitted on, at most (in expectation).
 SAMPLE_PER_LANGUAGE = 3000
@@ -56,7 +56,7 @@ def word_grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _blocks(words: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Runs of words that are looked at together, each with the place of its first word."""
-    for some in _by_size(range(len(words)), words, 200_000):
+    for some in by_size(range(len(words)), words, 200_000):
         yield some[0], words[some[0] : some[-1] + 1]
 
 
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
             score = np.zeros(len(texts))
             found: list[tuple[list[str], list[float]]] = [([], [])] * len(texts)
             at = [i for i, t in enumerate(texts) if known.languages and has_letter(t)]
-            for some in _by_size(at, texts):
+            for some in by_size(at, texts):
                 counts = [Counter(texts[i].split()) for i in some]
                 number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(counts)))}
                 ends = np.cumsum([len(c) for c in counts])
@@ -202,20 +202,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
     return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, languages array<string>, shares array<double>"]))
 
 
-def _by_size(at: Iterable[int], texts: list[str], limit: int = 2_000_000) -> Iterator[list[int]]:
-    """Runs of documents with up to `limit` characters together, or one longer document."""
-    some: list[int] = []
-    size = 0
-    for i in at:
-        if some and size + len(texts[i]) > limit:
-            yield some
-            some, size = [], 0
-        some.append(i)
-        size += len(texts[i])
-    if some:
-        yield some
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages and shares for each row of docs.
 

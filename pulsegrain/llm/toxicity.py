@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, remainder_of_id, text_batches
+from .common import by_size, cut_lineage, remainder_of_id, text_batches
 from .word_cache import WordCache
 
 #: Labelled rows of each class that the model is fitted on, at most (in expectation).
@@ -44,7 +45,9 @@ def buckets(word: str) -> bytes:
     Their sum stands for the word, so that a rare form of a known stem is not unknown. 0 is the
     embedding of no word.
     """
-    plain = _EDGES.sub("", word.lower())
+    plain = word.lower()
+    if not plain.isalnum():
+        plain = _EDGES.sub("", plain)
     number = lambda kind, part: 1 + zlib.crc32(f"{kind}{part}".encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
     ids = [number(k, plain[:k] if k else plain) if len(plain) > k else 0 for k in STEMS]
     return np.array(ids if plain else [0] * len(STEMS), dtype=np.int32).tobytes()
@@ -72,24 +75,40 @@ class Model:
     languages: list[str] = field(default_factory=list)
     speech: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), dtype=np.float32))  # log-likelihoods of buckets
 
-    def word(self, word: str) -> bytes:
-        """Taps of the embeddings of a word, and its log-likelihood in each language."""
-        ids = np.frombuffer(buckets(word), dtype=np.int32)
-        return np.concatenate([self.taps[ids].sum(axis=0).ravel(), self.speech[ids].sum(axis=0)]).astype(np.float32).tobytes()
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Taps of the embeddings of each word, and its log-likelihood in each language."""
+        ids = np.frombuffer(b"".join(map(buckets, words)), dtype=np.int32).reshape(-1, len(STEMS))
+        taps = self.taps.reshape(len(self.taps), -1)
+        return np.concatenate([sum(x[ids[:, k]] for k in range(len(STEMS))) for x in (taps, self.speech)], axis=1).astype(np.float32)
+
+    def look(self, texts: Iterable[list[str]]) -> Callable[[list[str]], np.ndarray]:
+        """A function that gives the rows of words of these texts; each different word is worked out once."""
+        number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+        table = self.rows(list(number))
+        return lambda words: table[np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))]
+
+    def raw_texts(self, texts: list[str]) -> list[tuple[float, str | None]]:
+        """The score and the language of each text. A long one is looked up part by part."""
+        found = []
+        for some in by_size(range(len(texts)), texts):
+            words = [texts[i].split() for i in some]
+            look = self.look(words) if len(some) > 1 else lambda part: self.look([part])(part)
+            found += [self.raw(w, look) for w in words]
+        return found
 
     def raw_ids(self, ids: np.ndarray) -> float:
         """The score of a text by its word_ids."""
         return self._raw(self.taps[ids[at : at + PART + max(WIDTHS)]].sum(axis=1) for at in range(0, len(ids), PART))
 
-    def raw(self, text: str, look: WordCache) -> tuple[float, str | None]:
-        """The score and the language of a text; look remembers self.word."""
-        words, size = text.split(), sum(WIDTHS) * FILTERS
-        end = np.concatenate([self.taps[0].ravel(), np.zeros(len(self.languages))]).astype(np.float32).tobytes() * max(WIDTHS)
+    def raw(self, words: list[str], look: Callable[[list[str]], np.ndarray]) -> tuple[float, str | None]:
+        """The score and the language of a text by its words, whose rows look gives."""
+        size = sum(WIDTHS) * FILTERS
+        end = np.tile(np.append(self.taps[0].ravel(), np.zeros(len(self.languages))).astype(np.float32), (max(WIDTHS), 1))
         spoken = np.zeros(len(self.languages))
 
         def parts() -> Iterator[np.ndarray]:
             for at in range(0, len(words) + 1, PART):
-                rows = np.frombuffer(b"".join(map(look.__getitem__, words[at : at + PART + max(WIDTHS)])) + end, dtype=np.float32).reshape(-1, size + len(spoken))
+                rows = np.concatenate([look(words[at : at + PART + max(WIDTHS)]), end])
                 spoken[:] += rows[:PART, size:].sum(axis=0)
                 yield rows[:, :size].reshape(-1, sum(WIDTHS), FILTERS)
 
@@ -294,24 +313,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     return model
 
 
-_TAPS: tuple[int, WordCache] | None = None
-
-
 def _raw_scores(docs: DataFrame, model: Model, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
     """Columns `keep`, p, the score before calibration, and lang, the text's language, for each row of docs."""
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times filters floats
 
-    version = zlib.crc32(model.taps.tobytes())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        global _TAPS  # a worker that is used again keeps its words
         known = shared.value
-        if _TAPS is None or _TAPS[0] != version:
-            _TAPS = (version, WordCache(known.word, size=150_000))
         for batch, texts in text_batches(batches, "__text"):
-            raw = [known.raw(t, _TAPS[1]) for t in texts]
+            raw = known.raw_texts(texts)
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p for p, _ in raw], pa.float64()), pa.array([x for _, x in raw], pa.string())], names=[*batch.schema.names[:-1], "p", "lang"])
 
