@@ -108,7 +108,9 @@ class Model:
 
         def parts() -> Iterator[np.ndarray]:
             for at in range(0, len(words) + 1, PART):
-                rows = np.concatenate([look(words[at : at + PART + max(WIDTHS)]), end])
+                rows = look(words[at : at + PART + max(WIDTHS)])
+                if at + PART + max(WIDTHS) >= len(words):  # only the text's end has room beyond it
+                    rows = np.concatenate([rows, end])
                 spoken[:] += rows[:PART, size:].sum(axis=0)
                 yield rows[:, :size].reshape(-1, sum(WIDTHS), FILTERS)
 

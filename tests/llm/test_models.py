@@ -325,3 +325,33 @@ def test_mixing_takes_clashing_columns_and_token_counts(spark):
     mixed = mixing.apply_mix(df, lab, aims, tokens_col="__n")
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in rates)
     assert mixing.apply_mix(df.limit(0), lab).count() == 0 and mixing.mix(df.limit(0), lab)[2].count() == 0
+
+
+def test_likelihoods_of_words_are_sums_over_their_grams():
+    log_p = np.log(np.random.default_rng(3).random((2, language_id.BUCKETS))).astype(np.float32)
+    words = ["a", "İz", "Straße", "日本語", "\U0001f600b", "\ud800x", "y" * 300_000, "b", "a"]
+    got = language_id.Model(["p", "q"], log_p).words(words)
+
+    def plain(word):
+        marked, total = f"<{word.lower()}>", np.zeros(2)
+        for n in language_id.GRAMS:
+            for i in range(len(marked) - n + 1):
+                gram = sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(marked[i : i + n]))
+                mixed = (gram ^ gram >> 33) * 0xFF51AFD7ED558CCD % 2**64
+                total += log_p[:, (mixed ^ mixed >> 33) % language_id.BUCKETS]
+        return total / len(language_id.GRAMS)
+
+    for k, word in enumerate(words):
+        assert np.allclose(got[:, k], plain(word), rtol=1e-4)
+    assert (got[:, 0] == got[:, -1]).all() and language_id.Model(["p", "q"], log_p).words([]).shape == (2, 0)
+
+
+def test_scores_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(4)
+    taps, speech = rng.normal(size=(toxicity.BUCKETS, sum(toxicity.WIDTHS), toxicity.FILTERS)).astype(np.float32), rng.normal(size=(toxicity.BUCKETS, 2)).astype(np.float32)
+    taps[0] = speech[0] = 0  # as in every trained model: no word adds nothing
+    model = toxicity.Model(taps, np.zeros((len(toxicity.WIDTHS), toxicity.FILTERS), np.float32), np.full(len(toxicity.WIDTHS) * toxicity.FILTERS, 0.01, np.float32), -1.0, languages=["p", "q"], speech=speech)
+    texts = ["one two three", "", "two", "x " * 70_000 + "end", "«Hey»! three --"]
+    together, alone = model.raw_texts(texts), [model.raw_texts([t])[0] for t in texts]
+    assert together == alone and together[1][1] is None
+    assert all(abs(p - model.raw_ids(toxicity.word_ids(t))) < 1e-5 for t, (p, _) in zip(texts, together, strict=True))
