@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, mixing, packing, pii, simhash, token_counts, topk_search, toxicity
+from . import exact_dedup, fill_in_middle, html_text, language_id, mixing, packing, pii, simhash, token_alignment, token_counts, topk_search, toxicity, url_rules
 from .common import small_batches, table
 
 
@@ -64,6 +64,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[2]
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_alignment.digests(token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_extraction": op2_html_extraction,
@@ -75,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_url_filters": op11_url_filters,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.SQL, "op4_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.SQL, "op4_exact_dedup": exact_dedup.SQL, "op11_url_filters": url_rules.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
