@@ -54,6 +54,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """An inner join of many rows with few: rows of one key on the left are dealt over `salts` tasks, those on the right copied to each."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts).cast("long")))
+    return dealt.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "__salt"]).drop("__salt")
+
+
 def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
     """docs as one column __row, whatever its columns are named, beside the given ones."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[x.alias(name) for name, x in more.items()])

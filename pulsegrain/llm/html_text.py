@@ -2,12 +2,12 @@
 
 Pages of a host are paired with the page whose URL path is nearest in sorted order and whose lines
 are others. The text lines of the pair are aligned by their longest common subsequence, and lines
-that both have are template text. Lines of a block that looks like a menu, an advert or the like
-are aligned by the block's place in the markup, since the words of such blocks change from page to
-page. Markup only proposes these places; differencing disposes: over all pairs of a host it counts
-how often a place recurs in the nearest page, and a place that does not recur is text of the page
-after all. Lines of an article or main element that no place claims stay, since two pages may carry
-the same sentence.
+that both have are template text and go. The words of menus, adverts and footers change from page
+to page, so lines of such a block, and on a page with an article all lines beside it, are aligned
+by the block's place in the markup. Over all pairs it is counted how often a place recurs in the
+nearest page: lines go only with a place that was seen to recur on their host, or on other hosts as
+far as their own says little. A place that no pair has seen twice stays. Lines of an article or
+main element that no place claims stay too, since two pages may carry the same sentence.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_batches
+from .common import cut_lineage, salted_join, text_batches
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_VALUE = re.compile(r"=\s*\Z")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,10 +60,16 @@ _LIST_PARTS = {"li", "dt", "dd", "tr", "td", "th", "option"}
 #: Elements whose place is that of the element around them.
 _LINES = _LIST_PARTS | set("p h1 h2 h3 h4 h5 h6 br hr blockquote pre figcaption caption summary legend address tbody thead tfoot center ul ol dl".split())
 
-#: Weight of the proposal against sightings, and the share of recurrences below which it falls.
-PROPOSAL, RECURS = 8.0, 0.25
+#: Sightings on its own host that outweigh those on all hosts, and the share of recurrences from which a place is the template's.
+OTHERS, RECURS = 8.0, 0.25
 #: Numbers of a small table that a join may broadcast; above it both sides are shuffled.
-BROADCAST_NUMBERS = 500_000
+BROADCAST_NUMBERS = 2_000_000
+#: Pages of a run of equal ones that a task holds back; those of a longer run go on at once and are joined with what the run is compared with.
+RUN_ROWS = 1000
+#: White space that may stand between an equals sign and its value.
+SPACES = 100
+#: Longer places of nested elements are named by their hash.
+LONGEST_PLACE = 200
 
 
 def _number(text: str) -> int:
@@ -73,6 +81,54 @@ def _is_mark(token: str) -> bool:
     return any(p in _MARKS for p in parts) and all(p in _MARKS or p in _BESIDE for p in parts) or token.startswith(_MARK_STARTS)
 
 
+class Tags:
+    """Finds the tags, comments and declarations of a page, each character in a bounded number of looks.
+
+    A quote opens a value only behind an equals sign. One that is never closed, or whose value runs
+    over other tags up to the next value's quote, is left out of account, so that the tag ends at
+    the next >. A tag without any > behind it is no tag, and a comment without an end reaches to
+    the end of the page.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last_end = source.rfind(">")
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next one; comments and declarations have no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                return start, stop + 3 if stop >= 0 else len(source), "", "", ""
+            if start > self.last_end:
+                return None
+            if source.startswith(("<!", "<?"), start):
+                return start, source.find(">", start) + 1, "", "", ""
+            name = _NAME.match(source, start + 1)
+            if name is not None:
+                end = self._end(name.end())
+                return start, end, name[1], name[2].lower(), source[name.end() : end - 1]
+            at = start + 1
+        return None
+
+    def _end(self, behind_name: int) -> int:
+        """The end of a tag, which is behind a > that stands in no value."""
+        source, at = self.source, behind_name
+        while stop := _STOP.search(source, at):
+            at, quote = stop.end(), stop[0]
+            if quote == ">":
+                return at
+            if self.last_quote[quote] < at or not _VALUE.search(source, max(behind_name, at - 1 - SPACES), at - 1):
+                continue
+            close = source.find(quote, at)
+            inner = source.find(">", at, close)
+            if inner < 0 or source[close - 1] != "=" or source.find("<", inner, close) < 0:
+                at = close + 1
+        return source.find(">", behind_name) + 1  # the last > stands in a value
+
+
 class _Open:
     """An open element: its place, and what holds for the lines inside."""
 
@@ -100,28 +156,25 @@ class Lines:
         self._around: list[str] = []
         self._words: list[str] = []
         self._open: list[_Open] = []
-        at, end = 0, len(source)
-        while at < end:
-            m = _MARKUP.search(source, at)
-            if m is None:
-                self._add(source[at:])
-                break
-            self._add(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
+        self._names: dict[str, int] = {}
+        tags, at = Tags(source), 0
+        while tag := tags.after(at):
+            start, end, slash, name, attributes = tag
+            self._add(source[at:start])
+            at = end
             if not name:
                 continue
-            if m[1]:
+            if slash:
                 self._close(name)
-                continue
-            if name in _RAW and not m[3].endswith("/"):
+            elif name in _RAW and not attributes.endswith("/"):
                 # these hold no markup, whatever it looks like
                 stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+                at = stop.end() if stop else len(source)
                 if name in _BLOCKS:
                     self._flush()
-                continue
-            self._start(name, m[3])
+            else:
+                self._start(name, attributes)
+        self._add(source[at:])
         self._flush()
         if any(self.main):
             self.place = [None if m else p or f"beside {a}" for m, p, a in zip(self.main, self.place, self._around, strict=True)]
@@ -133,6 +186,17 @@ class Lines:
         if text and not self._top().dropped:
             self._words.append(html.unescape(text) if "&" in text else text)
 
+    def _push(self, element: _Open) -> None:
+        if len(element.place) > LONGEST_PLACE:
+            element.place = f"{_number(element.place):x}"
+        self._open.append(element)
+        self._names[element.name] = self._names.get(element.name, 0) + 1
+
+    def _pop(self) -> str:
+        name = self._open.pop().name
+        self._names[name] -= 1
+        return name
+
     def _flush(self) -> None:
         line = " ".join("".join(self._words).split())
         self._words = []
@@ -147,11 +211,11 @@ class Lines:
         if name in _BLOCKS:
             self._flush()
             if name != "br" and self._open and self._open[-1].name == "p":
-                self._open.pop()
+                self._pop()
         if name in _VOID:
             return
         if name in _LIST_PARTS and self._open and self._open[-1].name == name:
-            self._open.pop()
+            self._pop()
         top = self._top()
         main, dropped, proposed = top.main, top.dropped, top.proposed
         tokens: list[str] = []
@@ -162,7 +226,7 @@ class Lines:
             dropped |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         if name not in _BLOCKS and name not in _NEVER:
             if dropped and not top.dropped:  # a hidden part of a line
-                self._open.append(_Open(name, main, True, proposed, top.closed, top.place))
+                self._push(_Open(name, main, True, proposed, top.closed, top.place))
             return
         words = {w for t in tokens for w in re.split(r"[_-]+", t)}
         apart = any(w.startswith(_NO_ARTICLE) for w in words)
@@ -176,30 +240,27 @@ class Lines:
             claims = name in _PROPOSED or any(map(_is_mark, tokens)) if name not in _MAIN else apart or "ad" in words
             if proposed is None and (claims or not inside and (name == "header" or words & _HEADERS)):
                 proposed = place
-        self._open.append(_Open(name, main, dropped, proposed, top.closed or apart or name == "aside", place))
+        self._push(_Open(name, main, dropped, proposed, top.closed or apart or name == "aside", place))
 
     def _close(self, name: str) -> None:
         if name in _BLOCKS:
             self._flush()
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k].name == name:
-                if name in _BLOCKS:
-                    self._flush()
-                del self._open[k:]
-                return
+        while self._names.get(name) and self._pop() != name:
+            pass
 
     def keys(self) -> list[int]:
         """What lines are aligned by: the place where one is proposed, else the text."""
         return [_number(t if p is None else f"\0{p}") for t, p in zip(self.text, self.place, strict=True)]
 
-    def chosen(self, shared: set[int], kept: frozenset[int] | set[int] = frozenset()) -> list[str]:
-        """The text: lines without those that the nearest page shares and those of template places.
+    def chosen(self, shared: set[int], recurring: frozenset[int] | set[int] = frozenset()) -> list[str]:
+        """The text: lines without those that the nearest page shares and those of recurring places.
 
         shared has the places of lines (neither main nor proposed) that the paired page has too,
-        kept the numbers of proposed places that differencing refuted. Where the paired page has
-        every such line and nothing else is left, they cannot be told from the template: all stay.
+        recurring the numbers of proposed places that differencing confirmed. Where the paired page
+        has every such line and nothing else is left, they cannot be told from the template: all
+        stay.
         """
-        left = [main or (k not in shared if place is None else _number(f"\0{place}") in kept) for k, (main, place) in enumerate(zip(self.main, self.place, strict=True))]
+        left = [main or (k not in shared if place is None else _number(f"\0{place}") not in recurring) for k, (main, place) in enumerate(zip(self.main, self.place, strict=True))]
         if not any(left):
             left = [place is None for place in self.place]
         return [t for t, stays in zip(self.text, left, strict=True) if stays]
@@ -296,18 +357,21 @@ def _page_keys(pages: DataFrame) -> DataFrame:
     keys = pages.mapInArrow(run, "page_id long, url string, sig long, lines array<long>, kinds binary")
     place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return keys.select("page_id", "url", "sig", "lines", "kinds", F.lower(place).alias("host"), path.alias("path"))
+    return keys.select("page_id", "sig", "lines", "kinds", F.lower(place).alias("host"), path.alias("path"))
 
 
-_SORTED = ("host", "path", "page_id", "url", "sig")
-_PAGE = "page_id long, url string, sig long, host string"
-_PAIRED = f"{_PAGE}, path string, kinds binary, shared array<int>, places array<long>, seen array<long>, compared boolean, pid int, nth int, only boolean, last_path string, lines array<long>, in_path string, in_lines array<long>"
+_SORTED = ("host", "path", "page_id", "sig")
+_PAGE = "page_id long, sig long, host string"
+_SIDES = "before_path string, before_shared array<int>, after_path string, after_shared array<int>"
+_PAIRED = f"{_PAGE}, path string, kinds binary, shared array<int>, places array<long>, seen array<long>, compared boolean, pid int, nth int, first boolean, last boolean, last_path string, lines array<long>, in_path string, in_lines array<long>, {_SIDES}"
 _COMPARED = f"{_PAGE}, kinds binary, shared array<int>, places array<long>, seen array<long>, compared boolean"
-_EDGES = "pid int, nth int, lines array<long>, before_path string, before_shared array<int>, after_path string, after_shared array<int>"
+_EDGES = f"pid int, nth int, lines array<long>, {_SIDES}"
+#: A row of a task's result: a page that is compared (nth -1), one that waits for its run, a run, or a run at the task's edge.
+_BLANK = dict.fromkeys(c.split()[0] for c in _PAIRED.split(", ")) | {"sig": 0, "compared": False, "nth": -1, "first": False, "last": False}
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, sig, host, kinds, shared, places, seen, compared) for each page.
+    """(page_id, sig, host, kinds, shared, places, seen, compared) for each page.
 
     shared has the places of lines that the nearest page has too, places the numbers of the page's
     proposed places and seen those of them that recur there; compared is false for a page
@@ -315,28 +379,31 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     equal lines that follow each other are one run, and the pages beside the run are the neighbours
     of them all. Pages are range-partitioned by host and path, so a large host spreads over many
     tasks. The first and last run of a task wait for the neighbouring tasks': these are two rows
-    for each task, which windows over (task, run) put beside each other.
+    for each task, which windows over (task, run) put beside each other. A run of more than
+    RUN_ROWS pages is not held: its pages go on and are joined with the run.
     """
     keys = cut_lineage(_page_keys(pages))
     ranged = keys.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED)
+    most = RUN_ROWS
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
-        before, run, rows, closed = None, None, [], 0  # run is (host, first path, lines)
+        before, run, rows, closed, waits = None, None, [], 0, False  # run is (host, first path, lines)
 
         def close(after: tuple | None, last: bool) -> list[dict]:
             left, right = (p if p and p[0] == run[0] else None for p in (before, after))
-            edge = last or not closed
-            nth = -1 if not edge else 0 if not closed else 1
-            blank = {"page_id": None, "url": None, "sig": 0, "host": run[0], "path": run[1], "kinds": None, "shared": None, "places": None, "seen": None, "compared": False, "pid": pid, "nth": nth, "only": last and not closed, "last_path": None, "lines": None, "in_path": None, "in_lines": None}
-            sides = None if edge else _sides(run[2], left, right)
-            made = []
-            for r in rows:
-                made.append(blank | r | ({} if edge else _compared(run[2], r["kinds"], _nearer(r["path"], *sides))))
-            if edge:
+            known = _BLANK | {"host": run[0], "path": run[1], "pid": pid, "nth": closed, "first": not closed, "last": last, "lines": run[2]}
+            if known["first"] or last:
                 inner = right if not last else left
-                made.append(blank | {"last_path": rows[-1]["path"], "lines": run[2], "in_path": inner and inner[1], "in_lines": inner and inner[2]})
-            return made
+                found = known | {"last_path": rows[-1]["path"], "in_path": inner and inner[1], "in_lines": inner and inner[2]}
+                return [waiting(r) for r in rows] + [found]
+            sides = _sides(run[2], left, right)
+            if not waits:
+                return [_BLANK | r | _compared(run[2], r["kinds"], _nearer(r["path"], *sides)) for r in rows]
+            return [waiting(r) for r in rows] + [known | _side_columns(sides)]
+
+        def waiting(row: dict) -> dict:
+            return _BLANK | row | {"pid": pid, "nth": closed}
 
         for frame in frames:
             made = []
@@ -347,8 +414,11 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                         made += close((new.host, new.path, lines), False)
                         closed += 1
                         before = (run[0], rows[-1]["path"], run[2])
-                    run, rows = (new.host, new.path, lines), []
-                rows.append({"page_id": new.page_id, "url": new.url, "sig": new.sig, "path": new.path, "kinds": new.kinds})
+                    run, rows, waits = (new.host, new.path, lines), [], False
+                if len(rows) >= most:
+                    made += map(waiting, rows)
+                    rows, waits = [], True
+                rows.append({"page_id": new.page_id, "sig": new.sig, "host": new.host, "path": new.path, "kinds": new.kinds})
             if made:
                 yield pd.DataFrame(made).astype({"page_id": "Int64"})
         if run is not None:
@@ -362,8 +432,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             for r in frame.itertuples(index=False):
                 lines = list(map(int, r.lines))
                 sides = [None if b is None else (None, p, list(map(int, b))) for p, b in ((r.before_path, r.before_lines), (r.after_path, r.after_lines))]
-                (x, shared_x), (y, shared_y) = (p or (None, None) for p in _sides(lines, *sides))
-                made.append({"pid": r.pid, "nth": r.nth, "lines": lines, "before_path": x, "before_shared": shared_x, "after_path": y, "after_shared": shared_y})
+                made.append({"pid": r.pid, "nth": r.nth, "lines": lines} | _side_columns(_sides(lines, *sides)))
             if made:
                 yield pd.DataFrame(made)
 
@@ -372,18 +441,22 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             made = []
             for r in frame.itertuples(index=False):
                 sides = (None if p is None else (p, s) for p, s in ((r.before_path, r.before_shared), (r.after_path, r.after_shared)))
-                made.append({"page_id": r.page_id, "url": r.url, "sig": r.sig, "host": r.host, "kinds": r.kinds} | _compared(list(map(int, r.lines)), r.kinds, _nearer(r.path, *sides)))
+                made.append({"page_id": r.page_id, "sig": r.sig, "host": r.host, "kinds": r.kinds} | _compared(list(map(int, r.lines)), r.kinds, _nearer(r.path, *sides)))
             if made:
                 yield pd.DataFrame(made).astype({"page_id": "Int64"})
 
-    waits = paired.filter("lines IS NOT NULL").select("host", "pid", "nth", "only", "path", "last_path", "lines", "in_path", "in_lines")
-    edges = _beside(waits).repartition("pid").mapInPandas(align, _EDGES)
-    rows = paired.filter("lines IS NULL")
-    page = ["page_id", "url", "sig", "host", "kinds", "shared", "places", "seen", "compared"]
-    waiting = rows.filter("nth >= 0").select(*page[:5], "path", "pid", "nth").join(edges, ["pid", "nth"])
+    runs, rows = paired.filter("lines IS NOT NULL"), paired.filter("lines IS NULL")
+    edges = _beside(runs.filter("first OR last")).repartition("pid").mapInPandas(align, _EDGES)
+    edges = edges.unionByName(runs.filter("NOT (first OR last)").select(*edges.columns))
+    page = ["page_id", "sig", "host", "kinds", "shared", "places", "seen", "compared"]
+    waiting = salted_join(rows.filter("nth >= 0").select(*page[:4], "path", "pid", "nth"), edges, ["pid", "nth"])
     return rows.filter("nth < 0").select(*page).unionByName(waiting.mapInPandas(choose, _COMPARED))
 
 
+def _side_columns(sides: list[tuple | None]) -> dict:
+    return {f"{side}_{c}": p and p[k] for side, p in zip(("before", "after"), sides, strict=True) for k, c in enumerate(("path", "shared"))}
+
+
 def _compared(lines: list[int], kinds: bytes, near: tuple | None) -> dict:
     """What the nearest page (path, shared places) says of a page."""
     shared = near[1] if near else []
@@ -406,40 +479,43 @@ def _beside(waits: DataFrame) -> DataFrame:
         return F.when(F.lag("pid").over(w).isNull(), none).when(~same, F.struct(F.lag(path).over(w).alias("path"), F.lag("lines").over(w).alias("lines")))
 
     # null where the run goes on: the value of the run's row before counts
-    seen = waits.withColumns({"b": F.when(F.col("nth") == 1, inner).otherwise(neighbour(order, "last_path")), "a": F.when((F.col("nth") == 0) & ~F.col("only"), inner).otherwise(neighbour(back, "path"))})
+    seen = waits.withColumns({"b": F.when(~F.col("first"), inner).otherwise(neighbour(order, "last_path")), "a": F.when(~F.col("last"), inner).otherwise(neighbour(back, "path"))})
     found = seen.select("pid", "nth", "lines", F.last("b", ignorenulls=True).over(order).alias("b"), F.last("a", ignorenulls=True).over(back).alias("a"))
     return found.select("pid", "nth", "lines", *[F.col(f"{s}.{c}").alias(f"{side}_{c}") for s, side in (("b", "before"), ("a", "after")) for c in ("path", "lines")])
 
 
-def refuted_places(rows: DataFrame, proposal: float = PROPOSAL, recurs: float = RECURS) -> DataFrame:
-    """(host, place): proposed places that do not recur in the nearest pages of the host.
+def recurring_places(rows: DataFrame, others: float = OTHERS, recurs: float = RECURS) -> DataFrame:
+    """(host, place): proposed places that recur in the nearest pages of the host.
 
-    The share of recurrences of a place on all hosts, with the proposal as so many recurrences, is
-    what a host's own sightings are added to; so a host with few pairs goes by the others.
+    A host's own sightings are added to the share of recurrences on all hosts, which counts as
+    `others` sightings, so a host with few or no pairs goes by the others. A place that was seen
+    in no pair is not among them.
     """
-    each = rows.filter("compared").select("host", "seen", F.explode("places").alias("place"))
-    tally = cut_lineage(each.groupBy("host", "place").agg(F.count("*").alias("n"), F.count_if(F.array_contains("seen", F.col("place"))).alias("same")))
-    every = tally.groupBy("place").agg(((F.sum("same") + proposal) / (F.sum("n") + proposal)).alias("usual"))
-    share = (F.col("same") + proposal * F.col("usual")) / (F.col("n") + proposal)
-    return tally.join(every, "place").filter(share < recurs).select("host", "place")
+    each = rows.select("host", "seen", "compared", F.explode("places").alias("place"))
+    tally = cut_lineage(each.groupBy("host", "place").agg(F.count_if("compared").alias("n"), F.count_if(F.col("compared") & F.array_contains("seen", F.col("place"))).alias("same")))
+    every = tally.groupBy("place").agg((F.sum("same") / F.sum("n")).alias("usual")).filter("usual > 0")
+    share = (F.col("same") + others * F.col("usual")) / (F.col("n") + others)
+    return salted_join(tally, every, ["place"]).filter(share >= recurs).select("host", "place")
 
 
 def page_decisions(pages: DataFrame) -> DataFrame:
-    """(page_id, url, sig, shared, kept) for each different page that differencing takes lines from or gives some back to.
+    """(page_id, sig, shared, recurring) for each different page that differencing takes lines from.
 
-    shared has the places of lines without a place of their own that the nearest page shares, kept
-    the numbers of proposed places that do not recur.
+    shared has the places of lines without a place of their own that the nearest page shares,
+    recurring the numbers of its proposed places that recur.
     """
     rows = cut_lineage(shared_lines(pages))
-    key = ["page_id", "url", "sig"]
+    key = ["page_id", "sig"]
     plain = F.filter("shared", lambda i: F.substring(F.col("kinds"), i + 1, F.lit(1)) == F.lit(bytes([2])))
     taken = rows.select(*key, plain.alias("shared")).filter(F.size("shared") > 0).groupBy(*key).agg(F.first("shared").alias("shared"))
-    refuted = cut_lineage(refuted_places(rows))
-    refuted = F.broadcast(refuted) if refuted.count() <= BROADCAST_NUMBERS // 16 else refuted
-    given = rows.select(*key, "host", F.explode("places").alias("place")).join(refuted, ["host", "place"]).groupBy(*key).agg(F.collect_set("place").alias("kept"))
-    # null ids and urls take part in grouping, but not in joins by name
-    both = taken.withColumn("kept", F.lit(None).cast("array<bigint>")).unionByName(given.withColumn("shared", F.lit(None).cast("array<int>")))
-    return both.groupBy(*key).agg(F.first("shared", ignorenulls=True).alias("shared"), F.first("kept", ignorenulls=True).alias("kept"))
+    recurring = cut_lineage(recurring_places(rows, OTHERS, RECURS))
+    places = rows.select(*key, "host", F.explode("places").alias("place"))
+    small = recurring.count() <= BROADCAST_NUMBERS // 16
+    found = places.join(F.broadcast(recurring), ["host", "place"]) if small else salted_join(places, recurring, ["host", "place"])
+    given = found.groupBy(*key).agg(F.collect_set("place").alias("recurring"))
+    # null ids take part in grouping, but not in joins by name
+    both = taken.withColumn("recurring", F.lit(None).cast("array<bigint>")).unionByName(given.withColumn("shared", F.lit(None).cast("array<int>")))
+    return both.groupBy(*key).agg(F.first("shared", ignorenulls=True).alias("shared"), F.first("recurring", ignorenulls=True).alias("recurring"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -452,16 +528,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     gives an empty result; other columns are ignored.
     """
     source = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), source.alias("html"), F.xxhash64(source).alias("sig"))
-    decided = cut_lineage(page_decisions(rows)).withColumnsRenamed({c: f"s_{c}" for c in ("page_id", "url", "sig")})
-    numbers = decided.agg(F.sum(F.lit(8) + F.length(F.coalesce("s_url", F.lit(""))) / 8 + F.coalesce(F.size("shared"), F.lit(0)) + F.coalesce(F.size("kept"), F.lit(0)))).first()[0] or 0
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), source.alias("html"), F.xxhash64(F.col(url_col), source).alias("sig"))
+    decided = cut_lineage(page_decisions(rows)).withColumnsRenamed({c: f"s_{c}" for c in ("page_id", "sig")})
+    numbers = decided.agg(F.sum(F.lit(2) + F.coalesce(F.size("shared"), F.lit(0)) + F.coalesce(F.size("recurring"), F.lit(0)))).first()[0] or 0
     side = F.broadcast(decided) if numbers <= BROADCAST_NUMBERS else decided
-    same = rows["page_id"].eqNullSafe(side["s_page_id"]) & rows["url"].eqNullSafe(side["s_url"]) & (rows["sig"] == side["s_sig"])
-    both = rows.join(side, same, "left").select("page_id", "url", "html", "shared", "kept")
+    same = rows["page_id"].eqNullSafe(side["s_page_id"]) & (rows["sig"] == side["s_sig"])
+    both = rows.join(side, same, "left").select("page_id", "url", "html", "shared", "recurring")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sources in text_batches(batches, "html"):
-            places = zip(batch.column("shared").to_pylist(), batch.column("kept").to_pylist(), strict=True)
+            places = zip(batch.column("shared").to_pylist(), batch.column("recurring").to_pylist(), strict=True)
             texts = ["\n".join(Lines(s).chosen(set(p or ()), set(k or ()))) for s, (p, k) in zip(sources, places, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

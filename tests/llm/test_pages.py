@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,13 +11,36 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <section id="comments"><p>first!</p></section></article><footer>foot</footer></body></html>"""
 
 
+def all_recur(source):
+    """The text of a page whose proposed places were all seen to recur."""
+    lines = html_text.Lines(source)
+    return lines.chosen(set(), {html_text._number(f"\0{p}") for p in lines.place if p is not None})
+
+
 def test_article_of_a_marked_page():
-    lines = html_text.Lines(PAGE)
-    assert lines.chosen(set(range(99))) == ["Head é", "One two three four", "Five", "six <x>", "a", "b"]
+    assert all_recur(PAGE) == ["Head é", "One two three four", "Five", "six <x>", "a", "b"]
+    # what was never seen to recur stays, but for forms, comments and hidden parts
+    assert html_text.Lines(PAGE).chosen(set()) == ["Site", "Home", "More", "Buy now", "Head é", "One two three four", "Five", "six <x>", "side", "a", "b", "foot"]
 
 
-def test_broken_markup_and_parts_that_are_no_article():
+def test_markup_is_read_in_linear_time():
+    began = time.time()
+    for source in ("<a" * 50_000, "<" + "a" * 100_000, "<a " * 50_000 + ">", "<a b=\"" * 20_000, "<a b='\"" * 20_000, "<!--" * 30_000, "</p>" * 30_000 + "<div>" * 30_000 + "</p>" * 30_000, "<div class='x'>" * 20_000 + "deep", "<a b=" + " " * 100_000 + "\"", "<x ='>\"<" * 10_000, "<script>" * 20_000, "&" * 100_000):
+        html_text.Lines(source)
+    assert time.time() - began < 12
+
+
+def test_odd_quotes_leave_no_markup():
     text = lambda source: html_text.Lines(source).chosen(set())
+    assert text('<article><p class="x>Hello</p><p>more</p></article>') == ["Hello", "more"]
+    assert text('<article><p class="x>Hello</p><p class="y">more</p></article>') == ["Hello", "more"]
+    assert text("<p title=\"it's\">a<p data=it's>b<p title='x>y<z' class=c>d") == ["a", "b", "d"]
+    assert text('<p data-html="<b>x</b>">a</p><p title = "a > b">c') == ["a", "c"]
+    assert text("<a<b>x</b>") == ["x"] and text("x <a href='") == ["x <a href='"]
+
+
+def test_broken_markup_and_parts_that_are_no_article():
+    text = all_recur
     assert text("<div class='ad'>Buy<article><p>Kept<p>too") == ["Kept", "too"]
     assert text("<article><p>Story</p><div class='commentlist'><article><p>first!</p></article></div></article>") == ["Story"]
     assert text("<main><header><h1>Title</h1></header><p>a<div id='cookie-notice'>ok?</div><p>b</main><p>after") == ["Title", "a", "b"]
@@ -53,7 +77,7 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     def page(k):
         return f"<body><p>Menu</p><p>Story {k} begins</p><p>It ends {k}</p><p>All rights</p></body>"
 
-    rows = [(k, f"https://a.example/x/{k:03d}", page(k), 1) for k in range(40)] + [(100, "https://b.example/", page(7), 1), (101, None, None, 1), (None, "https://a.example/x/005b", "", 1), (3, "https://a.example/x/003", page(3), 1), (102, "https://c.example/1", PAGE, 1)]
+    rows = [(k, f"https://a.example/x/{k:03d}", page(k), 1) for k in range(40)] + [(100, "https://b.example/", page(7), 1), (101, None, None, 1), (None, "https://a.example/x/005b", "", 1), (3, "https://a.example/x/003", page(3), 1), (102, "https://c.example/1", PAGE, 1), (103, "https://c.example/2", PAGE.replace("Head", "Other").replace("Home", "Back"), 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, shared int")
     got = html_text.extract_text(df).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
@@ -145,45 +169,57 @@ def brute_texts(rows):
                 n = tally.setdefault((page[0], p), [0, 0])
                 n[0] += 1
                 n[1] += p in {keys[k] for k in shared}
-    refuted = set()
+        for p in () if best else places:
+            tally.setdefault((page[0], p), [0, 0])
+    recurring = set()
     for (host, p), (n, same) in tally.items():
         all_n, all_same = (sum(x[c] for (_, q), x in tally.items() if q == p) for c in (0, 1))
-        usual = (all_same + html_text.PROPOSAL) / (all_n + html_text.PROPOSAL)
-        if (same + html_text.PROPOSAL * usual) / (n + html_text.PROPOSAL) < html_text.RECURS:
-            refuted.add((host, p))
+        if all_same and (same + html_text.OTHERS * all_same / all_n) / (n + html_text.OTHERS) >= html_text.RECURS:
+            recurring.add((host, p))
     out = []
     for (host, *_, i, lines), shared, places in found:
         plain = {k for k in shared if not lines.main[k] and lines.place[k] is None}
-        out.append((i, "\n".join(lines.chosen(plain, {p for p in places if (host, p) in refuted}))))
-    return sorted(out, key=str), len(refuted)
+        out.append((i, "\n".join(lines.chosen(plain, {p for p in places if (host, p) in recurring}))))
+    return sorted(out, key=str), set(tally) - recurring, recurring
 
 
 def test_whole_query_equals_a_plain_version(spark, monkeypatch):
     rows = generated_pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    for recurs in (html_text.RECURS, 0.9):  # the larger bound refutes some places
+    for recurs in (html_text.RECURS, 0.9):  # with the larger bound fewer places recur
         monkeypatch.setattr(html_text, "RECURS", recurs)
-        monkeypatch.setattr(html_text.refuted_places, "__defaults__", (html_text.PROPOSAL, recurs))
-        want, refuted = brute_texts(rows)
-        assert refuted > 0 or recurs < 0.9
-        for most in (html_text.BROADCAST_NUMBERS, 0):
+        want, others, recurring = brute_texts(rows)
+        assert others and recurring
+        for most, held in ((html_text.BROADCAST_NUMBERS, html_text.RUN_ROWS), (0, 1)):
             monkeypatch.setattr(html_text, "BROADCAST_NUMBERS", most)
+            monkeypatch.setattr(html_text, "RUN_ROWS", held)
             assert sorted(((r.page_id, r.text) for r in html_text.extract_text(df).collect()), key=str) == want
 
 
+def test_long_runs_are_not_held(spark, monkeypatch):
+    """Equal pages in a row, within tasks and over many of them, with a bound of 3 held pages."""
+    monkeypatch.setattr(html_text, "RUN_ROWS", 3)
+    page = lambda k: f"<p>Menu</p><p>only {k}</p><p>tail</p>"
+    rows = [(k, f"https://a.example/{k:04d}", page(k // 37)) for k in range(800)] + [(None, None, None)] * 50
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == ("" if r.page_id is None else f"only {r.page_id // 37}")
+
+
 def test_compound_names_and_inline_parts_are_no_marks():
-    text = lambda source: html_text.Lines(source).chosen(set())
+    text = all_recur
     assert text("<article><p>I <a class='social'>like</a> it<div class='share-price'>9</div><div class='notice-board'>b</div><div class='share-buttons'>S</div><span hidden>no</span></article>") == ["I like it", "9", "b"]
     assert text("<article><p>a</p><section class='commentary'>said</section><section class='comments-list'>first!</section></article>") == ["a", "said"]
 
 
-def test_texts_rest_on_what_recurs(spark, monkeypatch):
+def test_differencing_decides_the_texts(spark):
+    """Without what was seen in pairs each page has other text; with it the article is left."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     usual = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    differ = 0
     for r in pages.collect():
-        article = html_text.Lines(r.html or "")
-        assert usual[r.page_id] == "\n".join(t for t, m in zip(article.text, article.main, strict=True) if m)
-    compared = html_text._compared
-    monkeypatch.setattr(html_text, "_compared", lambda *a: compared(*a) | {"shared": [], "seen": []})
-    emptied = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
-    assert sum(emptied[k] != usual[k] for k in usual) > 200
+        lines = html_text.Lines(r.html or "")
+        assert usual[r.page_id] == "\n".join(t for t, m in zip(lines.text, lines.main, strict=True) if m)
+        differ += usual[r.page_id] != "\n".join(lines.chosen(set()))
+    assert differ == len(usual)
