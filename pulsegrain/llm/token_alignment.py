@@ -7,6 +7,10 @@ other. Documents are dealt into blocks; a block keeps its different segments onc
 document as the numbers of its segments. Segments of all blocks meet by their text, are tokenized
 and aligned once, and go back to their blocks, where the documents are composed.
 
+The most frequent segments of a bounded sample have numbers of their own in all blocks. They are
+aligned first and broadcast, at most FREQUENT segments of at most LONGEST characters; which ones
+they are decides only what travels, never a result.
+
 Counts of linked id pairs need a first pass over the blocks, which only counts; the second one
 composes. Neither moves texts: documents travel as packed segment numbers.
 """
@@ -14,25 +18,37 @@ composes. Neither moves texts: documents travel as packed segment numbers.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache, reduce
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut_lineage, stored, text_batches
 
 SPACE, MARK = " ", "▁"
+#: A link: which token ends with it (of the first vocabulary, the second, or both, where a group ends), and the two ids.
+LINK, LINKS = struct.Struct("<BII"), np.dtype([("step", "u1"), ("a", "<u4"), ("b", "<u4")])
+ONE_A, ONE_B, BOTH = 1, 2, 3
+#: How many documents hold a pair, and whether that is its first id's highest number.
+COUNT = ">QB"
 #: Stands before a segment that begins with other white space; no piece may hold it beside others.
 GUARD = "\0"
 #: White space that a cut may stand before; both tokenizers agree on it.
 CUT_BEFORE = " \t\n\v\f\r"
-#: A block is closed at so many different segments or characters.
-BLOCK_SEGMENTS, BLOCK_CHARS = 250_000, 64_000_000
+#: A block is closed at so many different segments of its own or characters.
+BLOCK_SEGMENTS, BLOCK_CHARS = 300_000, 128_000_000
+#: Segments that all blocks know, how long they may be, and the documents (of at most so many
+#: characters) that they are chosen from, in expectation.
+FREQUENT, LONGEST, SAMPLE, SAMPLE_CHARS = 500_000, 48, 20_000, 100_000
 #: Segments that are tokenized at once.
 BATCH = 4096
 
@@ -76,30 +92,27 @@ class Vocabularies:
                 y = y[self.guard :]
             yield x, y
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[bool, str, int, list[tuple[int, int]]]:
-        """Whether the tokens are the segment, its groups as text, their number, and the linked ids."""
+    def align(self, segment: str, a: list[int], b: list[int]) -> bytes:
+        """The links of the segment's tokens in order as LINK records; none where the tokens do not give it back."""
         source = segment.encode("utf-8", "surrogatepass")
-        lengths_a, lengths_b = [len(self.bytes_a[i]) for i in a], [len(self.bytes_b[i]) for i in b]
-        if b"".join(map(self.bytes_a.__getitem__, a)) != source or b"".join(map(self.bytes_b.__getitem__, b)) != source:
-            return False, "", 0, []
-        groups, links, from_a, from_b = [], [], 0, 0
-        i = j = 0
-        end_a, end_b = lengths_a[0], lengths_b[0]
+        tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if b"".join(tokens_a) != source or b"".join(tokens_b) != source:
+            return b""
+        if len(a) == len(b) == 1:
+            return LINK.pack(BOTH, a[0], b[0])
+        links, i, j = [], 0, 0
+        end_a, end_b = len(tokens_a[0]), len(tokens_b[0])
         while True:
-            links.append((a[i], b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return True, ";".join(groups), len(groups), links
-                from_a, from_b = i, j
-                end_a, end_b = end_a + lengths_a[i], end_b + lengths_b[j]
-            elif end_a < end_b:
+            step = BOTH if end_a == end_b else ONE_A if end_a < end_b else ONE_B
+            links.append(LINK.pack(step, a[i], b[j]))
+            if step & ONE_A:
                 i += 1
-                end_a += lengths_a[i]
-            else:
+                if i == len(a):
+                    return b"".join(links)
+                end_a += len(tokens_a[i])
+            if step & ONE_B:
                 j += 1
-                end_b += lengths_b[j]
+                end_b += len(tokens_b[j])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -114,8 +127,12 @@ def _segments(tokens: list[str]) -> re.Pattern:
 
     No cut is made after white space of any kind, where tokenizers look ahead.
     """
-    joined = {t[k - 1 : k + 1] for t in tokens for k in range(1, len(t)) if t[k] in CUT_BEFORE and not t[k - 1].isspace()}
-    kept = "".join(f"|(?<={re.escape(pair[0])}){re.escape(pair[1])}" for pair in sorted(joined))
+    joined: dict[str, set[str]] = {}
+    for t in tokens:
+        for k in range(1, len(t)):
+            if t[k] in CUT_BEFORE and not t[k - 1].isspace():
+                joined.setdefault(t[k], set()).add(t[k - 1])
+    kept = "".join(f"|(?<=[{re.escape(''.join(sorted(before)))}]){re.escape(space)}" for space, before in sorted(joined.items()))
     return re.compile(rf".(?:[^{CUT_BEFORE}]+|(?<=\s)[{CUT_BEFORE}]+{kept})*", re.S)
 
 
@@ -134,112 +151,245 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-_CUT = "block long, doc_id long, document binary, number int, segment string"
-_ALIGNED = "block long, number int, lossless boolean, groups string, n_a int, n_b int, n_groups int, links binary"
-_COUNTED = "block long, pair long, holding long"
+class Aligned:
+    """Segments with numbers from `first` on, from the links of each: pairs, sums and groups."""
+
+    def __init__(self, bodies: list[bytes]):
+        links = np.frombuffer(b"".join(bodies), dtype=LINKS)
+        lengths = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // LINKS.itemsize
+        self.links, self.lossless = links, lengths > 0
+        self.of = np.repeat(np.arange(len(bodies)), lengths)
+        self.pairs = links["a"].astype(np.int64) << 32 | links["b"]
+
+    def sums(self, holding: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """A row for each segment: tokens of both, groups, links, those whose count is the best, counts, and 1 if it is lost."""
+        step = self.links["step"]
+        each = [step & ONE_A > 0, step & ONE_B > 0, step == BOTH, np.ones(len(step)), best, holding]
+        columns = [np.bincount(self.of, weights=x, minlength=len(self.lossless)) for x in each]
+        return np.stack([*columns, ~self.lossless], axis=1).astype(np.int64)
+
+    def groups(self) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` for each segment."""
+        found = [""] * len(self.lossless)
+        ids_a, ids_b, parts, last = [], [], [], BOTH
+        for step, a, b, at in zip(self.links["step"].tolist(), self.links["a"].tolist(), self.links["b"].tolist(), self.of.tolist(), strict=True):
+            if last & ONE_A:
+                ids_a.append(str(a))
+            if last & ONE_B:
+                ids_b.append(str(b))
+            last = step
+            if step == BOTH:
+                text = f"{','.join(ids_a)}|{','.join(ids_b)}"
+                found[at] = f"{found[at]};{text}" if found[at] else text
+                ids_a, ids_b = [], []
+        return found
+
+
+class Frequent:
+    """The segments that all blocks know, by number, with the distinct pairs of each."""
+
+    def __init__(self, segments: list[str], bodies: list[bytes]):
+        self.segments, self.bodies = segments, bodies
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return {s: k for k, s in enumerate(self.segments)}
+
+    @cached_property
+    def aligned(self) -> Aligned:
+        return Aligned(self.bodies)
+
+    @cached_property
+    def groups(self) -> list[str]:
+        return self.aligned.groups()
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return np.unique(self.aligned.pairs)
+
+    def __getstate__(self) -> tuple:
+        return self.segments, self.bodies
+
+    def __setstate__(self, state: tuple) -> None:
+        self.segments, self.bodies = state
+
+
+class Numbers(dict):
+    """Numbers of segments; those that all blocks know come first, new ones follow and are listed."""
+
+    def __init__(self, frequent: Frequent):
+        super().__init__()
+        self.frequent, self.new = frequent.numbers, []
+
+    def __missing__(self, segment: str) -> int:
+        number = self.frequent.get(segment)
+        if number is None:
+            number = len(self.frequent) + len(self.new)
+            self.new.append(segment)
+        self[segment] = number
+        return number
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers under 2**32, their bytes of one place side by side so that they compress."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_CUT = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("document", pa.binary()), ("held", pa.binary()), ("number", pa.int64()), ("segment", pa.string())])
+_SEGMENTS = pa.schema([("segment", pa.string()), ("n", pa.int64())])
+_ALIGNED = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("body", pa.binary())])
+_COUNTED = pa.schema([("block", pa.int64()), ("pair", pa.int64()), ("holding", pa.int64())])
+_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_COMPOSED = pa.schema([(c, pa.int64()) for c in ("doc_id", *_SUMS)] + [("groups", pa.string())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else f.type}" for f in schema)
+
+
+def frequent_segments(docs: DataFrame, path_a: str, path_b: str, most: int, sample: int) -> Frequent:
+    """The most frequent segments of about `sample` documents, aligned on Spark; at most `most` rows go to the driver."""
+    share = min(1.0, sample / max(1, docs.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabularies(path_a, path_b)
+        for batch, texts in text_batches(batches, "text"):
+            seen = Counter(s for t in texts if t for s in words.segments(t) if len(s) <= LONGEST)
+            yield _batch(list(seen.items()), _SEGMENTS)
 
+    some = docs.select("text").sample(False, share, 7).filter(F.length("text") <= SAMPLE_CHARS)
+    counts = some.mapInArrow(count, _ddl(_SEGMENTS)).groupBy("segment").agg(F.sum("n").alias("n")).filter("n > 1")
+    top = cut_lineage(counts.orderBy(F.desc("n"), "segment").limit(most))
+    made = aligned(top.select(F.lit(0).cast("long").alias("block"), F.col("n").alias("number"), "segment"), path_a, path_b, text=True).toArrow()
+    order = sorted(zip(made.column("number").to_pylist(), made.column("segment").to_pylist(), made.column("body").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    return Frequent([r[1] for r in order], [r[2] for r in order])
 
-def in_blocks(docs: DataFrame, path_a: str, path_b: str, block_segments: int, block_chars: int) -> DataFrame:
-    """A row for each document, with its segments' numbers (null without a text), and one for each different segment of its block.
+
+def in_blocks(docs: DataFrame, path_a: str, path_b: str, frequent: Broadcast, block_segments: int, block_chars: int) -> DataFrame:
+    """A row for each document, with its segments' numbers (null without a text) in order and once each, and one for each segment of a block's own.
 
     Blocks are made once and stored, so both later passes see the same ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabularies(path_a, path_b)
-        block, numbers, size = TaskContext.get().partitionId() << 32, {}, 0
+        words, known = vocabularies(path_a, path_b), frequent.value
+        block, numbers, size, listed = TaskContext.get().partitionId() << 32, Numbers(known), 0, 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not text:
-                    rows.append((block, doc_id, None, None, None))
+                    rows.append((block, doc_id, None, None, None, None))
                     continue
                 size += len(text)
                 found = words.segments(text)
-                for s in dict.fromkeys(found):
-                    if s not in numbers:
-                        rows.append((block, None, None, len(numbers), s))
-                        numbers[s] = len(numbers)
-                rows.append((block, doc_id, _packed(np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))), None, None))
-                if len(numbers) >= block_segments or size >= block_chars:
-                    block, numbers, size = block + 1, {}, 0
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "doc_id", "document", "number", "segment"])
+                at = np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))
+                once = np.unique(at)
+                rows.append((block, doc_id, _packed(at), _packed(np.diff(once, prepend=0)), None, None))
+                rows += [(block, None, None, None, len(known.segments) + k, numbers.new[k]) for k in range(listed, len(numbers.new))]
+                listed = len(numbers.new)
+                if listed >= block_segments or size >= block_chars:
+                    block, numbers, size, listed = block + 1, Numbers(known), 0, 0
+            yield _batch(rows, _CUT)
 
-    return docs.mapInArrow(run, _CUT)
+    return docs.mapInArrow(run, _ddl(_CUT))
 
 
-def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The alignment of each (block, number, segment): equal segments meet in one task and are tokenized once."""
+def aligned(segments: DataFrame, path_a: str, path_b: str, text: bool = False) -> DataFrame:
+    """The links of each (block, number, segment): equal segments meet in one task and are tokenized once."""
+    schema = _ALIGNED.append(pa.field("segment", pa.string())) if text else _ALIGNED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabularies(path_a, path_b)
         last: str | None = None
-        row: tuple = ()
+        body = b""
         for batch in batches:
             texts = batch.column("segment").to_pylist()
             new = [s for s, before in zip(texts, [last, *texts], strict=False) if s != before]
-            made = []
+            made: list[bytes] = []
             for at in range(0, len(new), BATCH):
                 some = new[at : at + BATCH]
-                for s, (a, b) in zip(some, words.tokens(some), strict=True):
-                    lossless, groups, n_groups, links = words.align(s, a, b)
-                    made.append((lossless, groups, len(a), len(b), n_groups, np.array(links, dtype="<u4").tobytes()))
-            rows, nth = [], iter(made)
+                made += [words.align(s, a, b) for s, (a, b) in zip(some, words.tokens(some), strict=True)]
+            bodies, nth = [], iter(made)
             for s in texts:
                 if s != last:
-                    row, last = next(nth), s
-                rows.append(row)
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            types = [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            arrays = [batch.column("block"), batch.column("number"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "number", "lossless", "groups", "n_a", "n_b", "n_groups", "links"])
+                    body, last = next(nth), s
+                bodies.append(body)
+            arrays = [batch.column("block"), batch.column("number"), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("segment")] if text else arrays, schema=schema)
 
     met = segments.select("block", "number", "segment").repartition("segment").sortWithinPartitions("segment")
-    return met.mapInArrow(run, _ALIGNED)
-
-
-def _pairs(links: bytes) -> np.ndarray:
-    """Linked ids (a, b) as a * 2**32 + b."""
-    ids = np.frombuffer(links, dtype="<u4").reshape(-1, 2).astype(np.int64)
-    return ids[:, 0] << 32 | ids[:, 1]
-
-
-def holding_counts(documents: DataFrame, alignments: DataFrame) -> DataFrame:
+    return met.mapInArrow(run, _ddl(schema))
+
+
+def _by_block(*parts: DataFrame) -> DataFrame:
+    """Rows (block, kind, key, body) of one block beside each other, kinds in turn, by key."""
+    every = [p.select("block", F.lit(k).cast("byte").alias("kind"), "key", "body") for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, every).repartition("block").sortWithinPartitions("block", "kind", "key")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[tuple[int, list[list[tuple]], Iterator[list[tuple]]]]:
+    """Each block: its rows (key, body) of the kinds before `documents`, and its documents some at a time."""
+    rows = ((b, k, key, body) for batch in batches for b, k, key, body in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "key", "body")), strict=True))
+    for block, here in groupby(rows, key=itemgetter(0)):
+        kinds: list[list[tuple]] = [[] for _ in range(documents)]
+        first = None
+        for row in here:
+            if row[1] == documents:
+                first = row
+                break
+            kinds[row[1]].append(row[2:])
+        rest = chain([first] if first else [], here)
+        yield block, kinds, iter(lambda: [r[2:] for r in islice(rest, BATCH)], [])  # noqa: B023
+
+
+class HeldPairs:
+    """The distinct pairs of each segment of a block, numbered from 0."""
+
+    def __init__(self, frequent: Frequent, own: Aligned):
+        known = frequent.aligned
+        pairs = np.concatenate([known.pairs, own.pairs])
+        self.pairs, ids = np.unique(pairs, return_inverse=True)
+        segments = np.concatenate([known.of, own.of + len(known.lossless)])
+        once = np.unique(segments * len(self.pairs) + ids)
+        self.ids = once % max(1, len(self.pairs))
+        self.lossless = np.concatenate([known.lossless, own.lossless])
+        self.starts = np.searchsorted(once, np.arange(len(self.lossless) + 1) * len(self.pairs))
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The distinct pairs of some segments together."""
+        starts = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - starts
+        ends = np.cumsum(lengths)
+        return np.unique(self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)])
+
+
+def holding_counts(documents: DataFrame, alignments: DataFrame, frequent: Broadcast) -> DataFrame:
     """(block, pair, holding): how many documents of a block hold a linked id pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, lossless, held, pairs, counts = None, [], [], {}, None
+        for block, (own,), documents in _blocks(batches, 1):
+            held = HeldPairs(frequent.value, Aligned([body for _, body in own]))
+            counts = np.zeros(len(held.pairs), dtype=np.int64)
+            for some in documents:
+                for _, body in some:
+                    numbers = np.cumsum(_unpacked(body))
+                    if held.lossless[numbers].all():
+                        counts[held.of(numbers)] += 1
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(held.pairs[at]), pa.array(counts[at])], schema=_COUNTED)
 
-        def closed() -> pa.RecordBatch:
-            seen = [(p, int(counts[k])) for p, k in pairs.items() if counts is not None and counts[k]]
-            ids, n = zip(*seen, strict=True) if seen else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(seen), pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["block", "pair", "holding"])
-
-        for batch in batches:
-            for new, ok, links, document in zip(*(batch.column(c).to_pylist() for c in ("block", "lossless", "links", "document")), strict=True):
-                if new != block:
-                    if block is not None:
-                        yield closed()
-                    block, lossless, held, pairs, counts = new, [], [], {}, None
-                if document is None:
-                    lossless.append(ok)
-                    held.append(np.array([pairs.setdefault(p, len(pairs)) for p in np.unique(_pairs(links)).tolist()], dtype=np.int64))
-                    continue
-                if counts is None:
-                    counts, fine = np.zeros(len(pairs), dtype=np.int64), np.array(lossless, dtype=bool)
-                numbers = np.unique(_unpacked(document))
-                if fine[numbers].all():
-                    counts[np.unique(np.concatenate([held[k] for k in numbers.tolist()]))] += 1
-        if block is not None:
-            yield closed()
-
-    columns = ["block", "number", "lossless", "links", "document"]
-    none = F.lit(None)
-    parts = alignments.select("block", "number", "lossless", "links", none.cast("binary").alias("document"))
-    whole = documents.filter("document IS NOT NULL").select("block", none.cast("int").alias("number"), none.cast("boolean").alias("lossless"), none.cast("binary").alias("links"), "document")
-    return parts.unionByName(whole).select(*columns).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("number")).mapInArrow(run, _COUNTED)
+    whole = documents.filter("document IS NOT NULL").select("block", F.lit(0).cast("long").alias("key"), F.col("held").alias("body"))
+    return _by_block(alignments.withColumnRenamed("number", "key"), whole).mapInArrow(run, _ddl(_COUNTED))
 
 
 def corpus_counts(held: DataFrame) -> DataFrame:
@@ -250,48 +400,44 @@ def corpus_counts(held: DataFrame) -> DataFrame:
     return counts.withColumn("a", first).join(most, "a").select("pair", "holding", (F.col("holding") == F.col("most")).alias("best"))
 
 
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_COMPOSED = "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups string"
+def _counted(pairs: np.ndarray, known: np.ndarray, holding: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """holding and best of each pair; pairs that no document holds are not known and count 0."""
+    if not len(known):
+        return np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=bool)
+    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+    found = known[at] == pairs
+    return np.where(found, holding[at], 0), best[at] & found
 
 
-def composed(documents: DataFrame, alignments: DataFrame, known: DataFrame) -> DataFrame:
+def composed(documents: DataFrame, alignments: DataFrame, known: DataFrame, frequent: Broadcast, sums: Broadcast) -> DataFrame:
     """The result row of each document with a text, from its block's counts and alignments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts, sums, groups, table = None, {}, [], [], None
-        for batch in batches:
-            names = ("block", "kind", "number", "groups", "lossless", "n_a", "n_b", "n_groups", "links", "pair", "holding", "best", "doc_id", "document")
-            rows: list[tuple] = []
-            for new, kind, _, text, ok, n_a, n_b, n_groups, links, pair, holding, best, doc_id, document in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if new != block:
-                    block, counts, sums, groups, table = new, {}, [], [], None
-                if kind == 0:
-                    counts[pair] = (holding, best)
-                elif kind == 1:
-                    # pairs that no document holds stand in texts that do not come back whole
-                    held = [counts.get(p, (0, False)) for p in _pairs(links).tolist()]
-                    sums.append((n_a, n_b, n_groups, len(held), sum(b for _, b in held), sum(h for h, _ in held), not ok))
-                    groups.append(text)
-                else:
-                    if table is None:
-                        table = np.array(sums, dtype=np.int64).reshape(-1, 7)
-                    numbers = _unpacked(document)
-                    total = table[numbers].sum(axis=0).tolist()
-                    whole = not total[6]
-                    rows.append((doc_id, *(total[:6] if whole else [0] * 6), ";".join(map(groups.__getitem__, numbers.tolist())) if whole else ""))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.string())], names=["doc_id", *_SUMS, "groups"])
-
-    none = {"number": "int", "groups": "string", "lossless": "boolean", "n_a": "int", "n_b": "int", "n_groups": "int", "links": "binary", "pair": "long", "holding": "long", "best": "boolean", "doc_id": "long", "document": "binary"}
-
-    def rows(df: DataFrame, kind: int) -> DataFrame:
-        return df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
-
-    every = rows(known, 0).unionByName(rows(alignments, 1)).unionByName(rows(documents.filter("document IS NOT NULL").select("block", "doc_id", "document"), 2))
-    return every.repartition("block").sortWithinPartitions("block", "kind", "number").mapInArrow(run, _COMPOSED)
-
-
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_segments: int = BLOCK_SEGMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+        for _, (counts, own), documents in _blocks(batches, 2):
+            segments = Aligned([body for _, body in own])
+            numbers = np.array([struct.unpack(COUNT, body) for _, body in counts], dtype=np.int64).reshape(-1, 2)
+            pairs = np.fromiter((pair for pair, _ in counts), dtype=np.int64, count=len(counts))
+            holding, best = _counted(segments.pairs, pairs, numbers[:, 0], numbers[:, 1] > 0)
+            table = np.concatenate([sums.value, segments.sums(holding, best)])
+            groups = frequent.value.groups + segments.groups()
+            for some in documents:
+                rows = []
+                for doc_id, body in some:
+                    at = _unpacked(body)
+                    total = table[at].sum(axis=0).tolist()
+                    rows.append((doc_id, *[0] * len(_SUMS), "") if total[-1] else (doc_id, *total[:-1], ";".join(map(groups.__getitem__, at.tolist()))))
+                yield _batch(rows, _COMPOSED)
+
+    whole = documents.filter("document IS NOT NULL").select("block", F.col("doc_id").alias("key"), F.col("document").alias("body"))
+    # holding and best as COUNT packs them
+    packed = F.concat(F.unhex(F.lpad(F.hex("holding"), 16, "0")), F.unhex(F.when(F.col("best"), "01").otherwise("00")))
+    counts = known.select("block", F.col("pair").alias("key"), packed.alias("body"))
+    return _by_block(counts, alignments.withColumnRenamed("number", "key"), whole).mapInArrow(run, _ddl(_COMPOSED))
+
+
+def align_tokenizers(
+    docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_segments: int = BLOCK_SEGMENTS, block_chars: int = BLOCK_CHARS, frequent: int = FREQUENT, sample: int = SAMPLE
+) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups for each row of docs.
 
     groups has the ids of both tokenizers (`a1,a2|b1;a3|b2,b3`), cut where tokens of both end at
@@ -301,16 +447,26 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     Null and empty texts, and those that the tokens of either vocabulary do not give back byte for
     byte, have zeros and empty groups, and hold no pair. Repeated rows and null ids count each as a
     document; an empty table gives an empty result; other columns are ignored. A text without
-    white space is one segment. A task holds the different segments of one block.
+    white space is one segment. A task holds the different segments of one block, and the
+    `frequent` ones.
     """
+    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = stored(in_blocks(texts, path_a, path_b, block_segments, block_chars), "token-blocks")
-    documents = cut.filter("number IS NULL").select("block", "doc_id", "document")
+    common = frequent_segments(texts, path_a, path_b, frequent, sample)
+    shared = sc.broadcast(common)
+    cut = stored(in_blocks(texts, path_a, path_b, shared, block_segments, block_chars), "token-blocks")
+    documents = cut.filter("number IS NULL").select("block", "doc_id", "document", "held")
     alignments = stored(aligned(cut.filter("number IS NOT NULL"), path_a, path_b), "token-alignments")
-    held = stored(holding_counts(documents, alignments), "token-pairs")
-    known = held.select("block", "pair").join(corpus_counts(held), "pair")
+    held = stored(holding_counts(documents, alignments, shared), "token-pairs")
+    counts = cut_lineage(corpus_counts(held))
+    known = held.select("block", "pair").join(counts, "pair")
+    # the pairs of frequent segments are as bounded as these
+    of_common = docs.sparkSession.createDataFrame(pa.table({"pair": common.pairs}))
+    found = counts.join(F.broadcast(of_common), "pair").orderBy("pair").toArrow()
+    numbers = [found.column(c).to_numpy() for c in ("pair", "holding", "best")]
+    sums = sc.broadcast(common.aligned.sums(*_counted(common.aligned.pairs, *numbers)))
     empty = documents.filter("document IS NULL").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in _SUMS], F.lit("").alias("groups"))
-    return composed(documents, alignments, known).unionByName(empty)
+    return composed(documents, alignments, known, shared, sums).unionByName(empty)
 
 
 def digests(rows: DataFrame) -> DataFrame:
