@@ -24,6 +24,8 @@ from .common import by_size, remainder_of_id, text_batches
 
 #: Labelled documents of each language that the model is fitted on, at most (in expectation).
 SAMPLE_PER_LANGUAGE = 3000
+#: Different languages that a model may have.
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 ROUNDS = 12
@@ -79,10 +81,13 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     """n-gram likelihoods from the rows where `learn` holds and the language is known.
 
     Rows are drawn by a hash of `order`, so that about per_language of each language are read;
-    n-grams are counted on Spark and only buckets times languages of counts go to the driver.
+    n-grams are counted on Spark and only buckets times languages of counts go to the driver. More
+    than MOST_LANGUAGES different values are an error.
     """
     known = docs.filter(learn & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} languages; a model is as large as their number")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), dtype=np.float32))

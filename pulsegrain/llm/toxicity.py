@@ -1,10 +1,10 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
 Words are hashed to embeddings; filters of several widths run over them and the largest response
-of each filter in the text goes to a logistic layer. The score is mapped so that 0.3 is the cut
-with the best F1 on all labelled rows that the classifier was not trained on, counted by the sizes
-of the classes. Cuts by language are calibrated there as well; a text's language is the one whose
-words it has, as learned from the training rows, so that decisions by language need no label.
+of each filter in the text goes to a logistic layer. For each language the score is mapped so that
+0.3 is the cut with the best F1 on all its labelled rows that the classifier was not trained on,
+counted by the sizes of the classes. A text's language is the one whose words it has, as learned
+from the training rows, so that no label or lang column takes part in a score.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from .common import by_size, cut_lineage, remainder_of_id, text_batches
 from .word_cache import WordCache
 
-#: Labelled rows of each class that the model is fitted on, at most (in expectation).
-SAMPLE_PER_CLASS = 5000
+#: Labelled rows of each class that the model is fitted on, at most (in expectation), and how many
+#: characters they have on average at most: a longer text is drawn so much more seldom, one of over
+#: LONGEST characters is not drawn. All texts are scored, whatever their length.
+SAMPLE_PER_CLASS, CHARACTERS, LONGEST = 5000, 10_000, 1_000_000
+#: Labelled rows of each class from which a language has a cut of its own.
+OWN_CUT = 20
 BUCKETS = 1 << 16
 WIDTHS = (1, 2, 3)
 FILTERS, SIZE = 8, 8
@@ -153,8 +157,10 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
-    picked = F.broadcast(known.filter(draw < share))  # some 2 * per_class rows
+    picked = F.broadcast(known.withColumn("left", draw / share).filter("left < 1"))  # some 2 * per_class rows
     rows = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), _sig(text_col).alias("sig")).join(picked, id_col)
+    length = F.length(F.coalesce("text", F.lit("")))
+    rows = rows.filter((length <= LONGEST) & (F.col("left") * F.greatest(F.lit(1.0), length / CHARACTERS) < 1))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
@@ -283,7 +289,9 @@ def calibrate(model: Model, scored: DataFrame, trained: list[int]) -> None:
     bins = counts.toPandas()
     sized = lambda part: best_cut(part.assign(size=part.groupby("label")["all"].transform("sum")))
     model.cut = sized(bins)
-    model.by_language = {str(lang): sized(part) for lang, part in bins[bins["lang"].notna()].groupby("lang")}
+    free_rows = bins[bins["lang"].notna()].groupby(["lang", "label"])["n"].sum().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
+    own = set(free_rows.index[(free_rows >= OWN_CUT).all(axis=1)])
+    model.by_language = {str(lang): sized(part) for lang, part in bins[bins["lang"].isin(own)].groupby("lang")}
 
 
 def _fit_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> tuple[Model, list[int]]:
@@ -332,24 +340,25 @@ def _raw_scores(docs: DataFrame, model: Model, text_col: str, keep: tuple[Column
 
 
 def _final(model: Model) -> tuple[Column, ...]:
-    final, cut = calibrated(F.col("p"), model.cut), F.lit(model.cut)
+    final = calibrated(F.col("p"), model.cut)
     for name, own in model.by_language.items():
-        cut = F.when(F.col("lang") == name, own).otherwise(cut)
-    return final.alias("score"), (final >= CUT).cast("int").alias("predicted"), F.col("lang").alias("text_lang"), (F.col("p") >= cut).cast("int").alias("toxic_by_language")
+        final = F.when(F.col("lang") == name, calibrated(F.col("p"), own)).otherwise(final)
+    return final.alias("score"), (final >= CUT).cast("int").alias("predicted"), F.col("lang").alias("text_lang")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Columns `keep`, score, predicted (score >= 0.3), text_lang and toxic_by_language for each row of docs.
+    """Columns `keep`, score, predicted (score >= 0.3) and text_lang for each row of docs.
 
-    text_lang is the language that the words of the text are likeliest in, null if there are none,
-    and toxic_by_language the decision by its own cut. Whole texts are scored; null and empty ones too.
+    text_lang is the language that the words of the text are likeliest in, null if there are none.
+    Its cut is 0.3 in the score; a language with too few labelled rows has the cut of all. Whole
+    texts are scored; null and empty ones too.
     """
     raw = _raw_scores(docs, model, text_col, keep)
     return raw.select(*[c for c in raw.columns if c not in ("p", "lang")], *_final(model))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, score, predicted, text_lang and toxic_by_language for each row of docs.
+    """doc_id, held_out, score, predicted and text_lang for each row of docs.
 
     Labels of ids whose crc32 mod 4 is 2 are never learned from. Null ids count as empty text
     there; repeated rows each come back; an empty table gives an empty result.

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from brute import PII, pii_base
 from pyspark.sql import functions as F
 
@@ -106,9 +107,8 @@ def test_the_cut_counts_classes_by_their_sizes(spark):
     for per_class in (150, 5000):  # a sample of equal classes, and all rows
         model = toxicity.fit(df, lab, F.lit(True), per_class=per_class)
         got = toxicity.score(df, model, "text", (F.col("doc_id"),)).collect()
-        for name in ("predicted", "toxic_by_language"):
-            assert sum(r[name] for r in got if r.doc_id % 10) < 0.05 * 2700, (per_class, name)
-            assert sum(r[name] for r in got if r.doc_id % 10 == 0) > 0.4 * 300, (per_class, name)
+        assert sum(r.predicted for r in got if r.doc_id % 10) < 0.05 * 2700, per_class
+        assert sum(r.predicted for r in got if r.doc_id % 10 == 0) > 0.4 * 300, per_class
 
 
 def test_without_labels_nothing_is_toxic(spark):
@@ -290,10 +290,94 @@ def test_decisions_by_language_go_by_the_text(spark):
     got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
     assert all(got[k].text_lang == "xy"[k % 2] for k in range(1200)) and got[5000].text_lang is None
     truth = dict(labels)
-    assert sum(got[k].toxic_by_language == truth[k] for k in truth) > 0.97 * len(truth)
+    assert sum(got[k].predicted == truth[k] for k in truth) > 0.97 * len(truth)
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
-    same = toxicity.toxicity(df.withColumn("lang", F.lit("y")), lab)
-    assert all(r.score == got[r.doc_id].score for r in same.collect())  # lang is no input of a score
+    held_out = toxicity.remainder_of_id(F.col("doc_id")) == 2
+    same = toxicity.toxicity(df.withColumn("lang", F.when(held_out, F.lit("z")).otherwise(F.col("lang"))), lab)
+    assert all(r.score == got[r.doc_id].score for r in same.collect())  # the lang of a row is no input of its score
+
+
+def test_each_language_has_its_own_cut_in_the_score(spark):
+    """A word that is mild in one language and telling in the other: one cut for both would miss or flag."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for k in range(2400):
+        lang = "xy"[k % 2]
+        text = [lang + "".join(rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+        toxic = rng.random() < 0.2
+        if lang == "x":
+            text[3] = "vile" if toxic else "grub" if rng.random() < 0.25 else text[3]
+        else:
+            text[3] = "grub" if toxic else text[3]
+        docs.append((k, " ".join(text), lang))
+        labels.append((k, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lab, toxicity.remainder_of_id(F.col("doc_id")) != 2)
+    assert set(model.by_language) == {"x", "y"} and model.by_language["y"] < model.by_language["x"]
+    truth = dict(labels)
+    got = [r for r in toxicity.toxicity(df, lab).collect() if r.held_out]
+    # any one cut either flags the tenth of the rows with the mild word or misses as many toxic ones
+    assert sum(r.predicted == truth[r.doc_id] for r in got) > 0.92 * len(got)
+
+
+def plain_score(model, text):
+    """A text's score by loops over its windows and filters."""
+    ids = toxicity.word_ids(text).tolist()
+    features, place = [], 0
+    for n, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            top = max(sum(float(model.taps[b, place + j, f]) for j in range(w) for b in ids[at + j]) for at in range(len(ids) - w + 1))
+            features.append(max(0.0, top + float(model.bias[n, f])))
+        place += w
+    z = sum(x * float(y) for x, y in zip(features, model.weights, strict=True)) + model.offset
+    return 1 / (1 + np.exp(-max(-30, min(30, z))))
+
+
+def test_scores_and_cuts_are_those_of_plain_versions(spark):
+    """Every score by loops, and the cut by trying all of them, from a trained model."""
+    docs, labels = toxic_rows(400)
+    docs = [d for d in docs if d[0] != 5002]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, p int")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = toxicity._known(lab, toxicity.remainder_of_id(F.col("doc_id")) != 2, "doc_id", "toxic")
+    model, trained = toxicity._fit_sample(df, known, "doc_id", "text", "lang", 5000)
+    toxicity.calibrate(model, toxicity._raw_scores(df.join(known, "doc_id"), model, "text", (F.col("label"), toxicity._sig("text").alias("sig"))), trained)
+    plain = {(i, t): plain_score(model, t or "") for i, t, _, _ in docs}
+    truth = {r.doc_id: r.label for r in known.collect()}
+    sigs = {r.doc_id: r.sig for r in df.select("doc_id", toxicity._sig("text").alias("sig")).collect()}
+    free = [(plain[i, t], truth[i]) for i, t, _, _ in docs if i in truth and sigs[i] not in set(trained)]
+    share = {y: sum(v == y for v in truth.values()) / sum(v == y for _, v in free) for y in (0, 1)}
+
+    def f1(cut):
+        hit, false, missed = (sum(share[y] for p, y in free if (p >= cut, y) == x) for x in ((True, 1), (True, 0), (False, 1)))
+        return 2 * hit / (2 * hit + false + missed)
+
+    # cuts are looked for between bins of the log-odds
+    assert f1(model.cut) >= max(f1(p) for p, _ in free) - 0.02
+    for r in toxicity.toxicity(df, lab).collect():
+        p, cut = plain[r.doc_id, next(t for i, t, _, _ in docs if i == r.doc_id)], model.by_language.get(r.text_lang, model.cut)
+        want = toxicity.CUT + (p - cut) / (1 - cut) * (1 - toxicity.CUT) if p >= cut else p / cut * toxicity.CUT
+        assert abs(r.score - want) < 1e-4
+
+
+def test_long_texts_take_no_room_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHARACTERS", 100)
+    monkeypatch.setattr(toxicity, "LONGEST", 50_000)
+    rows = [(k, "vile word " * (20_000 if k < 4 else 300 if k < 200 else 3) + str(k), "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, label int")
+    found = toxicity._sample(df, known, "doc_id", "text", "lang", 5000)
+    ids = {int(x) for x in found["id"]}
+    assert len(ids & set(range(200, 400))) > 195 and not ids & set(range(4)) and len(ids & set(range(200))) < 25
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(4)], "doc_id long, text string, lang string")
+    language_id.fit(df.filter("doc_id < 3"), F.lit(True), order=F.col("doc_id"))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(df, F.lit(True), order=F.col("doc_id"))
 
 
 def shares_drawn(rows, domains):
