@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +28,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+@cache
+def _local_folder() -> str:
+    """One folder for a local process, which goes with it."""
+    made = tempfile.mkdtemp(prefix="pulsegrain-checkpoint-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, which all machines share.
 
@@ -36,7 +47,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="pulsegrain-checkpoint-")
+    return _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from .common import ASCII_SPACE, cut_lineage, whole_rows
 
 #: Bytes of a block. Longer blocks need fewer levels, shorter ones smaller sort rows.
 BLOCK_BYTES = 16384
+#: Repeats of one row that are made from one array.
+REPEATS_STEP = 10_000
 
 
 def _named(rows: DataFrame, *content: str) -> DataFrame:
@@ -65,7 +67,7 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     return done
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, repeats_step: int = REPEATS_STEP) -> DataFrame:
     """Which row of each group of equal texts stays.
 
     Returns one row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. The smallest
@@ -77,7 +79,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # read back from disk, both sides of the join are plain shuffles, whose hot keys Spark splits
     groups = cut_lineage(named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size")))
     out = named.join(groups, ["n_blocks", "name"])
-    out = out.select("id", "sha", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    # repeated rows come back in two steps, so that no array grows with their number
+    step = F.lit(repeats_step).cast("long")
+    out = out.select("id", "sha", "keep_id", "group_size", "times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"), step)).alias("from"))
+    out = out.select("id", "sha", "keep_id", "group_size", F.explode(F.sequence(F.col("from"), F.least(F.col("times"), F.col("from") + step - 1))).alias("nth"))
     return out.select(
         F.col("id").alias("doc_id"),
         "keep_id",

@@ -51,34 +51,41 @@ class CountOnlyViterbi:
         for piece, score in pieces[1:]:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces[1:]), default=1)
         self.byte_fallback = byte_fallback
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.words = WordCache(lambda w: self.count(MARK + w), size=500_000)
 
     def count(self, word: str) -> int:
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        # places further back than the longest piece are never read again, so a ring of them is kept
+        size = min(n, self.longest) + 1
+        score, count, unknown = [0.0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(word)  # in the order of their ends
+        match = next(matches, None)
         for end in range(n):
+            pieces = []
+            while match is not None and match[0] == end:
+                pieces.append(match[1])
+                match = next(matches, None)
             best, start, single = None, end, False
-            for length, value in sorted(ends[end], reverse=True):
-                at = score[end + 1 - length] + value
+            for length, value in sorted(pieces, reverse=True):
+                at = score[(end + 1 - length) % size] + value
                 single |= length == 1
                 if best is None or at > best:
                     best, start = at, end + 1 - length
             is_unknown = False
             if not single:
-                at = score[end] + self.unknown
+                at = score[end % size] + self.unknown
                 if best is None or at > best:
                     best, start, is_unknown = at, end, True
-            score[end + 1], unknown[end + 1] = best, is_unknown
             if is_unknown and self.byte_fallback:
-                count[end + 1] = count[start] + len(word[end].encode("utf-8", "surrogatepass"))
+                tokens = len(word[end].encode("utf-8", "surrogatepass"))
             else:
-                count[end + 1] = count[start] + (not (is_unknown and unknown[start]))
-        return count[n]
+                tokens = not (is_unknown and unknown[start % size])
+            k = (end + 1) % size
+            score[k], count[k], unknown[k] = best, count[start % size] + tokens, is_unknown
+        return count[n % size]
 
     def __call__(self, text: str) -> tuple[int, int]:
         """Tokens and words."""

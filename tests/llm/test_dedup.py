@@ -35,6 +35,13 @@ def test_groups_at_every_block_size(spark):
         assert sum(r.kept for r in got) == len({normal(t) for _, t in TEXTS})
 
 
+def test_repeats_come_back_step_by_step(spark):
+    rows = frame(spark, [(1, "a"), (2, " b")]).crossJoin(spark.range(2500)).drop("id")
+    for step in (1, 1000, 2500, 10_000):
+        got = exact_dedup.exact_groups(rows, repeats_step=step)
+        assert sorted(map(tuple, got.groupBy("doc_id", "keep_id", "group_size").agg(F.count("*"), F.count_if("kept")).collect())) == [(1, 1, 2500, 2500, 1), (2, 2, 2500, 2500, 1)]
+
+
 def test_clashing_hashes_are_told_apart_by_content(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(len(c)).cast("long"))
     got = exact_dedup.exact_groups(frame(spark, TEXTS), block_bytes=4).collect()

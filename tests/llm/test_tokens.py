@@ -42,6 +42,22 @@ def test_ties_take_the_longest_last_piece():
         assert counter(text)[0] == len(unigram.encode(text).ids)
 
 
+def test_a_long_word_takes_little_memory():
+    import tracemalloc
+
+    pieces = (("<unk>", 0.0), *((c, -3.0) for c in "ab▁"), ("aab", -4.0), ("abba", -5.5), ("bab", -4.5))
+    counter = token_counts.CountOnlyViterbi(pieces)
+    rng = random.Random(6)
+    word = "".join(rng.choice("ab") for _ in range(300_000))
+    unigram = Tokenizer(models.Unigram(list(pieces), unk_id=0, byte_fallback=False))
+    short = word[:2000]
+    assert counter.count(short) == len(unigram.encode(short).ids)
+    tracemalloc.start()
+    counter.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
 def test_pieces_cover_every_id_once(spark):
     path = tokenizer_file("word_bpe_49k.json")
     full = Tokenizer.from_file(path)
