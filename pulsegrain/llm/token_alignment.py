@@ -45,10 +45,10 @@ GUARD = "\0"
 #: White space that a cut may stand before; both tokenizers agree on it.
 CUT_BEFORE = " \t\n\v\f\r"
 #: A block is closed at so many different segments of its own or characters.
-BLOCK_SEGMENTS, BLOCK_CHARS = 300_000, 128_000_000
+BLOCK_SEGMENTS, BLOCK_CHARS = 200_000, 128_000_000
 #: Segments that all blocks know, how long they may be, and the documents (of at most so many
 #: characters) that they are chosen from, in expectation.
-FREQUENT, LONGEST, SAMPLE, SAMPLE_CHARS = 500_000, 48, 20_000, 100_000
+FREQUENT, LONGEST, SAMPLE, SAMPLE_CHARS = 200_000, 48, 10_000, 100_000
 #: Segments that are tokenized at once.
 BATCH = 4096
 
