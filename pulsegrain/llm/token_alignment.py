@@ -36,7 +36,7 @@ from .common import cut_lineage, stored, text_batches
 
 SPACE, MARK = " ", "▁"
 #: A link: which token ends with it (of the first vocabulary, the second, or both, where a group ends), and the two ids.
-LINK, LINKS = struct.Struct("<BII"), np.dtype([("step", "u1"), ("a", "<u4"), ("b", "<u4")])
+LINKS = np.dtype([("step", "u1"), ("a", "<u4"), ("b", "<u4")])
 ONE_A, ONE_B, BOTH = 1, 2, 3
 #: How many documents hold a pair, and whether that is its first id's highest number.
 COUNT = ">QB"
@@ -49,8 +49,8 @@ BLOCK_SEGMENTS, BLOCK_CHARS = 200_000, 128_000_000
 #: Segments that all blocks know, how long they may be, and the documents (of at most so many
 #: characters) that they are chosen from, in expectation.
 FREQUENT, LONGEST, SAMPLE, SAMPLE_CHARS = 200_000, 48, 10_000, 100_000
-#: Segments that are tokenized at once.
-BATCH = 4096
+#: Segments that are tokenized at once, aligned ones that a task gathers by block before it hands them on, and documents that are composed at once.
+BATCH, GATHERED, COMPOSED = 4096, 200_000, 512
 
 
 class Vocabularies:
@@ -92,27 +92,37 @@ class Vocabularies:
                 y = y[self.guard :]
             yield x, y
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> bytes:
-        """The links of the segment's tokens in order as LINK records; none where the tokens do not give it back."""
-        source = segment.encode("utf-8", "surrogatepass")
-        tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(tokens_a) != source or b"".join(tokens_b) != source:
-            return b""
-        if len(a) == len(b) == 1:
-            return LINK.pack(BOTH, a[0], b[0])
-        links, i, j = [], 0, 0
-        end_a, end_b = len(tokens_a[0]), len(tokens_b[0])
-        while True:
-            step = BOTH if end_a == end_b else ONE_A if end_a < end_b else ONE_B
-            links.append(LINK.pack(step, a[i], b[j]))
-            if step & ONE_A:
-                i += 1
-                if i == len(a):
-                    return b"".join(links)
-                end_a += len(tokens_a[i])
-            if step & ONE_B:
-                j += 1
-                end_b += len(tokens_b[j])
+    @cached_property
+    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each token of both vocabularies."""
+        a = np.zeros(max(self.bytes_a) + 1, dtype=np.int64)
+        for i, token in self.bytes_a.items():
+            a[i] = len(token)
+        return a, np.array([len(token) for token in self.bytes_b], dtype=np.int64)
+
+    def align(self, segments: list[str]) -> list[bytes]:
+        """For each segment the links of its tokens in order as LINKS records; none where the tokens do not give it back.
+
+        Tokens of all segments lie on one line of bytes. Each end of a token of either vocabulary
+        ends a link, whose tokens are those that reach up to there.
+        """
+        sources = [s.encode("utf-8", "surrogatepass") for s in segments]
+        both = list(self.tokens(segments))
+        same = [b"".join(map(self.bytes_a.__getitem__, a)) == t == b"".join(map(self.bytes_b.__getitem__, b)) for (a, b), t in zip(both, sources, strict=True)]
+        kept = [x for x, good in zip(both, same, strict=True) if good]
+        if not kept:
+            return [b""] * len(segments)
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in kept), dtype=np.int64) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        ends = np.union1d(ends_a, ends_b)
+        links = np.empty(len(ends), dtype=LINKS)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links["a"], links["b"] = a[at_a], b[at_b]
+        links["step"] = ONE_A * (ends_a[at_a] == ends) + ONE_B * (ends_b[at_b] == ends)
+        whole = np.cumsum([len(t) if good else 0 for t, good in zip(sources, same, strict=True)])
+        stops = (np.searchsorted(ends, whole, side="right") * LINKS.itemsize).tolist()
+        packed = links.tobytes()
+        return [packed[x:y] for x, y in zip([0, *stops], stops, strict=False)]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -152,15 +162,38 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 class Aligned:
-    """Segments with numbers from `first` on, from the links of each: pairs, sums and groups."""
+    """Segments with their links one after the other: pairs, sums and groups."""
 
-    def __init__(self, bodies: list[bytes]):
-        links = np.frombuffer(b"".join(bodies), dtype=LINKS)
-        lengths = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // LINKS.itemsize
+    def __init__(self, lengths: np.ndarray, links: np.ndarray):
         self.links, self.lossless = links, lengths > 0
-        self.of = np.repeat(np.arange(len(bodies)), lengths)
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
         self.pairs = links["a"].astype(np.int64) << 32 | links["b"]
 
+    @staticmethod
+    def packed(numbers: list[int], bodies: list[bytes]) -> bytes:
+        """Some segments of a block as one value: how many, their numbers, their links' numbers, the links."""
+        lengths = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // LINKS.itemsize
+        head = np.concatenate([[len(bodies)], numbers, lengths]).astype("<u4")
+        return head.tobytes() + b"".join(bodies)
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Aligned:
+        """The segments of packed values, by number."""
+        numbers, lengths, links = [], [], []
+        for part in parts:
+            n = int.from_bytes(part[:4], "little")
+            head = np.frombuffer(part, dtype="<u4", count=2 * n, offset=4).astype(np.int64)
+            numbers.append(head[:n])
+            lengths.append(head[n:])
+            links.append(np.frombuffer(part, dtype=LINKS, offset=4 + 8 * n))
+        if not parts:
+            return cls(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=LINKS))
+        number, length, link = np.concatenate(numbers), np.concatenate(lengths), np.concatenate(links)
+        order = np.argsort(number)
+        starts, sorted_lengths = (np.cumsum(length) - length)[order], length[order]
+        ends = np.cumsum(sorted_lengths)
+        return cls(sorted_lengths, link[np.repeat(starts - ends + sorted_lengths, sorted_lengths) + np.arange(len(link))])
+
     def sums(self, holding: np.ndarray, best: np.ndarray) -> np.ndarray:
         """A row for each segment: tokens of both, groups, links, those whose count is the best, counts, and 1 if it is lost."""
         step = self.links["step"]
@@ -186,10 +219,10 @@ class Aligned:
 
 
 class Frequent:
-    """The segments that all blocks know, by number, with the distinct pairs of each."""
+    """The segments that all blocks know, by number, and their alignments as one packed value."""
 
-    def __init__(self, segments: list[str], bodies: list[bytes]):
-        self.segments, self.bodies = segments, bodies
+    def __init__(self, segments: list[str], body: bytes):
+        self.segments, self.body = segments, body
 
     @cached_property
     def numbers(self) -> dict[str, int]:
@@ -197,21 +230,17 @@ class Frequent:
 
     @cached_property
     def aligned(self) -> Aligned:
-        return Aligned(self.bodies)
+        return Aligned.unpacked([self.body])
 
     @cached_property
     def groups(self) -> list[str]:
         return self.aligned.groups()
 
-    @cached_property
-    def pairs(self) -> np.ndarray:
-        return np.unique(self.aligned.pairs)
-
     def __getstate__(self) -> tuple:
-        return self.segments, self.bodies
+        return self.segments, self.body
 
     def __setstate__(self, state: tuple) -> None:
-        self.segments, self.bodies = state
+        self.segments, self.body = state
 
 
 class Numbers(dict):
@@ -247,7 +276,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 _CUT = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("document", pa.binary()), ("held", pa.binary()), ("number", pa.int64()), ("segment", pa.string())])
 _SEGMENTS = pa.schema([("segment", pa.string()), ("n", pa.int64())])
-_ALIGNED = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("body", pa.binary())])
+_ALIGNED = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("body", pa.binary())])
 _COUNTED = pa.schema([("block", pa.int64()), ("pair", pa.int64()), ("holding", pa.int64())])
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _COMPOSED = pa.schema([(c, pa.int64()) for c in ("doc_id", *_SUMS)] + [("groups", pa.string())])
@@ -270,9 +299,16 @@ def frequent_segments(docs: DataFrame, path_a: str, path_b: str, most: int, samp
     some = docs.select("text").sample(False, share, 7).filter(F.length("text") <= SAMPLE_CHARS)
     counts = some.mapInArrow(count, _ddl(_SEGMENTS)).groupBy("segment").agg(F.sum("n").alias("n")).filter("n > 1")
     top = cut_lineage(counts.orderBy(F.desc("n"), "segment").limit(most))
-    made = aligned(top.select(F.lit(0).cast("long").alias("block"), F.col("n").alias("number"), "segment"), path_a, path_b, text=True).toArrow()
-    order = sorted(zip(made.column("number").to_pylist(), made.column("segment").to_pylist(), made.column("body").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    return Frequent([r[1] for r in order], [r[2] for r in order])
+    order = [r.segment for r in top.orderBy(F.desc("n"), "segment").select("segment").toLocalIterator()]
+    spread = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(range(len(order)), pa.int64()), "segment": pa.array(order, pa.string())}))
+    made = aligned(spread.withColumn("block", F.lit(0).cast("long")), path_a, path_b).toArrow()
+    numbers, lengths, links = [], [], []
+    for part in made.column("body").to_pylist():
+        n = int.from_bytes(part[:4], "little")
+        numbers.append(part[4 : 4 + 4 * n])
+        lengths.append(part[4 + 4 * n : 4 + 8 * n])
+        links.append(part[4 + 8 * n :])
+    return Frequent(order, len(order).to_bytes(4, "little") + b"".join(numbers) + b"".join(lengths) + b"".join(links))
 
 
 def in_blocks(docs: DataFrame, path_a: str, path_b: str, frequent: Broadcast, block_segments: int, block_chars: int) -> DataFrame:
@@ -304,31 +340,40 @@ def in_blocks(docs: DataFrame, path_a: str, path_b: str, frequent: Broadcast, bl
     return docs.mapInArrow(run, _ddl(_CUT))
 
 
-def aligned(segments: DataFrame, path_a: str, path_b: str, text: bool = False) -> DataFrame:
-    """The links of each (block, number, segment): equal segments meet in one task and are tokenized once."""
-    schema = _ALIGNED.append(pa.field("segment", pa.string())) if text else _ALIGNED
+def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(block, key, body): packed alignments of each (block, number, segment), several of a block in one row.
+
+    Equal segments meet in one task and are tokenized once. A task gathers what it has for a block
+    before it hands it on; key is the first number of a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabularies(path_a, path_b)
         last: str | None = None
-        body = b""
+        body, n = b"", 0
+        gathered: dict[int, tuple[list[int], list[bytes]]] = {}
+
+        def handed() -> pa.RecordBatch:
+            return _batch([(block, numbers[0], Aligned.packed(numbers, bodies)) for block, (numbers, bodies) in gathered.items()], _ALIGNED)
+
         for batch in batches:
             texts = batch.column("segment").to_pylist()
             new = [s for s, before in zip(texts, [last, *texts], strict=False) if s != before]
-            made: list[bytes] = []
-            for at in range(0, len(new), BATCH):
-                some = new[at : at + BATCH]
-                made += [words.align(s, a, b) for s, (a, b) in zip(some, words.tokens(some), strict=True)]
-            bodies, nth = [], iter(made)
-            for s in texts:
+            made = chain.from_iterable(words.align(new[at : at + BATCH]) for at in range(0, len(new), BATCH))
+            for block, number, s in zip(batch.column("block").to_pylist(), batch.column("number").to_pylist(), texts, strict=True):
                 if s != last:
-                    body, last = next(nth), s
+                    body, last = next(made), s
+                numbers, bodies = gathered.setdefault(block, ([], []))
+                numbers.append(number)
                 bodies.append(body)
-            arrays = [batch.column("block"), batch.column("number"), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("segment")] if text else arrays, schema=schema)
+            n += len(texts)
+            if n >= GATHERED:
+                yield handed()
+                gathered, n = {}, 0
+        yield handed()
 
     met = segments.select("block", "number", "segment").repartition("segment").sortWithinPartitions("segment")
-    return met.mapInArrow(run, _ddl(schema))
+    return met.mapInArrow(run, _ddl(_ALIGNED))
 
 
 def _by_block(*parts: DataFrame) -> DataFrame:
@@ -349,7 +394,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[tuple
                 break
             kinds[row[1]].append(row[2:])
         rest = chain([first] if first else [], here)
-        yield block, kinds, iter(lambda: [r[2:] for r in islice(rest, BATCH)], [])  # noqa: B023
+        yield block, kinds, iter(lambda: [r[2:] for r in islice(rest, COMPOSED)], [])  # noqa: B023
 
 
 class HeldPairs:
@@ -378,7 +423,7 @@ def holding_counts(documents: DataFrame, alignments: DataFrame, frequent: Broadc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (own,), documents in _blocks(batches, 1):
-            held = HeldPairs(frequent.value, Aligned([body for _, body in own]))
+            held = HeldPairs(frequent.value, Aligned.unpacked([body for _, body in own]))
             counts = np.zeros(len(held.pairs), dtype=np.int64)
             for some in documents:
                 for _, body in some:
@@ -389,7 +434,7 @@ def holding_counts(documents: DataFrame, alignments: DataFrame, frequent: Broadc
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(held.pairs[at]), pa.array(counts[at])], schema=_COUNTED)
 
     whole = documents.filter("document IS NOT NULL").select("block", F.lit(0).cast("long").alias("key"), F.col("held").alias("body"))
-    return _by_block(alignments.withColumnRenamed("number", "key"), whole).mapInArrow(run, _ddl(_COUNTED))
+    return _by_block(alignments, whole).mapInArrow(run, _ddl(_COUNTED))
 
 
 def corpus_counts(held: DataFrame) -> DataFrame:
@@ -414,7 +459,7 @@ def composed(documents: DataFrame, alignments: DataFrame, known: DataFrame, freq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (counts, own), documents in _blocks(batches, 2):
-            segments = Aligned([body for _, body in own])
+            segments = Aligned.unpacked([body for _, body in own])
             numbers = np.array([struct.unpack(COUNT, body) for _, body in counts], dtype=np.int64).reshape(-1, 2)
             pairs = np.fromiter((pair for pair, _ in counts), dtype=np.int64, count=len(counts))
             holding, best = _counted(segments.pairs, pairs, numbers[:, 0], numbers[:, 1] > 0)
@@ -432,7 +477,7 @@ def composed(documents: DataFrame, alignments: DataFrame, known: DataFrame, freq
     # holding and best as COUNT packs them
     packed = F.concat(F.unhex(F.lpad(F.hex("holding"), 16, "0")), F.unhex(F.when(F.col("best"), "01").otherwise("00")))
     counts = known.select("block", F.col("pair").alias("key"), packed.alias("body"))
-    return _by_block(counts, alignments.withColumnRenamed("number", "key"), whole).mapInArrow(run, _ddl(_COMPOSED))
+    return _by_block(counts, alignments, whole).mapInArrow(run, _ddl(_COMPOSED))
 
 
 def align_tokenizers(
@@ -461,7 +506,7 @@ def align_tokenizers(
     counts = cut_lineage(corpus_counts(held))
     known = held.select("block", "pair").join(counts, "pair")
     # the pairs of frequent segments are as bounded as these
-    of_common = docs.sparkSession.createDataFrame(pa.table({"pair": common.pairs}))
+    of_common = docs.sparkSession.createDataFrame(pa.table({"pair": np.unique(common.aligned.pairs)}))
     found = counts.join(F.broadcast(of_common), "pair").orderBy("pair").toArrow()
     numbers = [found.column(c).to_numpy() for c in ("pair", "holding", "best")]
     sums = sc.broadcast(common.aligned.sums(*_counted(common.aligned.pairs, *numbers)))
