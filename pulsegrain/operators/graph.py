@@ -1,4 +1,4 @@
-"""Object graphs: breadth-first parents, dominators, retained sizes, censuses and root paths.
+"""Object graphs: breadth-first parents, retained sizes, censuses and root paths; dominators are in dominators.py.
 
 nodes has (node, type, size); edges has (src, dst, ordinal). Rounds write their small result to the
 checkpoint folder, so lost executors only redo the last one.
@@ -6,35 +6,48 @@ checkpoint folder, so lost executors only redo the last one.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_folder() -> str:
+    """One folder for a local process, which goes with it."""
+    made = tempfile.mkdtemp(prefix="pulsegrain-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there.
+    """Writes df as Parquet below the shared checkpoint folder and reads it from there.
 
     The folder is the one the session names in spark.checkpoint.dir. Only a local session, as in
     tests, may leave it unset and has one made: executors on other machines would not see that.
+    What is read back has neither the plan nor the partitions of the rounds before it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrain-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{named or _local_folder()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def breadth_first(edges: DataFrame, root: str) -> DataFrame:
+def breadth_first(edges: DataFrame, root) -> DataFrame:
     """(node, parent, depth, trail) of what the root reaches; the first discoverer is the parent.
 
     trail lists the edge ordinals from the root, which orders a level as a queue would.
     """
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, None, 0, [])], "node string, parent string, depth int, trail array<bigint>")
+    kind = edges.schema["src"].dataType
+    seen = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("trail"))
     frontier, depth = seen, 0
     while True:
         depth += 1
@@ -53,43 +66,21 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.slice(a, F.lit(1), F.coalesce(F.get(differs, 0), n))
 
 
-def dominators(edges: DataFrame, root: str) -> DataFrame:
-    """(node, path): the dominators of each node the root reaches, from the root to the node.
-
-    A node's path is the longest common prefix of the paths of its predecessors, and itself. The
-    prefix that many arrays share is that of the smallest and the largest one, so a round is an
-    aggregation with map-side combining however many predecessors a node has. A round only looks
-    at nodes with a predecessor whose path changed; rounds go on until nothing changes, and paths
-    are as long as the dominator tree is deep.
-    """
-    spark = edges.sparkSession
-    known = spark.createDataFrame([(root, [root])], "node string, path array<string>")
-    steps = kept(edges.filter(F.col("dst") != root).select("src", "dst").distinct())
-    changed = known
-    while True:
-        affected = steps.join(changed.select(F.col("node").alias("src")), "src").select("dst").distinct()
-        met = steps.join(affected, "dst").join(known, steps.src == known.node).groupBy("dst").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-        found = met.select(F.col("dst").alias("node"), F.concat(common_prefix(F.col("lo"), F.col("hi")), F.array("dst")).alias("path"))
-        old = known.withColumnRenamed("path", "old")
-        changed = kept(found.join(old, "node", "left").filter(~F.col("path").eqNullSafe(F.col("old"))).select("node", "path"))
-        if changed.isEmpty():
-            return known
-        known = kept(known.join(changed.select("node"), "node", "left_anti").unionByName(changed))
-
-
 def retained_sizes(nodes: DataFrame, dominated: DataFrame) -> DataFrame:
-    """(node, retained): a node keeps alive itself and all whose dominators it is among."""
-    sized = dominated.join(nodes.select("node", "size"), "node")
-    return sized.select(F.explode("path").alias("node"), "size").groupBy("node").agg(F.sum("size").alias("retained"))
+    """(node, retained): a node keeps alive itself and all that it dominates, from rows (node, dominator)."""
+    from .dominators import jump_tables, sums_below
+
+    tables = jump_tables(dominated.filter("dominator IS NOT NULL").select("node", F.col("dominator").alias("parent")))
+    own = dominated.select("node").join(nodes.select("node", F.col("size").alias("value")), "node")
+    return sums_below(own, tables).select("node", F.col("value").alias("retained"))
 
 
 def census(nodes: DataFrame, dominated: DataFrame) -> DataFrame:
     """Per type: count, exclusive bytes, retained bytes without same-type nesting, unreachable."""
     retained = retained_sizes(nodes, dominated)
-    idom = dominated.select("node", F.element_at("path", F.when(F.size("path") > 1, -2).otherwise(-1)).alias("dominator"))
     types = nodes.select(F.col("node").alias("dominator"), F.col("type").alias("dominator_type"))
-    every = nodes.join(retained, "node", "left").join(idom, "node", "left").join(types, "dominator", "left")
-    top = F.col("dominator_type").isNull() | (F.col("dominator_type") != F.col("type")) | (F.col("dominator") == F.col("node"))
+    every = nodes.join(retained, "node", "left").join(dominated, "node", "left").join(types, "dominator", "left")
+    top = F.col("dominator_type").isNull() | (F.col("dominator_type") != F.col("type"))
     return every.groupBy("type").agg(
         F.count("*").alias("n"), F.sum("size").alias("exclusive"), F.sum(F.when(top, F.coalesce("retained", F.lit(0))).otherwise(0)).alias("retained"), F.max("retained").alias("max_retained"), F.count_if(F.col("retained").isNull()).alias("unreachable")
     )
@@ -104,18 +95,49 @@ def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return half.join(src, "src").groupBy("from_type", "to_type").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def root_paths(nodes: DataFrame, parents: DataFrame, deepest: int = 24) -> DataFrame:
-    """(type, path, n, bytes): the types on the way from each object up to the root, merged."""
-    typed = parents.join(nodes, "node").select("node", "parent", "type", "size")
-    walk = typed.select("node", "type", "size", F.col("parent").alias("up"), F.array("type").alias("path"))
-    done = None
-    for _ in range(deepest):
-        ends = walk.filter("up IS NULL")
-        done = ends if done is None else done.unionByName(ends)
-        walk = walk.filter("up IS NOT NULL")
-        if walk.isEmpty():
+#: Instances of a type that its paths are told from, steps of a path, and nodes of all paths together.
+INSTANCES, DEEPEST, PATH_NODES = 20_000, 24, 200_000
+
+
+def root_paths(nodes: DataFrame, parents: DataFrame, types: DataFrame | None = None, instances: int = INSTANCES, deepest: int = DEEPEST, most: int = PATH_NODES) -> DataFrame:
+    """(slot, parent_slot, type, depth, n, bytes): a tree of the types on the ways from objects up to the root.
+
+    A slot of depth 0 is a type, its children are the types of the parents of its objects, and so
+    on. The first `instances` reachable objects of each type (of `types`, if given) walk up together:
+    those in one slot at one object become one row before each step. Of the slots of a level the
+    ones with most objects are made first; beyond `most` slots in all none are, and walks end there.
+    parents has (node, parent), the root's parent is null; the root itself starts no walk.
+    """
+    typed = kept(parents.join(nodes, "node").select("node", "parent", "type", "size"))
+    starts = typed.filter("parent IS NOT NULL")
+    starts = starts if types is None else starts.join(types, "type", "left_semi")
+    starts = starts.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("node"))).filter(F.col("nth") <= instances)
+    above = typed.select("node", F.col("parent").alias("next"), F.col("type").alias("next_type"))
+    walks = kept(starts.select(F.lit(-1).alias("slot"), F.col("type").alias("next_type"), "node", F.lit(1).cast("long").alias("n"), F.col("size").alias("bytes")))
+    made, used = None, 0
+    for depth in range(deepest + 1):
+        children = walks.groupBy("slot", "next_type").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        ranked = children.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type").limit(most - used)
+        # at most `most` rows are left, which are numbered in one task
+        numbered = kept(ranked.withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type")) + F.lit(used - 1)))
+        found = numbered.select(F.col("new").alias("slot"), F.col("slot").alias("parent_slot"), F.col("next_type").alias("type"), F.lit(depth).alias("depth"), "n", "bytes")
+        made = found if made is None else made.unionByName(found)
+        used += numbered.count()
+        on = F.broadcast(numbered.select("slot", "next_type", F.col("new").alias("child")))
+        here = walks.join(on, ["slot", "next_type"]).groupBy("child", "node").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        step = here.join(above, "node").filter("next IS NOT NULL").select(F.col("child").alias("slot"), F.col("next").alias("node"), "n", "bytes")
+        walks = kept(step.join(above.select("node", "next_type"), "node").select("slot", "next_type", "node", "n", "bytes"))
+        if used >= most or walks.isEmpty():
             break
-        step = typed.select(F.col("node").alias("up"), F.col("parent").alias("next"), F.col("type").alias("up_type"))
-        walk = kept(walk.join(step, "up").select("node", "type", "size", F.col("next").alias("up"), F.concat("path", F.array("up_type")).alias("path")))
-    done = done.unionByName(walk)
-    return done.groupBy("type", "path").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return made
+
+
+def path_names(tree: DataFrame) -> DataFrame:
+    """The slots of root_paths with `path`, their types from the object up, joined level by level."""
+    level = tree.filter("depth = 0").withColumn("path", F.col("type"))
+    done, rest = level, tree
+    for depth in range(1, (tree.agg(F.max("depth")).first()[0] or 0) + 1):
+        up = level.select(F.col("slot").alias("parent_slot"), F.col("path").alias("before"))
+        level = kept(rest.filter(F.col("depth") == depth).join(up, "parent_slot").withColumn("path", F.concat_ws("<", "before", "type")).select(*done.columns))
+        done = done.unionByName(level)
+    return done

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .temporal import range_join
 
 
-def resolve(lookups: DataFrame, ranges: DataFrame, page: int = 256) -> DataFrame:
+def resolve(lookups: DataFrame, ranges: DataFrame) -> DataFrame:
     """(address, t, name) for each distinct lookup.
 
     ranges has start, end, load, unload and name. Of the ranges that hold the address, one alive at
     the time goes first, then the one that starts last; without any the address is unresolved.
     """
     distinct = lookups.select("address", "t").distinct()
-    met = range_join(distinct, ranges, "address", "start", "end", page)
+    met = range_join(distinct, ranges, "address", "start", "end")
     alive = (F.col("t") >= F.col("load")) & (F.col("t") < F.coalesce("unload", F.lit(float("inf"))))
     best = met.groupBy("address", "t").agg(F.max_by("name", F.struct(alive.cast("int"), F.col("start"), F.col("name"))).alias("name"))
     unresolved = F.concat(F.lit("<unresolved 0x"), F.hex("address"), F.lit(">"))

@@ -67,18 +67,24 @@ def within_windows(samples: DataFrame, marks: DataFrame, time: str, mark_time: s
     return binned.join(near, inside, "left_semi").drop("__bin")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tolerance: float, by: list[str], left_key: str, right_order: str, columns: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tolerance: float, by: list[str], left_key: str, right_order: str, columns: list[str], ticks: int = 1000) -> DataFrame:
     """For each left row and each key of `by` on the right, the nearest row not after it.
 
-    0 <= left_time - right_time <= tolerance. Time is cut into bins as wide as the tolerance, so a
-    left row meets two bins and the join is an equality. Of equal times the first by right_order
-    counts. Left rows without a partner do not come back.
+    0 <= left_time - right_time <= tolerance. A right row is the nearest one from its own time up to
+    its key's next one, or as far as the tolerance reaches: of these stretches a left row is in one
+    for each key, so the range join makes hardly more rows than come out. Of equal times the first
+    by right_order counts. Left rows without a partner do not come back. Times are cut into `ticks`
+    to one for the join, and compared as they are.
     """
-    bins = left.withColumn("__bin", F.explode(F.array(F.floor(F.col(left_time) / tolerance), F.floor(F.col(left_time) / tolerance) - 1)))
-    other = right.select(*by, *columns, F.col(right_time).alias("__t"), F.col(right_order).alias("__o")).withColumn("__bin", F.floor(F.col("__t") / tolerance))
+    w = Window.partitionBy(*by).orderBy("__t", "__o")
+    rows = right.select(*by, *columns, F.col(right_time).alias("__t"), F.col(right_order).alias("__o"))
+    firsts = rows.withColumn("__same", F.lag("__t").over(w) == F.col("__t")).filter("NOT coalesce(__same, false)")
+    until = F.least(F.lead("__t").over(w), F.col("__t") + tolerance)
+    spans = firsts.withColumn("__next", F.lead("__t").over(w)).withColumns({"__from": F.floor(F.col("__t") * ticks), "__to": F.floor(until * ticks) + 1})
+    points = left.withColumn("__at", F.floor(F.col(left_time) * ticks))
     gap = F.col(left_time) - F.col("__t")
-    met = bins.join(other, "__bin").filter((gap >= 0) & (gap <= tolerance))
-    return met.groupBy(left_key, *by).agg(F.min_by(F.struct(*columns, F.col("__t").alias(f"matched_{right_time}")), F.struct(gap, F.col("__o"))).alias("__m")).select(left_key, *by, "__m.*")
+    met = range_join(points, spans, "__at", "__from", "__to").filter((gap >= 0) & (gap <= tolerance) & (F.col("__next").isNull() | (F.col(left_time) < F.col("__next"))))
+    return met.select(left_key, *by, *columns, F.col("__t").alias(f"matched_{right_time}"))
 
 
 def last_before(events: DataFrame, keys: list[str], order: list[str], is_mark: Column, value: Column) -> Column:
@@ -87,16 +93,30 @@ def last_before(events: DataFrame, keys: list[str], order: list[str], is_mark: C
     return F.last(F.when(is_mark, value), ignorenulls=True).over(w)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int, on: list[str] | None = None) -> DataFrame:
-    """Rows of points with each range [start, end) that holds them, as an equality join on bins.
+#: Lengths of ranges are rounded up to a power of two whose exponent is a multiple of this.
+LEVELS = 3
 
-    Ranges are listed in every bin of `width` that they touch; width should be near their usual
-    length. Points in many ranges come back as often.
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
+    """Rows of points with each range [start, end) of whole numbers that holds them.
+
+    A range belongs to the level of its length: at level k it is listed in the cells of 2**k that
+    it touches, which are two at most. A point looks into its cell of each level that occurs, some
+    20 at most, so the join is an equality however different the lengths are, and a cell holds no
+    ranges but those near the point. Empty ranges hold nothing; points in many ranges come back as
+    often.
     """
     on = on or []
-    bins = ranges.filter(F.col(end) > F.col(start)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    met = points.withColumn("__bin", F.floor(F.col(point) / width)).join(bins, [*on, "__bin"])
-    return met.filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__bin")
+    length = F.try_subtract(F.col(end).cast("bigint"), F.col(start).cast("bigint"))
+    bits = F.when(length == 1, 0).when(length > 1, F.length(F.bin(length - 1))).otherwise(62)
+    level = F.least((F.ceil(bits / LEVELS) * LEVELS).cast("int"), F.lit(62))
+    cells = ranges.filter(F.col(end) > F.col(start)).withColumn("__level", level)
+    cell = lambda c, shift=0: F.expr(f"shiftright(CAST(`{c}` AS BIGINT) - {shift}, __level)")
+    listed = cells.withColumn("__cell", F.explode(F.sequence(cell(start), cell(end, 1))))
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
+    looks = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__cell", cell(point))
+    met = looks.join(listed, [*on, "__level", "__cell"])
+    return met.filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__level", "__cell")
 
 
 def islands(events: DataFrame, keys: list[str], order: str, state: Column) -> DataFrame:

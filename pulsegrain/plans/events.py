@@ -219,9 +219,8 @@ def gc_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A25_pause_stats", f"WITH {EV}, r AS (SELECT k % 3 AS generation, value, row_number() OVER (PARTITION BY k % 3 ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY k % 3) AS n FROM ev WHERE kind = 'signup') SELECT generation, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, max(CASE WHEN i = n // 2 THEN value END) AS median, max(value) AS largest, min(value) AS smallest FROM r GROUP BY 1")
 def pause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     gcs = tables.trace_events(spark, sf_dir).filter("kind = 'signup'").withColumn("generation", F.col("k") % 3)
-    w = Window.partitionBy("generation")
-    placed = gcs.withColumns({"i": F.row_number().over(w.orderBy("value")) - 1, "half": F.floor(F.count("*").over(w) / 2)})
-    return placed.groupBy("generation").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max(F.when(F.col("i") == F.col("half"), F.col("value"))).alias("median"), F.max("value").alias("largest"), F.min("value").alias("smallest"))
+    sums = gcs.groupBy("generation").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("largest"), F.min("value").alias("smallest"))
+    return sums.join(rank.grouped_quantiles(gcs, ["generation"], "value", {"median": F.floor(F.col("n") / 2)}, F.col("seq")), "generation").drop("n")
 
 
 @query("A30_jit_buckets", f"WITH {EV} SELECT CAST(floor(rel_ms / 3600000) AS BIGINT) AS bucket, k % 2 AS tier, count(*) AS n, round(sum(value), 6) AS total FROM ev WHERE kind = 'view' GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import dominators as dominator_tree
 from ..operators import graph, heap, rank, stacks, symbols, temporal
 from ..sources import tables
 from .registry import STACKS, query
@@ -122,7 +123,7 @@ def load_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J3_native_lookup", f"WITH {RANGES} SELECT address, max(s) AS start FROM lk JOIN rg ON address >= s AND address < e GROUP BY 1")
 def native_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups, ranges = _ranges(spark, sf_dir)
-    met = temporal.range_join(lookups.select("address").distinct(), ranges.select("start", "end"), "address", "start", "end", 256)
+    met = temporal.range_join(lookups.select("address").distinct(), ranges.select("start", "end"), "address", "start", "end")
     return met.groupBy("address").agg(F.max("start").alias("start"))
 
 
@@ -130,7 +131,7 @@ def native_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def modules_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ranges = _ranges(spark, sf_dir)
     mappings = tables.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2000).alias("start"), (F.col("s_suppkey") * 2000 + 900).alias("end"), "s_name")
-    return temporal.range_join(ranges.select(F.col("start").alias("at")), mappings, "at", "start", "end", 1000).select("s_name").distinct()
+    return temporal.range_join(ranges.select(F.col("start").alias("at")), mappings, "at", "start", "end").select("s_name").distinct()
 
 
 @query("J5_adjacent_overlaps", f"WITH {RANGES} SELECT count(*) AS n FROM (SELECT s, lag(e) OVER (ORDER BY s) AS pe FROM rg) WHERE s < pe")
@@ -210,24 +211,33 @@ def block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap.block_runs(_objects(spark, sf_dir))
 
 
+#: Nodes are whole numbers: eight times the key, and the place of the table here. The root is 0.
+KINDS = ("root", "region", "nation", "customer", "order", "part")
+ROOT = 0
+
+
 def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Regions, nations, customers, orders and the parts they share, below one root."""
     region, nation, customer, orders, line, part = (tables.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem", "part"))
-
-    def ids(letter: str, column: str):
-        return F.concat(F.lit(letter), column)
-
-    tall = lambda df, letter, key, kind, size: df.select(ids(letter, key).alias("node"), F.lit(kind).alias("type"), size.cast("bigint").alias("size"))
-    nodes = tall(region, "R", "r_regionkey", "region", F.lit(1)).unionByName(tall(nation, "N", "n_nationkey", "nation", F.lit(2))).unionByName(tall(customer, "C", "c_custkey", "customer", F.floor(F.abs("c_acctbal"))))
-    nodes = nodes.unionByName(tall(orders, "O", "o_orderkey", "order", F.floor("o_totalprice"))).unionByName(tall(part, "P", "p_partkey", "part", F.floor("p_retailprice")))
-    nodes = nodes.unionByName(spark.createDataFrame([("root", "root", 0)], "node string, type string, size bigint"))
-    link = lambda df, a, x, b, y: df.select(ids(a, x).alias("src"), ids(b, y).alias("dst"), F.col(y).cast("bigint").alias("ordinal")).distinct()
-    edges = region.select(F.lit("root").alias("src"), ids("R", "r_regionkey").alias("dst"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
-    for more in (link(nation, "R", "n_regionkey", "N", "n_nationkey"), link(customer, "N", "c_nationkey", "C", "c_custkey"), link(orders, "C", "o_custkey", "O", "o_orderkey"), link(line, "O", "l_orderkey", "P", "l_partkey")):
+    node = lambda kind, key: F.col(key).cast("bigint") * 8 + KINDS.index(kind)
+    tall = lambda df, kind, key, size: df.select(node(kind, key).alias("node"), F.lit(kind).alias("type"), size.cast("bigint").alias("size"))
+    nodes = tall(region, "region", "r_regionkey", F.lit(1)).unionByName(tall(nation, "nation", "n_nationkey", F.lit(2))).unionByName(tall(customer, "customer", "c_custkey", F.floor(F.abs("c_acctbal"))))
+    nodes = nodes.unionByName(tall(orders, "order", "o_orderkey", F.floor("o_totalprice"))).unionByName(tall(part, "part", "p_partkey", F.floor("p_retailprice")))
+    nodes = nodes.unionByName(spark.range(1).select(F.lit(ROOT).cast("bigint").alias("node"), F.lit("root").alias("type"), F.lit(0).cast("bigint").alias("size")))
+    link = lambda df, a, x, b, y: df.select(node(a, x).alias("src"), node(b, y).alias("dst"), F.col(y).cast("bigint").alias("ordinal")).distinct()
+    edges = region.select(F.lit(ROOT).cast("bigint").alias("src"), node("region", "r_regionkey").alias("dst"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
+    for more in (link(nation, "region", "n_regionkey", "nation", "n_nationkey"), link(customer, "nation", "c_nationkey", "customer", "c_custkey"), link(orders, "customer", "o_custkey", "order", "o_orderkey"), link(line, "order", "l_orderkey", "part", "l_partkey")):
         edges = edges.unionByName(more)
     return nodes, edges
 
 
+def _named(column: str):
+    """A node's letter and key, as R3 or O17; the root is `root`."""
+    node = F.col(column)
+    letter = F.element_at(F.array(*[F.lit(k[0].upper()) for k in KINDS]), (node % 8 + 1).cast("int"))
+    return F.when(node == ROOT, F.lit("root")).otherwise(F.concat(letter, F.floor(node / 8))).alias(column)
+
+
 TREE = "tr AS (SELECT r_regionkey AS r, n_nationkey AS n, c_custkey AS c, o_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
@@ -237,7 +247,7 @@ ABOVE = "SELECT 'root' AS node, NULL AS above, 0 AS depth UNION ALL SELECT conca
 @query("G1_breadth_first", f"WITH {TREE} SELECT node, above AS parent, depth FROM ({ABOVE}) UNION ALL SELECT concat('P', p), concat('O', arg_min(o, (r, n, c, o))), 5 FROM tr GROUP BY p")
 def breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = _heap_graph(spark, sf_dir)
-    return graph.breadth_first(edges, "root").select("node", "parent", "depth")
+    return graph.breadth_first(edges, ROOT).select(_named("node"), _named("parent"), "depth")
 
 
 PARTS = "pd AS (SELECT p, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS c, CASE WHEN count(DISTINCT n) = 1 THEN min(n) END AS n, CASE WHEN count(DISTINCT r) = 1 THEN min(r) END AS r FROM tr GROUP BY p)"
@@ -246,7 +256,7 @@ PARTS = "pd AS (SELECT p, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o,
 @query("G3_dominators", f"WITH {TREE}, {PARTS} SELECT node, above AS dominator FROM ({ABOVE}) UNION ALL SELECT concat('P', p), CASE WHEN o IS NOT NULL THEN concat('O', o) WHEN c IS NOT NULL THEN concat('C', c) WHEN n IS NOT NULL THEN concat('N', n) WHEN r IS NOT NULL THEN concat('R', r) ELSE 'root' END FROM pd")
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = _heap_graph(spark, sf_dir)
-    return graph.dominators(edges, "root").select("node", F.try_element_at("path", F.lit(-2)).alias("dominator"))
+    return dominator_tree.dominators(edges, ROOT).select(_named("node"), _named("dominator"))
 
 
 #: Every node with its dominators of each level and its bytes, and what each node keeps alive.
@@ -261,13 +271,13 @@ UNION ALL SELECT concat('O', o), sum(b) FROM sz WHERE o IS NOT NULL GROUP BY o U
 @query("G4_retained_sizes", f"WITH {TREE}, {PARTS}, {KEPT} SELECT node, CAST(retained AS BIGINT) AS retained FROM kp")
 def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
-    return graph.retained_sizes(nodes, graph.dominators(edges, "root"))
+    return graph.retained_sizes(nodes, dominator_tree.dominators(edges, ROOT)).select(_named("node"), "retained")
 
 
 @query("A34_type_census", f"WITH {TREE}, {PARTS}, {KEPT}, m AS (SELECT count(*) AS n, CAST(coalesce(sum(floor(p_retailprice)), 0) AS BIGINT) AS b FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) SELECT type, count(*) + CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS n, CAST(sum(b) + CASE WHEN type = 'part' THEN (SELECT b FROM m) ELSE 0 END AS BIGINT) AS exclusive, CAST(sum(retained) AS BIGINT) AS retained, CAST(max(retained) AS BIGINT) AS max_retained, CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS unreachable FROM sz JOIN kp USING (node) GROUP BY type")
 def type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
-    return graph.census(nodes, graph.dominators(edges, "root")).select("type", "n", "exclusive", "retained", "max_retained", "unreachable")
+    return graph.census(nodes, dominator_tree.dominators(edges, ROOT)).select("type", "n", "exclusive", "retained", "max_retained", "unreachable")
 
 
 @query("A36_type_edges", "SELECT 'order' AS from_type, 'part' AS to_type, count(*) AS n, CAST(sum(floor(p_retailprice)) AS BIGINT) AS bytes FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey UNION ALL SELECT 'customer', 'order', count(*), CAST(sum(floor(o_totalprice)) AS BIGINT) FROM orders UNION ALL SELECT 'nation', 'customer', count(*), CAST(sum(floor(abs(c_acctbal))) AS BIGINT) FROM customer UNION ALL SELECT 'region', 'nation', count(*), CAST(count(*) * 2 AS BIGINT) FROM nation UNION ALL SELECT 'root', 'region', count(*), count(*) FROM region")
@@ -275,11 +285,18 @@ def type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_edges(*_heap_graph(spark, sf_dir))
 
 
-@query("G5_root_paths", "SELECT 'root' AS type, 'root' AS path, 1 AS n, 0 AS bytes UNION ALL SELECT 'region', 'region<root', count(*), count(*) FROM region UNION ALL SELECT 'nation', 'nation<region<root', count(*), count(*) * 2 FROM nation UNION ALL SELECT 'customer', 'customer<nation<region<root', count(*), CAST(sum(floor(abs(c_acctbal))) AS BIGINT) FROM customer UNION ALL SELECT 'order', 'order<customer<nation<region<root', count(*), CAST(sum(floor(o_totalprice)) AS BIGINT) FROM orders UNION ALL SELECT 'part', 'part<order<customer<nation<region<root', count(*), CAST(sum(floor(p_retailprice)) AS BIGINT) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+#: The objects of each type, and the types on the way from the root down to it.
+WAYS = """ob AS (SELECT 'region' AS type, 1 AS b FROM region UNION ALL SELECT 'nation', 2 FROM nation UNION ALL SELECT 'customer', floor(abs(c_acctbal)) FROM customer
+  UNION ALL SELECT 'order', floor(o_totalprice) FROM orders UNION ALL SELECT 'part', floor(p_retailprice) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+wy AS (SELECT type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes, list_position(['root', 'region', 'nation', 'customer', 'order', 'part'], type) AS place FROM ob GROUP BY type)"""
+
+
+@query("G5_root_paths", f"""WITH {WAYS} SELECT type AS first_type, d AS depth, n, bytes,
+  array_to_string(list_reverse((['root', 'region', 'nation', 'customer', 'order', 'part'])[place - d:place]), '<') AS path FROM wy, range(0, 6) r(d) WHERE d < place""")
 def root_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _heap_graph(spark, sf_dir)
-    paths = graph.root_paths(nodes, graph.breadth_first(edges, "root").select("node", "parent"))
-    return paths.withColumn("path", F.array_join("path", "<"))
+    tree = graph.root_paths(nodes, graph.breadth_first(edges, ROOT).select("node", "parent"))
+    return graph.path_names(tree).select(F.substring_index("path", "<", 1).alias("first_type"), F.col("depth").cast("bigint").alias("depth"), "n", "bytes", "path")
 
 
 @query("G7_reference_totals", "SELECT s_name AS type, count(*) AS n, CAST(sum(c) AS BIGINT) AS refs FROM (SELECT s_name, p_brand, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, p_brand QUALIFY row_number() OVER (PARTITION BY s_name ORDER BY count(*) DESC, p_brand) <= 8) GROUP BY 1")

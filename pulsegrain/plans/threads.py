@@ -93,11 +93,10 @@ def fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A29_jit_tiers", f"WITH {EV}, r AS (SELECT k % 3 AS tier, value, row_number() OVER (PARTITION BY k % 3 ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY k % 3) AS c FROM ev WHERE kind = 'view') SELECT tier, count(*) AS n, round(sum(value), 6) AS total, max(value) AS largest, min(value) AS smallest, max(CASE WHEN i = least(CAST(ceil(c / 2.0) AS BIGINT), c - 1) THEN value END) AS median FROM r GROUP BY 1")
 def jit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("tier")
     loads = tables.trace_events(spark, sf_dir).filter("kind = 'view'").withColumn("tier", F.col("k") % 3)
-    placed = loads.withColumns({"i": F.row_number().over(w.orderBy("value")) - 1, "c": F.count("*").over(w)})
-    middle = F.least(F.ceil(F.col("c") / 2), F.col("c") - 1)
-    return placed.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("largest"), F.min("value").alias("smallest"), F.max(F.when(F.col("i") == middle, F.col("value"))).alias("median"))
+    sums = loads.groupBy("tier").agg(F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("largest"), F.min("value").alias("smallest"))
+    medians = rank.grouped_quantiles(loads, ["tier"], "value", {"median": F.least(F.ceil(F.col("n") / 2), F.col("n") - 1)}, F.col("seq"))
+    return sums.join(medians, "tier")
 
 
 @query("A35_interesting_types", "SELECT p_type AS type, CAST(sum(floor(p_retailprice)) AS BIGINT) AS retained, count(*) AS n FROM part GROUP BY 1 ORDER BY retained DESC, type LIMIT 20")
@@ -159,7 +158,7 @@ def sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = part.select((F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 4).alias("end"))
     leaves = tables.read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint") * 3).alias("address")).agg(F.count("*").alias("n"))
     # each distinct leaf is looked up once
-    managed = temporal.range_join(leaves.select("address"), ranges, "address", "start", "end", 256).select("address").distinct().withColumn("kind", F.lit("Managed"))
+    managed = temporal.range_join(leaves.select("address"), ranges, "address", "start", "end").select("address").distinct().withColumn("kind", F.lit("Managed"))
     return leaves.join(managed, "address", "left").groupBy(F.coalesce("kind", F.lit("External")).alias("kind")).agg(F.sum("n").alias("n"))
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pulsegrain.functions import names
-from pulsegrain.operators import classify, diff, gc, graph, heap, rank, stacks, symbols, temporal
+from pulsegrain.operators import classify, diff, dominators, gc, graph, heap, rank, stacks, symbols, temporal
 from pulsegrain.sources import heap_bulk
 
 
@@ -31,10 +31,54 @@ def test_asof_takes_the_nearest_before_and_the_first_of_ties(spark):
 
 def test_range_join_is_the_nested_loop(spark):
     rng = random.Random(3)
-    points = [(rng.randrange(500),) for _ in range(80)]
+    far = 1 << 41
+    points = [(rng.randrange(500),) for _ in range(80)] + [(rng.randrange(-far, far),) for _ in range(300)]
     ranges = [(s, s + rng.randrange(0, 90), k) for k in range(40) for s in [rng.randrange(500)]]
-    got = temporal.range_join(spark.createDataFrame(points, "p int"), spark.createDataFrame(ranges, "s int, e int, k int"), "p", "s", "e", 16)
+    for k in range(40, 400):
+        length = rng.randrange(1, 2 << rng.randrange(41))  # from one to 2**40 and more
+        s = rng.choice(points)[0] - rng.randrange(length)
+        ranges.append((s, s + rng.choice([length, 1 << length.bit_length()]), k))
+    ranges += [(5, 5, 400), (7, 3, 401), (-(1 << 62), 1 << 62, 402)]
+    left, right = spark.createDataFrame(points, "p long"), spark.createDataFrame(ranges, "s long, e long, k int")
+    got = temporal.range_join(left, right, "p", "s", "e")
     assert sorted((r.p, r.k) for r in got.collect()) == sorted((p, k) for (p,) in points for s, e, k in ranges if s <= p < e)
+    assert temporal.range_join(left, right.limit(0), "p", "s", "e").count() == 0
+    keyed = temporal.range_join(left.withColumn("g", F.col("p") % 2), right.withColumn("g", F.col("k") % 2), "p", "s", "e", ["g"])
+    assert keyed.count() == sum(s <= p < e and p % 2 == k % 2 for (p,) in points if p >= 0 for s, e, k in ranges) + sum(s <= p < e and -(-p % 2) == k % 2 for (p,) in points if p < 0 for s, e, k in ranges)
+
+
+def test_a_large_range_is_listed_in_two_cells(spark):
+    ranges = spark.createDataFrame([(100, 100 + (1 << 31), 1), (5, 6, 2)], "s long, e long, k int")
+    met = temporal.range_join(spark.range(200).withColumnRenamed("id", "p"), ranges, "p", "s", "e")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 101 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_asof_is_the_nested_loop(spark):
+    rng = random.Random(8)
+    left = [(k, rng.choice([rng.uniform(0, 60), float(rng.randrange(60))])) for k in range(150)]
+    right = [(k, rng.randrange(5), float(rng.randrange(60)) if k % 2 else rng.uniform(0, 60)) for k in range(200)]
+    got = temporal.asof_backward(spark.createDataFrame(left, "adj int, at double"), spark.createDataFrame(right, "seq int, tid int, t double"), "at", "t", 2.0, ["tid"], "adj", "seq", ["seq"])
+    want = []
+    for adj, at in left:
+        for tid in range(5):
+            near = min(((at - t, seq) for seq, k, t in right if k == tid and 0 <= at - t <= 2.0), default=None)
+            want += [(adj, tid, near[1])] if near else []
+    assert sorted((r.adj, r.tid, r.seq) for r in got.collect()) == sorted(want)
+
+
+def test_quantiles_of_groups_are_those_of_sorted_lists(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aaaaab"), float(rng.choice([7, rng.randrange(1000)]))) for _ in range(3000)] + [("c", 1.0), ("d", None), (None, 2.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    places = {"median": F.floor(F.col("n") / 2), "p99": F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1), "low": F.lit(0)}
+    got = {r.g: (r.n, r.median, r.p99, r.low) for r in rank.grouped_quantiles(df.filter("g IS NOT NULL"), ["g"], "v", places, F.monotonically_increasing_id()).collect()}
+    want = {}
+    for g in "abc":
+        values = sorted(v for k, v in rows if k == g)
+        n = len(values)
+        want[g] = (n, values[n // 2], values[min(int(n * 0.99), n - 1)], values[0])
+    assert got == want
 
 
 def test_a_reused_address_belongs_to_the_method_of_its_time(spark):
@@ -97,27 +141,83 @@ def test_best_first_is_the_queue_walk(spark):
     assert got == want
 
 
+def reached(pairs, without=None):
+    seen, todo, after = {0}, [0], {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+    while todo:
+        for b in after.get(todo.pop(), ()):
+            if b != without and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
 def test_dominators_equal_removal(spark):
+    """Random graphs, many of them with loops of several entries, side by side below one root."""
     rng = random.Random(11)
-    for _ in range(3):
-        n = 14
-        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(26)} | {(0, 1)}
-
-        def reach(without=None, pairs=pairs):
-            seen, todo = {0}, [0]
-            while todo:
-                u = todo.pop()
-                for a, b in pairs:
-                    if a == u and b != without and b not in seen:
-                        seen.add(b)
-                        todo.append(b)
-            return seen
-
-        whole = reach()
-        want = {v: {d for d in whole if d == v or d == 0 or v not in reach(without=d)} for v in whole}
-        edges = spark.createDataFrame([(str(a), str(b), b) for a, b in pairs], "src string, dst string, ordinal long")
-        got = {int(r.node): {int(x) for x in r.path} for r in graph.dominators(edges, "0").collect()}
-        assert got == want
+    pairs = set()
+    for g in range(60):
+        node = lambda k, g=g: 1 + 20 * g + k
+        n = rng.choice([3, 6, 12])
+        pairs |= {(node(rng.randrange(n)), node(rng.randrange(n))) for _ in range(2 * n)}
+        pairs |= {(0, node(rng.randrange(n))) for _ in range(rng.randint(1, 2))}
+    pairs |= {(5000, 5001), (5001, 5000), (5001, 5002), (5003, 1), (5002, 3)}  # not reached: a cycle, and a source
+    whole = reached(pairs)
+    above = {v: {v, 0} | {d for d in whole if d % 20 and (d - 1) // 20 == (v - 1) // 20 and v not in reached(pairs, d)} for v in whole}
+    edges = spark.createDataFrame([(a, b) for a, b in pairs for _ in range(2)], "src long, dst long")
+    got = {r.node: r.dominator for r in dominators.dominators(edges, 0).collect()}
+    assert set(got) == whole and got.pop(0) is None
+    for v, d in got.items():
+        # the nearest dominator has all the others above it
+        assert above[v] - {v} == above[d] | {d}, (v, d)
+
+
+def test_a_long_chain_of_dominators_ends(spark):
+    n = 5000
+    rows = [(k, k + 1) for k in range(n)] + [(k, k + 3) for k in range(0, n - 3, 100)]  # every 100th step has a short cut
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    got = dominators.dominators(edges, 0)
+    by_node = {r.node: r.dominator for r in got.collect()}
+    assert len(by_node) == n + 1 and all(by_node[k] == (k - 3 if k % 100 == 3 and k < n else k - 1) for k in range(1, n + 1))
+    sizes = graph.retained_sizes(spark.range(n + 1).selectExpr("id AS node", "1L AS size"), got)
+    kept_alive = {r.node: r.retained for r in sizes.collect()}
+    want = dict.fromkeys(range(n + 1), 1)
+    for k in range(n, 0, -1):
+        want[by_node[k]] += want[k]
+    assert kept_alive == want
+
+
+def test_lowest_common_ancestors(spark):
+    rng = random.Random(2)
+    parent = {k: rng.randrange(max(0, k - 6), k) for k in range(1, 200)}
+    up = lambda v: [v, *up(parent[v])] if v else [0]
+    forest = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    tables = dominators.jump_tables(forest)
+    groups = [(g, rng.randrange(200)) for g in range(100) for _ in range(rng.randint(1, 4))]
+    members = spark.createDataFrame([(g, v, len(up(v)) - 1) for g, v in groups], "key long, node long, depth long")
+    got = {r.key: r.ancestor for r in dominators.lowest_common(members, tables).collect()}
+    for g in range(100):
+        common = set.intersection(*(set(up(v)) for h, v in groups if h == g))
+        assert got[g] == max(common, key=lambda v: len(up(v)))
+
+
+def test_paths_merge_on_the_way_up_and_stop_at_their_budgets(spark):
+    # root 0, two caches of type C, 30 strings below each, ten of them below a list of the first cache
+    nodes = [(0, "root", 0), (1, "C", 1), (2, "C", 1), (3, "L", 1), *((10 + k, "S", 2) for k in range(60))]
+    parents = [(0, None), (1, 0), (2, 0), (3, 1), *((10 + k, 3 if k < 10 else 1 + k % 2) for k in range(60))]
+    df = spark.createDataFrame(nodes, "node long, type string, size long")
+    pa = spark.createDataFrame(parents, "node long, parent long")
+    path = lambda **more: {r.path: (r.depth, r.n, r.bytes) for r in graph.path_names(graph.root_paths(df, pa, **more)).collect()}
+    assert path() == {
+        "S": (0, 60, 120), "C": (0, 2, 2), "L": (0, 1, 1), "S<C": (1, 50, 100), "S<L": (1, 10, 20), "C<root": (1, 2, 2), "L<C": (1, 1, 1),
+        "S<C<root": (2, 50, 100), "S<L<C": (2, 10, 20), "L<C<root": (2, 1, 1), "S<L<C<root": (3, 10, 20),
+    }
+    assert path(instances=20)["S<C"] == (1, 10, 20) and path(instances=20)["S<L"] == (1, 10, 20)
+    assert max(d for d, _, _ in path(deepest=1).values()) == 1
+    assert set(path(most=5)) == {"S", "C", "L", "S<C", "S<L"}
+    only = spark.createDataFrame([("L",)], "type string")
+    assert set(path(types=only)) == {"L", "L<C", "L<C<root"}
 
 
 def test_breadth_first_parent_is_the_first_discoverer(spark):
@@ -129,7 +229,7 @@ def test_breadth_first_parent_is_the_first_discoverer(spark):
 def test_census_counts_nested_types_once(spark):
     nodes = spark.createDataFrame([("r", "root", 0), ("a", "T", 10), ("b", "T", 5), ("c", "U", 1), ("z", "U", 7)], "node string, type string, size long")
     edges = spark.createDataFrame([("r", "a", 0), ("a", "b", 0), ("b", "c", 0)], "src string, dst string, ordinal long")
-    got = {r.type: (r.n, r.exclusive, r.retained, r.max_retained, r.unreachable) for r in graph.census(nodes, graph.dominators(edges, "r")).collect()}
+    got = {r.type: (r.n, r.exclusive, r.retained, r.max_retained, r.unreachable) for r in graph.census(nodes, dominators.dominators(edges, "r")).collect()}
     assert got == {"root": (1, 0, 16, 16, 0), "T": (2, 15, 16, 16, 0), "U": (2, 8, 1, 1, 1)}
 
 
