@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +41,29 @@ def block_runs(objects: DataFrame) -> DataFrame:
     runs = objects.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w))
     types = runs.groupBy("segment", "run", "is_free", "type").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("address").alias("start"))
     return types.groupBy("segment", "run", "is_free").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("start").alias("start"), F.max_by("type", F.struct("bytes", "type")).alias("dominant"))
+
+
+def report(objects: DataFrame, bounds: tuple[int, ...], types: int) -> DataFrame:
+    """One row with a heap's report as a nested JSON document.
+
+    Totals, generations, sizes of free chunks between `bounds` (the open-ended bucket ends at -1)
+    and the largest types. Each part is an aggregation whose few rows are gathered into one array.
+    """
+    live = ~F.col("is_free")
+    sums = [F.count_if(live).alias("objects"), F.sum(F.when(live, F.col("size")).otherwise(0)).alias("live_bytes"), F.sum(F.when(~live, F.col("size")).otherwise(0)).alias("free_bytes")]
+    generations = objects.groupBy("generation").agg(*sums)
+    totals = generations.agg(*[F.sum(c).alias(c) for c in ("objects", "live_bytes", "free_bytes")])
+    low, high = F.lit(bounds[-1]), F.lit(-1)
+    for k in range(len(bounds) - 1, -1, -1):
+        inside = F.col("size") < bounds[k]
+        low, high = F.when(inside, bounds[k - 1] if k else 0).otherwise(low), F.when(inside, bounds[k]).otherwise(high)
+    buckets = objects.filter("is_free").groupBy(low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    largest = objects.filter(live).groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), "type").limit(types)
+    listed = lambda df, *c: df.agg(F.array_sort(F.collect_list(F.struct(*c))).alias("x"))
+    by_bytes = lambda a, b: F.when((a["bytes"] > b["bytes"]) | ((a["bytes"] == b["bytes"]) & (a["type"] < b["type"])), -1).otherwise(1)
+    parts = [totals, listed(generations, "generation", "objects", "live_bytes", "free_bytes").withColumnRenamed("x", "generations"), listed(buckets, "low", "high", "n", "bytes").withColumnRenamed("x", "free_buckets")]
+    parts.append(largest.agg(F.array_sort(F.collect_list(F.struct("type", "n", "bytes")), by_bytes).alias("largest_types")))
+    names = ("objects", "live_bytes", "free_bytes", "generations", "free_buckets", "largest_types")
+    # one row of each, put together
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    return whole.select(F.to_json(F.struct(*names)).alias("report"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,7 +18,8 @@ def assemble_gcs(events: DataFrame) -> DataFrame:
 
     events has pid, seq, kind (alloc, gc_start, heap, stats), gc_id and value: bytes of an
     allocation, number of heaps of a start, pause of statistics. Allocations since the last
-    complete collection go with the next one.
+    complete collection go with the one that is completed next, to which a listener posts them;
+    messages that name no collection go with the latest one, see state.latest_collections.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,21 +44,50 @@ def assemble_gcs(events: DataFrame) -> DataFrame:
     return events.groupBy("pid").applyInPandasWithState(step, GC_OUT, GC_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def jit_durations(events: DataFrame, keep: str = "10 minutes") -> DataFrame:
-    """Load time of each method: a start joined with the load that follows within `keep`.
+def event_rates(events: DataFrame, width: str = "1 minute", late: str = "5 minutes", slide: str | None = None) -> DataFrame:
+    """Events of each kind in tumbling windows, or sliding ones that begin every `slide`.
 
-    events has pid, method_id, kind (start, load), tier and ts. State older than the watermark is
-    dropped by Spark.
+    A stream leaves out rows later than the watermark; route_late keeps them.
     """
-    starts = events.filter("kind = 'start'").select("pid", "method_id", "tier", F.col("ts").alias("start_ts")).withWatermark("start_ts", keep)
-    loads = events.filter("kind = 'load'").select(F.col("pid").alias("p"), F.col("method_id").alias("m"), F.col("tier").alias("t"), F.col("ts").alias("load_ts")).withWatermark("load_ts", keep)
-    same = F.expr(f"pid = p AND method_id = m AND tier = t AND load_ts >= start_ts AND load_ts <= start_ts + interval {keep}")
-    return starts.join(loads, same).select("pid", "method_id", "tier", ((F.unix_micros("load_ts") - F.unix_micros("start_ts")) / 1000.0).alias("load_ms"))
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "kind").agg(F.count("*").alias("n")).select("w.start", "kind", "n")
 
 
-def event_rates(events: DataFrame, width: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """Events of each kind in tumbling windows; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count("*").alias("n")).select("w.start", "kind", "n")
+def late_rows(events: DataFrame, time: str, order: str, late: int, cell: int = 100_000) -> DataFrame:
+    """Rows that came behind the watermark of their place in the order, with late_us, how far behind.
+
+    The watermark is the latest time before a row less `late`. Cells of the order are walked in
+    parallel, each from the latest time of the cells before it.
+    """
+    rows = events.withColumn("__cell", F.floor(F.col(order) / cell))
+    # a row for each cell is left
+    cells = rows.groupBy("__cell").agg(F.max(time).alias("__latest"))
+    before = cells.select("__cell", F.max("__latest").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)).alias("__start"))
+    own = F.max(time).over(Window.partitionBy("__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    seen = rows.withColumn("__own", own).join(F.broadcast(before), "__cell")
+    mark = F.greatest("__own", "__start") - late
+    return seen.withColumn("late_us", mark - F.col(time)).filter("late_us > 0").drop("__cell", "__own", "__start")
+
+
+def route_late(stream: DataFrame, on_time: str, behind: str, marks: str, checkpoint: str, late_us: int):
+    """Starts a query that appends rows to one of two tables: those on time, and those behind the watermark with late_us.
+
+    stream has ts. The watermark is the latest time of the batches before less late_us. A batch
+    writes folders of its own, so one that is run again after a failure replaces what it wrote; no
+    row is lost, and the tables together are the stream.
+    """
+
+    def write(batch: DataFrame, nth: int) -> None:
+        spark = batch.sparkSession
+        known = [f"{marks}/batch={k}" for k in range(nth)]
+        mark = spark.read.parquet(*known).agg(F.max("latest")).first()[0] if known else None
+        us = F.unix_micros("ts")
+        rows = batch.withColumn("late_us", F.lit(None).cast("long") if mark is None else F.lit(mark - late_us) - us)
+        is_late = F.coalesce(F.col("late_us") > 0, F.lit(False))
+        rows.filter(is_late).write.mode("overwrite").parquet(f"{behind}/batch={nth}")
+        rows.filter(~is_late).drop("late_us").write.mode("overwrite").parquet(f"{on_time}/batch={nth}")
+        rows.agg(F.max(us).alias("latest")).write.mode("overwrite").parquet(f"{marks}/batch={nth}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

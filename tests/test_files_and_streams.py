@@ -1,10 +1,13 @@
+import random
 import struct
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from pulsegrain.operators import jit
 from pulsegrain.sources import files
-from pulsegrain.streaming import live
+from pulsegrain.streaming import live, projectors, state, watch
 
 
 def test_gcinfo(spark, tmp_path):
@@ -61,11 +64,141 @@ def test_windows_wait_for_the_watermark(spark, tmp_path):
     assert ("a", 2) in {(r.kind, r.n) for r in got} and ("b", 1) in {(r.kind, r.n) for r in got}
 
 
-def test_jit_durations_and_sessions_in_batches(spark):
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@pytest.fixture
+def keyed_state(spark):
+    spark.conf.set(*STATE_STORE)
+    yield
+    spark.conf.unset(STATE_STORE[0])
+
+
+def test_jit_starts_are_armed_again_and_survive_a_restart(spark, tmp_path, keyed_state):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    schema = "pid long, method_id long, seq long, kind string, tier int, ts timestamp"
+    first = [(1, 9, 1, "start", 0, at(1)), (1, 9, 2, "start", 0, at(2)), (1, 9, 3, "load", 0, at(5)), (1, 8, 4, "load", 0, at(6)), (2, 9, 5, "start", 0, at(6)), (1, 9, 6, "start", 1, at(7))]
+    second = [(1, 9, 7, "load", 1, at(9)), (1, 9, 8, "load", 1, at(10)), (2, 9, 9, "load", 2, at(8))]
+    got = drain(spark, state.jit_durations, schema, [first, second], tmp_path)  # each batch is a run of its own
+    want = [(1, 9, 3, 0, False, 3000.0), (1, 9, 7, 1, True, 2000.0), (2, 9, 9, 2, False, 2000.0)]
+    assert sorted(map(tuple, got)) == want
+    batch = spark.createDataFrame(first + second, schema).withColumn("ts_ms", F.unix_micros("ts") / 1000)
+    assert sorted(map(tuple, jit.jit_durations(batch).collect())) == want
+
+
+def test_forgotten_methods_are_not_tiered_up(spark, tmp_path, keyed_state):
+    at = lambda m, s=0: datetime(2024, 1, 1, m // 60, m % 60, s)
+    schema = "pid long, method_id long, seq long, kind string, tier int, ts timestamp"
+    runs = [[(1, 9, 1, "start", 0, at(0)), (1, 9, 2, "load", 0, at(0, 1))], [(1, 7, 3, "start", 0, at(90))], [(1, 7, 4, "load", 0, at(91)), (1, 9, 5, "start", 0, at(91))], [(1, 9, 6, "load", 0, at(92))]]
+    got = drain(spark, state.jit_durations, schema, runs, tmp_path)
+    assert sorted((r.method_id, r.seq, r.tier_up) for r in got) == [(7, 4, False), (9, 2, False), (9, 6, False)]
+
+
+def test_allocations_go_to_the_latest_collection(spark, tmp_path, keyed_state):
+    schema = "pid long, seq long, kind string, gc_id long, bytes long"
+    first = [(1, 1, "alloc", None, 5), (1, 2, "gc", 7, None), (1, 3, "alloc", None, 6), (2, 4, "gc", 1, None)]
+    second = [(1, 5, "alloc", None, 7), (1, 6, "gc", 8, None), (1, 7, "alloc", None, 8), (2, 8, "alloc", None, 9)]
+    want = [(1, 1, None, 5), (1, 3, 7, 6), (1, 5, 7, 7), (1, 7, 8, 8), (2, 8, 1, 9)]
+    assert sorted(map(tuple, drain(spark, state.latest_collections, schema, [first, second], tmp_path)), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, jit.latest_collections(spark.createDataFrame(first + second, schema)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_collections_are_complete_in_batch_as_in_the_stream(spark, tmp_path):
+    rng = random.Random(3)
+    rows, open_gc = [], {}
+    for seq in range(400):
+        pid = rng.randrange(3)
+        kind = rng.choice(["alloc", "gc_start", "heap", "heap", "stats"])
+        if kind == "gc_start":
+            open_gc[pid] = seq
+        gc_id = open_gc.get(pid, 999) if rng.random() < 0.9 else 998
+        rows.append((pid, seq, kind, None if kind == "alloc" else seq if kind == "gc_start" else gc_id, float(rng.randint(1, 3) if kind == "gc_start" else rng.randrange(50))))
+    schema = "pid long, seq long, kind string, gc_id long, value double"
+    got = drain(spark, live.assemble_gcs, schema, [rows[:170], rows[170:]], tmp_path)
+    batch = jit.complete_collections(spark.createDataFrame(rows, schema)).collect()
+    pick = lambda rs: sorted((r.pid, r.gc_id, r.pause, r.heaps, r.alloc_bytes, r.alloc_ticks) for r in rs)
+    assert pick(got) == pick(batch) and len(batch) > 10
+
+
+def test_sessions_in_batches(spark):
     at = lambda s: datetime(2024, 1, 1, 0, 0, s)
-    df = spark.createDataFrame([(1, 9, "start", 0, at(1)), (1, 9, "load", 0, at(3)), (1, 9, "start", 1, at(5)), (1, 8, "load", 0, at(6))], "pid long, method_id long, kind string, tier int, ts timestamp")
-    assert [(r.method_id, r.tier, r.load_ms) for r in live.jit_durations(df).collect()] == [(9, 0, 2000.0)]
-    assert live.sessions(df, "2 seconds").agg(F.sum("n")).first()[0] == 4
+    df = spark.createDataFrame([(1, at(1)), (1, at(3)), (1, at(5)), (1, at(6)), (1, at(20))], "pid long, ts timestamp")
+    assert sorted(r.n for r in live.sessions(df, "3 seconds").collect()) == [1, 4]
+
+
+def test_late_rows_are_all_accounted_for(spark, tmp_path):
+    rng = random.Random(5)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "ts timestamp, kind string, pid long"
+    batches = [[(at(60 * k + rng.randrange(-300, 60)), rng.choice("ab"), rng.randrange(2)) for _ in range(40)] for k in range(5)]
+    source = tmp_path / "in"
+    source.mkdir()
+    paths = [str(tmp_path / n) for n in ("ontime", "late", "marks", "check")]
+    latest, late = None, []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+        live.route_late(spark.readStream.schema(schema).parquet(str(source)), *paths, 60_000_000).awaitTermination(120)
+        late += [(ts, (latest - ts).total_seconds() - 60) for ts, _, _ in batch if latest and (latest - ts).total_seconds() > 60]
+        latest = max([ts for ts, _, _ in batch] + ([latest] if latest else []))
+    on_time, behind = spark.read.parquet(paths[0]).drop("batch"), spark.read.parquet(paths[1]).drop("batch")
+    assert sorted((r.ts, r.late_us / 1e6) for r in behind.collect()) == sorted(late) and late
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    both = on_time.select("ts", "kind", "pid").unionByName(behind.select("ts", "kind", "pid"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, every.collect()))
+    for slide in (None, "30 seconds"):
+        counts = lambda df, s=slide: sorted(map(tuple, live.event_rates(df, "1 minute", slide=s).collect()))
+        assert counts(both) == counts(every) and sum(n for _, _, n in counts(every)) == 200 * (2 if slide else 1)
+
+
+def test_late_rows_by_their_place_in_the_order(spark):
+    rng = random.Random(6)
+    rows = [(k, 100 * k + rng.choice([0, -350, 90])) for k in range(200)]
+    got = {r.seq: r.late_us for r in live.late_rows(spark.createDataFrame(rows, "seq long, us long"), "us", "seq", 120, cell=7).collect()}
+    want = {}
+    for k, us in rows[1:]:
+        mark = max(u for i, u in rows if i < k) - 120
+        if us < mark:
+            want[k] = mark - us
+    assert got == want
+
+
+def test_a_watch_stops_by_each_of_its_rules(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "src"))
+    stream = lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "src"))
+    count = lambda b: b.groupBy().count()
+    why, cycles = watch.watch(stream(), count, str(tmp_path / "r1"), str(tmp_path / "c1"), "1 second", duration_s=8, name="by-duration")
+    assert why == "duration" and spark.read.parquet(str(tmp_path / "r1")).first()[0] == 5
+    stop = tmp_path / "stop"
+    stop.write_text("")
+    assert watch.watch(stream(), count, str(tmp_path / "r2"), str(tmp_path / "c2"), stop_file=str(stop), name="by-file")[0] == "stop file" and not stop.exists()
+    calls = []
+
+    def fails(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            return count(batch)  # a good report sets the count back
+        raise RuntimeError("no report")
+
+    rates = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    why, _ = watch.watch(rates, fails, str(tmp_path / "r3"), str(tmp_path / "c3"), "0 seconds", duration_s=90, most_errors=3, name="by-errors")
+    assert why == "errors" and len(calls) >= 5
+
+
+def test_a_projector_shows_up_in_sql(spark):
+    @projectors.projector("errors_by_thread")
+    def errors(events):
+        return events.filter("kind = 'error'").groupBy("tid").agg(F.count("*").alias("n"))
+
+    try:
+        projectors.install(spark, spark.createDataFrame([(1, "error"), (1, "view"), (1, "error"), (2, "error")], "tid int, kind string"))
+        assert sorted(map(tuple, spark.sql("SELECT tid, n FROM errors_by_thread").collect())) == [(1, 2), (2, 1)]
+        with pytest.raises(ValueError, match="already"):
+            projectors.projector("errors_by_thread")(errors)
+    finally:
+        del projectors.PROJECTORS["errors_by_thread"]
+    body = struct.pack("<iihqq", 0, 3, 1, 10, -20)  # its count says three
+    spark.createDataFrame([(1, bytearray(body)), (2, None), (3, bytearray(b"x"))], "src int, payload binary").createOrReplaceTempView("some_payloads")
+    assert sorted(map(tuple, spark.sql("SELECT src, target, ordinal FROM some_payloads, LATERAL bulk_references(payload)").collect())) == [(1, -20, 1), (1, 10, 0)]
 
 
 def test_snapshots_overwrite_their_report(spark, tmp_path):
