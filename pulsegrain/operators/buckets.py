@@ -38,6 +38,20 @@ def histogram(df: DataFrame, column: str, measures: dict[str, Column], most: int
     return grid(df.sparkSession, n).join(F.broadcast(sums), "bucket", "left").fillna(0)
 
 
+def series(df: DataFrame, column: str, name: str, k: int, most: int = 100, fixed: int | None = None) -> DataFrame:
+    """(name, bucket, n) for the k most frequent names, in the buckets of `histogram` over all rows.
+
+    Empty buckets are left out. Where all rows have one time there is no series, and no row.
+    """
+    low, high, rows = span(df, column)
+    n = fixed or min(rows, most)
+    if high <= low or not n:
+        return df.limit(0).select(name, F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("n"))
+    top = df.groupBy(name).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), name).limit(k).select(name)
+    bucket = equal_width(F.col(column), low, (high - low) / n, n)
+    return df.join(F.broadcast(top), name).groupBy(name, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def top_and_other(df: DataFrame, name: str, weight: str, k: int, other: str = "Other") -> DataFrame:
     """df with `series`: the name if it is one of the k heaviest, else `other`."""
     top = df.groupBy(name).agg(F.sum(weight).alias("__w")).orderBy(F.desc("__w"), name).limit(k).select(F.col(name), F.lit(True).alias("__top"))

@@ -95,6 +95,14 @@ def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return half.join(src, "src").groupBy("from_type", "to_type").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def capped_edges(edges: DataFrame, cap: int = 64) -> DataFrame:
+    """References between types that are among the `cap` heaviest of their source or of their target, with both ranks."""
+    out = Window.partitionBy("from_type").orderBy(F.desc("bytes"), F.desc("n"), "to_type")
+    back = Window.partitionBy("to_type").orderBy(F.desc("bytes"), F.desc("n"), "from_type")
+    ranked = edges.withColumns({"out_rank": F.row_number().over(out), "in_rank": F.row_number().over(back)})
+    return ranked.filter((F.col("out_rank") <= cap) | (F.col("in_rank") <= cap))
+
+
 #: Instances of a type that its paths are told from, steps of a path, and nodes of all paths together.
 INSTANCES, DEEPEST, PATH_NODES = 20_000, 24, 200_000
 

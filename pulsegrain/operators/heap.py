@@ -34,13 +34,39 @@ def segment_occupancy(objects: DataFrame) -> DataFrame:
     return objects.groupBy("segment").agg(F.round(live * 100.0 / F.sum("size"), 2).alias("occupancy"), F.count("*").alias("n"))
 
 
-def block_runs(objects: DataFrame) -> DataFrame:
-    """Maximal runs of live objects and of gaps in each segment, with the heaviest type of a run."""
+#: Least sizes of the ranges that free chunks are counted in; the last one is open-ended.
+FREE_RANGES = (0, 1024, 8192, 85_000, 1_048_576)
+
+
+def free_histogram(objects: DataFrame, ranges: tuple[int, ...] = FREE_RANGES) -> DataFrame:
+    """generation, low, high, n and bytes of free chunks by size; high is the largest size of the range, -1 for the last."""
+    low, high = F.lit(ranges[-1]), F.lit(-1)
+    for k in range(len(ranges) - 2, -1, -1):
+        inside = F.col("size") < ranges[k + 1]
+        low, high = F.when(inside, ranges[k]).otherwise(low), F.when(inside, ranges[k + 1] - 1).otherwise(high)
+    return objects.filter("is_free").groupBy("generation", low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def generation_prefix(objects: DataFrame) -> DataFrame:
+    """The objects of each segment before the first one of another generation than its first object's."""
+    w = Window.partitionBy("segment").orderBy("address")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    other = F.col("generation") != F.first("generation").over(so_far)
+    return objects.withColumn("__other", other).withColumn("__passed", F.count_if("__other").over(so_far)).filter("__passed = 0").drop("__other", "__passed")
+
+
+def block_runs(objects: DataFrame, pinned: str | None = None) -> DataFrame:
+    """Maximal runs of live objects and of gaps in each segment, with the heaviest type of a run.
+
+    With `pinned`, a flag of objects, also how many other types a run has and whether any object is.
+    """
     w = Window.partitionBy("segment").orderBy("address")
     changed = F.coalesce((F.lag("is_free").over(w) != F.col("is_free")).cast("int"), F.lit(0))
     runs = objects.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w))
-    types = runs.groupBy("segment", "run", "is_free", "type").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("address").alias("start"))
-    return types.groupBy("segment", "run", "is_free").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("start").alias("start"), F.max_by("type", F.struct("bytes", "type")).alias("dominant"))
+    flag = [] if pinned is None else [F.bool_or(pinned).alias("pinned")]
+    types = runs.groupBy("segment", "run", "is_free", "type").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("address").alias("start"), *flag)
+    more = [] if pinned is None else [(F.count("*") - 1).alias("other_types"), F.bool_or("pinned").alias("pinned")]
+    return types.groupBy("segment", "run", "is_free").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("start").alias("start"), F.max_by("type", F.struct("bytes", "type")).alias("dominant"), *more)
 
 
 def report(objects: DataFrame, bounds: tuple[int, ...], types: int) -> DataFrame:

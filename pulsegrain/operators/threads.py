@@ -78,3 +78,17 @@ def top_stacks(samples: DataFrame, n: int = 3) -> DataFrame:
     counts = samples.groupBy("tid", "stack_index").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("n"), "stack_index"))
     return counts.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def lock_ranks(waits: DataFrame, workers: DataFrame) -> DataFrame:
+    """lock_id, rank, n, total_ms, max_ms, waiters, worker_waiters and worker_waits, the lock with most waiting first.
+
+    workers has the tid of each pool worker once. Lock 0 is none. A row for each lock is ranked in
+    one window, after the sums.
+    """
+    known = waits.filter("lock_id <> 0").join(workers.withColumn("__worker", F.lit(True)), "tid", "left")
+    own = F.when(F.col("__worker"), F.col("tid"))
+    sums = known.groupBy("lock_id").agg(
+        F.count("*").alias("n"), F.sum("duration_ms").alias("total"), F.max("duration_ms").alias("max_ms"), F.count_distinct("tid").alias("waiters"), F.count_distinct(own).alias("worker_waiters"), F.count(own).alias("worker_waits")
+    )
+    return sums.select("lock_id", F.row_number().over(Window.orderBy(F.desc("total"), "lock_id")).alias("rank"), "n", F.round("total", 3).alias("total_ms"), "max_ms", "waiters", "worker_waiters", "worker_waits")

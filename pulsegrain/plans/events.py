@@ -96,9 +96,9 @@ def hide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("P24_text_filter", "SELECT p_partkey, p_name FROM part WHERE lower(p_type) LIKE '%brass%'")
+@query("P24_text_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), lower('Promo'))")
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "part").filter(F.lower("p_type").contains("brass")).select("p_partkey", "p_name")
+    return tables.read(spark, sf_dir, "part").filter(F.lower("p_type").contains("Promo".lower())).select("p_partkey", "p_name")
 
 
 @query("A3_allocation_by_type", f"""WITH {ALLOC}, s AS (SELECT 'all' AS scope, * FROM al UNION ALL SELECT 'large' AS scope, * FROM al WHERE size_class = 1), g AS (
