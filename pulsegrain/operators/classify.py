@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .frame_rules import LOCK_PREFIXES as LOCK_PREFIXES
 
+
 def any_prefix(name: Column, prefixes: tuple[str, ...]) -> Column:
     return reduce(lambda a, p: a | name.startswith(p), prefixes, F.lit(False))
 

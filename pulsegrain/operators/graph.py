@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,21 +24,27 @@ def _local_folder() -> str:
     return made
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet below the shared checkpoint folder and reads it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only a local session, as in
-    tests, may leave it unset and has one made: executors on other machines would not see that.
-    What is read back has neither the plan nor the partitions of the rounds before it.
+    Only a local session, as in tests, may leave it unset and has one made: executors on other
+    machines would not see that.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{named or _local_folder()}/kept-{uuid.uuid4().hex}"
+    return named or _local_folder()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet below the shared checkpoint folder and reads it from there.
+
+    What is read back has neither the plan nor the partitions of the rounds before it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def breadth_first(edges: DataFrame, root) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import layouts
-from ..operators import definitions, heap, jit
-from ..sources import tables
+from ..functions import layouts, names
+from ..operators import definitions, graph, heap, jit
+from ..sources import files, tables
 from ..streaming import live, projectors
 from .registry import EV, query
 from .structure import OBJECTS, _objects
@@ -141,3 +143,31 @@ SELECT CAST(to_json(struct_pack(objects := (SELECT CAST(sum(objects) AS BIGINT)
   largest_types := (SELECT list(struct_pack(type := type, n := n, bytes := bytes) ORDER BY bytes DESC, type) FROM ty))) AS VARCHAR) AS report""")
 def heap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap.report(_objects(spark, sf_dir), (1000, 10_000, 50_000), 5)
+
+
+@query("P14_demangled_names", "SELECT DISTINCT concat(p_brand, '::', replace(p_name, ' ', '_')) AS name FROM part UNION ALL SELECT DISTINCT concat('_Zx', p_brand) FROM part")
+def demangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested names by their lengths; an encoding that is not known stays. Rules run on distinct names."""
+    part = tables.read(spark, sf_dir, "part").select("p_brand", F.translate("p_name", " ", "_").alias("member")).distinct()
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.col(c))
+    nested = part.select(F.concat(F.lit("_ZN"), sized("p_brand"), sized("member"), F.lit("E")).alias("raw"))
+    other = part.select(F.concat(F.lit("_Zx"), "p_brand").alias("raw")).distinct()
+    return nested.unionByName(other).select(names.demangled("raw").alias("name"))
+
+
+@query("K5_census_report", f"""WITH {OBJECTS}, t AS (SELECT type, count(*) AS n, CAST(sum(size) AS BIGINT) AS exclusive, CAST(sum(size) FILTER (NOT is_free) AS BIGINT) AS retained FROM ob GROUP BY 1)
+SELECT printf('%12d %12d %8d  %s', retained, exclusive, n, type) AS line FROM t ORDER BY retained DESC, type LIMIT 20""")
+def census_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    census = _objects(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("exclusive"), F.sum(F.when(~F.col("is_free"), F.col("size"))).alias("retained"))
+    return files.census_report(census, 20)
+
+
+@query("S16_gcinfo_import", f"WITH {EV} SELECT seq AS id, CAST(k % 3 AS INTEGER) AS generation, CAST(seq * 1000 AS DOUBLE) AS start_ms, CAST(k AS DOUBLE) AS duration_ms, k * 1000000 AS gen0_size, k AS loh_size, CAST(0 AS BIGINT) AS poh_size, CAST(seq * 1000 + k AS DOUBLE) AS end_ms FROM ev WHERE kind = 'signup'")
+def gcinfo_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections are written as an XML export with thousands commas and read back."""
+    gcs = tables.trace_events(spark, sf_dir).filter("kind = 'signup'")
+    commas = lambda e: F.format_number(F.expr(e), 0)
+    rows = gcs.select(commas("seq").alias("Id"), commas("k % 3").alias("Generation"), commas("seq * 1000").alias("StartMs"), commas("k").alias("DurationMs"), commas("k * 1000000").alias("Gen0Size"), commas("k").alias("LOHSize"))
+    path = f"{graph.shared_folder(spark)}/gcinfo-{uuid.uuid4().hex}"
+    rows.write.format("xml").option("rowTag", "GCEvent").option("rootTag", "Log").save(path)
+    return files.read_gcinfo(spark, path)
