@@ -439,3 +439,78 @@ def test_scores_do_not_depend_on_the_texts_beside():
     together, alone = model.raw_texts(texts), [model.raw_texts([t])[0] for t in texts]
     assert together == alone and together[1][1] is None
     assert all(abs(p - model.raw_ids(toxicity.word_ids(t))) < 1e-5 for t, (p, _) in zip(texts, together, strict=True))
+
+
+def plain_mix(rows, labels, aims):
+    """Posteriors, rates and copies by loops, from texts that are all sampled."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_text = lambda t, seed=42: signed(xxhash.xxh64_intdigest(t.encode(), seed % (1 << 64)))
+    of_long = lambda n, seed=42: signed(xxhash.xxh64_intdigest((n % (1 << 64)).to_bytes(8, "little"), seed % (1 << 64)))
+    cut = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+    places = lambda w: (of_text(w.lower()) % mixing.WORD_BUCKETS, of_text(w.lower()[-2:]) % mixing.END_BUCKETS + mixing.WORD_BUCKETS)
+    domain = {i: "toxic" if toxic == 1 else "good" if quality == 1 else "low" for i, quality, toxic in labels}
+    names = sorted(set(domain.values()))
+    table = np.ones((len(names), mixing.WORD_BUCKETS + mixing.END_BUCKETS))
+    for i, t in rows:
+        if i in domain:
+            for w in set(cut(t)):
+                for b in places(w):
+                    table[names.index(domain[i]), b] += 1
+    for part in (slice(0, mixing.WORD_BUCKETS), slice(mixing.WORD_BUCKETS, None)):
+        table[:, part] /= table[:, part].sum(axis=1, keepdims=True)
+    score = np.log(table) - np.log(table[0])
+    prior = [sum(d == x for d in domain.values()) / len(domain) for x in names]
+    tokens, p = [], []
+    for _, t in rows:
+        words = cut(t)
+        sums = [sum(score[k, b] for w in words for b in places(w)) for k in range(len(names))]
+        temper = min(1.0, (mixing.EVIDENCE / max(1, len(words))) ** 0.5)
+        odds = np.array([np.log(prior[k]) + sums[k] * temper for k in range(len(names))])
+        each = np.exp(odds - odds.max())
+        tokens.append(len(words))
+        p.append(each / each.sum())
+    tokens, p = np.array(tokens, dtype=float), np.array(p)
+    target = np.array([aims[d] for d in names]) / sum(aims[d] for d in names)
+    gram = (p * tokens[:, None]).T @ p / tokens.sum() + 1e-9 * np.eye(len(names))
+    rate = np.ones(len(rows))
+    for _ in range(25):
+        gap = (rate * tokens) @ p / tokens.sum() - target
+        if np.abs(gap).max() < 1e-7:
+            break
+        rate = np.maximum(0, rate - p @ np.linalg.solve(gram, gap))
+    drawn = np.array([of_text("copies", of_long(of_text(t), of_long(i))) % (1 << 20) / (1 << 20) for i, t in rows])
+    copies, likeliest = np.floor(rate), p.argmax(axis=1)
+    for k in range(len(names)):
+        own = [n for n in range(len(rows)) if likeliest[n] == k and rate[n] > np.floor(rate[n])]
+        bins = {n: int(np.floor((drawn[n] - rate[n] + np.floor(rate[n])) * mixing.SHIFTS)) for n in own}
+        due = sum(tokens[n] * (rate[n] - np.floor(rate[n])) for n in own)
+        best = min([None, *sorted(set(bins.values()))], key=lambda b: abs(due - (0 if b is None else sum(tokens[n] for n in own if bins[n] <= b))))
+        for n in own:
+            copies[n] += best is not None and bins[n] <= best
+    return names, tokens, p, rate, copies
+
+
+def test_mixing_is_its_plain_version(spark):
+    rng = random.Random(21)
+    vocabulary = {"good": ["clear", "proof", "étude", "Theorem", "prose"], "low": ["buy", "CLICK", "cheap", "now!", "win"], "toxic": ["vile", "grub", "Scum", "rot", "filth"]}
+    rows, labels = [], []
+    for k in range(300):
+        kind = rng.choices(["good", "low", "toxic"], [5, 4, 1])[0]
+        other = rng.choice(list(vocabulary))
+        text = [rng.choice(vocabulary[kind if rng.random() < 0.7 else other]) for _ in range(rng.randint(3, 80))]
+        rows.append((k, rng.choice([" ", "\n", " \t "]).join(text)))
+        if k % 2:
+            labels.append((k, int(kind == "good"), int(kind == "toxic")))
+    rows += [(1000, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for aims in (mixing.TARGETS, {"good": 0.4, "low": 0.6, "toxic": 0.0}):
+        names, tokens, p, rate, copies = plain_mix(rows, labels, aims)
+        got = {r.doc_id: r for r in mixing.mix(df, lab, aims)[2].collect()}
+        for n, (i, _) in enumerate(rows):
+            assert got[i].tokens == tokens[n] and abs(got[i].rate - rate[n]) < 1e-3
+            assert all(abs(got[i][f"p_{d}"] - p[n][k]) < 1e-3 for k, d in enumerate(names))
+        differ = sum(got[i].copies != copies[n] for n, (i, _) in enumerate(rows))
+        assert differ <= 2  # a draw within a rounding of its rate
