@@ -49,6 +49,7 @@ CATEGORY_TOKENS: list[tuple[str, dict[str, tuple[str, ...]]]] = [
     ("Kernel", {"contains": ("clock_gettime", "gettimeofday")}),
 ]
 #: After the kernel image: names of managed code, by the beginnings of the framework's own.
+# Prefixes of framework and runtime names, and the categories that tokens stand for.
 FRAMEWORK = ("System.", "Microsoft.", "Internal.", "Interop")
 NATIVE_RUNTIME = {
     "contains": (
@@ -64,6 +65,7 @@ CATEGORIES = (
     "Kernel", "RuntimeOther", "ManagedFramework", "ApplicationCode", "Globalization", "RuntimeGeneratedCode", "Unresolved", "Uncategorized",
 )
 
+# Frames that idle, wait for input or output, hold a lock, or belong to the pool and the runtime.
 IDLE_PREFIXES = (
     "System.Threading.WaitHandle.", "System.Threading.Monitor.", "System.Threading.SemaphoreSlim.", "System.Threading.Semaphore.", "System.Threading.ManualResetEventSlim.",
     "System.Threading.ManualResetEvent.", "System.Threading.AutoResetEvent.", "System.Threading.LowLevelLifoSemaphore.", "System.Threading.LowLevelMonitor.",
