@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import common_prefix, kept
@@ -170,3 +170,27 @@ def sums_below(values: DataFrame, tables: list[DataFrame]) -> DataFrame:
         return kept(sums.unionByName(below).groupBy("node").agg(F.sum("value").alias("value")))
 
     return reduce(further, tables, values)
+
+
+def sums_above(values: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(node, value) summed over each node and all its ancestors, as sums_below goes down."""
+
+    def further(sums: DataFrame, table: DataFrame) -> DataFrame:
+        above = table.join(sums.select(F.col("node").alias("up"), F.col("value").alias("more")), "up").select("node", "more")
+        return kept(sums.join(above, "node", "left").select("node", (F.col("value") + F.coalesce("more", F.lit(0))).alias("value")))
+
+    return reduce(further, tables, values)
+
+
+def depth_first(tree: DataFrame) -> DataFrame:
+    """(node, place): the pre-order of a tree (node, parent, ordinal) with children by ordinal; the root, whose parent is null, has place 0.
+
+    A child comes behind its parent and all that lies below its earlier siblings, so its place is a
+    sum over its ancestors. Children of one node are put in order in one task.
+    """
+    tables = jump_tables(tree.filter("parent IS NOT NULL").select("node", "parent"))
+    sizes = sums_below(tree.select("node", F.lit(1).cast("long").alias("value")), tables)
+    order = Window.partitionBy("parent").orderBy("ordinal", "node").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce(F.sum("value").over(order), F.lit(0)) + 1)
+    steps = kept(tree.join(sizes, "node").select("node", step.cast("long").alias("value")))
+    return sums_above(steps, tables).withColumnRenamed("value", "place")

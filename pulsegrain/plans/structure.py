@@ -250,6 +250,19 @@ def breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.breadth_first(edges, ROOT).select(_named("node"), _named("parent"), "depth")
 
 
+@query("G2_depth_first", f"""WITH {TREE}, fp AS (SELECT p, min((r, n, c, o)) AS w FROM tr GROUP BY p), al AS (SELECT 'root' AS node, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS p
+UNION ALL SELECT concat('R', r_regionkey), r_regionkey, NULL, NULL, NULL, NULL FROM region UNION ALL SELECT concat('N', n_nationkey), n_regionkey, n_nationkey, NULL, NULL, NULL FROM nation
+UNION ALL SELECT concat('C', c_custkey), n_regionkey, n_nationkey, c_custkey, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('O', o_orderkey), n_regionkey, n_nationkey, c_custkey, o_orderkey, NULL FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('P', p), w[1], w[2], w[3], w[4], p FROM fp)
+SELECT node, row_number() OVER (ORDER BY r NULLS FIRST, n NULLS FIRST, c NULLS FIRST, o NULLS FIRST, p NULLS FIRST) - 1 AS place FROM al""")
+def depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pre-order of the tree of first discoverers, children by their keys."""
+    _, edges = _heap_graph(spark, sf_dir)
+    tree = graph.breadth_first(edges, ROOT).select("node", "parent", F.floor(F.col("node") / 8).alias("ordinal"))
+    return dominator_tree.depth_first(tree).select(_named("node"), "place")
+
+
 PARTS = "pd AS (SELECT p, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS c, CASE WHEN count(DISTINCT n) = 1 THEN min(n) END AS n, CASE WHEN count(DISTINCT r) = 1 THEN min(r) END AS r FROM tr GROUP BY p)"
 
 

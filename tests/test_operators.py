@@ -202,6 +202,18 @@ def test_lowest_common_ancestors(spark):
         assert got[g] == max(common, key=lambda v: len(up(v)))
 
 
+def test_depth_first_places_are_those_of_a_walk(spark):
+    rng = random.Random(7)
+    parent = {k: rng.randrange(max(0, k - 9), k) for k in range(1, 150)}
+    tree = spark.createDataFrame([(0, None, 0), *((k, p, -k % 5) for k, p in parent.items())], "node long, parent long, ordinal int")
+    place, todo = {}, [0]
+    while todo:
+        v = todo.pop()
+        place[v] = len(place)
+        todo += sorted((k for k, p in parent.items() if p == v), key=lambda k: (-k % 5, k), reverse=True)
+    assert {r.node: r.place for r in dominators.depth_first(tree).collect()} == place
+
+
 def test_paths_merge_on_the_way_up_and_stop_at_their_budgets(spark):
     # root 0, two caches of type C, 30 strings below each, ten of them below a list of the first cache
     nodes = [(0, "root", 0), (1, "C", 1), (2, "C", 1), (3, "L", 1), *((10 + k, "S", 2) for k in range(60))]
