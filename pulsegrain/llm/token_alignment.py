@@ -17,6 +17,7 @@ composes. Neither moves texts: documents travel as packed segment numbers.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -60,6 +61,8 @@ class Vocabularies:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # a task has one core; threads for small batches cost more than they give
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in texts are plain text
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -84,7 +87,7 @@ class Vocabularies:
         """Ids of each segment by both tokenizers, as they stand inside a text."""
         ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
         # this tokenizer puts a space before what it gets, which may join other white space
-        ids_b = self.b.encode([s[1:] if s[0] == SPACE else GUARD + s for s in segments])
+        ids_b = self.b.encode([s[1:] if s[0] == SPACE else GUARD + s for s in segments], num_threads=1)
         for s, x, y in zip(segments, ids_a, ids_b, strict=True):
             if s == SPACE:
                 y = [self.mark]
@@ -108,7 +111,7 @@ class Vocabularies:
         """
         sources = [s.encode("utf-8", "surrogatepass") for s in segments]
         both = list(self.tokens(segments))
-        same = [b"".join(map(self.bytes_a.__getitem__, a)) == t == b"".join(map(self.bytes_b.__getitem__, b)) for (a, b), t in zip(both, sources, strict=True)]
+        same = self._given_back(both, sources)
         kept = [x for x, good in zip(both, same, strict=True) if good]
         if not kept:
             return [b""] * len(segments)
@@ -124,6 +127,23 @@ class Vocabularies:
         packed = links.tobytes()
         return [packed[x:y] for x, y in zip([0, *stops], stops, strict=False)]
 
+    def _given_back(self, both: list[tuple[list[int], list[int]]], sources: list[bytes]) -> list[bool]:
+        """Which segments the tokens of both vocabularies give back byte for byte; all at once where all are."""
+        known = (self.bytes_a, self.bytes_b)
+        ends = np.cumsum(list(map(len, sources)))
+        whole = b"".join(sources)
+
+        def all_of(k: int) -> bool:
+            ids = list(chain.from_iterable(x[k] for x in both))
+            if b"".join(map(known[k].__getitem__, ids)) != whole:
+                return False
+            reached = np.append(0, np.cumsum(self.lengths[k][ids]))
+            return bool((reached[np.cumsum([len(x[k]) for x in both])] == ends).all())
+
+        if all_of(0) and all_of(1):
+            return [True] * len(sources)
+        return [b"".join(map(self.bytes_a.__getitem__, a)) == t == b"".join(map(self.bytes_b.__getitem__, b)) for (a, b), t in zip(both, sources, strict=True)]
+
 
 def _byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for."""
