@@ -216,10 +216,14 @@ KINDS = ("root", "region", "nation", "customer", "order", "part")
 ROOT = 0
 
 
+def _node(kind: str, key: F.Column) -> F.Column:
+    return key.cast("bigint") * 8 + KINDS.index(kind)
+
+
 def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Regions, nations, customers, orders and the parts they share, below one root."""
     region, nation, customer, orders, line, part = (tables.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem", "part"))
-    node = lambda kind, key: F.col(key).cast("bigint") * 8 + KINDS.index(kind)
+    node = lambda kind, key: _node(kind, F.col(key))
     tall = lambda df, kind, key, size: df.select(node(kind, key).alias("node"), F.lit(kind).alias("type"), size.cast("bigint").alias("size"))
     nodes = tall(region, "region", "r_regionkey", F.lit(1)).unionByName(tall(nation, "nation", "n_nationkey", F.lit(2))).unionByName(tall(customer, "customer", "c_custkey", F.floor(F.abs("c_acctbal"))))
     nodes = nodes.unionByName(tall(orders, "order", "o_orderkey", F.floor("o_totalprice"))).unionByName(tall(part, "part", "p_partkey", F.floor("p_retailprice")))

@@ -172,11 +172,11 @@ def method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("G6_expand_node", "SELECT concat('P', l_partkey) AS node, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 1)) GROUP BY 1")
 def expand_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What customer 1 reaches in two steps: the expansion of one node in a viewer."""
-    from .structure import _heap_graph
+    from .structure import _heap_graph, _named, _node
 
     _, edges = _heap_graph(spark, sf_dir)
-    first = edges.filter("src = 'C1'").select(F.col("dst").alias("via"))
-    return edges.join(first, edges.src == first.via).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    first = edges.filter(F.col("src") == _node("customer", F.lit(1))).select(F.col("dst").alias("via"))
+    return edges.join(first, edges.src == first.via).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).select(_named("node"), "n")
 
 
 @query("S7_thread_table", "WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'error')) SELECT user_id AS tid, CAST(event_id AS BIGINT) AS defined_by FROM e WHERE n = 1 AND event_type = 'signup'")
