@@ -31,15 +31,17 @@ def jump_tables(parents: DataFrame) -> list[DataFrame]:
         tables.append(further)
 
 
-def anchors(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, anchor, depth) of the nodes of a forest (node, parent) below its roots, and the nodes on and below cycles."""
-    at = kept(parents.select("node", F.col("parent").alias("anchor"), F.lit(1).cast("long").alias("depth")))
+def anchors(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, anchor, depth) of the nodes of a stored forest (node, parent) below its roots, and the nodes on and below cycles, or None if there is none."""
+    at = parents.select("node", F.col("parent").alias("anchor"), F.lit(1).cast("long").alias("depth"))
     left = None
     while True:
         known = at.select(F.col("node").alias("anchor"), F.col("anchor").alias("above"), F.col("depth").alias("more"))
         open_now = at.join(known.select("anchor"), "anchor", "left_semi")
         n = open_now.count()
-        if n == 0 or n == left:  # where nothing comes nearer to a root there is none
+        if n == 0:
+            return at, None
+        if n == left:  # where nothing comes nearer to a root there is none
             return at.join(known.select("anchor"), "anchor", "left_anti"), open_now.select("node")
         left = n
         at = kept(at.join(known, "anchor", "left").select("node", F.coalesce("above", "anchor").alias("anchor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
@@ -81,10 +83,10 @@ def dominators(edges: DataFrame, root) -> DataFrame:
     open_steps = kept(steps.join(ends.filter(~single).select("dst"), "dst", "left_semi").select("src", "dst"))
     while True:
         placed, cyclic = anchors(tree)
-        placed = kept(placed)
-        # nodes on and below cycles without an entry cannot be reached
-        tree = kept(tree.join(cyclic, "node", "left_anti"))
-        open_steps = open_steps.join(cyclic.withColumnRenamed("node", "src"), "src", "left_anti")
+        if cyclic is not None:
+            # nodes on and below cycles without an entry cannot be reached
+            placed, tree = kept(placed), kept(tree.join(cyclic, "node", "left_anti"))
+            open_steps = kept(open_steps.join(cyclic.withColumnRenamed("node", "src"), "src", "left_anti"))
         if open_steps.isEmpty():
             break
         where = placed.select(F.col("node").alias("src"), "anchor", "depth")
@@ -99,11 +101,11 @@ def dominators(edges: DataFrame, root) -> DataFrame:
         if ready.isEmpty():
             found = _several_entries(known, placed, tables, root)
             tree = kept(tree.unionByName(found))
+            placed, _ = anchors(tree)
             break
         members = known.join(ready, F.col("dst") == F.col("key"), "left_semi").select(F.col("dst").alias("key"), F.col("src").alias("node"), "depth")
         tree = kept(tree.unionByName(lowest_common(members, tables).select(F.col("key").alias("node"), F.col("ancestor").alias("parent"))))
         open_steps = kept(known.join(ready, F.col("dst") == F.col("key"), "left_anti").select("src", "dst"))
-    placed, _ = anchors(tree)
     reached = placed.filter(F.col("anchor") == F.lit(root)).select("node")
     top = edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["src"].dataType).alias("node"))
     return kept(tree.join(reached, "node", "left_semi").select("node", F.col("parent").alias("dominator")).unionByName(top.withColumn("dominator", F.lit(None).cast(edges.schema["src"].dataType))))

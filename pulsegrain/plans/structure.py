@@ -228,9 +228,9 @@ def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     nodes = tall(region, "region", "r_regionkey", F.lit(1)).unionByName(tall(nation, "nation", "n_nationkey", F.lit(2))).unionByName(tall(customer, "customer", "c_custkey", F.floor(F.abs("c_acctbal"))))
     nodes = nodes.unionByName(tall(orders, "order", "o_orderkey", F.floor("o_totalprice"))).unionByName(tall(part, "part", "p_partkey", F.floor("p_retailprice")))
     nodes = nodes.unionByName(spark.range(1).select(F.lit(ROOT).cast("bigint").alias("node"), F.lit("root").alias("type"), F.lit(0).cast("bigint").alias("size")))
-    link = lambda df, a, x, b, y: df.select(node(a, x).alias("src"), node(b, y).alias("dst"), F.col(y).cast("bigint").alias("ordinal")).distinct()
+    link = lambda df, a, x, b, y: df.select(node(a, x).alias("src"), node(b, y).alias("dst"), F.col(y).cast("bigint").alias("ordinal"))
     edges = region.select(F.lit(ROOT).cast("bigint").alias("src"), node("region", "r_regionkey").alias("dst"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
-    for more in (link(nation, "region", "n_regionkey", "nation", "n_nationkey"), link(customer, "nation", "c_nationkey", "customer", "c_custkey"), link(orders, "customer", "o_custkey", "order", "o_orderkey"), link(line, "order", "l_orderkey", "part", "l_partkey")):
+    for more in (link(nation, "region", "n_regionkey", "nation", "n_nationkey"), link(customer, "nation", "c_nationkey", "customer", "c_custkey"), link(orders, "customer", "o_custkey", "order", "o_orderkey"), link(line.select("l_orderkey", "l_partkey").distinct(), "order", "l_orderkey", "part", "l_partkey")):
         edges = edges.unionByName(more)
     return nodes, edges
 
