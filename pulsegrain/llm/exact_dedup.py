@@ -1,10 +1,12 @@
 """Exact deduplication by deterministic block naming.
 
-A text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name: their
-64-bit hash, and their place in the sorted list of the contents that share this hash (0 where it
-has one content, which is checked over all blocks). Then adjacent pairs of names are named in the
-same way, level after level, until one name is left for each document. A name stands for one
-content only, so equal names are equal texts: colliding hashes are told apart by their contents.
+A text is cut into blocks of a fixed number of bytes. The different contents of all blocks are
+dealt over tasks and sorted there; a content's integer name is its task and its place in the sorted
+order. Then adjacent pairs of names are named in the same way, level after level, until one name is
+left for each document. A name stands for one content only, so equal names are equal texts.
+
+Rows find their name by a 64-bit hash of the content, which travels in its place. Hashes that two
+contents share, which is looked up over all names, lead by the content itself.
 """
 
 from __future__ import annotations
@@ -12,26 +14,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut_lineage, whole_rows
+from .common import ASCII_SPACE, cut_lineage, stored, whole_rows
 
-#: Bytes of a block. Longer blocks need fewer levels, shorter ones smaller sort rows.
+#: Bytes of a block. Longer blocks need fewer levels, shorter ones smaller rows to sort.
 BLOCK_BYTES = 16384
 #: Repeats of one row that are made from one array.
 REPEATS_STEP = 10_000
 
 
 def _named(rows: DataFrame, *content: str) -> DataFrame:
-    """rows with `name` in place of the content columns."""
+    """rows with the integer `name` in place of the content columns."""
     rows = rows.withColumn("hash", F.xxhash64(*content))
     known = rows.select("hash", *content).distinct()
-    shared = cut_lineage(known.groupBy("hash").count().filter("count > 1").select("hash"))
-    one = F.struct("hash", F.lit(0).alias("nth")).alias("name")
+    # (task, place in it) as one number; written, so that it stays when a task is run again
+    names = stored(known.sortWithinPartitions(*content).select("hash", F.monotonically_increasing_id().alias("name")), "names")
     others = [c for c in rows.columns if c not in ("hash", *content)]
+    shared = cut_lineage(names.groupBy("hash").count().filter("count > 1").select("hash"))
     if shared.isEmpty():
-        return rows.select(*others, one)
-    places = known.join(shared, "hash").withColumn("nth", F.row_number().over(Window.partitionBy("hash").orderBy(*content)))
-    told = rows.join(shared, "hash", "left_semi").join(places, ["hash", *content]).select(*others, F.struct("hash", "nth").alias("name"))
-    return rows.join(shared, "hash", "left_anti").select(*others, one).unionByName(told)
+        return rows.select(*others, "hash").join(names, "hash").select(*others, "name")
+    # the contents of one hash take its names in order
+    place = lambda *by: F.row_number().over(Window.partitionBy("hash").orderBy(*by))
+    free = names.join(shared, "hash").withColumn("nth", place("name"))
+    told = known.join(shared, "hash").withColumn("nth", place(*content)).join(free, ["hash", "nth"]).drop("nth")
+    told = rows.join(shared, "hash", "left_semi").join(told, ["hash", *content]).select(*others, "name")
+    return rows.join(shared, "hash", "left_anti").select(*others, "hash").join(names, "hash").select(*others, "name").unionByName(told)
 
 
 def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -55,7 +61,7 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     done = level.filter("n_blocks = 1").select("id", "sha", "n_blocks", "name", "times")
     width = level.agg(F.max("n_blocks")).first()[0] or 1
     level = level.filter("n_blocks > 1").withColumn("left", F.col("n_blocks"))
-    nobody = F.struct(F.lit(0).cast("long").alias("hash"), F.lit(-1).alias("nth"))
+    nobody = F.lit(-1).cast("long")  # beside the last name of an odd number
     while width > 1:
         width = (width + 1) // 2
         first, second = F.when(F.col("pos") % 2 == 0, F.col("name")), F.when(F.col("pos") % 2 == 1, F.col("name"))
