@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import layouts, names
 from ..operators import definitions, graph, heap, jit
 from ..sources import files, tables
-from ..streaming import live, projectors
+from ..streaming import live, metrics, projectors
 from .registry import EV, query
 from .structure import OBJECTS, _objects
 
@@ -171,3 +171,52 @@ def gcinfo_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{graph.shared_folder(spark)}/gcinfo-{uuid.uuid4().hex}"
     rows.write.format("xml").option("rowTag", "GCEvent").option("rootTag", "Log").save(path)
     return files.read_gcinfo(spark, path)
+
+
+@query("S19_tick_sidecars", f"""WITH {EV}, tk AS (
+  SELECT tid, seq // 5000 AS part, row_number() OVER (PARTITION BY tid, seq // 5000 ORDER BY seq) - 1 AS place, CAST(round_even((us % 86400000000) / 1000.0, 0) AS BIGINT) AS ms, CAST(floor(value * 1000) AS BIGINT) - 20000 AS bytes FROM ev
+) SELECT tid, part, place, ms, bytes FROM tk""")
+def tick_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each thread's events as sidecars of binary records, one for 5,000 numbers, read back in their order."""
+    ev = tables.trace_events(spark, sf_dir)
+    record = files.encode_tick(F.expr("us % 86400000000") / F.lit(1000.0), F.floor(F.col("value") * 1000) - 20_000)
+    ticks = ev.select("tid", F.expr("seq div 5000").alias("part"), "seq", record.alias("record"))
+    each = F.array_sort(F.collect_list(F.struct("seq", F.hex("record").alias("h"))))
+    sidecars = ticks.groupBy("tid", "part").agg(F.unhex(F.array_join(F.transform(each, lambda r: r["h"]), "")).alias("content"))
+    return files.decode_ticks(sidecars)
+
+
+#: Collections, allocations and methods of 50 processes whose collections have 8 numbers in turn.
+_METRICS = f"""{EV}, rw AS (SELECT seq, kind, k, tid % 50 AS p, k % 8 AS g FROM ev),
+nm AS (SELECT ['gen_0_min_size', 'loh_size', 'gen_0_size', 'gen_1_size', 'gen_2_size', 'pause_time_end_relative_msec', 'pause_time_start_relative_msec', 'pause_time_msec', 'heap_size',
+    'total_promoted', 'loh_promoted', 'gen_0_promoted', 'gen_1_promoted', 'gen_2_promoted'] AS c,
+  ['size_before', 'size_after', 'obj_space_before', 'free_list_space_before', 'free_list_space_after', 'free_obj_size_before', 'free_obj_size_after', 'obj_size_after', 'fragmentation',
+    'in', 'out', 'new_allocation_size', 'survival_rate', 'pinned_survival', 'non_pinned_survival'] AS h),
+sm AS (
+  SELECT 'gc_alloc' AS metric, concat('process_id="', p, '",process="app\\\\', p, '",heap_index="', k % 2, '",kind="', CASE WHEN seq % 2 = 0 THEN 'small' ELSE 'large' END, '",type_name="T\\"', k % 5, '\\""') AS labels, seq, seq * 10.0 AS v FROM rw WHERE kind = 'purchase'
+  UNION ALL SELECT 'jit_event', concat('process_id="', p, '",process="app\\\\', p, '",is_tiered_up="', CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END, '",has_loaded="loaded",method_id="', k % 6, '",tier="', k % 2, '",method_name="M', k % 6, '"'), seq, seq + 0.5 FROM rw WHERE kind = 'click'
+  UNION ALL SELECT 'gc_collection_info', concat('process_id="', p, '",process="app\\\\', p, '",gc_id="', g, '",generation="', k % 3, '",kind="any",reason="Induced",type="', CASE WHEN k % 2 = 0 THEN 'Background' ELSE 'Blocking' END, '",num_heaps="2"'), seq, seq + 7 * 0.25 FROM rw WHERE kind = 'error'
+  UNION ALL SELECT concat('gc_collection_', c[i]), concat('process_id="', p, '",gc_id="', g, '"'), seq, seq + (i - 1) * 0.25 FROM rw, nm, range(1, 15) r(i) WHERE kind = 'error'
+  UNION ALL SELECT concat('gc_collection_heaps_', h[i]), concat('process_id="', p, '",gc_id="', g, '",heap_index="', seq % 2, '",generation="', k % 4, '"'), seq, seq * 2 + (i - 1) * 0.125 FROM rw, nm, range(1, 16) r(i) WHERE kind = 'error'
+), lt AS (
+  SELECT metric, labels, CAST(arg_max(v, seq) AS DOUBLE) AS v FROM sm GROUP BY 1, 2
+  UNION ALL SELECT 'gc_collection_count', concat('process_id="', p, '",process="app\\\\', p, '"'), CAST(count(*) AS DOUBLE) FROM rw WHERE kind = 'error' GROUP BY p
+)"""
+
+
+@query("K7_metrics", f"""WITH {_METRICS} SELECT metric, concat('live_', metric, '{{', labels, '}} ', CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END) AS line FROM lt""")
+def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 33 metrics after the last event: errors are collections, purchases allocations and clicks methods."""
+    ev = tables.trace_events(spark, sf_dir).withColumn("p", F.col("tid") % 50)
+    of = lambda kind: ev.filter(F.col("kind") == kind).select("seq", "k", F.col("p").alias("process_id"), F.concat(F.lit("app\\"), "p").alias("process"))
+    either = lambda e, yes, no: F.when(F.expr(e), yes).otherwise(no)
+    alloc = of("purchase").withColumns({"heap_index": F.col("k") % 2, "kind": either("seq % 2 = 0", "small", "large"), "type_name": F.concat(F.lit('T"'), F.col("k") % 5, F.lit('"')), "alloc_size": F.col("seq") * 10})
+    method = F.col("k") % 6
+    jitted = of("click").withColumns({"is_tiered_up": either("k % 2 = 0", "yes", "no"), "has_loaded": F.lit("loaded"), "method_id": method, "tier": F.col("k") % 2, "method_name": F.concat(F.lit("M"), method), "load_time": F.col("seq") + 0.5})
+    gcs = of("error").withColumn("gc_id", F.col("k") % 8)
+    info = {"generation": F.col("k") % 3, "kind": F.lit("any"), "reason": F.lit("Induced"), "type": either("k % 2 = 0", "Background", "Blocking"), "num_heaps": F.lit(2)}
+    whole = gcs.withColumns(info | {v: F.col("seq") + i * 0.25 for i, v in enumerate(metrics.COLLECTION_VALUES)})
+    heaps = gcs.withColumns({"heap_index": F.col("seq") % 2, "generation": F.col("k") % 4} | {v: F.col("seq") * 2 + i * 0.125 for i, v in enumerate(metrics.HEAP_VALUES)})
+    parts = [metrics.samples(rows, table) for rows, table in ((alloc, metrics.ALLOCATION), (jitted, metrics.METHOD), (whole, metrics.COLLECTION), (heaps, metrics.HEAP))]
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return metrics.exposition(metrics.latest(together), "live_")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.layouts import little_endian
+
 
 def read_gcinfo(spark: SparkSession, path: str) -> DataFrame:
     """Collections of an XML export: numbers lose their thousands commas, a missing POH is 0."""
@@ -14,21 +16,41 @@ def read_gcinfo(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
 
 
-def read_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Allocation ticks of a sidecar of 12-byte records: int ms and long bytes, little-endian.
+#: Bytes of a record of a sidecar, and records that are cut at once.
+TICK_BYTES, TICK_BLOCK = 12, 4096
+
 
-    Files are read whole, one task each; records come apart in SQL.
+def decode_ticks(contents: DataFrame, content: str = "content") -> DataFrame:
+    """The rows of a table of sidecars, whose other columns stay, with place, ms and bytes of each record.
+
+    Records are int ms and long bytes, little-endian; what is left behind the last whole one is no
+    record. A content comes apart in blocks first, so no array grows with it, and blocks are dealt
+    over tasks before their records are read.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    hexed = files.select(F.hex("content").alias("h"), F.floor(F.length("content") / 12).alias("n")).filter("n > 0")
-    records = hexed.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("h"), (i * 24 + 1).cast("int"), F.lit(24)))).alias("r"))
+    others = [c for c in contents.columns if c != content]
+    n = F.floor(F.length(content) / TICK_BYTES).cast("int")
+    blocks = contents.withColumn("__n", n).filter("__n > 0").select(*others, content, "__n", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / TICK_BLOCK).cast("int"))).alias("__block"))
+    size = F.least(F.lit(TICK_BLOCK), F.col("__n") - F.col("__block") * TICK_BLOCK)
+    cut = blocks.select(*others, "__block", size.alias("__size"), F.hex(F.substring(F.col(content), F.col("__block") * (TICK_BLOCK * TICK_BYTES) + 1, size * TICK_BYTES)).alias("__h"))
+    cut = cut.repartition("__block", F.xxhash64("__h"))
+    records = cut.select(*others, F.col("__block"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("__size") - 1), lambda i: F.substring(F.col("__h"), i * 24 + 1, F.lit(24)))).alias("__at", "__r"))
 
     def whole(first: int, size: int):
-        swapped = F.concat(*[F.substring("r", first + 2 * k, 2) for k in reversed(range(size))])
+        swapped = F.concat(*[F.substring("__r", first + 2 * k, 2) for k in reversed(range(size))])
         return F.conv(swapped, 16, -10).cast("long") if size == 8 else F.conv(swapped, 16, 10).cast("long")
 
-    ms = whole(1, 4)
-    return records.select(F.when(ms >= 1 << 31, ms - (1 << 32)).otherwise(ms).alias("ms"), whole(9, 8).alias("bytes"))
+    ms, place = whole(1, 4), F.col("__block").cast("long") * TICK_BLOCK + F.col("__at")
+    return records.select(*others, place.alias("place"), F.when(ms >= 1 << 31, ms - (1 << 32)).otherwise(ms).alias("ms"), whole(9, 8).alias("bytes"))
+
+
+def read_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """Allocation ticks (ms, bytes) of sidecar files of 12-byte records; a file is one row of up to 2 GB until it is cut."""
+    return decode_ticks(spark.read.format("binaryFile").load(path).select("content")).select("ms", "bytes")
+
+
+def encode_tick(ms: Column, size: Column) -> Column:
+    """A tick as the bytes of its record, its time rounded half to even."""
+    return F.concat(little_endian(F.bround(ms, 0).cast("long"), 4), little_endian(size, 8))
 
 
 def write_ticks(ticks: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrain.operators import jit
 from pulsegrain.sources import files
-from pulsegrain.streaming import live, projectors, state, watch
+from pulsegrain.streaming import live, metrics, projectors, state, watch
 
 
 def test_gcinfo(spark, tmp_path):
@@ -25,6 +25,31 @@ def test_ticks(spark, tmp_path):
     assert sorted(r.ms for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 2]
 
 
+def test_ticks_come_apart_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TICK_BLOCK", 3)
+    for n in (0, 1, 3, 4, 10):
+        ticks = [(k - 2, (-1) ** k * 10**k) for k in range(n)]
+        content = b"".join(struct.pack("<iq", *t) for t in ticks) + b"tail"
+        got = files.decode_ticks(spark.createDataFrame([("a", bytearray(content)), ("b", None)], "name string, content binary")).collect()
+        assert [(r.ms, r.bytes) for r in sorted(got, key=lambda r: r.place)] == ticks and [r.place for r in sorted(got)] == list(range(n))
+
+
+def test_metrics_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    table = (metrics.Metric("size", "v", ("p", "name")), metrics.Metric("runs", "1", ("p",), "counter"))
+    schema = "seq long, p long, name string, v double"
+    rows = [(1, 1, "a", 5.0), (2, 1, "a", 2.5), (3, 1, 'x"\\\n', 7.0), (4, 2, None, None)]
+    later = [(5, 1, "a", 4.0), (6, 2, "b", 1e16)]
+    batch = {r.line for r in metrics.exposition(metrics.latest(metrics.samples(spark.createDataFrame(rows + later, schema), table)), "t_").collect()}
+    assert batch == {'t_size{p="1",name="a"} 4', 't_size{p="1",name="x\\"\\\\\\n"} 7', 't_size{p="2",name="b"} 1.0E16', 't_runs{p="1"} 4', 't_runs{p="2"} 2'}
+    source = tmp_path / "in"
+    for part in (rows, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = metrics.samples(spark.readStream.schema(schema).parquet(str(source)), table)
+        metrics.publish(stream, str(tmp_path / "out"), str(tmp_path / "check"), "t_").awaitTermination()
+    assert {r.value for r in spark.read.text(str(tmp_path / "out/batch=1")).collect()} == batch
+    assert len({m.name for m in metrics.ALLOCATION + metrics.METHOD + metrics.COLLECTION + metrics.HEAP}) == 33
+
+
 def test_documents_and_reports(spark, tmp_path):
     census = spark.createDataFrame([("T", 1, 2, 30), ("U", 1, 2, 40)], "type string, n long, exclusive long, retained long")
     assert [r.line.split()[-1] for r in files.census_report(census).collect()] == ["U", "T"]
