@@ -76,17 +76,49 @@ def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time:
     by right_order counts. Left rows without a partner do not come back. Times are cut into `ticks`
     to one for the join, and compared as they are.
     """
-    w = Window.partitionBy(*by).orderBy("__t", "__o")
-    rows = right.select(*by, *columns, F.col(right_time).alias("__t"), F.col(right_order).alias("__o"))
-    firsts = rows.withColumn("__same", F.lag("__t").over(w) == F.col("__t")).filter("NOT coalesce(__same, false)")
-    until = F.least(F.lead("__t").over(w), F.col("__t") + tolerance)
-    spans = firsts.withColumn("__next", F.lead("__t").over(w)).withColumns({"__from": F.floor(F.col("__t") * ticks), "__to": F.floor(until * ticks) + 1})
+    spans = _stretches(right, right_time, tolerance, by, right_order, columns).withColumns({"__from": F.floor(F.col("__t") * ticks), "__to": F.floor(F.col("__until") * ticks) + 2})
     points = left.withColumn("__at", F.floor(F.col(left_time) * ticks))
     gap = F.col(left_time) - F.col("__t")
     met = range_join(points, spans, "__at", "__from", "__to").filter((gap >= 0) & (gap <= tolerance) & (F.col("__next").isNull() | (F.col(left_time) < F.col("__next"))))
     return met.select(left_key, *by, *columns, F.col("__t").alias(f"matched_{right_time}"))
 
 
+def _stretches(right: DataFrame, right_time: str, tolerance: float, by: list[str], right_order: str, columns: list[str]) -> DataFrame:
+    """Right rows with the time __t from which, __next before which and __until about which each is its key's nearest one."""
+    w = Window.partitionBy(*by).orderBy("__t", "__o")
+    rows = right.select(*by, *columns, F.col(right_time).alias("__t"), F.col(right_order).alias("__o")).filter("__t IS NOT NULL")
+    firsts = rows.withColumn("__same", F.lag("__t").over(w) == F.col("__t")).filter("NOT coalesce(__same, false)")
+    return firsts.withColumn("__next", F.lead("__t").over(w)).withColumn("__until", F.least("__next", F.col("__t") + tolerance))
+
+
+def asof_groups(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tolerance: float, by: str, right_order: str, groups: list[str], ticks: int = 1000) -> DataFrame:
+    """For each left time and each of `groups`: n, first_<by> and oldest of the rows that asof_backward finds, which are not made.
+
+    n is their number, oldest their least right_time. The stretch of a right row covers whole ticks
+    but for its ends. These are cut into cells of a power of two, at most two of each length, and
+    the stretches of a group in a cell become one row; a left time looks into its cell of each
+    length. So rows grow with left, right and the result, however many stretches lie over each
+    other. At the ticks of a stretch's ends times are compared as they are.
+    """
+    spans = _stretches(right, right_time, tolerance, [by], right_order, groups).groupBy(*groups, "__t", "__next", "__until").agg(F.count("*").alias("n"), F.min(by).alias("first"))
+    spans = spans.withColumns({"__from": F.floor(F.col("__t") * ticks), "__to": F.floor(F.col("__until") * ticks)})
+    found = [F.sum("n").alias("n"), F.min("first").alias("first"), F.min("__t").alias("__t")]
+    levels = int(tolerance * ticks + 2).bit_length()
+    # at level k the whole cells reach from the rounded-up start to the rounded-down end; an odd one at either side has no longer cell around it
+    whole = spans.filter("__to - __from > 1").withColumn("__level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("__to") - F.col("__from") - 1)) - 1)))
+    whole = whole.withColumns({"__low": F.expr("shiftright(__from + shiftleft(1L, __level), __level)"), "__high": F.expr("shiftright(__to, __level)")}).filter("__low < __high")
+    sides = F.array(F.when(F.col("__low") % 2 == 1, F.col("__low")), F.when(F.col("__high") % 2 == 1, F.col("__high") - 1))
+    cells = whole.withColumn("__cell", F.explode(sides)).filter("__cell IS NOT NULL").groupBy(*groups, "__level", "__cell").agg(*found)
+    times = left.select(F.col(left_time).alias("__at")).filter("__at IS NOT NULL").distinct().withColumn("__tick", F.floor(F.col("__at") * ticks))
+    looks = times.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("__cell", F.expr("shiftright(__tick, __level)"))
+    inside = looks.join(cells, ["__level", "__cell"]).select("__at", *groups, "n", "first", "__t")
+    ends = spans.withColumn("__tick", F.explode(F.array_distinct(F.array("__from", "__to", F.col("__to") + 1))))
+    gap = F.col("__at") - F.col("__t")
+    beside = times.join(ends, "__tick").filter((gap >= 0) & (gap <= tolerance) & (F.col("__next").isNull() | (F.col("__at") < F.col("__next")))).select("__at", *groups, "n", "first", "__t")
+    sums = inside.unionByName(beside).groupBy("__at", *groups).agg(*found)
+    return sums.select(F.col("__at").alias(left_time), *groups, "n", F.col("first").alias(f"first_{by}"), F.col("__t").alias("oldest"))
+
+
 def last_before(events: DataFrame, keys: list[str], order: list[str], is_mark: Column, value: Column) -> Column:
     """The value of the latest mark at or before a row, in its key's order."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -21,8 +21,8 @@ def adjustment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tables.trace_events(spark, sf_dir)
     adj = ev.filter("kind = 'signup'").select(F.col("seq").alias("adj"), F.col("rel_ms").alias("at"))
     views = ev.filter("kind = 'view'").withColumn("stack", F.col("k") % 6)
-    met = temporal.asof_backward(adj, views, "at", "rel_ms", 3_600_000.0, ["tid"], "adj", "seq", ["stack"]).join(adj, "adj")
-    return met.groupBy("adj", "stack").agg(F.count("*").alias("n"), F.min("tid").alias("first_tid"), F.round(F.max(F.col("at") - F.col("matched_rel_ms")), 3).alias("oldest_ms"))
+    met = temporal.asof_groups(adj, views, "at", "rel_ms", 3_600_000.0, "tid", "seq", ["stack"])
+    return adj.join(met, "at").select("adj", "stack", "n", "first_tid", F.round(F.col("at") - F.col("oldest"), 3).alias("oldest_ms"))
 
 
 @query("A21_stall_leaves", f"WITH {EV}, t AS (SELECT rel_ms AS at_ms FROM ev WHERE kind = 'error' AND k < 60), s AS (SELECT k FROM ev WHERE kind = 'view' AND k % 9 <> 0 AND EXISTS (SELECT 1 FROM t WHERE ev.rel_ms >= at_ms - 600000 AND ev.rel_ms <= at_ms)), g AS (SELECT k % 2 = 0 AS benign, k AS leaf, count(*) AS n FROM s GROUP BY ALL) SELECT benign, leaf, n FROM g QUALIFY row_number() OVER (PARTITION BY benign ORDER BY n DESC, leaf) <= 40")

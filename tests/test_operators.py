@@ -67,6 +67,22 @@ def test_asof_is_the_nested_loop(spark):
     assert sorted((r.adj, r.tid, r.seq) for r in got.collect()) == sorted(want)
 
 
+def test_asof_groups_are_counted_without_the_pairs(spark):
+    rng = random.Random(9)
+    left = [(k, rng.choice([rng.uniform(0, 60), float(rng.randrange(60)), 7.001])) for k in range(150)] + [(150, None)]
+    right = [(k, rng.randrange(8), rng.choice([None, 0, 1, 2]), rng.choice([float(rng.randrange(60)), rng.uniform(0, 60), 7.001])) for k in range(300)] + [(300, 1, 1, None)]
+    le, ri = spark.createDataFrame(left, "adj int, at double"), spark.createDataFrame(right, "seq int, tid int, stack int, t double")
+    met = temporal.asof_backward(le, ri, "at", "t", 4.0, ["tid"], "adj", "seq", ["stack"]).join(le, "adj")
+    want = met.groupBy("at", "stack").agg(F.count_distinct("tid").alias("n"), F.min("tid"), F.min("matched_t")).collect()
+    got = temporal.asof_groups(le, ri, "at", "t", 4.0, "tid", "seq", ["stack"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 200
+    # 20,000 threads seen at once by 20,000 times would be 400,000,000 pairs
+    crowd = spark.range(20_000).select(F.col("id").alias("tid"), F.col("id").alias("seq"), F.lit(0).alias("stack"), (F.col("id") / 70).alias("t"))
+    late = spark.range(20_000).select(F.col("id").alias("adj"), (F.col("id") / 70 + 1000).alias("at"))
+    every = temporal.asof_groups(late, crowd, "at", "t", 5000.0, "tid", "seq", ["stack"]).groupBy("n", "first_tid", "oldest").count().collect()
+    assert list(map(tuple, every)) == [(20_000, 0, 0.0, 20_000)]
+
+
 def test_quantiles_of_groups_are_those_of_sorted_lists(spark):
     rng = random.Random(4)
     rows = [(rng.choice("aaaaab"), float(rng.choice([7, rng.randrange(1000)]))) for _ in range(3000)] + [("c", 1.0), ("d", None), (None, 2.0), (None, 1.0)]
