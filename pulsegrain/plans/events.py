@@ -246,15 +246,18 @@ def tick_downsampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g.gc_seq, CAST(coalesce(sum(n.bytes), 0) AS BIGINT) AS bytes FROM g LEFT JOIN n ON n.gc_seq = g.gc_seq GROUP BY 1""")
 def bytes_between_gcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tables.trace_events(spark, sf_dir).filter(F.col("kind").isin("signup", "purchase"))
-    # days are ordered in parallel; a tick after the last GC of its day belongs to a later day's first
+    # a row for each time of a day; days are ordered in parallel, from their end, so that a running minimum is what comes later
     is_gc = F.col("kind") == "signup"
-    w = Window.partitionBy("day").orderBy("rel_ms", "seq").rowsBetween(1, Window.unboundedFollowing)
-    rows = ev.withColumn("day", F.floor(F.col("rel_ms") / 86_400_000)).withColumn("next_gc", F.first(F.when(is_gc, F.col("seq")), ignorenulls=True).over(w))
-    firsts = rows.filter(is_gc).groupBy("day").agg(F.min_by("seq", F.struct("rel_ms", "seq")).alias("day_first"))
-    later = firsts.select((F.col("day")).alias("gc_day"), "day_first")
-    open_days = rows.filter("next_gc IS NULL").select("day").distinct().join(F.broadcast(later), F.col("gc_day") > F.col("day")).groupBy("day").agg(F.min_by("day_first", "gc_day").alias("carry"))
-    ticks = rows.filter("kind = 'purchase'").join(F.broadcast(open_days), "day", "left").withColumn("gc_seq", F.coalesce("next_gc", "carry"))
-    sums = ticks.groupBy("gc_seq").agg(F.sum(F.floor(F.col("value") * 1000)).alias("bytes"))
+    day = F.floor(F.col("rel_ms") / 86_400_000).alias("day")
+    times = ev.groupBy(day, "rel_ms").agg(F.min(F.when(is_gc, F.col("seq"))).alias("gc"), F.sum(F.when(~is_gc, F.floor(F.col("value") * 1000))).alias("bytes"))
+    w = Window.partitionBy("day").orderBy(F.desc("rel_ms")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = times.withColumn("in_day", F.min("gc").over(w))
+    # a row for each day is left, so the window over all of them is small
+    days = ev.filter(is_gc).groupBy(day).agg(F.min("seq").alias("first"))
+    known = ev.select(day).distinct().join(days, "day", "left")
+    carry = known.select("day", F.min("first").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    ticks = rows.filter("bytes IS NOT NULL").join(F.broadcast(carry), "day", "left").withColumn("gc_seq", F.least("in_day", "later"))
+    sums = ticks.groupBy("gc_seq").agg(F.sum("bytes").alias("bytes"))
     return ev.filter(is_gc).select(F.col("seq").alias("gc_seq")).join(sums, "gc_seq", "left").fillna({"bytes": 0})
 
 

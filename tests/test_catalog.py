@@ -36,6 +36,27 @@ def test_query(spark, duck, name):
         assert got
 
 
+def _over_events(spark, tmp_path, name, rows):
+    """Rows of a query and of its SQL over events (seq, seconds, user, kind, value, k)."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, TIMESTAMP '2024-01-01' + to_microseconds(?::BIGINT), ?, ?, ?, ?)", [(e, int(t * 1e6), u, kind, v, f'{{"k": {k}}}') for e, t, u, kind, v, k in rows])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    sql = con.execute(f"SELECT {','.join(columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str), sorted(sql, key=str)
+
+
+def test_bytes_go_to_the_least_later_collection(spark, tmp_path):
+    """One at the tick's own time is not later; a smaller number may come days later; the last ticks have none."""
+    day = 86_400
+    rows = [(1, 0, 1, "purchase", 1.5, 0), (9, 0, 1, "signup", 0.0, 0), (8, 5, 1, "signup", 0.0, 0), (2, 6, 1, "purchase", 2.0, 0), (7, 3 * day, 1, "signup", 0.0, 0), (3, 3 * day, 1, "purchase", 4.0, 0)]
+    rows += [(5, 5 * day, 1, "signup", 0.0, 0), (6, 5 * day + 1, 1, "signup", 0.0, 0), (4, 6 * day, 1, "purchase", 8.0, 0)]
+    got, want = _over_events(spark, tmp_path, "A33_bytes_between_gcs", rows)
+    assert got == want and (7500, 5) in got
+
+
 def test_entry_imports_without_the_training_operators(tmp_path):
     """A copy without them still lists the other queries, in a process of its own."""
     root = Path(__file__).resolve().parent.parent
