@@ -109,41 +109,44 @@ def capped_edges(edges: DataFrame, cap: int = 64) -> DataFrame:
     return ranked.filter((F.col("out_rank") <= cap) | (F.col("in_rank") <= cap))
 
 
-#: Instances of a type that its paths are told from, steps of a path, and nodes of all paths together.
-INSTANCES, DEEPEST, PATH_NODES = 20_000, 24, 200_000
-
-
-def root_paths(nodes: DataFrame, parents: DataFrame, types: DataFrame | None = None, instances: int = INSTANCES, deepest: int = DEEPEST, most: int = PATH_NODES) -> DataFrame:
+def root_paths(nodes: DataFrame, parents: DataFrame, types: DataFrame | None = None, instances: int | None = None, deepest: int | None = None, most: int | None = None) -> DataFrame:
     """(slot, parent_slot, type, depth, n, bytes): a tree of the types on the ways from objects up to the root.
 
     A slot of depth 0 is a type, its children are the types of the parents of its objects, and so
-    on. The first `instances` reachable objects of each type (of `types`, if given) walk up together:
-    those in one slot at one object become one row before each step. Of the slots of a level the
-    ones with most objects are made first; beyond `most` slots in all none are, and walks end there.
-    parents has (node, parent), the root's parent is null; the root itself starts no walk.
+    on. All reachable objects of each type (of `types`, if given) walk up together: those in one slot
+    at one object become one row before each step. A viewer's budget can be given: the first
+    `instances` objects of a type, `deepest` steps, and `most` slots in all, of which those of a
+    level with most objects are made first and walks end there. parents has (node, parent), the
+    root's parent is null; the root itself starts no walk.
     """
     typed = kept(parents.join(nodes, "node").select("node", "parent", "type", "size"))
     starts = typed.filter("parent IS NOT NULL")
     starts = starts if types is None else starts.join(types, "type", "left_semi")
-    starts = starts.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("node"))).filter(F.col("nth") <= instances)
+    if instances is not None:
+        starts = starts.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("node"))).filter(F.col("nth") <= instances)
     above = typed.select("node", F.col("parent").alias("next"), F.col("type").alias("next_type"))
-    walks = kept(starts.select(F.lit(-1).alias("slot"), F.col("type").alias("next_type"), "node", F.lit(1).cast("long").alias("n"), F.col("size").alias("bytes")))
-    made, used = None, 0
-    for depth in range(deepest + 1):
+    walks = kept(starts.select(F.lit(-1).cast("long").alias("slot"), F.col("type").alias("next_type"), "node", F.lit(1).cast("long").alias("n"), F.col("size").alias("bytes")))
+    made, used, depth = None, 0, 0
+    while True:
         children = walks.groupBy("slot", "next_type").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-        ranked = children.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type").limit(most - used)
-        # at most `most` rows are left, which are numbered in one task
-        numbered = kept(ranked.withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type")) + F.lit(used - 1)))
+        if most is None:
+            numbered = kept(children.withColumn("new", F.monotonically_increasing_id() + F.lit(used)))
+            used = (numbered.agg(F.max("new")).first()[0] or 0) + 1
+            on = numbered
+        else:
+            ranked = children.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type").limit(most - used)
+            # at most `most` rows are left, which are numbered in one task
+            numbered = kept(ranked.withColumn("new", (F.row_number().over(Window.orderBy(F.desc("n"), F.desc("bytes"), "slot", "next_type")) + F.lit(used - 1)).cast("long")))
+            used += numbered.count()
+            on = F.broadcast(numbered)
         found = numbered.select(F.col("new").alias("slot"), F.col("slot").alias("parent_slot"), F.col("next_type").alias("type"), F.lit(depth).alias("depth"), "n", "bytes")
         made = found if made is None else made.unionByName(found)
-        used += numbered.count()
-        on = F.broadcast(numbered.select("slot", "next_type", F.col("new").alias("child")))
-        here = walks.join(on, ["slot", "next_type"]).groupBy("child", "node").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        here = walks.join(on.select("slot", "next_type", F.col("new").alias("child")), ["slot", "next_type"]).groupBy("child", "node").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
         step = here.join(above, "node").filter("next IS NOT NULL").select(F.col("child").alias("slot"), F.col("next").alias("node"), "n", "bytes")
         walks = kept(step.join(above.select("node", "next_type"), "node").select("slot", "next_type", "node", "n", "bytes"))
-        if used >= most or walks.isEmpty():
-            break
-    return made
+        if depth == deepest or (most is not None and used >= most) or walks.isEmpty():
+            return made
+        depth += 1
 
 
 def path_names(tree: DataFrame) -> DataFrame:

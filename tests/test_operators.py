@@ -248,6 +248,14 @@ def test_paths_merge_on_the_way_up_and_stop_at_their_budgets(spark):
     assert set(path(types=only)) == {"L", "L<C", "L<C<root"}
 
 
+def test_paths_of_every_object_are_told(spark):
+    # 25,000 objects of one type below a chain of 40 types
+    nodes = spark.range(25_040).select(F.col("id").alias("node"), F.when(F.col("id") < 40, F.concat(F.lit("C"), F.col("id"))).otherwise("S").alias("type"), F.lit(2).cast("long").alias("size"))
+    parents = nodes.select("node", F.when(F.col("node") > 0, F.least(F.col("node") - 1, F.lit(39))).alias("parent"))
+    tree = graph.root_paths(nodes, parents, nodes.filter("type = 'S'").select("type").distinct()).collect()
+    assert [(r.depth, r.type, r.n, r.bytes) for r in sorted(tree)] == [(d, f"C{40 - d}" if d else "S", 25_000, 50_000) for d in range(41)]
+
+
 def test_breadth_first_parent_is_the_first_discoverer(spark):
     edges = spark.createDataFrame([("r", "a", 0), ("r", "b", 1), ("b", "c", 0), ("a", "c", 1), ("c", "r", 0), ("c", "d", 1), ("x", "y", 0)], "src string, dst string, ordinal long")
     got = {r.node: (r.parent, r.depth) for r in graph.breadth_first(edges, "r").collect()}
