@@ -75,9 +75,12 @@ def latest(samples: DataFrame) -> DataFrame:
 
 
 def exposition(values: DataFrame, prefix: str = "") -> DataFrame:
-    """Lines of the text format of metrics; whole numbers have no point."""
-    whole = (F.col("value") == F.floor("value")) & (F.abs("value") < 1e15)
-    number = F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    """Lines of the text format of metrics; whole numbers have no point, others no power of ten from 0.0001 on."""
+    size = F.abs("value")
+    whole = (F.col("value") == F.floor("value")) & (size < 1e16)
+    # a decimal has the digits of the double's shortest text; 17 of them fit behind the point
+    plain = F.rtrim(F.col("value").cast("decimal(38,21)").cast("string"), F.lit("0"))
+    number = F.when(whole, F.col("value").cast("long").cast("string")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.col("value").cast("string"))
     return values.select("metric", F.concat(F.lit(prefix), F.col("metric"), F.lit("{"), F.col("labels"), F.lit("} "), number).alias("line"))
 
 

@@ -34,6 +34,13 @@ def test_ticks_come_apart_in_blocks(spark, tmp_path, monkeypatch):
         assert [(r.ms, r.bytes) for r in sorted(got, key=lambda r: r.place)] == ticks and [r.place for r in sorted(got)] == list(range(n))
 
 
+def test_metrics_are_written_without_powers_of_ten(spark):
+    said = {12345678.5: "12345678.5", 1e7: "10000000", -98765432109.125: "-98765432109.125", 0.25: "0.25", 0.00012345678901234567: "0.00012345678901234567", 4503599627370495.5: "4503599627370495.5", 0.1: "0.1", 2.5e15: "2500000000000000"}
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(said)], "seq long, v double").withColumn("p", F.col("seq"))
+    lines = metrics.exposition(metrics.latest(metrics.samples(rows, (metrics.Metric("size", "v", ("p",)),)))).collect()
+    assert sorted(r.line for r in lines) == sorted(f'size{{p="{k}"}} {text}' for k, text in enumerate(said.values()))
+
+
 def test_metrics_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     table = (metrics.Metric("size", "v", ("p", "name")), metrics.Metric("runs", "1", ("p",), "counter"))
     schema = "seq long, p long, name string, v double"
