@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,8 +53,9 @@ def breadth_first(edges: DataFrame, root) -> DataFrame:
     trail lists the edge ordinals from the root, which orders a level as a queue would.
     """
     kind = edges.schema["src"].dataType
+    edges = kept(edges.select("src", "dst", "ordinal"))
     seen = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("trail"))
-    frontier, depth = seen, 0
+    frontier, depth, levels = seen, 0, [seen]
     while True:
         depth += 1
         met = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.concat("trail", F.array("ordinal")).alias("trail"))
@@ -62,7 +63,9 @@ def breadth_first(edges: DataFrame, root) -> DataFrame:
         frontier = kept(first.join(seen.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = kept(seen.unionByName(frontier))
+        # levels are stored already; only many of them are written again as one
+        levels = [*levels, frontier] if len(levels) < 16 else [kept(seen.unionByName(frontier))]
+        seen = reduce(DataFrame.unionByName, levels)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

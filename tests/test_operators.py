@@ -256,6 +256,21 @@ def test_paths_of_every_object_are_told(spark):
     assert [(r.depth, r.type, r.n, r.bytes) for r in sorted(tree)] == [(d, f"C{40 - d}" if d else "S", 25_000, 50_000) for d in range(41)]
 
 
+def test_nodes_of_one_parent_are_not_read_by_one_task(spark, monkeypatch):
+    """Of 400 children of a node none is dealt by the hash of that node, however far the walks go, and results stay."""
+    monkeypatch.setattr(dominators, "HEAVY", 50)
+    parents = [(k, 0 if k < 5 else k % 4 + 1 if k < 405 else k - 400) for k in range(1, 805)]
+    tree = spark.createDataFrame(parents, "node long, parent long")
+    links = dominators._links(tree, "parent", tree.select(F.col("node").alias("parent"), F.col("parent").alias("above")))
+    met = dominators._followed(tree, "parent", links)
+    assert sorted(map(tuple, met.select("node", "parent", "above").collect())) == sorted((k, p, dict(parents).get(p)) for k, p in parents)
+    assert max(r["__n"] for r in links.collect()) > 50
+    placed, cyclic = dominators.anchors(tree)
+    assert cyclic is None and {r.anchor for r in placed.collect()} == {0} and placed.count() == 804
+    edges = spark.createDataFrame([(p, k, k) for k, p in parents], "src long, dst long, ordinal long")
+    assert {(r.node, r.dominator) for r in dominators.dominators(edges, 0).collect()} == {*parents, (0, None)}
+
+
 def test_breadth_first_parent_is_the_first_discoverer(spark):
     edges = spark.createDataFrame([("r", "a", 0), ("r", "b", 1), ("b", "c", 0), ("a", "c", 1), ("c", "r", 0), ("c", "d", 1), ("x", "y", 0)], "src string, dst string, ordinal long")
     got = {r.node: (r.parent, r.depth) for r in graph.breadth_first(edges, "r").collect()}
