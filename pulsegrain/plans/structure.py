@@ -172,16 +172,19 @@ def positional_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBJECTS = "ob AS (SELECT l_suppkey AS segment, l_orderkey * 10 + l_linenumber AS address, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS size, min(l_linenumber % 3) AS generation, bool_and(l_returnflag = 'A') AS is_free, min(p_brand) AS type FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
-def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, part = tables.read(spark, sf_dir, "lineitem"), tables.read(spark, sf_dir, "part")
-    objects = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_suppkey").alias("segment"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("address"))
+def _objects(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Objects of the heap, dealt by (segment, address), or by the columns whose rows a query puts in order."""
+    line, part = tables.read(spark, sf_dir, "lineitem"), tables.read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    rows = line.count()
+    sales = tables.dealt(line.select("l_partkey", F.col("l_suppkey").alias("segment"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("address"), "l_extendedprice", "l_linenumber", "l_returnflag"), rows, "l_partkey")
+    objects = tables.dealt(sales.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey"), rows, *(by or ("segment", "address"))).groupBy("segment", "address")
     # an address is one object, though a generated line number may occur twice
     return objects.agg(F.sum(F.floor("l_extendedprice")).alias("size"), F.min(F.col("l_linenumber") % 3).alias("generation"), F.bool_and(F.col("l_returnflag") == "A").alias("is_free"), F.min("p_brand").alias("type"))
 
 
 @query("J16_gap_neighbours", f"WITH {OBJECTS}, a AS (SELECT *, last_value(CASE WHEN NOT is_free THEN address END IGNORE NULLS) OVER (PARTITION BY segment ORDER BY address ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM ob), b AS (SELECT *, lead(address) OVER w AS na, lead(is_free) OVER w AS nf FROM a WHERE NOT is_free OR size >= 50000 WINDOW w AS (PARTITION BY segment ORDER BY address)) SELECT segment, address, size, previous, CASE WHEN NOT nf THEN na END AS following FROM b WHERE is_free")
 def gap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heap.gap_neighbours(_objects(spark, sf_dir), 50_000)
+    return heap.gap_neighbours(_objects(spark, sf_dir, "segment"), 50_000)
 
 
 @query("J17_pinned_objects", f"WITH {OBJECTS} SELECT segment, address, address IN (SELECT o_orderkey * 10 + 1 FROM orders WHERE o_orderstatus = 'F') AS pinned FROM ob")
@@ -208,7 +211,7 @@ def segment_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W4_block_runs", f"WITH {OBJECTS}, c AS (SELECT *, CASE WHEN lag(is_free) OVER w <> is_free THEN 1 ELSE 0 END AS chg FROM ob WINDOW w AS (PARTITION BY segment ORDER BY address)), r AS (SELECT *, sum(chg) OVER (PARTITION BY segment ORDER BY address) AS run FROM c), t AS (SELECT segment, run, is_free, type, sum(size) AS b, count(*) AS n, min(address) AS st FROM r GROUP BY ALL) SELECT segment, CAST(run AS BIGINT) AS run, is_free, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bytes, min(st) AS start, arg_max(type, (b, type)) AS dominant FROM t GROUP BY ALL")
 def block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heap.block_runs(_objects(spark, sf_dir))
+    return heap.block_runs(_objects(spark, sf_dir, "segment"))
 
 
 #: Nodes are whole numbers: eight times the key, and the place of the table here. The root is 0.

@@ -10,6 +10,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task sorts or aggregates at a time, however large the tables are.
+ROWS_A_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as `rows` take, at ROWS_A_TASK each and one for each core at least.
+
+    The session's number of partitions and the sizes that it puts together make tasks grow with the
+    table; these do not.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def relative_ms(df: DataFrame, micros: str, sync_micros: int | None = None) -> DataFrame:
     """Adds rel_ms since the capture's start; without a header the first event starts it."""
     if sync_micros is None:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrain.plans import catalog
 
@@ -65,3 +66,11 @@ def test_entry_imports_without_the_training_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(k.startswith('op') or k == 'pipeline' for k in q); print(len(q), len(e.oracle_sql()))"
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=60)
     assert run.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))], run.stderr
+
+
+@pytest.mark.parametrize("name", ["W4_block_runs", "J16_gap_neighbours"])
+def test_tasks_over_objects_grow_in_number_and_not_in_size(spark, monkeypatch, name):
+    """6,000 sales, 300 to a task, lie in more tasks than the session's four partitions."""
+    monkeypatch.setattr("pulsegrain.sources.tables.ROWS_A_TASK", 300, raising=False)
+    parts = catalog.QUERIES[name](spark, SF).groupBy(F.spark_partition_id().alias("part")).count()
+    assert parts.count() > 4
