@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
 from .temporal import range_join
 
 
-def resolve(lookups: DataFrame, ranges: DataFrame) -> DataFrame:
+def resolve(lookups: DataFrame, ranges: DataFrame, rows: int | None = None) -> DataFrame:
     """(address, t, name) for each distinct lookup.
 
     ranges has start, end, load, unload and name. Of the ranges that hold the address, one alive at
-    the time goes first, then the one that starts last; without any the address is unresolved.
+    the time goes first, then the one that starts last; without any the address is unresolved. With
+    `rows`, about how many lookups there are, tasks grow in number with them.
     """
-    distinct = lookups.select("address", "t").distinct()
-    met = range_join(distinct, ranges, "address", "start", "end")
+    each = lookups.select("address", "t")
+    # equal lookups cost a task no memory, so they are dealt as they are
+    distinct = (each if rows is None else dealt(each, rows, "address", "t")).distinct()
+    met = range_join(distinct, ranges, "address", "start", "end", rows=rows)
     alive = (F.col("t") >= F.col("load")) & (F.col("t") < F.coalesce("unload", F.lit(float("inf"))))
-    best = met.groupBy("address", "t").agg(F.max_by("name", F.struct(alive.cast("int"), F.col("start"), F.col("name"))).alias("name"))
+    rank = F.struct(alive.cast("int").alias("alive"), "start", "name")
+    # each lookup beside its matches, with no rank
+    found = met.select("address", "t", rank.alias("rank"))
+    both = found.unionByName(distinct.withColumn("rank", F.lit(None).cast(found.schema["rank"].dataType)))
+    best = (both if rows is None else dealt(both, rows, "address", "t")).groupBy("address", "t").agg(F.max("rank").alias("rank"))
     unresolved = F.concat(F.lit("<unresolved 0x"), F.hex("address"), F.lit(">"))
-    return distinct.join(best, ["address", "t"], "left").select("address", "t", F.coalesce("name", unresolved).alias("name"))
+    return best.select("address", "t", F.coalesce("rank.name", unresolved).alias("name"))
 
 
 def load_intervals(events: DataFrame, key: str, order: str, is_unload: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 
 def pair_start_stop(events: DataFrame, keys: list[str], order: str, is_start: Column, is_stop: Column, carry: list[str]) -> DataFrame:
     """A row for each stop whose predecessor, among starts and stops of its key, is a start.
@@ -129,14 +131,14 @@ def last_before(events: DataFrame, keys: list[str], order: list[str], is_mark: C
 LEVELS = 3
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, on: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Rows of points with each range [start, end) of whole numbers that holds them.
 
     A range belongs to the level of its length: at level k it is listed in the cells of 2**k that
     it touches, which are two at most. A point looks into its cell of each level that occurs, some
     20 at most, so the join is an equality however different the lengths are, and a cell holds no
     ranges but those near the point. Empty ranges hold nothing; points in many ranges come back as
-    often.
+    often. With `rows`, about how many points there are, the join has as many tasks as they take.
     """
     on = on or []
     length = F.try_subtract(F.col(end).cast("bigint"), F.col(start).cast("bigint"))
@@ -147,6 +149,8 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end
     listed = cells.withColumn("__cell", F.explode(F.sequence(cell(start), cell(end, 1))))
     levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
     looks = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__cell", cell(point))
+    if rows is not None:
+        looks = dealt(looks, rows * len(levels), *on, "__level", "__cell")
     met = looks.join(listed, [*on, "__level", "__cell"])
     return met.filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__level", "__cell")
 

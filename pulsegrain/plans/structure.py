@@ -109,7 +109,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("J1_symbolize", f"WITH {RANGES}, m AS (SELECT address, t, name, row_number() OVER (PARTITION BY address, t ORDER BY (t >= ld AND t < ul) DESC, s DESC) AS n FROM lk JOIN rg ON address >= s AND address < e) SELECT lk.address, lk.t, coalesce(m.name, concat('<unresolved 0x', upper(to_hex(lk.address)), '>')) AS name FROM lk LEFT JOIN m ON m.address = lk.address AND m.t = lk.t AND m.n = 1")
 def symbolize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.resolve(*_ranges(spark, sf_dir))
+    return symbols.resolve(*_ranges(spark, sf_dir), rows=tables.read(spark, sf_dir, "lineitem").count())
 
 
 @query("J2_load_intervals", """WITH e AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id AS seq, event_type = 'purchase' AS un FROM events WHERE event_type IN ('click', 'purchase')),
@@ -123,7 +123,8 @@ def load_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J3_native_lookup", f"WITH {RANGES} SELECT address, max(s) AS start FROM lk JOIN rg ON address >= s AND address < e GROUP BY 1")
 def native_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups, ranges = _ranges(spark, sf_dir)
-    met = temporal.range_join(lookups.select("address").distinct(), ranges.select("start", "end"), "address", "start", "end")
+    rows = tables.read(spark, sf_dir, "lineitem").count()
+    met = temporal.range_join(tables.dealt(lookups.select("address"), rows, "address").distinct(), ranges.select("start", "end"), "address", "start", "end", rows=rows)
     return met.groupBy("address").agg(F.max("start").alias("start"))
 
 

@@ -74,3 +74,13 @@ def test_tasks_over_objects_grow_in_number_and_not_in_size(spark, monkeypatch, n
     monkeypatch.setattr("pulsegrain.sources.tables.ROWS_A_TASK", 300, raising=False)
     parts = catalog.QUERIES[name](spark, SF).groupBy(F.spark_partition_id().alias("part")).count()
     assert parts.count() > 4
+
+
+@pytest.mark.parametrize("name", ["J1_symbolize", "J3_native_lookup", "J15_sample_kinds"])
+def test_range_joins_of_sales_have_tasks_by_their_rows(spark, monkeypatch, name):
+    """6,000 sales, 300 to a task, are looked up by 20 tasks for each length of range, and with the same rows as by a few."""
+    want = sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect()), key=str)
+    monkeypatch.setattr("pulsegrain.sources.tables.ROWS_A_TASK", 300, raising=False)
+    df = catalog.QUERIES[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect()), key=str) == want
