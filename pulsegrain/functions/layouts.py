@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .payload import float64, signed, unsigned, utf16
+from .payload import float64, halves_swapped, signed, unsigned, utf16, utf16_run
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,16 @@ def decode(payload: Column, layout: str | tuple[Field, ...], version: Column | N
     version = F.lit(1 << 30) if version is None else version
     at: int | Column = 0
     done: dict[str, Column] = {}
-    for f in fields:
-        if f.kind == "text":
-            value, behind = utf16(payload, at)
+    texts: list[Column] = []
+    for place, f in enumerate(fields):
+        if texts:
+            value, behind = texts.pop(0), at
+        elif f.kind == "text":
+            n = next((k for k, g in enumerate(fields[place:]) if g.kind != "text"), len(fields) - place)
+            if n == 1:
+                value, behind = utf16(payload, at)
+            else:
+                (value, *texts), behind = utf16_run(payload, at, n)
             behind = behind.cast("int")
         elif f.kind == "array":
             start = F.lit(at) if isinstance(at, int) else at
@@ -90,8 +97,8 @@ def decode(payload: Column, layout: str | tuple[Field, ...], version: Column | N
 
 def little_endian(value: Column, size: int) -> Column:
     """A whole number as its bytes, the least significant first."""
-    digits = F.lpad(F.hex(value.cast("bigint").bitwiseAND(F.lit((1 << (8 * size)) - 1 if size < 8 else -1))), 2 * size, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+    whole = value.cast("bigint").bitwiseAND(F.lit((1 << (8 * size)) - 1 if size < 8 else -1))
+    return F.unhex(F.reverse(F.lpad(F.hex(halves_swapped(whole)), 2 * size, "0")))
 
 
 def utf16_bytes(text: Column) -> Column:

@@ -2,7 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from pulsegrain.functions import payload
+from pulsegrain.functions import layouts, payload
 
 
 def test_numbers(spark):
@@ -22,3 +22,14 @@ def test_collections_and_exceptions(spark):
     assert tuple(r.s) == (3, 2, 1, 0) and tuple(r.e) == (3, 1) and tuple(r.x) == ("System.Exception", "né 😀", -2146233088, 16)
     short = spark.createDataFrame([(bytearray(struct.pack("<i", 4)),)], "s binary").select(payload.gc_start(F.col("s")).alias("s")).first()
     assert tuple(short.s) == (4, None, None, None)
+
+
+def test_texts_in_turn_are_read_in_one_pass(spark):
+    """Eight texts and the number behind them; offsets built on offsets would have named the payload some hundred times."""
+    texts = ["", "Ā", "né 😀", "x" * 300, "", "䈀", "b", "z"]
+    body = b"".join(t.encode("utf-16-le") + b"\0\0" for t in texts) + struct.pack("<i", -7)
+    fields = (*[layouts.Field(f"t{k}", "text") for k in range(8)], layouts.Field("n", "i4"))
+    df = spark.createDataFrame([(bytearray(body),), (bytearray(b"a\0b"),)], "p binary").select(layouts.decode(F.col("p"), fields).alias("r"))
+    assert df._jdf.queryExecution().analyzed().toString().count("hex(substring(") < 20
+    got = [tuple(r.r) for r in df.collect()]
+    assert got == [(*texts, -7), ("a", *[""] * 7, None)]
