@@ -77,11 +77,16 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def retained_sizes(nodes: DataFrame, dominated: DataFrame) -> DataFrame:
     """(node, retained): a node keeps alive itself and all that it dominates, from rows (node, dominator)."""
-    from .dominators import jump_tables, sums_below
-
-    tables = jump_tables(dominated.filter("dominator IS NOT NULL").select("node", F.col("dominator").alias("parent")))
-    own = dominated.select("node").join(nodes.select("node", F.col("size").alias("value")), "node")
-    return sums_below(own, tables).select("node", F.col("value").alias("retained"))
+    from .dominators import sums_below
+
+    own = nodes.select("node", F.col("size").alias("value"), F.lit(True).alias("__known"))
+    forest = kept(dominated.select("node", F.col("dominator").alias("parent")).join(own, "node", "left"))
+    sums = sums_below(forest)
+    # a node without a row of its own comes back only if it keeps others alive
+    bare = forest.filter("__known IS NULL").select("node")
+    if not bare.isEmpty():
+        sums = sums.join(bare.withColumn("__bare", F.lit(True)), "node", "left").filter("__bare IS NULL OR value IS NOT NULL")
+    return sums.select("node", F.col("value").alias("retained"))
 
 
 def census(nodes: DataFrame, dominated: DataFrame) -> DataFrame:

@@ -224,8 +224,8 @@ def _node(kind: str, key: F.Column) -> F.Column:
     return key.cast("bigint") * 8 + KINDS.index(kind)
 
 
-def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations, customers, orders and the parts they share, below one root."""
+def _heap_graph(spark: SparkSession, sf_dir: str, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers, orders and the parts they share, below one root; `repeated` leaves a part's edges as often as an order has it."""
     region, nation, customer, orders, line, part = (tables.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem", "part"))
     node = lambda kind, key: _node(kind, F.col(key))
     tall = lambda df, kind, key, size: df.select(node(kind, key).alias("node"), F.lit(kind).alias("type"), size.cast("bigint").alias("size"))
@@ -234,7 +234,8 @@ def _heap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     nodes = nodes.unionByName(spark.range(1).select(F.lit(ROOT).cast("bigint").alias("node"), F.lit("root").alias("type"), F.lit(0).cast("bigint").alias("size")))
     link = lambda df, a, x, b, y: df.select(node(a, x).alias("src"), node(b, y).alias("dst"), F.col(y).cast("bigint").alias("ordinal"))
     edges = region.select(F.lit(ROOT).cast("bigint").alias("src"), node("region", "r_regionkey").alias("dst"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
-    for more in (link(nation, "region", "n_regionkey", "nation", "n_nationkey"), link(customer, "nation", "c_nationkey", "customer", "c_custkey"), link(orders, "customer", "o_custkey", "order", "o_orderkey"), link(line.select("l_orderkey", "l_partkey").distinct(), "order", "l_orderkey", "part", "l_partkey")):
+    sold = line.select("l_orderkey", "l_partkey")
+    for more in (link(nation, "region", "n_regionkey", "nation", "n_nationkey"), link(customer, "nation", "c_nationkey", "customer", "c_custkey"), link(orders, "customer", "o_custkey", "order", "o_orderkey"), link(sold if repeated else sold.distinct(), "order", "l_orderkey", "part", "l_partkey")):
         edges = edges.unionByName(more)
     return nodes, edges
 
@@ -276,7 +277,7 @@ PARTS = "pd AS (SELECT p, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o,
 
 @query("G3_dominators", f"WITH {TREE}, {PARTS} SELECT node, above AS dominator FROM ({ABOVE}) UNION ALL SELECT concat('P', p), CASE WHEN o IS NOT NULL THEN concat('O', o) WHEN c IS NOT NULL THEN concat('C', c) WHEN n IS NOT NULL THEN concat('N', n) WHEN r IS NOT NULL THEN concat('R', r) ELSE 'root' END FROM pd")
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges = _heap_graph(spark, sf_dir)
+    _, edges = _heap_graph(spark, sf_dir, repeated=True)
     return dominator_tree.dominators(edges, ROOT).select(_named("node"), _named("dominator"))
 
 
@@ -291,13 +292,13 @@ UNION ALL SELECT concat('O', o), sum(b) FROM sz WHERE o IS NOT NULL GROUP BY o U
 
 @query("G4_retained_sizes", f"WITH {TREE}, {PARTS}, {KEPT} SELECT node, CAST(retained AS BIGINT) AS retained FROM kp")
 def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _heap_graph(spark, sf_dir)
+    nodes, edges = _heap_graph(spark, sf_dir, repeated=True)
     return graph.retained_sizes(nodes, dominator_tree.dominators(edges, ROOT)).select(_named("node"), "retained")
 
 
 @query("A34_type_census", f"WITH {TREE}, {PARTS}, {KEPT}, m AS (SELECT count(*) AS n, CAST(coalesce(sum(floor(p_retailprice)), 0) AS BIGINT) AS b FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) SELECT type, count(*) + CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS n, CAST(sum(b) + CASE WHEN type = 'part' THEN (SELECT b FROM m) ELSE 0 END AS BIGINT) AS exclusive, CAST(sum(retained) AS BIGINT) AS retained, CAST(max(retained) AS BIGINT) AS max_retained, CASE WHEN type = 'part' THEN (SELECT n FROM m) ELSE 0 END AS unreachable FROM sz JOIN kp USING (node) GROUP BY type")
 def type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _heap_graph(spark, sf_dir)
+    nodes, edges = _heap_graph(spark, sf_dir, repeated=True)
     return graph.census(nodes, dominator_tree.dominators(edges, ROOT)).select("type", "n", "exclusive", "retained", "max_retained", "unreachable")
 
 

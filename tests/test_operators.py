@@ -271,6 +271,36 @@ def test_nodes_of_one_parent_are_not_read_by_one_task(spark, monkeypatch):
     assert {(r.node, r.dominator) for r in dominators.dominators(edges, 0).collect()} == {*parents, (0, None)}
 
 
+def test_bushes_are_folded_layer_by_layer(spark, monkeypatch):
+    """Leaves below few nodes, and shared nodes whose predecessors part at the root, never get into jump tables; those of one branch have their common ancestor."""
+    rows, tables = [], dominators.jump_tables
+    monkeypatch.setattr(dominators, "jump_tables", lambda parents: rows.append(parents.count()) or tables(parents))
+    parent = {k: 0 if k < 5 else k % 4 + 1 if k < 25 else k % 20 + 5 for k in range(1, 425)}
+    branch = lambda v: v if v < 5 else branch(parent[v])
+    shared = {1000 + k: [25 + k, 26 + k, 27 + k] for k in range(40)}
+    assert all(len({branch(v) for v in among}) > 1 for among in shared.values())
+
+    def run(shared, dominator):
+        edges = [*((p, k) for k, p in parent.items()), *((v, k) for k, among in shared.items() for v in among * 2)]
+        got = dominators.dominators(spark.createDataFrame(edges, "src long, dst long"), 0)
+        assert {r.node: r.dominator for r in got.collect()} == dominator
+        return got, dominator
+
+    def keeps(got, dominator):
+        nodes = spark.createDataFrame([(k, 1 + k % 7) for k in dominator], "node long, size long")
+        want = {k: 1 + k % 7 for k in dominator}
+        for k in sorted(dominator, reverse=True):
+            if k:
+                want[dominator[k]] += want[k]
+        assert {r.node: r.retained for r in graph.retained_sizes(nodes, got).collect()} == want
+
+    keeps(*run(shared, {0: None} | parent | dict.fromkeys(shared, 0)))
+    assert sum(rows) == 0
+    # 25 and 45 hang below one node, 25 and 29 below two nodes of one branch
+    assert parent[25] == parent[45] and parent[25] != parent[29] and branch(25) == branch(29)
+    run({1000: [25, 45], 1001: [25, 29], 1002: [25, 26]}, {0: None} | parent | {1000: parent[25], 1001: branch(25), 1002: 0})
+
+
 def test_breadth_first_parent_is_the_first_discoverer(spark):
     edges = spark.createDataFrame([("r", "a", 0), ("r", "b", 1), ("b", "c", 0), ("a", "c", 1), ("c", "r", 0), ("c", "d", 1), ("x", "y", 0)], "src string, dst string, ordinal long")
     got = {r.node: (r.parent, r.depth) for r in graph.breadth_first(edges, "r").collect()}
