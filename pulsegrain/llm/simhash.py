@@ -157,7 +157,8 @@ def fingerprint_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     # a fingerprint becomes 80 keys, so they are dealt into parts of a fixed number first
     keys = _keys(distinct.repartition(max(1, -(-distinct.count() // PER_TASK)), "fp"))
     counts = keys.groupBy("key").count().filter("count > 1")
-    shared = keys.join(counts, "key")
+    # Spark takes the keys to be as few as the fingerprints they come from, and would broadcast them
+    shared = keys.hint("merge").join(counts, "key")
     blocks = F.ceil(F.col("count") / block).cast("int")
     placed = shared.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
     units = placed.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -107,6 +107,17 @@ def test_links_of_random_fingerprints_in_blocks(spark):
         assert sorted(sorted(g) for g in got.values()) == want
 
 
+def test_candidate_keys_are_never_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        links = simhash.fingerprint_links(spark.range(2000).select(F.xxhash64("id").alias("fp")).distinct())
+        links.collect()
+        plan = links._jdf.queryExecution().executedPlan().toString()  # as it ran
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pigeonring_loses_no_pair():
     rng = np.random.default_rng(1)
     for _ in range(3000):
