@@ -65,3 +65,15 @@ def test_conversations_meet_three_limits(spark, sf):
     assert any(s == 2 for _, s, _ in sums.values()) and any(b == 512 for _, _, b in sums.values())
     odd = spark.createDataFrame([(None, 0, "user", "a", 1), (None, 1, "assistant", None, 1), (1, 0, "assistant", "b", 1), (1, 0, "assistant", "b", 1)], "conv_id long, turn long, role string, text string, start int")
     assert packing.pack_conversations(odd, path).count() == 3 and packing.pack_conversations(odd.limit(0), path).count() == 0
+
+
+def test_near_copies_broadcast_no_keys(spark, sf):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "72m"}  # a page takes up to 64 MB, the keys over 100
+    for name, most in limits.items():
+        spark.conf.set(name, most)
+    try:
+        assert corpus_pipeline.drop_near_copies(spark, docs, sf).count() == 30_000
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
